@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from quarryframe.llm import quality
+from quarryframe.llm import line_dedup, quality
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def line_dedup_sql() -> str:
+    cfg = line_dedup.LineConfig()
+    return f"""
+WITH l AS (SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], {SPACES}), '{UPPER}', '{LOWER}') AS key FROM
+  (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+k AS (SELECT key, max(doc_id) AS keep FROM l WHERE length(key) >= {cfg.min_chars} GROUP BY key HAVING count(DISTINCT doc_id) >= {cfg.min_docs}),
+m AS (SELECT l.*, k.keep IS NOT NULL AND k.keep <> doc_id AS gone FROM l LEFT JOIN k ON l.key = k.key AND length(l.key) >= {cfg.min_chars})
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
 
 
 def quality_sql() -> str:
@@ -41,3 +56,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT coalesce(word_chars >= {cfg.min_histogram_chars} AND cd > {cfg.max_char_distance}, false)
   AND NOT coalesce(n_words >= {cfg.min_histogram_words} AND wd > {cfg.max_word_distance}, false) AS kept
 FROM b LEFT JOIN near USING (doc_id)"""
+
+
+def near_dedup_sql(k: int, percent: int) -> str:
+    """Exact links through shared shingles, and components by reachability."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < {k} THEN ws ELSE ws[i:i + {k - 1}] END AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - {k - 2}))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS component_id, w.doc_id = r.c AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY 1) r USING (doc_id)"""

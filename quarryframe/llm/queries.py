@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarryframe.llm import oracles
 from quarryframe.llm._base import materialize
+from quarryframe.llm.line_dedup import line_dedup
+from quarryframe.llm.near_dedup import NearConfig, near_dedup
 from quarryframe.llm.quality import fit_references, judge, quality_features
 from quarryframe.llm.token_store import StoreConfig, token_digests
 
@@ -21,6 +24,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_read(spark, sf_dir, "documents"), StoreConfig(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     features = materialize(quality_features(docs).drop("text"), "quality-features")
@@ -28,11 +36,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_read(spark, sf_dir, "documents"), NearConfig(shingle_words=3, percent=85))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_line_dedup": op2_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": oracles.line_dedup_sql(),
     "op7_quality_rules": oracles.quality_sql(),
+    "op9_minhash_near_dedup": oracles.near_dedup_sql(3, 85),
 }
