@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from quarryframe.llm import oracles
 from quarryframe.llm._base import materialize
+from quarryframe.llm.decontaminate import tag_leaks
 from quarryframe.llm.line_dedup import line_dedup
 from quarryframe.llm.near_dedup import NearConfig, near_dedup
+from quarryframe.llm.pieces import PieceConfig, encode_documents
 from quarryframe.llm.quality import fit_references, judge, quality_features
 from quarryframe.llm.token_store import StoreConfig, token_digests
 
@@ -40,11 +42,25 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_read(spark, sf_dir, "documents"), NearConfig(shingle_words=3, percent=85))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"), PieceConfig(public_tokenizers.path("piece_bpe_32k.model")), keep_ids=False)
+    return encoded.select("doc_id", "n_ids", "ids_crc32", "round_trip")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = tag_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return tagged.select(
+        "doc_id", F.col("leaks.item_id").alias("item_ids"), F.array_min("leaks.distance").alias("least_distance"), (F.size("leaks") == 0).alias("kept")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_line_dedup": op2_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
