@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from quarryframe.llm import oracles
 from quarryframe.llm._base import materialize
 from quarryframe.llm.decontaminate import tag_leaks
+from quarryframe.llm.language_id import fit as fit_languages
+from quarryframe.llm.language_id import held_out, identify
 from quarryframe.llm.line_dedup import line_dedup
 from quarryframe.llm.near_dedup import NearConfig, near_dedup
 from quarryframe.llm.pieces import PieceConfig, encode_documents
 from quarryframe.llm.quality import fit_references, judge, quality_features
 from quarryframe.llm.token_store import StoreConfig, token_digests
+from quarryframe.llm.toxicity import fit as fit_toxicity
+from quarryframe.llm.toxicity import predict_severity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +35,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), fit_languages(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     features = materialize(quality_features(docs).drop("text"), "quality-features")
@@ -54,9 +64,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, _read(spark, sf_dir, "labels"))
+    return predict_severity(docs, model).select("doc_id", "severity", "grade", "toxic")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_line_dedup": op2_line_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
