@@ -41,7 +41,7 @@ class StoreConfig:
     min_chunk: int = 128
     max_chunk: int = 4096
     #: Pieces whose ids a worker remembers; beyond it the memory starts anew. It bounds memory only.
-    cache_pieces: int = 400_000
+    cache_pieces: int = 700_000
     docs_per_file: int = 200_000
 
 
@@ -53,7 +53,7 @@ class PieceEncoder:
     inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 400_000):
+    def __init__(self, path: str, cache_pieces: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import re
 
@@ -63,36 +63,74 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.limit = cache_pieces
         self.whole: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {}  # by what follows the space
         spaces = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32]
         self.unsafe = [s for c in spaces for s in (f"{c} ", f" {c}")]
         self.safe_split = re.compile(r"(?<=\S)(?= \S)")
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
+        #: Ids whose token starts with a space; inside a row of pieces such a token starts a piece.
+        self.starts = np.array([(self.tokenizer.id_to_token(i) or "")[:1] == "\u0120" for i in range(self.tokenizer.get_vocab_size())])
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+
+    def _learn_whole(self, texts: list[str]) -> None:
+        ids = self.encode(texts, add_special_tokens=False)
+        self.whole.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(texts, ids, strict=True))
+
+    def _learn_rest(self, words: list[str]) -> None:
+        """Many pieces in one call: they stand in a row, and their ids are split where a piece starts."""
+        rows = [words[at : at + 1000] for at in range(0, len(words), 1000)]
+        for row, e in zip(rows, self.encode([f" {' '.join(row)}" for row in rows], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.nonzero(self.starts[ids])[0].tolist()
+            if len(at) != len(row) or at[0]:
+                raise ValueError("the tokenizer does not break before each space")
+            packed = ids.tobytes()
+            self.rest.update((w, packed[4 * i : 4 * j]) for w, i, j in zip(row, at, [*at[1:], len(ids)], strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if len(self.whole) + len(self.rest) > self.limit:
             self.whole.clear()
             self.rest.clear()
-        split: list[tuple[list[str], list[str]]] = []
-        for text in texts:
+        known, single, todo, missing, strange = [], self.rest.get, [], set(), set()
+        for i, text in enumerate(texts):
             parts = text.split(" ")
+            odd = []
             if "" in parts or any(s in text for s in self.unsafe):
-                split.append((self.safe_split.split(text), []))
-            else:
-                split.append((parts[:1], parts[1:]))
-        new = list({p for first, _ in split for p in first if p not in self.whole})
-        self.whole.update(zip(new, self._ids(new), strict=True))
-        missing: set[str] = set()
-        for _, rest in split:
-            missing.update(rest)
-        new = [p for p in missing if p not in self.rest]
-        self.rest.update(zip(new, self._ids([f" {p}" for p in new]), strict=True))
-        whole, rest_of = self.whole.__getitem__, self.rest.__getitem__
-        return [b"".join([*map(whole, first), *map(rest_of, rest)]) for first, rest in split]
+                parts = self.safe_split.split(text)
+                odd = [j for j, p in enumerate(parts) if not j or not _plain(p)]
+                parts = [p[1:] if j else p for j, p in enumerate(parts)]
+            got = list(map(single, parts))
+            for j in odd or (0,):
+                key = f" {parts[j]}" if j else parts[j]
+                got[j] = None
+                strange.add(key)
+                todo.append((i, j, key, self.whole))
+            if None in got:
+                fixed = set(odd or (0,))
+                for j in [j for j, x in enumerate(got) if x is None and j not in fixed]:
+                    missing.add(parts[j])
+                    todo.append((i, j, parts[j], self.rest))
+            known.append(got)
+        self._learn_whole([t for t in strange if t not in self.whole])
+        self._learn_rest(list(missing))
+        for i, j, key, store in todo:
+            known[i][j] = store[key]
+        return [b"".join(got) for got in known]
+
+
+def _plain(piece: str) -> bool:
+    """Whether a piece is a space and a word without white space at its end and without further spaces."""
+    return len(piece) > 1 and not piece[-1].isspace() and " " not in piece[1:]
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def shared_encoder(path: str, cache_pieces: int) -> PieceEncoder:
+    """This worker's encoder; what it has learned stays for its next tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path, cache_pieces)
+    return _ENCODERS[path]
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -175,7 +213,7 @@ def write_store(docs: DataFrame, path: str, cfg: StoreConfig) -> None:
     end = b"" if cfg.end_id is None else np.array([cfg.end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(cfg.tokenizer_path, cfg.cache_pieces)
+        encoder = shared_encoder(cfg.tokenizer_path, cfg.cache_pieces)
         powers = (_powers(_BASE, 1 << 14), _powers(_INVERSE, 1 << 14))
         sent: set[bytes] = set()
         for batch in batches:
