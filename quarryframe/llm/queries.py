@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarryframe.llm import oracles
 from quarryframe.llm._base import materialize
 from quarryframe.llm.decontaminate import tag_leaks
+from quarryframe.llm.html_text import extract_text
 from quarryframe.llm.language_id import fit as fit_languages
 from quarryframe.llm.language_id import held_out, identify
 from quarryframe.llm.line_dedup import line_dedup
@@ -41,6 +42,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     features = materialize(quality_features(docs).drop("text"), "quality-features")
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
+    "op5_html_text": op5_html_text,
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
