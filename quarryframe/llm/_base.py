@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 _ROOTS: dict[int, str] = {}
+_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -79,7 +81,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver has it, whatever their working folder is."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _HOME not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, _HOME])
+
+
 def need_columns(df: DataFrame, *names: str) -> None:
+    """Stop early if a column is missing."""
+    on_workers(df.sparkSession)
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")

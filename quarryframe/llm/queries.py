@@ -18,6 +18,7 @@ from quarryframe.llm.line_dedup import line_dedup
 from quarryframe.llm.near_dedup import NearConfig, near_dedup
 from quarryframe.llm.pieces import PieceConfig, encode_documents
 from quarryframe.llm.quality import fit_references, judge, quality_features
+from quarryframe.llm.substring_dedup import repeated_passages
 from quarryframe.llm.token_store import StoreConfig, token_digests
 from quarryframe.llm.toxicity import fit as fit_toxicity
 from quarryframe.llm.toxicity import predict_severity
@@ -46,6 +47,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     features = materialize(quality_features(docs).drop("text"), "quality-features")
@@ -64,15 +69,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = tag_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
-    return tagged.select(
-        "doc_id", F.col("leaks.item_id").alias("item_ids"), F.array_min("leaks.distance").alias("least_distance"), (F.size("leaks") == 0).alias("kept")
-    )
-
-
-def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_toxicity(docs, _read(spark, sf_dir, "labels"))
-    return predict_severity(docs, model).select("doc_id", "severity", "grade", "toxic")
+    leaked = tagged.where(F.size("leaks") > 0)
+    return leaked.select("doc_id", F.col("leaks.item_id").alias("item_ids"), F.array_min("leaks.distance").alias("least_distance"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -81,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_html_text": op5_html_text,
+    "op6_repeated_passages": op6_repeated_passages,
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
