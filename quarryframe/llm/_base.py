@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Characters that the word and line contracts call white space (ASCII only).
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
+#: Rows of an Arrow batch at most; the session's setting is lowered to it.
+BATCH_ROWS = 2000
+
 _ROOTS: dict[int, str] = {}
 _HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -87,6 +90,10 @@ def on_workers(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _HOME not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _HOME])
+    # texts are long rows: small Arrow batches bound the memory of both sides of a Python worker
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
 
 
 def need_columns(df: DataFrame, *names: str) -> None:
