@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 def py_round(x: Column, digits: int) -> Column:
     """Round the exact binary value to the nearest decimal, ties to even; -0.0 becomes 0.0 and null stays null."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def rounded(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None or v != v else round(v, digits) + 0.0)
 
@@ -24,7 +24,7 @@ def canonical_text(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """JSON text with sorted keys and no spaces; null for what is no JSON."""
 

@@ -9,7 +9,7 @@ from quarryframe.functions.columns import iou
 
 
 def candidate_pairs(boxes: DataFrame, tau: float = 0.5) -> DataFrame:
-    """(frame, category, gi, pi, iou): pairs of one category in one frame with at least ``tau`` overlap.
+    """(frame, category, gi, pi, iou, both boxes): pairs of one category in one frame with at least ``tau`` overlap.
 
     ``boxes`` has reference boxes x1..y2; the prediction of a box is moved by ``pred_dx``. The join is an equi join on
     (frame, category) with the overlap as residual.
@@ -20,16 +20,20 @@ def candidate_pairs(boxes: DataFrame, tau: float = 0.5) -> DataFrame:
     )
     pairs = g.join(p, ["anchor_id", "category"])
     box = lambda s: tuple(F.col(f"{s}_{c}") for c in ("x1", "y1", "x2", "y2"))
-    return pairs.withColumn("iou", iou(box("g"), box("p"))).where(F.col("iou") >= tau).select("anchor_id", "category", "gi", "pi", "iou")
+    return pairs.withColumn("iou", iou(box("g"), box("p"))).where(F.col("iou") >= tau).select("anchor_id", "category", "gi", "pi", "iou", F.array(*box("g")).alias("g_box"), F.array(*box("p")).alias("p_box"))
+
+
+def greedy_order() -> F.Column:
+    """The candidates of a group in the order in which they are taken."""
+    return F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("k"), "g_box", "p_box", "gi", "pi")))
 
 
 def greedy_match(pairs: DataFrame) -> DataFrame:
-    """One-to-one matches per (frame, category), best overlap first, then by gi and pi.
+    """One-to-one matches per (frame, category), best overlap first, then by both boxes, gi and pi.
 
     Folded over the sorted candidates of a frame's category, which are few (frames hold up to 8 objects a side).
     """
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("k"), "gi", "pi")))
-    lists = pairs.groupBy("anchor_id", "category").agg(ordered.alias("c"))
+    lists = pairs.groupBy("anchor_id", "category").agg(greedy_order().alias("c"))
     empty = F.expr("cast(array() as array<struct<k: double, gi: bigint, pi: bigint>>)")
     taken = F.aggregate(
         "c", empty, lambda acc, x: F.when(F.exists(acc, lambda m: (m["gi"] == x["gi"]) | (m["pi"] == x["pi"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["k"].alias("k"), x["gi"].cast("long").alias("gi"), x["pi"].cast("long").alias("pi")))))
