@@ -496,3 +496,41 @@ def config_invariants(fx: Fixtures) -> DataFrame:
 
     rules = {"stationary_not_narrower": lb.Y_STATIONARY >= lb.Y_BRAKE, "band_is_half_ego_and_margin": abs(lb.Y_BRAKE - (lb.EGO_WIDTH + lb.MARGIN) / 2) < 1e-9}
     return fx.spark.createDataFrame(list(rules.items()), "rule string, holds boolean")
+
+
+@query("s3_score_scan", duck("SELECT anchor_id, gt_yield = pred_yield AS agree FROM fx_anchor WHERE parse_ok", "fx_anchor"))
+def score_scan(fx: Fixtures) -> DataFrame:
+    """Scores by anchor; a repeated or missing key stops the job."""
+    rows = fx.view("fx_anchor").where("parse_ok").select("anchor_id", (F.col("gt_yield") == F.col("pred_yield")).alias("agree"))
+    return io.unique_by(rows, "anchor_id")
+
+
+@query("s10_contract_lineage", "SELECT * FROM (VALUES ('v3', 'v3'), ('v4', 'v3'), ('v5', 'v3'), ('v6', 'v6'), ('v7', 'v7')) t(version, face)")
+def contract_lineage(fx: Fixtures) -> DataFrame:
+    """Which model-facing contract each version keeps, from a literal map."""
+    lineage = {"v3": "v3", "v4": "v3", "v5": "v3", "v6": "v6", "v7": "v7"}
+    versions = fx.spark.range(1).select(F.explode(F.array(*map(F.lit, lineage))).alias("version"))
+    return versions.select("version", c.literal_map(lineage)[F.col("version")].alias("face"))
+
+
+@query("k3_split_manifest", duck("SELECT location, count(*) AS n_scenes, sha256(string_agg(scene_token, ',' ORDER BY scene_token)) AS scenes_sha256 FROM fx_scene GROUP BY 1", "fx_scene"))
+def split_manifest(fx: Fixtures) -> DataFrame:
+    scenes = fx.view("fx_scene").groupBy("location").agg(F.count(F.lit(1)).alias("n_scenes"), F.array_sort(F.collect_list("scene_token")).alias("s"))
+    return scenes.select("location", "n_scenes", F.sha2(F.array_join("s", ","), 256).alias("scenes_sha256"))
+
+
+@query("k5_grid_files", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")
+def grid_files(fx: Fixtures) -> DataFrame:
+    """A grid written as Parquet, CSV and JSON; all three read back the same."""
+    grid = fx.table("orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    back = io.write_grid(grid)
+    first, *others = back
+    for other in others:
+        if not first.exceptAll(other).isEmpty() or not other.exceptAll(first).isEmpty():
+            raise ValueError("the formats differ")
+    return first
+
+
+@query("p16_provenance", "SELECT o_orderkey, 'rules-1' AS rules, 'v7' AS contract FROM orders")
+def provenance(fx: Fixtures) -> DataFrame:
+    return fx.table("orders").select("o_orderkey", F.lit("rules-1").alias("rules"), F.lit("v7").alias("contract"))

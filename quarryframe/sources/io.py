@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,3 +93,15 @@ def markdown_table(rows: DataFrame, limit: int = 1000) -> str:
     data = rows.limit(limit).collect()
     head = rows.columns
     return "\n".join([f"| {' | '.join(head)} |", f"|{'|'.join('-' for _ in head)}|", *(f"| {' | '.join(str(v) for v in r)} |" for r in data)])
+
+
+def write_grid(grid: DataFrame) -> list[DataFrame]:
+    """A small aggregate as Parquet, CSV and JSON under the shared folder ``spark.checkpoint.dir``, each read back."""
+    spark = grid.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quarryframe-grid-')}"
+    path = f"{base.rstrip('/')}/grid-{uuid.uuid4().hex}"
+    out = []
+    for kind in ("parquet", "csv", "json"):
+        grid.write.format(kind).save(f"{path}/{kind}")
+        out.append(spark.read.format(kind).schema(grid.schema).load(f"{path}/{kind}"))
+    return out
