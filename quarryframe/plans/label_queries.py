@@ -327,11 +327,11 @@ def residual_membership(fx: Fixtures) -> DataFrame:
     return fx.view("fx_anchor").join(geo(fx).where("distance < 3"), "anchor_id", "left_semi").select("anchor_id")
 
 
-@query("t12_quaternion_yaw", duck("SELECT anchor_id, ann_no, round(degrees(atan2(2 * (w * z), 1 - 2 * (z * z))), 6) + 0.0 AS yaw FROM (SELECT *, cos(radians(box_yaw_deg) / 2) AS w, sin(radians(box_yaw_deg) / 2) AS z FROM fx_object WHERE box_yaw_deg <> 180)", "fx_object"))
+@query("t12_quaternion_yaw", duck("SELECT anchor_id, ann_no, round((degrees(atan2(2 * (w * z), 1 - 2 * (z * z))) + 360) % 360, 6) + 0.0 AS yaw FROM (SELECT *, cos(radians(box_yaw_deg) / 2) AS w, sin(radians(box_yaw_deg) / 2) AS z FROM fx_object)", "fx_object"))
 def quaternion_yaw(fx: Fixtures) -> DataFrame:
     half = F.radians("box_yaw_deg") / 2
     yaw = c.quaternion_yaw(F.cos(half), F.lit(0.0), F.lit(0.0), F.sin(half))
-    return fx.view("fx_object").where("box_yaw_deg <> 180").select("anchor_id", "ann_no", (F.round(F.degrees(yaw), 6) + 0.0).alias("yaw"))
+    return fx.view("fx_object").select("anchor_id", "ann_no", (F.round((F.degrees(yaw) + 360) % 360, 6) + 0.0).alias("yaw"))
 
 
 @query("p2_python_round", None)

@@ -120,10 +120,12 @@ def request_projection(fx: Fixtures) -> DataFrame:
     return w.select("sample_id", F.element_at("window.sample_id", -1).cast("string").alias("one_frame"), F.array_join("window.sample_id", ",").alias("four_frames"))
 
 
-@query("p4_collate", duck("SELECT scene_token, string_agg(CAST(sample_id AS VARCHAR), ',' ORDER BY walk_idx) AS batch FROM fx_keyframe WHERE walk_idx < 16 GROUP BY 1", "fx_keyframe"))
+@query("p4_collate", duck("SELECT scene_token, walk_idx // 16 AS batch_no, string_agg(CAST(sample_id AS VARCHAR), ',' ORDER BY walk_idx) AS batch FROM fx_keyframe GROUP BY 1, 2", "fx_keyframe"))
 def collate(fx: Fixtures) -> DataFrame:
-    rows = fx.view("fx_keyframe").where("walk_idx < 16").groupBy("scene_token").agg(F.array_sort(F.collect_list(F.struct("walk_idx", "sample_id"))).alias("b"))
-    return rows.select("scene_token", F.array_join("b.sample_id", ",").alias("batch"))
+    """Batches of 16 keyframes of a scene, in order."""
+    batch_no = F.floor(F.col("walk_idx") / 16).alias("batch_no")
+    rows = fx.view("fx_keyframe").groupBy("scene_token", batch_no).agg(F.array_sort(F.collect_list(F.struct("walk_idx", "sample_id"))).alias("b"))
+    return rows.select("scene_token", "batch_no", F.array_join("b.sample_id", ",").alias("batch"))
 
 
 @query("p5_prompt", "SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'Q' ELSE 'Speed: ' || role || chr(10) || 'Q' END AS prompt FROM conversations")
@@ -182,11 +184,11 @@ def probe_scan(fx: Fixtures) -> DataFrame:
     return fx.table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("s12_training_log", "SELECT event_id AS no, round(value, 4) AS loss, coalesce(round(value, 4) > lag(round(value, 4)) OVER (ORDER BY event_id), false) AS rises FROM events WHERE event_id < 2000 AND event_id % 3 <> 0")
+@query("s12_training_log", "SELECT event_id AS no, round(value, 4) AS loss, coalesce(round(value, 4) > lag(round(value, 4)) OVER (ORDER BY event_id), false) AS rises FROM events WHERE event_id % 3 <> 0")
 def training_log(fx: Fixtures) -> DataFrame:
     """Losses from log lines, and where they rise; other lines are skipped."""
     value = F.concat(F.lit("{'loss': "), F.round("value", 4).cast("string"), F.lit(", 'epoch': 1}"))
-    lines = fx.table("events").where("event_id < 2000").select(F.col("event_id").alias("no"), F.when(F.col("event_id") % 3 == 0, F.lit("saving")).otherwise(value).alias("value"))
+    lines = fx.table("events").select(F.col("event_id").alias("no"), F.when(F.col("event_id") % 3 == 0, F.lit("saving")).otherwise(value).alias("value"))
     w = Window.orderBy("no")
     return io.training_log(lines).select("no", "loss", F.coalesce(F.col("loss") > F.lag("loss").over(w), F.lit(False)).alias("rises"))
 
@@ -403,9 +405,9 @@ def synonyms(fx: Fixtures) -> DataFrame:
     return fx.table("part").select("p_partkey", F.coalesce(table[norm], table[c.singular_term(norm)], F.lit("unmapped")).alias("term"))
 
 
-@query("t5_fence_extract", "SELECT conv_id, turn, text AS body FROM conversations WHERE length(trim(text)) > 0 AND text = trim(text) AND NOT contains(text, '```')")
+@query("t5_fence_extract", "SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM conversations")
 def fence_extract(fx: Fixtures) -> DataFrame:
-    rows = fx.table("conversations").where((F.length(F.trim("text")) > 0) & (F.col("text") == F.trim("text")) & ~F.contains("text", F.lit("```")))
+    rows = fx.table("conversations")
     fenced = F.concat(F.lit("so:\n```json\n"), "text", F.lit("\n```\nend"))
     return rows.select("conv_id", "turn", c.fenced_body(fenced).alias("body"))
 
