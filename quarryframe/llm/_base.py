@@ -53,11 +53,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write a table to the shared folder and read it back; and the folder, for ``drop_path`` when it is used up."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+    return stage(df, name)[0]
 
 
 def byte_values(column: pa.Array) -> list[bytes | None]:
