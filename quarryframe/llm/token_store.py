@@ -41,7 +41,7 @@ class StoreConfig:
     min_chunk: int = 128
     max_chunk: int = 4096
     #: Pieces whose ids a worker remembers; beyond it the memory starts anew. It bounds memory only.
-    cache_pieces: int = 700_000
+    cache_pieces: int = 1_500_000
     docs_per_file: int = 200_000
 
 
@@ -53,7 +53,7 @@ class PieceEncoder:
     inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 700_000):
+    def __init__(self, path: str, cache_pieces: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import re
 
@@ -64,8 +64,8 @@ class PieceEncoder:
         self.limit = cache_pieces
         self.whole: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}  # by what follows the space
-        spaces = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32]
-        self.unsafe = [s for c in spaces for s in (f"{c} ", f" {c}")]
+        #: White space other than the space and the line feed; texts that have it are split with care.
+        self.rare_space = re.compile(f"[{''.join(chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32))}]")
         self.safe_split = re.compile(r"(?<=\S)(?= \S)")
         #: Ids whose token starts with a space; inside a row of pieces such a token starts a piece.
         self.starts = np.array([(self.tokenizer.id_to_token(i) or "")[:1] == "\u0120" for i in range(self.tokenizer.get_vocab_size())])
@@ -95,7 +95,7 @@ class PieceEncoder:
         for i, text in enumerate(texts):
             parts = text.split(" ")
             odd = []
-            if "" in parts or any(s in text for s in self.unsafe):
+            if "" in parts or " \n" in text or "\n " in text or self.rare_space.search(text):
                 parts = self.safe_split.split(text)
                 odd = [j for j, p in enumerate(parts) if not j or not _plain(p)]
                 parts = [p[1:] if j else p for j, p in enumerate(parts)]
@@ -150,7 +150,7 @@ def cut_points(ids: np.ndarray, cfg: StoreConfig, powers: tuple[np.ndarray, np.n
         return []
     total = np.cumsum(mix64(ids) * powers[0][:n])
     total[WINDOW:] -= total[:-WINDOW].copy()
-    rolled = mix64(total * powers[1][:n])
+    rolled = total * powers[1][:n]
     marks = (np.nonzero((rolled >> np.uint64(64 - cfg.cut_bits)) == 0)[0] + 1).tolist()
     ends, last = [], 0
     for m in [*marks, n]:
