@@ -45,6 +45,10 @@ class QualityConfig:
     min_histogram_words: int = 100
     max_char_distance: float = 0.30
     max_word_distance: float = 0.50
+    #: Of the distance that a text without a common word has from a reference; None leaves the absolute bound alone, which that distance may not reach.
+    max_word_share: float | None = 0.80
+    #: References with a smaller share of common words belong to languages that the list does not serve; they judge no words.
+    min_common_share: float = 0.05
 
 
 @dataclass(frozen=True)
@@ -199,12 +203,29 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (left + right) / 2))
 
 
+def bare_distances(refs: References) -> np.ndarray:
+    """Distance of a text without a common word from each reference: the largest that a lack of common words can give."""
+    bare = np.zeros((1, refs.words.shape[1]))
+    bare[0, -1] = 1
+    return js_distance(bare, refs.words)[0]
+
+
 def judge(features: DataFrame, refs: References, cfg: QualityConfig | None = None) -> DataFrame:
-    """The columns of RESULT in the place of those of FEATURES."""
+    """The columns of RESULT in the place of those of FEATURES.
+
+    With ``max_word_share`` a text fails by its words if it is further than that share of ``bare_distances`` from each reference
+    that has common words. Texts of a language that has no such reference are not judged by it; texts without a language are.
+    """
     cfg = cfg or QualityConfig()
+    need_columns(features, "lang", *_names(FEATURES))
+    listed = np.nonzero(refs.words[:, -1] <= 1 - cfg.min_common_share)[0] if cfg.max_word_share is not None else np.zeros(0, int)
+    listed_words = refs.words[listed]
+    far = bare_distances(refs)[listed] * (cfg.max_word_share or 0)
+    served = {None, *(refs.languages[i] for i in listed)}
     rest = features.drop(*_names(FEATURES), *_names(RESULT))
     features = features.select(*rest.columns, *_names(FEATURES))
     n_rest, n_vocab = len(rest.columns), len(vocabulary())
+    lang_at = rest.columns.index("lang")
 
     def verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,13 +238,18 @@ def judge(features: DataFrame, refs: References, cfg: QualityConfig | None = Non
                 words[i, ids] = counts
             words[:, -1] = n_words - words.sum(1)
             near = np.full((2, n), np.nan)
+            bare = np.zeros(n, bool)
             if len(refs.languages) and n:
                 near[0] = js_distance(chars / np.maximum(1, chars.sum(1, keepdims=True)), refs.chars).min(1)
-                near[1] = js_distance(words / np.maximum(1, words.sum(1, keepdims=True)), refs.words).min(1)
+                shares = words / np.maximum(1, words.sum(1, keepdims=True))
+                near[1] = js_distance(shares, refs.words).min(1)
+                if len(listed):
+                    bare = (js_distance(shares, listed_words) > far).all(1) & (n_words >= cfg.min_histogram_words)
+                    bare &= np.fromiter((x in served for x in batch.column(lang_at).to_pylist()), bool, n)
                 near[0][word_chars < cfg.min_histogram_chars] = np.nan
                 near[1][n_words < cfg.min_histogram_words] = np.nan
             failed = (n_words < cfg.min_words) | (100 * n_repeat > cfg.max_repeat_percent * n_words)
-            kept = ~failed & ~(near[0] > cfg.max_char_distance) & ~(near[1] > cfg.max_word_distance)
+            kept = ~failed & ~(near[0] > cfg.max_char_distance) & ~(near[1] > cfg.max_word_distance) & ~bare
             columns = [pa.array(failed), *(pa.array(x, pa.float64(), from_pandas=True) for x in near), pa.array(kept)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_rest], *base, *columns], names=[*batch.schema.names[:n_rest], *_names(RESULT)])
 

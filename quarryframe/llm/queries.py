@@ -17,7 +17,7 @@ from quarryframe.llm.language_id import held_out, identify
 from quarryframe.llm.line_dedup import line_dedup
 from quarryframe.llm.near_dedup import NearConfig, near_dedup
 from quarryframe.llm.pieces import PieceConfig, encode_documents
-from quarryframe.llm.quality import fit_references, judge, quality_features
+from quarryframe.llm.quality import QualityConfig, fit_references, judge, quality_features
 from quarryframe.llm.substring_dedup import repeated_passages
 from quarryframe.llm.token_store import StoreConfig, token_digests
 from quarryframe.llm.toxicity import fit as fit_toxicity
@@ -57,13 +57,23 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _quality(spark: SparkSession, sf_dir: str, cfg: QualityConfig) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     features = materialize(quality_features(docs).drop("text"), "quality-features")
-    judged = judge(features, fit_references(features))
+    judged = judge(features, fit_references(features, cfg), cfg)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the absolute word bound only, as its SQL has it."""
+    return _quality(spark, sf_dir, QualityConfig(max_word_share=None))
+
+
+def op7_quality_by_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules of the operator, as the pipeline applies them."""
+    return _quality(spark, sf_dir, QualityConfig())
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_read(spark, sf_dir, "documents"), NearConfig(shingle_words=3, percent=85))
 
@@ -87,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_text": op5_html_text,
     "op6_repeated_passages": op6_repeated_passages,
     "op7_quality_rules": op7_quality_rules,
+    "op7_quality_by_share": op7_quality_by_share,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_decontamination": op10_decontamination,

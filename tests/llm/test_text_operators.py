@@ -41,6 +41,21 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     assert {r.doc_id for r in ql.quality_rules(docs).where("kept").collect()} == set(range(40))
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    function = "the of and to in is that for".split()
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    clean = [" ".join(rng.choice(function) if rng.random() < 0.22 else word() for _ in range(200)) for _ in range(40)]
+    menus = [" ".join(word() for _ in range(200)) for _ in range(4)]
+    # the word list does not serve xx, so its texts are not judged by their words, and they do not excuse the menus
+    other = [" ".join(word() for _ in range(200)) for _ in range(10)]
+    rows = [(i, t, "en") for i, t in enumerate(clean + menus[:3])] + [(43, menus[3], None)] + [(100 + i, t, "xx") for i, t in enumerate(other)]
+    docs = spark.createDataFrame(rows, f"{DOCS}, lang string")
+    want = {*range(40), *range(100, 110)}
+    assert {r.doc_id for r in ql.quality_rules(docs).where("kept").collect()} == want
+    assert ql.quality_rules(docs, ql.QualityConfig(max_word_share=None)).where("kept").count() == len(rows)
+
+
 def test_js_distance_bounds():
     p, q = np.array([[1.0, 0.0], [0.5, 0.5]]), np.array([[1.0, 0.0], [0.0, 1.0]])
     got = ql.js_distance(p, q)
