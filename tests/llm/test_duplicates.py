@@ -101,6 +101,25 @@ def test_repeated_passages_cover_brute_force(spark):
     assert all(i not in r.partner_ids for i, r in got.items())
 
 
+def test_pieces_in_other_texts_hide_no_passage(spark):
+    rng = random.Random(11)
+    docs, pairs = [], {}
+    for g in range(12):
+        passage = hp.prose(900 + g, 60, 10**6).split()
+        for k in range(10):
+            w, at = hp.prose(2000 + 10 * g + k, 300, 10**6).split(), rng.randrange(31)
+            w[100:100] = passage if k > 7 else passage[at : at + 30]
+            docs.append((10 * g + k, " ".join(w)))
+            if k > 7:
+                pairs[10 * g + k] = 10 * g + 17 - k
+    # the first text has the passage twice
+    docs[8] = (8, docs[8][1] + " " + " ".join(docs[8][1].split()[100:160]))
+    got = {r.doc_id: r for r in sd.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()}
+    assert set(got) == set(pairs) == hp.repeated_runs(docs)
+    for i, other in pairs.items():
+        assert [(s.start, s.end) for s in got[i].spans] == [(100, 160), (360, 420)][: 1 + (i == 8)] and got[i].partner_ids == [other]
+
+
 def test_near_copies_of_a_passage_are_found(spark):
     rng = random.Random(10)
     base = hp.prose(1, 120, 10**6)
