@@ -28,8 +28,8 @@ class LanguageConfig:
     #: Bound of the training sample: about this many documents of each language, this many words of each.
     sample_docs: int = 600
     sample_words: int = 120
-    #: Languages need this share of the labelled documents, so there are 2000 at most.
-    min_share: float = 0.0005
+    #: Languages need so many labelled documents, however many the others have.
+    min_docs: int = 5
     hidden: int = 16
     #: Longer words are read in parts of so many bytes.
     word_bytes: int = 24
@@ -176,8 +176,7 @@ def fit(docs: DataFrame, cfg: LanguageConfig | None = None) -> Network:
     cfg = cfg or LanguageConfig()
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = known.select("lang").count()
-    rows = counts.where(F.col("n") >= cfg.min_share * total).orderBy("lang").collect()
+    rows = counts.where(F.col("n") >= cfg.min_docs).orderBy("lang").collect()
     if not rows:
         raise ValueError("no labelled documents to learn from")
     languages = [r.lang for r in rows]

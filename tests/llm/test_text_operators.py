@@ -150,6 +150,12 @@ def test_gradients_equal_differences():
         assert abs((up - down) / 2e-2 - g[at]) < 2e-3
 
 
+def test_a_rare_language_is_learned_beside_a_hot_one(spark):
+    hot = spark.range(60_000).selectExpr("id as doc_id", "'abc bca cab' as text", "'xx' as lang")
+    rare = spark.range(60_000, 60_025).selectExpr("id as doc_id", "'uvw vwu' as text", "'yy' as lang")
+    assert li.fit(hot.unionAll(rare), li.LanguageConfig(steps=1, hidden=3, batch=16)).languages == ["xx", "yy"]
+
+
 def test_document_probabilities_pool_all_positions(spark, odd_docs, no_docs):
     texts = {"en": "the water and the house that was there", "de": "der garten und die strasse ist nicht"}
     docs = spark.createDataFrame([(i, f"{texts[k]} {i}", k) for i in range(60) for k in texts], f"{DOCS}, lang string")
