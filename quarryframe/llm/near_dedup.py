@@ -1,15 +1,17 @@
 """MinHash near-dedup with an LSH forest.
 
 Every distinct shingle set gets a pool of min-hash bytes and, from it, one label per tree: the pool's bytes
-in the tree's own order. Each tree's labels are sorted over the cluster, and neighbours with a common prefix become
-candidates. The depth that a prefix needs is local: a direct neighbour needs ``depth`` bytes (and more than chance
-gives at this number of documents), while neighbours further along the order, which only dense regions have, need
-a longer prefix. So a dense region costs as much per document as a sparse one.
-
-Candidates are confirmed on full shingle sets: first each document's best candidate, then, once those links are
-joined into components, all candidates that still lie between two components. Texts travel to
-candidates only, compressed; a document has a bounded number of candidates, so no text is sent to
-very many tasks.
+in the tree's own order. Each tree's labels are sorted over the cluster. Rows with a common prefix of ``depth`` bytes are a
+region, and the depth is adapted to each region: while a region has more pairs than a few for each row, it is split at its next longer common
+prefixes; what is small enough is compared whole. So a dense region costs as much per row as a sparse one.
+
+A split loses pairs that part above it, so each row's coverage is counted: a tree that compares a region at depth d finds a
+pair of the least similarity s with probability s**d. A row shares its partner's region in a part of the trees only, so what counts for all trees is
+the value of the worst sixth of them. Rows with less than ``coverage`` in all go on in rounds with fresh min-hashes and twice the trees. Pairs inside one component count as found, so a group of near copies is closed after its first links.
+Rows that are still open after the last round are joined exactly, on the rarest shingles (prefix filter), with all open rows.
+
+Candidates are confirmed on full shingle sets: first each row's best candidate, then, once those links are
+joined into components, all candidates that still lie between two components. Texts travel to candidates only, compressed.
 """
 
 from __future__ import annotations
@@ -24,8 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryframe.llm._base import as_batch, byte_values, materialize, mix64, need_columns
@@ -40,12 +41,22 @@ class NearConfig:
     pool: int = 128
     trees: int = 24
     label_bytes: int = 16
+    #: The common prefix that a region starts with.
     depth: int = 4
-    #: How far along a tree's order neighbours are looked at, and the bytes more that each step needs.
-    reach: int = 3
-    step_bytes: int = 2
+    #: A region is compared whole if it has at most so many pairs for each of its rows; else it is split.
+    region_pairs: int = 8
+    #: Trees that have to find a pair of the least similarity, in the mean: such a pair is missed with probability exp(-coverage).
+    coverage: float = 9.0
+    #: Rounds for rows without that coverage, each with twice the trees; what is open then is joined exactly.
+    rounds: int = 5
+    #: Rows that a task holds of a region; it bounds memory, and what it cuts apart counts as not covered.
+    buffer_rows: int = 8192
     seed: int = 20_240_117
 
+    @property
+    def least(self) -> float:
+        return self.percent / 100
+
 
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -68,8 +79,8 @@ def normal_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def _pool_constants(cfg: NearConfig) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.RandomState(cfg.seed)
+def _pool_constants(cfg: NearConfig, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.RandomState(cfg.seed + 1000 * turn)
     return rng.randint(0, 1 << 32, (cfg.pool, 1), np.uint32), rng.randint(0, 1 << 32, (cfg.pool, 1), np.uint32) | np.uint32(1)
 
 
@@ -86,117 +97,204 @@ _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("diges
 
 
 def sketches(docs: DataFrame, cfg: NearConfig) -> DataFrame:
-    """Per row: the set's size and digest, its signature, and the words, compressed (null without words)."""
+    """Per row: the set's size and digest (null without words); with the first row of a set in a task its signature and the words, compressed."""
     need_columns(docs, "doc_id", "text")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         constants, packer = _pool_constants(cfg), zstandard.ZstdCompressor(level=3)
-        known: dict[bytes, bytes] = {}  # signatures of sets seen before in this task
+        sent: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, rows = batch.slice(at, 512), []
                 for doc_id, text in zip(part.column(0).to_pylist(), byte_values(part.column(1)), strict=True):
                     words = normal_words(text)
                     s = shingle_set(words, cfg.shingle_words)
-                    if not len(s):
-                        rows.append((doc_id, 0, None, None, None))
+                    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                    if d is None or d in sent:
+                        rows.append((doc_id, len(s), d, None, None))
                         continue
-                    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    if d not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        known[d] = signature(s, constants)
-                    rows.append((doc_id, len(s), d, known[d], packer.compress(b" ".join(words))))
+                    if len(sent) > 1_000_000:
+                        sent.clear()
+                    sent.add(d)
+                    rows.append((doc_id, len(s), d, signature(s, constants), packer.compress(b" ".join(words))))
                 yield as_batch(_SKETCH, [list(c) for c in zip(*rows, strict=True)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, signature binary, packed binary")
 
 
-def _common_prefix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.cumprod(x == y, axis=1).sum(1)
+def least_agreement(width: int, similarity: float, miss: float = 1e-6) -> int:
+    """Bytes of ``width`` in which two signatures of that similarity agree at least, but for a chance of ``miss``."""
+    below = 0.0
+    for k in range(width + 1):
+        below += math.comb(width, k) * similarity**k * (1 - similarity) ** (width - k)
+        if below > miss:
+            return k
+    return width
 
 
-def _neighbours(labels: np.ndarray, digests: np.ndarray, depth: int, cfg: NearConfig) -> list[tuple[bytes, bytes, int]]:
-    """(a, b, prefix) with a < b for rows in label order; the first byte of a label is its tree."""
-    found = []
-    for step in range(1, cfg.reach + 1):
-        same = _common_prefix(labels[:-step], labels[step:]) - 1
-        for i in np.nonzero(same >= depth + (step - 1) * cfg.step_bytes)[0].tolist():
-            a, b = sorted((digests[i], digests[i + step]))
-            if a != b:
-                found.append((a, b, int(same[i])))
-    return found
+def scan(label: np.ndarray, comp: np.ndarray, before: int, after: int, cfg: NearConfig) -> tuple[list[tuple[int, int, int]], list[tuple[int, float, float]], list[tuple[int, int]]]:
+    """Of sorted labels: pairs (row, row, common prefix) to compare; (row, coverage that it lacks in this tree, and what it lacks
+    if its region is whole after all); and (first row, component) of the regions that are cut off, -1 for several components.
 
-
-def candidates(sets: DataFrame, n_sets: int, cfg: NearConfig) -> DataFrame:
-    """Distinct (a, b, votes) over ``sets`` (digest, signature); votes sum the common prefixes over the trees."""
-    rng = np.random.RandomState(cfg.seed + 1)
-    orders = [rng.permutation(cfg.pool)[: cfg.label_bytes] for _ in range(cfg.trees)]
-    depth = max(cfg.depth, math.ceil(math.log2(max(2, n_sets)) / 8) + 1)
-    width = cfg.label_bytes + 1
+    A label's first byte is its tree. ``before`` and ``after`` are the common prefixes of the first and the last row with the rows that lie
+    outside, or the label's whole width where those are not known. Rows of one component need no comparison. A region counts as
+    covered at the depth of its deepest part: a row that left the dense part early would have been split there with its partner.
+    """
+    n, width = len(label), label.shape[1] - 1
+    full, need = cfg.least**cfg.depth, least_agreement(width, cfg.least)
+    common = np.empty(n + 1, np.int64)
+    common[0], common[n] = before, after
+    common[1:n] = np.cumprod(label[1:] == label[:-1], axis=1).sum(1) - 1
+    bounds = np.concatenate([[0], np.nonzero(common[1:n] < cfg.depth)[0] + 1, [n]])
+    odd = np.diff(bounds) > 1
+    odd[0] |= before >= cfg.depth
+    odd[-1] |= after >= cfg.depth
+    pairs: list[tuple[int, int, int]] = []
+    lacks: list[tuple[int, float, float]] = []
+    cut: list[tuple[int, int]] = []
+    for k in np.nonzero(odd)[0].tolist():
+        first, last = int(bounds[k]), int(bounds[k + 1])
+        todo, deepest = [(first, last, cfg.depth)], cfg.depth
+        while todo:
+            lo, hi, depth = todo.pop()
+            m, inside = hi - lo, comp[lo:hi]
+            cross = (m * m - int((np.unique(inside, return_counts=True)[1] ** 2).sum())) // 2 if m > 1 else 0
+            low = int(common[lo + 1 : hi].min()) if cross else 0
+            if cross > cfg.region_pairs * m and low < width:
+                cuts = [lo, *(lo + 1 + np.nonzero(common[lo + 1 : hi] == low)[0]).tolist(), hi]
+                todo += [(a, b, low + 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+                continue
+            deepest = max(deepest, depth)
+            if cross > cfg.region_pairs * m:
+                # equal labels throughout: neighbours only
+                pairs += [(i, i + 1, width) for i in (lo + np.nonzero(inside[1:] != inside[:-1])[0]).tolist()]
+                deepest = width + 1
+            elif cross:
+                x, y = np.triu_indices(m, 1) if m <= 1024 else _cross_pairs(inside)
+                keep = inside[x] != inside[y]
+                x, y = x[keep] + lo, y[keep] + lo
+                alike = (label[x] == label[y]).sum(1) - 1 >= need
+                pairs += [(a, b, int(common[a + 1 : b + 1].min())) for a, b in zip(x[alike].tolist(), y[alike].tolist(), strict=True)]
+        whole = np.full(last - first, deepest)
+        reached = whole
+        if common[first] >= cfg.depth or common[last] >= cfg.depth:
+            cut.append((first, int(comp[first]) if (comp[first:last] == comp[first]).all() else -1))
+            left = np.minimum.accumulate(common[first:last])
+            right = np.minimum.accumulate(common[first + 1 : last + 1][::-1])[::-1]
+            reached = np.maximum(deepest, np.maximum(left, right) + 1)
+        if reached.max() > cfg.depth:
+            lack, least = (full - np.where(x <= width, cfg.least ** x.astype(float), 0.0) for x in (reached, whole))
+            lacks += [(first + i, float(x), float(y)) for i, (x, y) in enumerate(zip(lack, least, strict=True)) if x > 0]
+    return pairs, lacks, cut
+
+
+def _cross_pairs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a region that is large for one large component in it: all rows against those outside that component."""
+    names, counts = np.unique(inside, return_counts=True)
+    few = np.nonzero(inside != names[counts.argmax()])[0]
+    x, y = np.repeat(few, len(inside)), np.tile(np.arange(len(inside)), len(few))
+    keep = (x < y) | (inside[y] == names[counts.argmax()])
+    x, y = x[keep], y[keep]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def forest(rows: DataFrame, cfg: NearConfig, trees: int, width: int, turn: int) -> DataFrame:
+    """Over ``rows`` (node, comp, signature): candidates (a, b, prefix), and (a, lack) with null b for rows that miss coverage.
+
+    A region that a task's edge cuts off lacks less where the table shows it as whole, or all its parts as one component: such rows have
+    ``whole`` and ``region``, and the parts are rows with null a, the component as b, and ``region``.
+    """
+    rng = np.random.RandomState(cfg.seed + 1000 * turn + 1)
+    orders = [rng.permutation(cfg.pool)[:width] for _ in range(trees)]
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, 50_000 // trees)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 n = part.num_rows
-                pool = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, cfg.pool)
-                digests = part.column(0).to_pylist()
-                rows = np.empty((cfg.trees, n, width), np.uint8)
+                pool = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, cfg.pool)
+                labels = np.empty((trees, n, width + 2), np.uint8)
                 for t, order in enumerate(orders):
-                    rows[t, :, 0] = t
-                    rows[t, :, 1:] = pool[:, order]
-                flat = rows.reshape(-1, width).tobytes()
-                labels = [flat[i : i + width] for i in range(0, len(flat), width)]
-                yield pa.RecordBatch.from_arrays([pa.array(labels, pa.binary()), pa.array(digests * cfg.trees, pa.binary())], names=["label", "digest"])
+                    labels[t, :, 0], labels[t, :, 1] = t >> 8, t & 255
+                    labels[t, :, 2:] = pool[:, order]
+                ends = pa.py_buffer((np.arange(trees * n + 1) * (width + 2)).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), trees * n, [None, ends, pa.py_buffer(labels.tobytes())])
+                node, comp = (pa.array(np.tile(part.column(i).to_numpy(), trees)) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([packed, node, comp], names=["label", "node", "comp"])
+
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("prefix", pa.int32()), ("lack", pa.float64()), ("whole", pa.float64()), ("region", pa.binary())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of neighbours (place is null), and the first and last rows of the partition with their place."""
-        out = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("prefix", pa.int32()), ("place", pa.int64())])
-        place, held, seen = TaskContext.get().partitionId() * 2, [], 0
+        label, node, comp = np.zeros((0, width + 2), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        before: int | None = None  # common prefix with the last row that was handled; unknown at the partition's start
+
+        def handle(upto: int, after: int) -> Iterator[pa.RecordBatch]:
+            # the two bytes of the tree's number count as one
+            flat = label[:upto, 1:].copy()
+            flat[:, 0] = np.concatenate([[0], np.cumsum((label[1:upto, :2] != label[: upto - 1, :2]).any(1)) & 255])
+            pairs, lacks, cut = scan(flat, comp[:upto], width if before is None else before, after, cfg)
+            none = lambda n, *kinds: [pa.nulls(n, k) for k in kinds]
+            if pairs:
+                x, y, p = np.array(pairs, np.int64).T
+                a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+                yield as_batch(out, [pa.array(a), pa.array(b), pa.array(p.astype(np.int32)), *none(len(a), pa.float64(), pa.float64(), pa.binary())])
+            name = lambda i: label[i, : cfg.depth + 2].tobytes()
+            if lacks:
+                names = {name(i) for i, _ in cut}
+                keys = [k if (k := name(i)) in names else None for i, _, _ in lacks]
+                yield as_batch(out, [pa.array(node[[i for i, _, _ in lacks]]), *none(len(lacks), pa.int64(), pa.int32()), [x for _, x, _ in lacks], [x for _, _, x in lacks], keys])
+            if cut:
+                n = len(cut)
+                yield as_batch(out, [*none(n, pa.int64()), [c for _, c in cut], *none(n, pa.int32(), pa.float64(), pa.float64()), [name(i) for i, _ in cut]])
+
         for batch in batches:
-            rows = held + list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            if not seen:
-                edge = rows[: cfg.reach]
-                yield as_batch(out, [[r[0] for r in edge], [r[1] for r in edge], list(range(len(edge))), [place] * len(edge)])
-            if len(rows) > 1:
-                labels = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(len(rows), width)
-                pairs = [p for p in _neighbours(labels, [r[1] for r in rows], depth, cfg)]
-                yield as_batch(out, [*([p[i] for p in pairs] for i in range(3)), [None] * len(pairs)])
-            held, seen = rows[-cfg.reach :], seen + batch.num_rows
-        if seen:
-            yield as_batch(out, [[r[0] for r in held], [r[1] for r in held], list(range(len(held))), [place + 1] * len(held)])
-
-    spark = sets.sparkSession
+            if not batch.num_rows:
+                continue
+            more = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, width + 2)
+            label, node, comp = np.concatenate([label, more]), np.concatenate([node, batch.column(1).to_numpy()]), np.concatenate([comp, batch.column(2).to_numpy()])
+            while len(label) > cfg.buffer_rows:
+                same = np.cumprod(label[1:] == label[:-1], axis=1).sum(1) - 2
+                # the last place where a region ends, else the last of the least common prefix
+                places = np.nonzero(same < cfg.depth)[0]
+                places = places if len(places) else np.nonzero(same == same.min())[0]
+                upto = int(places[-1]) + 1
+                after = max(-1, int(same[upto - 1]))
+                yield from handle(upto, after)
+                label, node, comp, before = label[upto:], node[upto:], comp[upto:], after
+        if len(label):
+            yield from handle(len(label), width)
+
+    spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    labels = sets.select("digest", "signature").mapInArrow(plant, "label binary, digest binary")
-    labels = labels.repartitionByRange(parts, "label", "digest").sortWithinPartitions("label", "digest")
-    walked = materialize(labels.mapInArrow(walk, "a binary, b binary, prefix int, place long"), "neighbours")
-    # the ends of the partitions meet on the driver: 2 * reach rows for each partition
-    ends = walked.where("place is not null").orderBy("place", "prefix").toPandas()
-    border: list[tuple[bytes, bytes, int]] = []
-    for p in sorted(set(ends["place"])):
-        if p % 2:  # the last rows of a partition and the first of the next that has rows
-            later = [q for q in ends["place"].unique() if q > p]
-            rows = list(zip(*(map(bytes, ends.loc[ends["place"].isin([p, *later[:1]]), c]) for c in ("a", "b")), strict=True))
-            rows = sorted(set(rows))
-            border += _neighbours(np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(len(rows), width), [r[1] for r in rows], depth, cfg)
-    pairs = walked.where("place is null").select("a", "b", "prefix")
-    if border:
-        pairs = pairs.unionAll(spark.createDataFrame(border, "a binary, b binary, prefix int"))
-    return pairs.groupBy("a", "b").agg(F.sum("prefix").alias("votes"))
+    labels = rows.select("node", "comp", "signature").mapInArrow(plant, "label binary, node long, comp long")
+    labels = labels.repartitionByRange(parts, "label", "node").sortWithinPartitions("label", "node")
+    return materialize(labels.mapInArrow(walk, "a long, b long, prefix int, lack double, whole double, region binary"), "neighbours")
+
+
+def open_rows(walked: DataFrame, before: DataFrame | None, trees: int, cfg: NearConfig) -> DataFrame:
+    """(node, need) of the rows that lack coverage after a round of ``trees``; ``before`` has them for the round before."""
+    parts = walked.where("a is null").groupBy(F.col("region").alias("__region")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("x"), F.max("b").alias("y"))
+    closed = parts.where("n = 1 or x = y and x >= 0").select("__region")
+    lacks = walked.where("lack is not null").join(closed, F.col("region") == F.col("__region"), "left").select("a", F.when(F.col("__region").isNull(), F.col("lack")).otherwise(F.col("whole")).alias("lack"))
+    # a list holds a value for each tree at most
+    lacks = lacks.where("lack > 0").groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_list("lack"), False).alias("lacks"))
+    rows = lacks.withColumn("need", F.lit(cfg.coverage)) if before is None else before.join(lacks, "node", "left")
+    worst = F.coalesce(F.get("lacks", F.lit(trees // 6 - 1)), F.lit(0.0))
+    need = F.col("need") - trees * (cfg.least**cfg.depth - worst)
+    return materialize(rows.select("node", need.alias("need")).where("need > 0"), "open")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; ``texts`` has (digest, packed)."""
-    left = pairs.select("a", "b").join(texts.select(F.col("digest").alias("a"), F.col("packed").alias("packed_a")), "a")
-    full = left.join(texts.select(F.col("digest").alias("b"), F.col("packed").alias("packed_b")), "b")
+    """The pairs (a, b) whose full shingle sets are similar enough; ``texts`` has (node, packed)."""
+    left = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("packed").alias("packed_a")), "a")
+    full = left.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("packed_b")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        held: OrderedDict[bytes, np.ndarray] = OrderedDict()
+        held: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def set_of(key: bytes, packed: bytes) -> np.ndarray:
+        def set_of(key: int, packed: bytes) -> np.ndarray:
             if key not in held:
                 if len(held) >= 64:
                     held.popitem(last=False)
@@ -213,9 +311,66 @@ def confirm(pairs: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= cfg.percent * (len(x) + len(y) - both):
                     good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.binary()), pa.array([b[i] for i in good], pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
+
+    return full.select("a", "b", "packed_a", "packed_b").mapInArrow(compare, "a long, b long")
 
-    return full.select("a", "b", "packed_a", "packed_b").mapInArrow(compare, "a binary, b binary")
+
+def prefix_pairs(texts: DataFrame, cfg: NearConfig) -> DataFrame:
+    """All pairs (a, b) of ``texts`` (node, comp, packed) from two components that may be similar enough.
+
+    Two similar sets share one of their rarest shingles: of a set of n, the n - ceil(least * n) + 1 first by frequency and hash.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for node, comp, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = shingle_set(unpack.decompress(packed).split(), cfg.shingle_words).view(np.int64)
+                n = len(s)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(n, node)), pa.array(np.full(n, comp)), pa.array(np.full(n, n))], names=["token", "node", "comp", "size"])
+
+    cells = materialize(texts.select("node", "comp", "packed").mapInArrow(shingles, "token long, node long, comp long, size long"), "open-shingles")
+    counts = cells.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "token"))
+    first = cells.join(counts, "token").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * cfg.percent / 100) + 1)
+    first = materialize(first.where("n > 1").select("token", "node", "comp", "size"), "open-prefixes")
+    other = first.select("token", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"))
+    # of a shingle's largest component only the other components' rows look for partners
+    sizes = first.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"))
+    looking = first.join(sizes, "token").where(F.col("comp") != F.col("top.comp")).drop("top")
+    near = (F.lit(100) * F.least("size", "size_b") >= F.lit(cfg.percent) * F.greatest("size", "size_b")) & (F.col("comp") != F.col("comp_b"))
+    return looking.join(other, "token").where(near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
+class _Groups:
+    """Components so far: ``names`` has (node, comp) for the nodes that are linked."""
+
+    def __init__(self):
+        self.names: DataFrame | None = None
+
+    def of(self, rows: DataFrame, node: str, name: str) -> DataFrame:
+        """``rows`` with the component of a node as the column ``name``; a node without links is its own."""
+        if self.names is None:
+            return rows.withColumn(name, F.col(node))
+        return rows.join(self.names.select(F.col("node").alias("__n"), F.col("comp").alias("__c")), F.col(node) == F.col("__n"), "left").withColumn(name, F.coalesce("__c", node)).drop("__n", "__c")
+
+    def between(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends lie in two components."""
+        return self.of(self.of(pairs, "a", "comp_a"), "b", "comp_b").where("comp_a <> comp_b")
+
+    def link(self, links: DataFrame) -> None:
+        """Join the components of the ends of ``links`` (a, b)."""
+        bridges = materialize(self.between(links).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "links")
+        if bridges.isEmpty():
+            return
+        over = connected_components(bridges)
+        if self.names is None:
+            self.names = over.select("node", F.col("label").alias("comp"))
+            return
+        moved = self.names.join(over.select(F.col("node").alias("comp"), "label"), "comp", "left").select("node", F.coalesce("label", "comp").alias("comp"))
+        fresh = over.select("node", F.col("label").alias("comp")).join(self.names.select("node"), "node", "left_anti")
+        self.names = materialize(moved.unionAll(fresh), "components")
 
 
 def near_dedup(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
@@ -224,36 +379,68 @@ def near_dedup(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
     Rows with equal shingle sets are linked. A text that is null or has no words has no shingles, is linked with
     nothing and is kept. A null doc_id takes part in links and has, alone, a null component; it is never the
     component's smallest. Rows that share a doc_id are separate; all rows with the smallest doc_id
-    of a component are kept. Other columns are ignored.
+    of a component are kept. Other columns are ignored, whatever their names. An empty table gives an empty table.
     """
     cfg = cfg or NearConfig()
+    spark = docs.sparkSession
     table = materialize(sketches(docs, cfg), "sketches")
-    sets = table.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.first("signature").alias("signature"))
-    sets = materialize(sets, "sets")
-    pairs = materialize(candidates(sets, sets.count(), cfg), "candidates")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    texts = table.where("digest is not null").select("digest", "doc_id", "packed").join(sets.select("digest", "first_doc").join(nodes, "digest", "left_semi"), "digest")
-    texts = texts.where(F.col("doc_id").eqNullSafe(F.col("first_doc"))).dropDuplicates(["digest"]).select("digest", "packed")
-    texts = materialize(texts, "candidate-texts")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("end"), F.struct("votes", "a", "b").alias("pair"))
-    best = ends.groupBy("end").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
-    links = materialize(confirm(best, texts, cfg), "links-best")
-    parts = connected_components(links)
-    rest = pairs.join(best, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        rest = rest.join(parts.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
-    rest = rest.where(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False)))
-    # the second round works on components, each named by its label, or the document itself where it has none
-    more = confirm(rest, texts, cfg)
-    for end in ("a", "b"):
-        more = more.join(parts.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
-    bridges = materialize(more.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct(), "links-rest")
-    over = connected_components(bridges).select(F.col("node").alias("low"), F.col("label").alias("high"))
-    named = sets.select("digest", "first_doc").join(parts, F.col("digest") == F.col("node"), "left")
-    named = named.select("digest", "first_doc", F.coalesce("label", "digest").alias("low")).join(over, "low", "left")
-    named = named.select("digest", "first_doc", F.coalesce("high", "low").alias("name"))
-    component = named.groupBy("name").agg(F.min("first_doc").alias("component_id"))
-    of_set = materialize(named.join(component, "name").select("digest", "component_id"), "components")
+    sets = table.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("signature").alias("signature"))
+    # numbered once, when the table is written
+    sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+
+    def texts_of(nodes: DataFrame, name: str) -> DataFrame:
+        """(node, packed) of the wanted nodes."""
+        wanted = sets.select("digest", "node").join(nodes, "node", "left_semi")
+        found = table.where("packed is not null").select("digest", "packed").join(wanted, "digest")
+        return materialize(found.dropDuplicates(["node"]).select("node", "packed"), name)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    groups = _Groups()
+    walked = forest(sets.select("node", F.col("node").alias("comp"), "signature"), cfg, cfg.trees, cfg.label_bytes, 0)
+    pairs = materialize(walked.where("prefix is not null").groupBy("a", "b").agg(F.sum("prefix").alias("votes")), "candidates")
+    texts = texts_of(ends(pairs), "candidate-texts")
+    both = pairs.select(F.explode(F.array("a", "b")).alias("end"), F.struct("votes", "a", "b").alias("pair"))
+    best = both.groupBy("end").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+    groups.link(materialize(confirm(best, texts, cfg), "links-best"))
+    groups.link(confirm(groups.between(pairs.join(best, ["a", "b"], "left_anti")), texts, cfg))
+
+    if cfg.trees * cfg.least**cfg.depth < cfg.coverage:
+        raise ValueError("the trees of the first round do not give the coverage that is asked for")
+
+    def unsettled(need: DataFrame) -> DataFrame:
+        """The open rows, or none if they are all one component."""
+        rows = materialize(groups.of(need, "node", "comp"), "open")
+        return rows if rows.select("comp").distinct().limit(2).count() > 1 else rows.where("false")
+
+    need = unsettled(open_rows(walked, None, cfg.trees, cfg))
+    for turn in range(1, cfg.rounds + 1):
+        if need.isEmpty():
+            break
+        trees, width = cfg.trees << (turn - 1), min(cfg.pool, cfg.label_bytes * (turn + 1))
+        texts = texts_of(need, "open-texts")
+        signed = texts.mapInArrow(_fresh_signatures(cfg, turn), "node long, signature binary")
+        walked = forest(signed.join(need.select("node", "comp"), "node"), cfg, trees, width, turn)
+        met = materialize(walked.where("prefix is not null").select("a", "b").distinct(), "candidates")
+        groups.link(confirm(groups.between(met), texts, cfg))
+        need = unsettled(open_rows(walked, need.select("node", "need"), trees, cfg))
+    if not need.isEmpty():
+        met = materialize(prefix_pairs(texts_of(need, "open-texts").join(need.select("node", "comp"), "node"), cfg), "candidates")
+        groups.link(confirm(met, texts_of(need, "open-texts"), cfg))
+    named = groups.of(sets.select("digest", "first_doc", "node"), "node", "comp")
+    component = named.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
+    of_set = materialize(named.join(component, "comp").select("digest", "component_id"), "components")
     out = table.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def _fresh_signatures(cfg: NearConfig, turn: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        constants, unpack = _pool_constants(cfg, turn), zstandard.ZstdDecompressor()
+        for batch in batches:
+            rows = [signature(shingle_set(unpack.decompress(p).split(), cfg.shingle_words), constants) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["node", "signature"])
+
+    return sign

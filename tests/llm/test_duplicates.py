@@ -46,6 +46,63 @@ def test_near_dedup_odd_rows(odd_docs, no_docs):
     assert nd.near_dedup(no_docs).count() == 0
 
 
+def star(n, seed=21):
+    """A base text and spokes with three edits each: alike with the base, not with each other."""
+    rng = random.Random(seed)
+    base = hp.prose(seed, 150, 10**6).split()
+    docs = [(0, " ".join(base))]
+    for i in range(1, n + 1):
+        w = list(base)
+        for k in range(3):
+            w[50 * k + rng.randrange(5, 45)] = f"e{rng.randrange(10**9)}"
+        docs.append((i, " ".join(w)))
+    return docs
+
+
+@pytest.mark.parametrize("n,rounds", [(100, 5), (400, 5), (400, 0)])
+def test_a_star_is_one_component(spark, n, rounds):
+    """Spokes meet the base by further orders, and without those by the exact join."""
+    got = nd.near_dedup(spark.createDataFrame(star(n), DOCS), nd.NearConfig(shingle_words=3, percent=85, rounds=rounds)).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+def test_links_inside_a_common_template_are_found(spark):
+    """Texts that share four fifths with all others, and pairs among them that are alike."""
+    rng = random.Random(22)
+    template = hp.prose(22, 168, 10**6).split()
+    docs = []
+    for i in range(600):
+        own = docs[-1][1].split()[-18:] if i % 4 == 3 else [f"o{rng.randrange(10**9)}" for _ in range(18)]
+        docs.append((i, " ".join([*template, *own[:-1], f"z{i}"])))
+    component, _ = hp.near_components(docs, 3, 85)
+    assert 300 < len(set(component.values())) < 600
+    got = nd.near_dedup(spark.createDataFrame(docs, DOCS), nd.NearConfig(shingle_words=3, percent=85)).collect()
+    assert {r.doc_id: r.component_id for r in got} == component
+
+
+def test_scan_covers_or_reports():
+    """Each pair with a common prefix of a row's covered depth is compared or in one component, and no other depth is claimed."""
+    cfg = nd.NearConfig(percent=85, label_bytes=8, depth=2, region_pairs=1)
+    rng = np.random.RandomState(4)
+    for turn in range(60):
+        rows = sorted(map(tuple, np.column_stack([rng.randint(0, 2, 80), rng.randint(0, 1 + turn % 3, (80, 3)), rng.randint(0, 3, (80, 5))]).tolist()))
+        label, comp = np.array(rows, np.uint8), rng.randint(0, 40, 80)
+        lo, hi = 7, 71
+        common = lambda i, j: int(np.cumprod(label[i] == label[j]).sum()) - 1
+        before, after = (8, 8) if turn % 2 else (common(lo - 1, lo), common(hi - 1, hi))
+        pairs, lacks, cut = nd.scan(label[lo:hi], comp[lo:hi], before, after, cfg)
+        met, lack = {(lo + a, lo + b) for a, b, _ in pairs}, {lo + i: x for i, x, _ in lacks}
+        assert len(cut) <= 2 and all(x >= y for _, x, y in lacks)
+        assert len(lack) == len(lacks) and len(met) <= (cfg.region_pairs + 1) * (hi - lo)
+        for i in range(lo, hi):
+            covered = cfg.least**cfg.depth - lack.get(i, 0)
+            for j in range(80):
+                if i == j or covered < 1e-12 or common(i, j) < round(np.log(covered) / np.log(cfg.least)):
+                    continue
+                alike = (label[i] == label[j]).sum() - 1 >= nd.least_agreement(8, cfg.least)
+                assert lo <= j < hi and ((min(i, j), max(i, j)) in met or comp[i] == comp[j] or not alike)
+
+
 def test_signature_estimates_similarity():
     cfg = nd.NearConfig()
     rng = np.random.RandomState(1)
