@@ -7,7 +7,8 @@ prefixes; what is small enough is compared whole. So a dense region costs as muc
 
 A split loses pairs that part above it, so each row's coverage is counted: a tree that compares a region at depth d finds a
 pair of the least similarity s with probability s**d. A row shares its partner's region in a part of the trees only, so what counts for all trees is
-the value of the worst sixth of them. Rows with less than ``coverage`` in all go on in rounds with fresh min-hashes and twice the trees. Pairs inside one component count as found, so a group of near copies is closed after its first links.
+the value of the worst sixth of them. Rows with less than ``coverage`` in all go on in rounds with fresh min-hashes and twice the trees. Pairs inside one component count as found, so a group of near copies is closed after its first links, and a row with too many
+shingles that no other open row has is closed for good.
 Rows that are still open after the last round are joined exactly, on the rarest shingles (prefix filter), with all open rows.
 
 Candidates are confirmed on full shingle sets: first each row's best candidate, then, once those links are
@@ -46,7 +47,7 @@ class NearConfig:
     #: A region is compared whole if it has at most so many pairs for each of its rows; else it is split.
     region_pairs: int = 8
     #: Trees that have to find a pair of the least similarity, in the mean: such a pair is missed with probability exp(-coverage).
-    coverage: float = 9.0
+    coverage: float = 7.0
     #: Rounds for rows without that coverage, each with twice the trees; what is open then is joined exactly.
     rounds: int = 5
     #: Rows that a task holds of a region; it bounds memory, and what it cuts apart counts as not covered.
@@ -122,7 +123,7 @@ def sketches(docs: DataFrame, cfg: NearConfig) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, signature binary, packed binary")
 
 
-def least_agreement(width: int, similarity: float, miss: float = 1e-6) -> int:
+def least_agreement(width: int, similarity: float, miss: float = 1e-4) -> int:
     """Bytes of ``width`` in which two signatures of that similarity agree at least, but for a chance of ``miss``."""
     below = 0.0
     for k in range(width + 1):
@@ -132,12 +133,13 @@ def least_agreement(width: int, similarity: float, miss: float = 1e-6) -> int:
     return width
 
 
-def scan(label: np.ndarray, comp: np.ndarray, before: int, after: int, cfg: NearConfig) -> tuple[list[tuple[int, int, int]], list[tuple[int, float, float]], list[tuple[int, int]]]:
+def scan(label: np.ndarray, comp: np.ndarray, size: np.ndarray, own: np.ndarray, before: int, after: int, cfg: NearConfig) -> tuple[list[tuple[int, int, int]], list[tuple[int, float, float]], list[tuple[int, int]]]:
     """Of sorted labels: pairs (row, row, common prefix) to compare; (row, coverage that it lacks in this tree, and what it lacks
     if its region is whole after all); and (first row, component) of the regions that are cut off, -1 for several components.
 
     A label's first byte is its tree. ``before`` and ``after`` are the common prefixes of the first and the last row with the rows that lie
-    outside, or the label's whole width where those are not known. Rows of one component need no comparison. A region counts as
+    outside, or the label's whole width where those are not known. Rows of one component need no comparison, nor do sets whose sizes and numbers of
+    shingles of their ``own`` bound their similarity too low. A region counts as
     covered at the depth of its deepest part: a row that left the dense part early would have been split there with its partner.
     """
     n, width = len(label), label.shape[1] - 1
@@ -173,7 +175,9 @@ def scan(label: np.ndarray, comp: np.ndarray, before: int, after: int, cfg: Near
                 x, y = np.triu_indices(m, 1) if m <= 1024 else _cross_pairs(inside)
                 keep = inside[x] != inside[y]
                 x, y = x[keep] + lo, y[keep] + lo
+                most = np.minimum(size[x] - own[x], size[y] - own[y])
                 alike = (label[x] == label[y]).sum(1) - 1 >= need
+                alike &= 100 * most >= cfg.percent * (size[x] + size[y] - most)
                 pairs += [(a, b, int(common[a + 1 : b + 1].min())) for a, b in zip(x[alike].tolist(), y[alike].tolist(), strict=True)]
         whole = np.full(last - first, deepest)
         reached = whole
@@ -199,7 +203,7 @@ def _cross_pairs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forest(rows: DataFrame, cfg: NearConfig, trees: int, width: int, turn: int) -> DataFrame:
-    """Over ``rows`` (node, comp, signature): candidates (a, b, prefix), and (a, lack) with null b for rows that miss coverage.
+    """Over ``rows`` (node, comp, size, own, signature): candidates (a, b, prefix), and (a, lack) with null b for rows that miss coverage.
 
     A region that a task's edge cuts off lacks less where the table shows it as whole, or all its parts as one component: such rows have
     ``whole`` and ``region``, and the parts are rows with null a, the component as b, and ``region``.
@@ -213,27 +217,28 @@ def forest(rows: DataFrame, cfg: NearConfig, trees: int, width: int, turn: int)
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 n = part.num_rows
-                pool = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, cfg.pool)
+                pool = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(n, cfg.pool)
                 labels = np.empty((trees, n, width + 2), np.uint8)
                 for t, order in enumerate(orders):
                     labels[t, :, 0], labels[t, :, 1] = t >> 8, t & 255
                     labels[t, :, 2:] = pool[:, order]
                 ends = pa.py_buffer((np.arange(trees * n + 1) * (width + 2)).astype(np.int32))
                 packed = pa.Array.from_buffers(pa.binary(), trees * n, [None, ends, pa.py_buffer(labels.tobytes())])
-                node, comp = (pa.array(np.tile(part.column(i).to_numpy(), trees)) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([packed, node, comp], names=["label", "node", "comp"])
+                rest = (pa.array(np.tile(part.column(i).to_numpy(), trees)) for i in range(4))
+                yield pa.RecordBatch.from_arrays([packed, *rest], names=["label", "node", "comp", "size", "own"])
 
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("prefix", pa.int32()), ("lack", pa.float64()), ("whole", pa.float64()), ("region", pa.binary())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label, node, comp = np.zeros((0, width + 2), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        label, rest = np.zeros((0, width + 2), np.uint8), [np.zeros(0, np.int64)] * 4
         before: int | None = None  # common prefix with the last row that was handled; unknown at the partition's start
 
         def handle(upto: int, after: int) -> Iterator[pa.RecordBatch]:
             # the two bytes of the tree's number count as one
             flat = label[:upto, 1:].copy()
             flat[:, 0] = np.concatenate([[0], np.cumsum((label[1:upto, :2] != label[: upto - 1, :2]).any(1)) & 255])
-            pairs, lacks, cut = scan(flat, comp[:upto], width if before is None else before, after, cfg)
+            node, comp, size, own = (c[:upto] for c in rest)
+            pairs, lacks, cut = scan(flat, comp, size, own, width if before is None else before, after, cfg)
             none = lambda n, *kinds: [pa.nulls(n, k) for k in kinds]
             if pairs:
                 x, y, p = np.array(pairs, np.int64).T
@@ -252,7 +257,7 @@ def forest(rows: DataFrame, cfg: NearConfig, trees: int, width: int, turn: int)
             if not batch.num_rows:
                 continue
             more = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, width + 2)
-            label, node, comp = np.concatenate([label, more]), np.concatenate([node, batch.column(1).to_numpy()]), np.concatenate([comp, batch.column(2).to_numpy()])
+            label, rest = np.concatenate([label, more]), [np.concatenate([c, batch.column(k + 1).to_numpy()]) for k, c in enumerate(rest)]
             while len(label) > cfg.buffer_rows:
                 same = np.cumprod(label[1:] == label[:-1], axis=1).sum(1) - 2
                 # the last place where a region ends, else the last of the least common prefix
@@ -261,22 +266,26 @@ def forest(rows: DataFrame, cfg: NearConfig, trees: int, width: int, turn: int)
                 upto = int(places[-1]) + 1
                 after = max(-1, int(same[upto - 1]))
                 yield from handle(upto, after)
-                label, node, comp, before = label[upto:], node[upto:], comp[upto:], after
+                label, rest, before = label[upto:], [c[upto:] for c in rest], after
         if len(label):
             yield from handle(len(label), width)
 
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    labels = rows.select("node", "comp", "signature").mapInArrow(plant, "label binary, node long, comp long")
+    labels = rows.select("node", "comp", "size", "own", "signature").mapInArrow(plant, "label binary, node long, comp long, size long, own long")
     labels = labels.repartitionByRange(parts, "label", "node").sortWithinPartitions("label", "node")
     return materialize(labels.mapInArrow(walk, "a long, b long, prefix int, lack double, whole double, region binary"), "neighbours")
 
 
 def open_rows(walked: DataFrame, before: DataFrame | None, trees: int, cfg: NearConfig) -> DataFrame:
     """(node, need) of the rows that lack coverage after a round of ``trees``; ``before`` has them for the round before."""
-    parts = walked.where("a is null").groupBy(F.col("region").alias("__region")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("x"), F.max("b").alias("y"))
-    closed = parts.where("n = 1 or x = y and x >= 0").select("__region")
-    lacks = walked.where("lack is not null").join(closed, F.col("region") == F.col("__region"), "left").select("a", F.when(F.col("__region").isNull(), F.col("lack")).otherwise(F.col("whole")).alias("lack"))
+    parts = walked.where("a is null").groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("x"), F.max("b").alias("y"))
+    # a large region has many rows, which are dealt out by a second key
+    deal = F.sequence(F.lit(0), F.lit(63))
+    closed = parts.where("n = 1 or x = y and x >= 0").select(F.col("region").alias("__region"), F.explode(deal).alias("__deal"))
+    lacks = walked.where("lack is not null").withColumn("deal", F.pmod("a", F.lit(64)).cast("int"))
+    lacks = lacks.join(closed, (F.col("region") == F.col("__region")) & (F.col("deal") == F.col("__deal")), "left")
+    lacks = lacks.select("a", F.when(F.col("__region").isNull(), F.col("lack")).otherwise(F.col("whole")).alias("lack"))
     # a list holds a value for each tree at most
     lacks = lacks.where("lack > 0").groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_list("lack"), False).alias("lacks"))
     rows = lacks.withColumn("need", F.lit(cfg.coverage)) if before is None else before.join(lacks, "node", "left")
@@ -316,11 +325,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, cfg: NearConfig) -> DataFrame:
     return full.select("a", "b", "packed_a", "packed_b").mapInArrow(compare, "a long, b long")
 
 
-def prefix_pairs(texts: DataFrame, cfg: NearConfig) -> DataFrame:
-    """All pairs (a, b) of ``texts`` (node, comp, packed) from two components that may be similar enough.
-
-    Two similar sets share one of their rarest shingles: of a set of n, the n - ceil(least * n) + 1 first by frequency and hash.
-    """
+def shingle_rows(texts: DataFrame, cfg: NearConfig) -> DataFrame:
+    """(token, node, comp, size) of ``texts`` (node, comp, packed): one row for each shingle of a text."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -330,7 +336,21 @@ def prefix_pairs(texts: DataFrame, cfg: NearConfig) -> DataFrame:
                 n = len(s)
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(n, node)), pa.array(np.full(n, comp)), pa.array(np.full(n, n))], names=["token", "node", "comp", "size"])
 
-    cells = materialize(texts.select("node", "comp", "packed").mapInArrow(shingles, "token long, node long, comp long, size long"), "open-shingles")
+    return texts.select("node", "comp", "packed").mapInArrow(shingles, "token long, node long, comp long, size long")
+
+
+def own_shingles(texts: DataFrame, cfg: NearConfig) -> DataFrame:
+    """(node, own): how many shingles of a text stand in no other text of ``texts``; texts without any are left out."""
+    own = shingle_rows(texts, cfg).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    return own.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
+def prefix_pairs(texts: DataFrame, cfg: NearConfig) -> DataFrame:
+    """All pairs (a, b) of ``texts`` (node, comp, packed) from two components that may be similar enough.
+
+    Two similar sets share one of their rarest shingles: of a set of n, the n - ceil(least * n) + 1 first by frequency and hash.
+    """
+    cells = materialize(shingle_rows(texts, cfg), "open-shingles")
     counts = cells.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("n", "token"))
     first = cells.join(counts, "token").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * cfg.percent / 100) + 1)
@@ -384,7 +404,7 @@ def near_dedup(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
     cfg = cfg or NearConfig()
     spark = docs.sparkSession
     table = materialize(sketches(docs, cfg), "sketches")
-    sets = table.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("signature").alias("signature"))
+    sets = table.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("signature").alias("signature"), F.max("n_shingles").alias("size"))
     # numbered once, when the table is written
     sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
 
@@ -398,7 +418,7 @@ def near_dedup(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     groups = _Groups()
-    walked = forest(sets.select("node", F.col("node").alias("comp"), "signature"), cfg, cfg.trees, cfg.label_bytes, 0)
+    walked = forest(sets.select("node", F.col("node").alias("comp"), "size", F.lit(0).cast("long").alias("own"), "signature"), cfg, cfg.trees, cfg.label_bytes, 0)
     pairs = materialize(walked.where("prefix is not null").groupBy("a", "b").agg(F.sum("prefix").alias("votes")), "candidates")
     texts = texts_of(ends(pairs), "candidate-texts")
     both = pairs.select(F.explode(F.array("a", "b")).alias("end"), F.struct("votes", "a", "b").alias("pair"))
@@ -409,25 +429,35 @@ def near_dedup(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
     if cfg.trees * cfg.least**cfg.depth < cfg.coverage:
         raise ValueError("the trees of the first round do not give the coverage that is asked for")
 
-    def unsettled(need: DataFrame) -> DataFrame:
-        """The open rows, or none if they are all one component."""
+    def unsettled(need: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """The open rows (node, need, comp) that may have a link to another component, and their texts; None without any."""
         rows = materialize(groups.of(need, "node", "comp"), "open")
-        return rows if rows.select("comp").distinct().limit(2).count() > 1 else rows.where("false")
-
-    need = unsettled(open_rows(walked, None, cfg.trees, cfg))
+        if rows.select("comp").distinct().limit(2).count() < 2:
+            return None
+        texts = texts_of(rows, "open-texts")
+        own = own_shingles(texts.join(rows, "node"), cfg)
+        rows = rows.join(sets.select("node", "size"), "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        # a set with too many shingles of its own is linked with no other open set
+        rows = materialize(rows.where(F.lit(100) * (F.col("size") - F.col("own")) >= F.lit(cfg.percent) * F.col("size")), "open")
+        return (rows, texts) if rows.select("comp").distinct().limit(2).count() > 1 else None
+
+    tested = pairs.select("a", "b")
+    left = unsettled(open_rows(walked, None, cfg.trees, cfg))
     for turn in range(1, cfg.rounds + 1):
-        if need.isEmpty():
+        if left is None:
             break
-        trees, width = cfg.trees << (turn - 1), min(cfg.pool, cfg.label_bytes * (turn + 1))
-        texts = texts_of(need, "open-texts")
+        (need, texts), trees = left, cfg.trees << (turn - 1)
         signed = texts.mapInArrow(_fresh_signatures(cfg, turn), "node long, signature binary")
-        walked = forest(signed.join(need.select("node", "comp"), "node"), cfg, trees, width, turn)
-        met = materialize(walked.where("prefix is not null").select("a", "b").distinct(), "candidates")
+        walked = forest(signed.join(need.drop("need"), "node"), cfg, trees, cfg.pool, turn)
+        met = walked.where("prefix is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        met = materialize(met, "candidates")
+        tested = tested.unionAll(met)
         groups.link(confirm(groups.between(met), texts, cfg))
-        need = unsettled(open_rows(walked, need.select("node", "need"), trees, cfg))
-    if not need.isEmpty():
-        met = materialize(prefix_pairs(texts_of(need, "open-texts").join(need.select("node", "comp"), "node"), cfg), "candidates")
-        groups.link(confirm(met, texts_of(need, "open-texts"), cfg))
+        left = unsettled(open_rows(walked, need.select("node", "need"), trees, cfg))
+    if left is not None:
+        need, texts = left
+        met = materialize(prefix_pairs(texts.join(need.select("node", "comp"), "node"), cfg).join(tested, ["a", "b"], "left_anti"), "candidates")
+        groups.link(confirm(met, texts, cfg))
     named = groups.of(sets.select("digest", "first_doc", "node"), "node", "comp")
     component = named.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
     of_set = materialize(named.join(component, "comp").select("digest", "component_id"), "components")
