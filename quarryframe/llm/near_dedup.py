@@ -245,6 +245,8 @@ def forest(rows: DataFrame, cfg: NearConfig, trees: int, width: int, turn: int)
                 a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
                 yield as_batch(out, [pa.array(a), pa.array(b), pa.array(p.astype(np.int32)), *none(len(a), pa.float64(), pa.float64(), pa.binary())])
             name = lambda i: label[i, : cfg.depth + 2].tobytes()
+            # trees are alike, so as many as the first round has give the account
+            lacks, cut = ([x for x in rows if int(label[x[0], 0]) * 256 + label[x[0], 1] < cfg.trees] for rows in (lacks, cut))
             if lacks:
                 names = {name(i) for i, _ in cut}
                 keys = [k if (k := name(i)) in names else None for i, _, _ in lacks]
@@ -286,10 +288,10 @@ def open_rows(walked: DataFrame, before: DataFrame | None, trees: int, cfg: Near
     lacks = walked.where("lack is not null").withColumn("deal", F.pmod("a", F.lit(64)).cast("int"))
     lacks = lacks.join(closed, (F.col("region") == F.col("__region")) & (F.col("deal") == F.col("__deal")), "left")
     lacks = lacks.select("a", F.when(F.col("__region").isNull(), F.col("lack")).otherwise(F.col("whole")).alias("lack"))
-    # a list holds a value for each tree at most
+    # the list holds a value for each tree of the account at most
     lacks = lacks.where("lack > 0").groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_list("lack"), False).alias("lacks"))
     rows = lacks.withColumn("need", F.lit(cfg.coverage)) if before is None else before.join(lacks, "node", "left")
-    worst = F.coalesce(F.get("lacks", F.lit(trees // 6 - 1)), F.lit(0.0))
+    worst = F.coalesce(F.get("lacks", F.lit(cfg.trees // 6 - 1)), F.lit(0.0))
     need = F.col("need") - trees * (cfg.least**cfg.depth - worst)
     return materialize(rows.select("node", need.alias("need")).where("need > 0"), "open")
 
