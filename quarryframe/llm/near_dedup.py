@@ -39,12 +39,14 @@ class NearConfig:
     shingle_words: int = 5
     #: Linked if 100 * intersection >= percent * union.
     percent: int = 80
+    #: Min-hash bytes of a set in the first round and in each later one; the later labels hold them all and so tell more pairs apart.
     pool: int = 128
+    late_pool: int = 256
     trees: int = 24
     label_bytes: int = 16
     #: The common prefix that a region starts with.
     depth: int = 4
-    #: A region is compared whole if it has at most so many pairs for each of its rows; else it is split.
+    #: A region is compared whole if its labels and sizes leave at most so many pairs for each of its rows; else it is split.
     region_pairs: int = 8
     #: Trees that have to find a pair of the least similarity, in the mean: such a pair is missed with probability exp(-coverage).
     coverage: float = 7.0
@@ -59,6 +61,8 @@ class NearConfig:
         return self.percent / 100
 
 
+#: Regions of so many rows are looked at pair by pair inside a task, to count those that labels and sizes leave over.
+_SMALL = 512
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -82,7 +86,8 @@ def normal_words(text: bytes | None) -> list[bytes]:
 
 def _pool_constants(cfg: NearConfig, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.RandomState(cfg.seed + 1000 * turn)
-    return rng.randint(0, 1 << 32, (cfg.pool, 1), np.uint32), rng.randint(0, 1 << 32, (cfg.pool, 1), np.uint32) | np.uint32(1)
+    size = (cfg.late_pool if turn else cfg.pool, 1)
+    return rng.randint(0, 1 << 32, size, np.uint32), rng.randint(0, 1 << 32, size, np.uint32) | np.uint32(1)
 
 
 def signature(shingles: np.ndarray, constants: tuple[np.ndarray, np.ndarray]) -> bytes:
@@ -161,24 +166,27 @@ def scan(label: np.ndarray, comp: np.ndarray, size: np.ndarray, own: np.ndarray,
             lo, hi, depth = todo.pop()
             m, inside = hi - lo, comp[lo:hi]
             cross = (m * m - int((np.unique(inside, return_counts=True)[1] ** 2).sum())) // 2 if m > 1 else 0
-            low = int(common[lo + 1 : hi].min()) if cross else 0
-            if cross > cfg.region_pairs * m and low < width:
-                cuts = [lo, *(lo + 1 + np.nonzero(common[lo + 1 : hi] == low)[0]).tolist(), hi]
-                todo += [(a, b, low + 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-                continue
-            deepest = max(deepest, depth)
-            if cross > cfg.region_pairs * m:
-                # equal labels throughout: neighbours only
-                pairs += [(i, i + 1, width) for i in (lo + np.nonzero(inside[1:] != inside[:-1])[0]).tolist()]
-                deepest = width + 1
-            elif cross:
-                x, y = np.triu_indices(m, 1) if m <= 1024 else _cross_pairs(inside)
-                keep = inside[x] != inside[y]
+            found: list[tuple[int, int, int]] = []
+            if cross and (m <= _SMALL or cross <= cfg.region_pairs * m):
+                x, y = np.triu_indices(m, 1) if m <= _SMALL else _cross_pairs(inside)
+                most = np.minimum(size[lo + x] - own[lo + x], size[lo + y] - own[lo + y])
+                keep = (inside[x] != inside[y]) & (100 * most >= cfg.percent * (size[lo + x] + size[lo + y] - most))
                 x, y = x[keep] + lo, y[keep] + lo
-                most = np.minimum(size[x] - own[x], size[y] - own[y])
                 alike = (label[x] == label[y]).sum(1) - 1 >= need
-                alike &= 100 * most >= cfg.percent * (size[x] + size[y] - most)
-                pairs += [(a, b, int(common[a + 1 : b + 1].min())) for a, b in zip(x[alike].tolist(), y[alike].tolist(), strict=True)]
+                cross = int(alike.sum())
+                if cross <= cfg.region_pairs * m:
+                    found = [(a, b, int(common[a + 1 : b + 1].min())) for a, b in zip(x[alike].tolist(), y[alike].tolist(), strict=True)]
+            if cross > cfg.region_pairs * m:
+                low = int(common[lo + 1 : hi].min())
+                if low < width:
+                    cuts = [lo, *(lo + 1 + np.nonzero(common[lo + 1 : hi] == low)[0]).tolist(), hi]
+                    todo += [(a, b, low + 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+                    continue
+                # equal labels throughout: neighbours only
+                found = [(i, i + 1, width) for i in (lo + np.nonzero(inside[1:] != inside[:-1])[0]).tolist()]
+                depth = width + 1
+            pairs += found
+            deepest = max(deepest, depth)
         whole = np.full(last - first, deepest)
         reached = whole
         if common[first] >= cfg.depth or common[last] >= cfg.depth:
@@ -209,7 +217,8 @@ def forest(rows: DataFrame, cfg: NearConfig, trees: int, width: int, turn: int)
     ``whole`` and ``region``, and the parts are rows with null a, the component as b, and ``region``.
     """
     rng = np.random.RandomState(cfg.seed + 1000 * turn + 1)
-    orders = [rng.permutation(cfg.pool)[:width] for _ in range(trees)]
+    size = cfg.late_pool if turn else cfg.pool
+    orders = [rng.permutation(size)[:width] for _ in range(trees)]
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, 50_000 // trees)
@@ -217,7 +226,7 @@ def forest(rows: DataFrame, cfg: NearConfig, trees: int, width: int, turn: int)
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 n = part.num_rows
-                pool = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(n, cfg.pool)
+                pool = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(n, size)
                 labels = np.empty((trees, n, width + 2), np.uint8)
                 for t, order in enumerate(orders):
                     labels[t, :, 0], labels[t, :, 1] = t >> 8, t & 255
@@ -450,7 +459,7 @@ def near_dedup(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
             break
         (need, texts), trees = left, cfg.trees << (turn - 1)
         signed = texts.mapInArrow(_fresh_signatures(cfg, turn), "node long, signature binary")
-        walked = forest(signed.join(need.drop("need"), "node"), cfg, trees, cfg.pool, turn)
+        walked = forest(signed.join(need.drop("need"), "node"), cfg, trees, cfg.late_pool, turn)
         met = walked.where("prefix is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         met = materialize(met, "candidates")
         tested = tested.unionAll(met)
