@@ -47,9 +47,11 @@ class NearConfig:
     #: The common prefix that a region starts with.
     depth: int = 4
     #: A region is compared whole if its labels and sizes leave at most so many pairs for each of its rows; else it is split.
-    region_pairs: int = 8
+    region_pairs: int = 6
     #: Trees that have to find a pair of the least similarity, in the mean: such a pair is missed with probability exp(-coverage).
     coverage: float = 7.0
+    #: Trees of a round by which coverage is accounted for.
+    account: int = 12
     #: Rounds for rows without that coverage, each with twice the trees; what is open then is joined exactly.
     rounds: int = 5
     #: Rows that a task holds of a region; it bounds memory, and what it cuts apart counts as not covered.
@@ -300,7 +302,7 @@ def open_rows(walked: DataFrame, before: DataFrame | None, trees: int, cfg: Near
     # the list holds a value for each tree of the account at most
     lacks = lacks.where("lack > 0").groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_list("lack"), False).alias("lacks"))
     rows = lacks.withColumn("need", F.lit(cfg.coverage)) if before is None else before.join(lacks, "node", "left")
-    worst = F.coalesce(F.get("lacks", F.lit(cfg.trees // 6 - 1)), F.lit(0.0))
+    worst = F.coalesce(F.get("lacks", F.lit(cfg.account // 6 - 1)), F.lit(0.0))
     need = F.col("need") - trees * (cfg.least**cfg.depth - worst)
     return materialize(rows.select("node", need.alias("need")).where("need > 0"), "open")
 
