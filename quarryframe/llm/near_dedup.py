@@ -47,9 +47,9 @@ class NearConfig:
     #: The common prefix that a region starts with.
     depth: int = 4
     #: A region is compared whole if its labels and sizes leave at most so many pairs for each of its rows; else it is split.
-    region_pairs: int = 6
+    region_pairs: int = 8
     #: Trees that have to find a pair of the least similarity, in the mean: such a pair is missed with probability exp(-coverage).
-    coverage: float = 7.0
+    coverage: float = 6.0
     #: Trees of a round by which coverage is accounted for.
     account: int = 12
     #: Rounds for rows without that coverage, each with twice the trees; what is open then is joined exactly.
