@@ -177,6 +177,21 @@ def test_pieces_in_other_texts_hide_no_passage(spark):
         assert [(s.start, s.end) for s in got[i].spans] == [(100, 160), (360, 420)][: 1 + (i == 8)] and got[i].partner_ids == [other]
 
 
+def test_a_common_middle_hides_no_passage(spark):
+    """Pairs share an exact run of 53 words, of which the middle 45 stand in 30 other texts each."""
+    rng = random.Random(12)
+    docs = []
+    for g in range(40):
+        passage = hp.prose(5000 + g, 53, 10**6).split()
+        for k in range(32):
+            w = hp.prose(6000 + 40 * g + k, 80, 10**6).split()
+            at = rng.randrange(10, 60)
+            w[at:at] = passage if k < 2 else passage[4:49]
+            docs.append((100 * g + (k + 15) % 32, " ".join(w)))
+    want = hp.repeated_runs(docs)
+    assert len(want) == 80 and {r.doc_id for r in sd.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()} == want
+
+
 def test_near_copies_of_a_passage_are_found(spark):
     rng = random.Random(10)
     base = hp.prose(1, 120, 10**6)
