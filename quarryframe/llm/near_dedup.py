@@ -39,9 +39,10 @@ class NearConfig:
     shingle_words: int = 5
     #: Linked if 100 * intersection >= percent * union.
     percent: int = 80
-    #: Min-hash bytes of a set in the first round and in each later one; the later labels hold them all and so tell more pairs apart.
+    #: Min-hash bytes of a set from which the labels of a round are taken.
     pool: int = 128
-    late_pool: int = 256
+    #: Further min-hashes of the rows of later rounds, one bit of each, by which a task estimates similarities.
+    bits: int = 2048
     trees: int = 24
     label_bytes: int = 16
     #: The common prefix that a region starts with.
@@ -54,6 +55,8 @@ class NearConfig:
     account: int = 12
     #: Rounds for rows without that coverage, each with twice the trees; what is open then is joined exactly.
     rounds: int = 5
+    #: So few open rows are joined exactly at once.
+    exact_rows: int = 500
     #: Rows that a task holds of a region; it bounds memory, and what it cuts apart counts as not covered.
     buffer_rows: int = 8192
     seed: int = 20_240_117
@@ -86,19 +89,31 @@ def normal_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def _pool_constants(cfg: NearConfig, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _pool_constants(cfg: NearConfig, turn: int = 0, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.RandomState(cfg.seed + 1000 * turn)
-    size = (cfg.late_pool if turn else cfg.pool, 1)
-    return rng.randint(0, 1 << 32, size, np.uint32), rng.randint(0, 1 << 32, size, np.uint32) | np.uint32(1)
+    shape = (size or cfg.pool, 1)
+    return rng.randint(0, 1 << 32, shape, np.uint32), rng.randint(0, 1 << 32, shape, np.uint32) | np.uint32(1)
 
 
-def signature(shingles: np.ndarray, constants: tuple[np.ndarray, np.ndarray]) -> bytes:
-    """The low bytes of the pool's min-hashes."""
+def min_hashes(shingles: np.ndarray, constants: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least hash of each function, its bits mixed into the low ones."""
     low = np.full(len(constants[0]), 0xFFFFFFFF, np.uint32)
     base = (shingles >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(base), 2048):
-        np.minimum(low, ((base[at : at + 2048] ^ constants[0]) * constants[1]).min(1), out=low)
-    return (low ^ (low >> np.uint32(16)) ^ (low >> np.uint32(8))).astype(np.uint8).tobytes()
+    step = max(1, (1 << 18) // len(low))
+    for at in range(0, len(base), step):
+        np.minimum(low, ((base[at : at + step] ^ constants[0]) * constants[1]).min(1), out=low)
+    return low ^ (low >> np.uint32(16)) ^ (low >> np.uint32(8))
+
+
+def signature(shingles: np.ndarray, constants: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """The low bytes of the pool's min-hashes."""
+    return min_hashes(shingles, constants).astype(np.uint8).tobytes()
+
+
+def bit_sketch(shingles: np.ndarray, constants: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """One bit of each min-hash; sets of similarity s differ in (1 - s) / 2 of them."""
+    x = min_hashes(shingles, constants)
+    return np.packbits((x ^ (x >> np.uint32(4)) ^ (x >> np.uint32(2)) ^ (x >> np.uint32(1))).astype(np.uint8) & 1).tobytes()
 
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary()), ("packed", pa.binary())])
@@ -132,25 +147,44 @@ def sketches(docs: DataFrame, cfg: NearConfig) -> DataFrame:
 
 def least_agreement(width: int, similarity: float, miss: float = 1e-4) -> int:
     """Bytes of ``width`` in which two signatures of that similarity agree at least, but for a chance of ``miss``."""
-    below = 0.0
+    below, chance = 0.0, width * math.log(1 - similarity)
     for k in range(width + 1):
-        below += math.comb(width, k) * similarity**k * (1 - similarity) ** (width - k)
+        below += math.exp(chance)
+        chance += math.log((width - k) * similarity / ((k + 1) * (1 - similarity))) if k < width else 0
         if below > miss:
             return k
     return width
 
 
-def scan(label: np.ndarray, comp: np.ndarray, size: np.ndarray, own: np.ndarray, before: int, after: int, cfg: NearConfig) -> tuple[list[tuple[int, int, int]], list[tuple[int, float, float]], list[tuple[int, int]]]:
+def scan(label: np.ndarray, comp: np.ndarray, size: np.ndarray, own: np.ndarray, before: int, after: int, cfg: NearConfig, bits: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, float, float]], list[tuple[int, int]]]:
     """Of sorted labels: pairs (row, row, common prefix) to compare; (row, coverage that it lacks in this tree, and what it lacks
     if its region is whole after all); and (first row, component) of the regions that are cut off, -1 for several components.
 
     A label's first byte is its tree. ``before`` and ``after`` are the common prefixes of the first and the last row with the rows that lie
     outside, or the label's whole width where those are not known. Rows of one component need no comparison, nor do sets whose sizes and numbers of
-    shingles of their ``own`` bound their similarity too low. A region counts as
+    shingles of their ``own`` bound their similarity too low, or whose ``bits`` (else labels) tell that they are too unlike. A region counts as
     covered at the depth of its deepest part: a row that left the dense part early would have been split there with its partner.
     """
     n, width = len(label), label.shape[1] - 1
     full, need = cfg.least**cfg.depth, least_agreement(width, cfg.least)
+    differ = 64 * bits.shape[1] - least_agreement(64 * bits.shape[1], (1 + cfg.least) / 2) if bits is not None else 0
+
+    def left_over(lo: int, hi: int, rows: np.ndarray, limit: int) -> tuple[list[tuple[int, int]], int]:
+        """Pairs of a region with one of ``rows`` in them that are worth a comparison, and their number; it stops beyond the limit."""
+        out, total, done = [], 0, np.zeros(hi - lo, bool)
+        for i in rows.tolist():
+            done[i - lo] = True
+            most = np.minimum(size[i] - own[i], size[lo:hi] - own[lo:hi])
+            j = lo + np.nonzero(~done & (comp[lo:hi] != comp[i]) & (100 * most >= cfg.percent * (size[i] + size[lo:hi] - most)))[0]
+            if bits is None:
+                j = j[(label[j] == label[i]).sum(1) - 1 >= need]
+            else:
+                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) <= differ]
+            total += len(j)
+            if total > limit:
+                break
+            out += [(min(i, x), max(i, x)) for x in j.tolist()]
+        return out, total
     common = np.empty(n + 1, np.int64)
     common[0], common[n] = before, after
     common[1:n] = np.cumprod(label[1:] == label[:-1], axis=1).sum(1) - 1
@@ -167,17 +201,15 @@ def scan(label: np.ndarray, comp: np.ndarray, size: np.ndarray, own: np.ndarray,
         while todo:
             lo, hi, depth = todo.pop()
             m, inside = hi - lo, comp[lo:hi]
-            cross = (m * m - int((np.unique(inside, return_counts=True)[1] ** 2).sum())) // 2 if m > 1 else 0
+            names, counts = np.unique(inside, return_counts=True)
+            cross = (m * m - int((counts**2).sum())) // 2
             found: list[tuple[int, int, int]] = []
-            if cross and (m <= _SMALL or cross <= cfg.region_pairs * m):
-                x, y = np.triu_indices(m, 1) if m <= _SMALL else _cross_pairs(inside)
-                most = np.minimum(size[lo + x] - own[lo + x], size[lo + y] - own[lo + y])
-                keep = (inside[x] != inside[y]) & (100 * most >= cfg.percent * (size[lo + x] + size[lo + y] - most))
-                x, y = x[keep] + lo, y[keep] + lo
-                alike = (label[x] == label[y]).sum(1) - 1 >= need
-                cross = int(alike.sum())
+            if cross and (m <= (_SMALL if bits is None else 4 * _SMALL) or cross <= cfg.region_pairs * m):
+                # of the largest component in the region only the other rows look for partners
+                few = lo + np.nonzero(inside != names[counts.argmax()])[0] if len(names) < m else np.arange(lo, hi)
+                met, cross = left_over(lo, hi, few, cfg.region_pairs * m)
                 if cross <= cfg.region_pairs * m:
-                    found = [(a, b, int(common[a + 1 : b + 1].min())) for a, b in zip(x[alike].tolist(), y[alike].tolist(), strict=True)]
+                    found = [(a, b, int(common[a + 1 : b + 1].min())) for a, b in met]
             if cross > cfg.region_pairs * m:
                 low = int(common[lo + 1 : hi].min())
                 if low < width:
@@ -202,25 +234,14 @@ def scan(label: np.ndarray, comp: np.ndarray, size: np.ndarray, own: np.ndarray,
     return pairs, lacks, cut
 
 
-def _cross_pairs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a region that is large for one large component in it: all rows against those outside that component."""
-    names, counts = np.unique(inside, return_counts=True)
-    few = np.nonzero(inside != names[counts.argmax()])[0]
-    x, y = np.repeat(few, len(inside)), np.tile(np.arange(len(inside)), len(few))
-    keep = (x < y) | (inside[y] == names[counts.argmax()])
-    x, y = x[keep], y[keep]
-    return np.minimum(x, y), np.maximum(x, y)
-
-
 def forest(rows: DataFrame, cfg: NearConfig, trees: int, width: int, turn: int) -> DataFrame:
-    """Over ``rows`` (node, comp, size, own, signature): candidates (a, b, prefix), and (a, lack) with null b for rows that miss coverage.
+    """Over ``rows`` (node, comp, size, own, signature, bits; null bits in the first round): candidates (a, b, prefix), and (a, lack) with null b for rows that miss coverage.
 
     A region that a task's edge cuts off lacks less where the table shows it as whole, or all its parts as one component: such rows have
     ``whole`` and ``region``, and the parts are rows with null a, the component as b, and ``region``.
     """
     rng = np.random.RandomState(cfg.seed + 1000 * turn + 1)
-    size = cfg.late_pool if turn else cfg.pool
-    orders = [rng.permutation(size)[:width] for _ in range(trees)]
+    orders = [rng.permutation(cfg.pool)[:width] for _ in range(trees)]
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, 50_000 // trees)
@@ -228,7 +249,7 @@ def forest(rows: DataFrame, cfg: NearConfig, trees: int, width: int, turn: int)
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 n = part.num_rows
-                pool = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(n, size)
+                pool = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(n, cfg.pool)
                 labels = np.empty((trees, n, width + 2), np.uint8)
                 for t, order in enumerate(orders):
                     labels[t, :, 0], labels[t, :, 1] = t >> 8, t & 255
@@ -236,12 +257,14 @@ def forest(rows: DataFrame, cfg: NearConfig, trees: int, width: int, turn: int)
                 ends = pa.py_buffer((np.arange(trees * n + 1) * (width + 2)).astype(np.int32))
                 packed = pa.Array.from_buffers(pa.binary(), trees * n, [None, ends, pa.py_buffer(labels.tobytes())])
                 rest = (pa.array(np.tile(part.column(i).to_numpy(), trees)) for i in range(4))
-                yield pa.RecordBatch.from_arrays([packed, *rest], names=["label", "node", "comp", "size", "own"])
+                bits = pa.concat_arrays([part.column(5)] * trees) if turn else pa.nulls(trees * n, pa.binary())
+                yield pa.RecordBatch.from_arrays([packed, *rest, bits], names=["label", "node", "comp", "size", "own", "bits"])
 
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("prefix", pa.int32()), ("lack", pa.float64()), ("whole", pa.float64()), ("region", pa.binary())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label, rest = np.zeros((0, width + 2), np.uint8), [np.zeros(0, np.int64)] * 4
+        bits = np.zeros((0, cfg.bits // 64), np.uint64) if turn else None
         before: int | None = None  # common prefix with the last row that was handled; unknown at the partition's start
 
         def handle(upto: int, after: int) -> Iterator[pa.RecordBatch]:
@@ -249,7 +272,7 @@ def forest(rows: DataFrame, cfg: NearConfig, trees: int, width: int, turn: int)
             flat = label[:upto, 1:].copy()
             flat[:, 0] = np.concatenate([[0], np.cumsum((label[1:upto, :2] != label[: upto - 1, :2]).any(1)) & 255])
             node, comp, size, own = (c[:upto] for c in rest)
-            pairs, lacks, cut = scan(flat, comp, size, own, width if before is None else before, after, cfg)
+            pairs, lacks, cut = scan(flat, comp, size, own, width if before is None else before, after, cfg, bits)
             none = lambda n, *kinds: [pa.nulls(n, k) for k in kinds]
             if pairs:
                 x, y, p = np.array(pairs, np.int64).T
@@ -271,6 +294,8 @@ def forest(rows: DataFrame, cfg: NearConfig, trees: int, width: int, turn: int)
                 continue
             more = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, width + 2)
             label, rest = np.concatenate([label, more]), [np.concatenate([c, batch.column(k + 1).to_numpy()]) for k, c in enumerate(rest)]
+            if bits is not None:
+                bits = np.concatenate([bits, np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(batch.num_rows, -1)])
             while len(label) > cfg.buffer_rows:
                 same = np.cumprod(label[1:] == label[:-1], axis=1).sum(1) - 2
                 # the last place where a region ends, else the last of the least common prefix
@@ -280,12 +305,13 @@ def forest(rows: DataFrame, cfg: NearConfig, trees: int, width: int, turn: int)
                 after = max(-1, int(same[upto - 1]))
                 yield from handle(upto, after)
                 label, rest, before = label[upto:], [c[upto:] for c in rest], after
+                bits = bits[upto:] if bits is not None else None
         if len(label):
             yield from handle(len(label), width)
 
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    labels = rows.select("node", "comp", "size", "own", "signature").mapInArrow(plant, "label binary, node long, comp long, size long, own long")
+    labels = rows.select("node", "comp", "size", "own", "signature", "bits").mapInArrow(plant, "label binary, node long, comp long, size long, own long, bits binary")
     labels = labels.repartitionByRange(parts, "label", "node").sortWithinPartitions("label", "node")
     return materialize(labels.mapInArrow(walk, "a long, b long, prefix int, lack double, whole double, region binary"), "neighbours")
 
@@ -431,7 +457,7 @@ def near_dedup(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     groups = _Groups()
-    walked = forest(sets.select("node", F.col("node").alias("comp"), "size", F.lit(0).cast("long").alias("own"), "signature"), cfg, cfg.trees, cfg.label_bytes, 0)
+    walked = forest(sets.select("node", F.col("node").alias("comp"), "size", F.lit(0).cast("long").alias("own"), "signature", F.lit(None).cast("binary").alias("bits")), cfg, cfg.trees, cfg.label_bytes, 0)
     pairs = materialize(walked.where("prefix is not null").groupBy("a", "b").agg(F.sum("prefix").alias("votes")), "candidates")
     texts = texts_of(ends(pairs), "candidate-texts")
     both = pairs.select(F.explode(F.array("a", "b")).alias("end"), F.struct("votes", "a", "b").alias("pair"))
@@ -457,11 +483,11 @@ def near_dedup(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
     tested = pairs.select("a", "b")
     left = unsettled(open_rows(walked, None, cfg.trees, cfg))
     for turn in range(1, cfg.rounds + 1):
-        if left is None:
+        if left is None or left[0].limit(cfg.exact_rows + 1).count() <= cfg.exact_rows:
             break
         (need, texts), trees = left, cfg.trees << (turn - 1)
-        signed = texts.mapInArrow(_fresh_signatures(cfg, turn), "node long, signature binary")
-        walked = forest(signed.join(need.drop("need"), "node"), cfg, trees, cfg.late_pool, turn)
+        signed = texts.mapInArrow(_fresh_signatures(cfg, turn), "node long, signature binary, bits binary")
+        walked = forest(signed.join(need.drop("need"), "node"), cfg, trees, cfg.pool // 2, turn)
         met = walked.where("prefix is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         met = materialize(met, "candidates")
         tested = tested.unionAll(met)
@@ -481,9 +507,10 @@ def near_dedup(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
 
 def _fresh_signatures(cfg: NearConfig, turn: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        constants, unpack = _pool_constants(cfg, turn), zstandard.ZstdDecompressor()
+        constants, more, unpack = _pool_constants(cfg, turn), _pool_constants(cfg, -turn, cfg.bits), zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = [signature(shingle_set(unpack.decompress(p).split(), cfg.shingle_words), constants) for p in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["node", "signature"])
+            sets = [shingle_set(unpack.decompress(p).split(), cfg.shingle_words) for p in batch.column(1).to_pylist()]
+            columns = [pa.array([f(s, c) for s in sets], pa.binary()) for f, c in ((signature, constants), (bit_sketch, more))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["node", "signature", "bits"])
 
     return sign

@@ -62,7 +62,7 @@ def star(n, seed=21):
 @pytest.mark.parametrize("n,rounds", [(100, 5), (400, 5), (400, 0)])
 def test_a_star_is_one_component(spark, n, rounds):
     """Spokes meet the base by further orders, and without those by the exact join."""
-    got = nd.near_dedup(spark.createDataFrame(star(n), DOCS), nd.NearConfig(shingle_words=3, percent=85, rounds=rounds)).collect()
+    got = nd.near_dedup(spark.createDataFrame(star(n), DOCS), nd.NearConfig(shingle_words=3, percent=85, rounds=rounds, exact_rows=0)).collect()
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
