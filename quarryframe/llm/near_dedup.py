@@ -53,7 +53,7 @@ class NearConfig:
     late_pairs: int = 8
     #: Trees that have to find a pair of the least similarity, in the mean: such a pair is missed with probability exp(-coverage).
     coverage: float = 6.0
-    #: Trees of a round by which coverage is accounted for.
+    #: Trees of the first later round, and those of each round by which coverage is accounted for.
     account: int = 12
     #: Rounds for rows without that coverage, each with twice the trees; what is open then is joined exactly.
     rounds: int = 5
@@ -487,7 +487,7 @@ def near_dedup(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
     for turn in range(1, cfg.rounds + 1):
         if left is None or left[0].limit(cfg.exact_rows + 1).count() <= cfg.exact_rows:
             break
-        (need, texts), trees = left, cfg.trees << (turn - 1)
+        (need, texts), trees = left, cfg.account << (turn - 1)
         signed = texts.mapInArrow(_fresh_signatures(cfg, turn), "node long, signature binary, bits binary")
         walked = forest(signed.join(need.drop("need"), "node"), replace(cfg, region_pairs=cfg.late_pairs), trees, cfg.pool // 2, turn)
         met = walked.where("prefix is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")

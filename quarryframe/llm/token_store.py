@@ -2,7 +2,7 @@
 
 Layout of a store (a folder that Spark can read and write):
 
-``recipes/``   one row per document in ascending doc_id order over numbered files: doc_id, n_tokens,
+``recipes/``   one row per document in ascending doc_id order over numbered files: row number, doc_id, n_tokens,
                the chunks as (digest, n) in order, and the Merkle root over the chunk digests
 ``chunks/``    one row per distinct chunk: digest, n, and the ids as little-endian unsigned integers of
                16 bits where all are below 65536, else of 32 bits
@@ -49,8 +49,8 @@ class PieceEncoder:
     """Byte-level BPE ids of whole texts through the tokenizers library, remembering repeated pieces.
 
     The pre-tokenizer always breaks before a single space between two other characters that are no white
-    space, so a text is encoded piece by piece with the ids of the whole. Special tokens' strings
-    inside a text are ordinary text.
+    space, so a text is encoded piece by piece with the ids of the whole. A text with the string of an added token, at which the
+    library splits first, is encoded as a whole.
     """
 
     def __init__(self, path: str, cache_pieces: int = 1_500_000):
@@ -60,7 +60,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit = cache_pieces
         self.whole: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}  # by what follows the space
@@ -93,6 +93,9 @@ class PieceEncoder:
             self.rest.clear()
         known, single, todo, missing, strange = [], self.rest.get, [], set(), set()
         for i, text in enumerate(texts):
+            if any(a in text for a in self.added):
+                known.append([np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()])
+                continue
             parts = text.split(" ")
             odd = []
             if "" in parts or " \n" in text or "\n " in text or self.rare_space.search(text):
@@ -143,24 +146,29 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def cut_points(ids: np.ndarray, cfg: StoreConfig, powers: tuple[np.ndarray, np.ndarray]) -> list[int]:
-    """Ends of the chunks of one id stream; the last is its length, and an empty stream has none."""
-    n = len(ids)
-    if not n:
-        return []
-    total = np.cumsum(mix64(ids) * powers[0][:n])
+def cut_points(flat: np.ndarray, sizes: list[int], cfg: StoreConfig, powers: tuple[np.ndarray, np.ndarray]) -> list[list[int]]:
+    """Ends of the chunks of each of the id streams that ``flat`` holds one after the other; an empty stream has none.
+
+    A cut depends on the last WINDOW ids only, and these lie in one stream.
+    """
+    n = len(flat)
+    total = np.cumsum(mix64(flat) * powers[0][:n])
     total[WINDOW:] -= total[:-WINDOW].copy()
-    rolled = total * powers[1][:n]
-    marks = (np.nonzero((rolled >> np.uint64(64 - cfg.cut_bits)) == 0)[0] + 1).tolist()
-    ends, last = [], 0
-    for m in [*marks, n]:
-        while m - last > cfg.max_chunk:
-            last += cfg.max_chunk
-            ends.append(last)
-        if m - last >= cfg.min_chunk or m == n and m > last:
-            ends.append(m)
-            last = m
-    return ends
+    marks = np.nonzero(((total * powers[1][:n]) >> np.uint64(64 - cfg.cut_bits)) == 0)[0] + 1
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    first = np.searchsorted(marks, starts + WINDOW)
+    marks, out = marks.tolist(), []
+    for k, size in enumerate(sizes):
+        base, ends, last = int(starts[k]), [], 0
+        for m in [*(m - base for m in marks[first[k] : first[k + 1]] if m - base < size), size]:
+            while m - last > cfg.max_chunk:
+                last += cfg.max_chunk
+                ends.append(last)
+            if m - last >= cfg.min_chunk or m == size and m > last:
+                ends.append(m)
+                last = m
+        out.append(ends)
+    return out
 
 
 def digest(payload: bytes) -> bytes:
@@ -214,18 +222,19 @@ def write_store(docs: DataFrame, path: str, cfg: StoreConfig) -> None:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(cfg.tokenizer_path, cfg.cache_pieces)
-        powers = (_powers(_BASE, 1 << 14), _powers(_INVERSE, 1 << 14))
+        powers = (_powers(_BASE, 1 << 18), _powers(_INVERSE, 1 << 18))
         sent: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = []
-                for doc_id, stream in zip(part.column(0).to_pylist(), encoder([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids = np.frombuffer(stream + end, "<u4")
-                    if len(ids) > len(powers[0]):
-                        powers = (_powers(_BASE, 2 * len(ids)), _powers(_INVERSE, 2 * len(ids)))
+                streams = [np.frombuffer(x + end, "<u4") for x in encoder([t or "" for t in part.column(1).to_pylist()])]
+                sizes = list(map(len, streams))
+                if sum(sizes) > len(powers[0]):
+                    powers = (_powers(_BASE, 2 * sum(sizes)), _powers(_INVERSE, 2 * sum(sizes)))
+                for doc_id, ids, ends in zip(part.column(0).to_pylist(), streams, cut_points(np.concatenate(streams), sizes, cfg, powers), strict=True):
                     chunks, fresh, last = [], [], 0
-                    for stop in cut_points(ids, cfg, powers):
+                    for stop in ends:
                         payload = _pack(ids[last:stop])
                         chunks.append((digest(payload), stop - last))
                         if chunks[-1][0] not in sent:
@@ -246,20 +255,22 @@ def write_store(docs: DataFrame, path: str, cfg: StoreConfig) -> None:
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = staged.select("doc_id", "n_tokens", F.arrays_zip(F.col("digests").alias("digest"), F.col("sizes").alias("n")).alias("chunks"), "root")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    recipes = recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "root")
+    recipes = recipes.repartitionByRange(parts, "doc_id", "root").sortWithinPartitions("doc_id", "root")
+    # numbered once, when the files are written
+    recipes = recipes.withColumn("row", F.monotonically_increasing_id())
     recipes.write.option("compression", "zstd").option("maxRecordsPerFile", cfg.docs_per_file).parquet(f"{path}/recipes")
     drop_path(spark, staged_at)
     _manifest(_numbered(spark, path)).write.parquet(f"{path}/manifest")
 
 
-_RECIPES_SQL = "doc_id long, n_tokens long, chunks array<struct<digest: binary, n: int>>, root binary"
+_RECIPES_SQL = "doc_id long, n_tokens long, chunks array<struct<digest: binary, n: int>>, root binary, row long"
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes with their file's number; ``at`` is the row's place in the order of reading."""
+    """Recipes with their file's number; ``row`` grows in the order of reading."""
     name = F.input_file_name()
     number = F.regexp_extract(name, r"part-(\d+)-", 1).cast("long") * 1_000_000 + F.coalesce(F.regexp_extract(name, r"-c(\d+)\.", 1).cast("long"), F.lit(0))
-    return spark.read.schema(_RECIPES_SQL).parquet(f"{path}/recipes").withColumns({"file_no": number, "row": F.monotonically_increasing_id()})
+    return spark.read.schema(_RECIPES_SQL).parquet(f"{path}/recipes").withColumn("file_no", number)
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
