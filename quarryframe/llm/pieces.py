@@ -6,8 +6,9 @@ pair has weight minus infinity, and the best path is the encoding. A giant docum
 a cut is the piece that reaches or crosses it; a chunk yields the max-plus transfer matrix from the states at its
 start to those at its end. As all weights are 0 or minus infinity, a row of it is a bit set. Matrices
 combine associatively; the product gives each chunk's entry and exit state, and each chunk then
-traces its own pieces back, independently of the others. A cut in front of a space, which no piece
-crosses, has one state only, and such a chunk needs no matrix.
+traces its own pieces back, independently of the others. No piece crosses a place in front of a space, so
+such a place has one state only: a chunk's matrix is the product of those of its head (up to the first such place) and of its tail (from the last one),
+and the words between them are encoded by the library.
 """
 
 from __future__ import annotations
@@ -106,13 +107,48 @@ def clean_cut(text: str, cut: int) -> bool:
 
 
 def chunk_cuts(text: str, size: int) -> list[int]:
-    """Places where a spaced text is cut: in front of a space in the last half of a chunk, else after ``size`` characters."""
-    cuts, at = [0], 0
-    while len(text) - at > size:
-        space = text.rfind(SPACE, at + size // 2, at + size)
-        at = space if space > at else at + size
-        cuts.append(at)
-    return cuts
+    """Places where a text is cut: after each ``size`` characters, wherever that is."""
+    return list(range(0, len(text), size)) or [0]
+
+
+def clean_span(text: str, begin: int, end: int, first: bool, last: bool) -> tuple[int, int] | None:
+    """The first and the last clean cut of a chunk, its ends included; None without one."""
+    low = begin if first or clean_cut(text, begin) else next((i for i in range(begin + 1, end) if clean_cut(text, i)), None)
+    high = end if last or clean_cut(text, end) else next((i for i in range(end - 1, begin, -1) if clean_cut(text, i)), None)
+    if low is None:
+        low = high
+    if high is None:
+        high = low
+    return None if low is None else (low, high)
+
+
+def chunk_matrix(model: Model, text: str, begin: int, end: int, first: bool, last: bool) -> tuple[list[tuple[str, int]], list[tuple[str, int]], list[int]]:
+    """Entry states, exit states and the bit set of entries that reach each exit of a chunk."""
+    entries = [CLEAN] if first else states_at(model, text, begin)
+    span = clean_span(text, begin, end, first, last)
+    if span is None:
+        return entries, *transfer(model, text, begin, end, entries, last)[:2]
+    head = _either(transfer(model, text, begin, span[0], entries, last and span[0] == end)[1]) if span[0] > begin else _either([1 << k for k in range(len(entries))])
+    exits = transfer(model, text, span[1], end, [CLEAN], last)[0] if span[1] < end else [CLEAN]
+    return entries, exits, [head] * len(exits)
+
+
+def chunk_ids(model: Model, text: str, begin: int, end: int, first: bool, last: bool, entry: int, exit_state: tuple[str, int], words) -> list[int]:
+    """The ids of the pieces that start in a chunk, traced back from its exit state; ``words`` encodes a part between clean cuts."""
+    entries = [CLEAN] if first else states_at(model, text, begin)
+    span = clean_span(text, begin, end, first, last)
+    if span is None:
+        return model.ids_of(trace(model, transfer(model, text, begin, end, entries, last)[2], begin, end, entry, exit_state))
+    out: list[int] = []
+    if span[0] > begin:
+        exits, bits, reach = transfer(model, text, begin, span[0], entries, last and span[0] == end)
+        reached = next(s for s, b in zip(exits, bits, strict=True) if b >> entry & 1)
+        out += model.ids_of(trace(model, reach, begin, span[0], entry, reached))
+    if span[1] > span[0]:
+        out += words(text[span[0] : span[1]])
+    if span[1] < end:
+        out += model.ids_of(trace(model, transfer(model, text, span[1], end, [CLEAN], last)[2], span[1], end, 0, exit_state))
+    return out
 
 
 def states_at(model: Model, text: str, cut: int) -> list[tuple[str, int]]:
@@ -190,16 +226,11 @@ def combine(left: list[int], right: list[int]) -> list[int]:
 def encode_scan(model: Model, text: str, chunk_chars: int) -> list[int]:
     """Ids of one text by the scan, chunk after chunk on one machine; the reference of the distributed form."""
     text = spaced(text)
-    cuts = [*chunk_cuts(text, chunk_chars), len(text)] if text else []
-    chunks = []
-    for begin, end in zip(cuts, cuts[1:], strict=False):
-        entries = states_at(model, text, begin)
-        chunks.append((begin, end, entries, *transfer(model, text, begin, end, entries, end == len(text))))
-    states = select_states([(c[2], c[3], c[4], c[1] == len(text)) for c in chunks])
-    out: list[int] = []
-    for (begin, end, _, _, _, reach), (entry, exit_state) in zip(chunks, states, strict=True):
-        out += model.ids_of(trace(model, reach, begin, end, entry, exit_state))
-    return out
+    ends = [*chunk_cuts(text, chunk_chars)[1:], len(text)] if text else []
+    chunks = [(a, b, a == 0, b == len(text)) for a, b in zip([0, *ends], ends, strict=False)]
+    states = select_states([(*chunk_matrix(model, text, *c), c[3]) for c in chunks])
+    words = lambda part: model.library.encode(part[1:].replace(SPACE, " ")) if len(part) > 1 else [model.ids[SPACE]]
+    return [i for c, s in zip(chunks, states, strict=True) for i in chunk_ids(model, text, *c, *s, words)]
 
 
 def select_states(chunks: list[tuple[list, list, list[int], bool]]) -> list[tuple[int, tuple[str, int]]]:
@@ -323,11 +354,10 @@ def encode_documents(docs: DataFrame, cfg: PieceConfig, keep_ids: bool = True) -
 _CHUNK = pa.schema([("no", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("last", pa.bool_()), ("part", pa.string())])
 
 
-def _encode_giants(docs: DataFrame, cfg: PieceConfig, sql: str, at: int, names: list[str], kinds: list, keep_ids: bool) -> DataFrame:
-    giants = materialize(docs, "giant-documents").withColumn("__row", F.monotonically_increasing_id())
+def cut_giants(giants: DataFrame, cfg: PieceConfig) -> DataFrame:
+    """(row, no, begin, end, last, part): the chunks of ``giants`` (row, text) with as much text around them as pieces can reach."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks with as much text around them as pieces can reach; ``begin`` and ``end`` count in that part."""
         around = Model(cfg.model_path).longest
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -340,28 +370,28 @@ def _encode_giants(docs: DataFrame, cfg: PieceConfig, sql: str, at: int, names:
                 columns = as_batch(_CHUNK, [list(c) for c in zip(*rows, strict=True)]).columns
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(rows), pa.int64()), *columns], names=["row", *_CHUNK.names])
 
-    chunk_sql = "row long, no long, begin int, end int, last boolean, part string"
-    chunks = materialize(giants.select("__row", "text").mapInArrow(cut, chunk_sql).repartition("row", "no"), "chunks")
+    return giants.mapInArrow(cut, "row long, no long, begin int, end int, last boolean, part string")
 
-    def entries_of(model: Model, no: int, begin: int, part: str) -> list[tuple[str, int]]:
-        return states_at(model, part, begin) if no else [CLEAN]
 
-    def whole_words(part: str, begin: int, end: int, no: int, last: bool) -> bool:
-        return (no == 0 or clean_cut(part, begin)) and (last or clean_cut(part, end))
+def chunk_matrices(chunks: DataFrame, cfg: PieceConfig) -> DataFrame:
+    """(row, no, n_entries, matrix) of each chunk of ``cut_giants``."""
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(cfg.model_path)
-        out = pa.schema([("row", pa.int64()), ("no", pa.int64()), ("matrix", pa.string())])
+        out = pa.schema([("row", pa.int64()), ("no", pa.int64()), ("n_entries", pa.int32()), ("matrix", pa.string())])
         for batch in batches:
             rows = []
             for row, no, begin, end, last, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if whole_words(part, begin, end, no, last):
-                    rows.append((row, no, repr(([CLEAN], [CLEAN], [1], last))))
-                    continue
-                entries = entries_of(model, no, begin, part)
-                exits, bits, _ = transfer(model, part, begin, end, entries, last)
-                rows.append((row, no, repr((entries, exits, bits, last))))
-            yield as_batch(out, [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []])
+                entries, exits, bits = chunk_matrix(model, part, begin, end, no == 0, last)
+                rows.append((row, no, len(entries), repr((entries, exits, bits, last))))
+            yield as_batch(out, [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 4)
+
+    return chunks.select("row", "no", "begin", "end", "last", "part").mapInArrow(matrix, "row long, no long, n_entries int, matrix string")
+
+
+def _encode_giants(docs: DataFrame, cfg: PieceConfig, sql: str, at: int, names: list[str], kinds: list, keep_ids: bool) -> DataFrame:
+    giants = materialize(docs, "giant-documents").withColumn("__row", F.monotonically_increasing_id())
+    chunks = materialize(cut_giants(giants.select("__row", "text"), cfg).repartition("row", "no"), "chunks")
 
     def choose(key, table):
         from ast import literal_eval
@@ -370,8 +400,7 @@ def _encode_giants(docs: DataFrame, cfg: PieceConfig, sql: str, at: int, names:
         states = select_states([literal_eval(m) for m in table["matrix"].to_pylist()])
         return pa.table({"row": table["row"], "no": table["no"], "state": pa.array([repr(s) for s in states], pa.string())})
 
-    matrices = chunks.mapInArrow(matrix, "row long, no long, matrix string")
-    states = matrices.groupBy("row").applyInArrow(choose, "row long, no long, state string")
+    states = chunk_matrices(chunks, cfg).drop("n_entries").groupBy("row").applyInArrow(choose, "row long, no long, state string")
     placed = chunks.join(states, ["row", "no"])
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,15 +408,12 @@ def _encode_giants(docs: DataFrame, cfg: PieceConfig, sql: str, at: int, names:
 
         model = Model(cfg.model_path)
         encoder = WordEncoder(model, cfg.cache_words)
+        words = lambda part: np.frombuffer(encoder([part[1:].replace(SPACE, " ")])[0], "<u4").tolist() if len(part) > 1 else [model.ids[SPACE]]
         for batch in batches:
             rows, nos, ids = [], [], []
             for row, no, begin, end, last, part, state in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if whole_words(part, begin, end, no, last):
-                    ids.append(encoder([part[begin + 1 : end].replace(SPACE, " ")])[0] if end - begin > 1 else np.array([model.ids[SPACE]], "<u4").tobytes())
-                else:
-                    entry, exit_state = literal_eval(state)
-                    reach = transfer(model, part, begin, end, entries_of(model, no, begin, part), last)[2]
-                    ids.append(np.array(model.ids_of(trace(model, reach, begin, end, entry, exit_state)), "<u4").tobytes())
+                entry, exit_state = literal_eval(state)
+                ids.append(np.array(chunk_ids(model, part, begin, end, no == 0, last, entry, exit_state, words), "<u4").tobytes())
                 rows.append(row)
                 nos.append(no)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(nos, pa.int64()), pa.array(ids, pa.binary())], names=["row", "no", "ids"])

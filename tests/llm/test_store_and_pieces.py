@@ -116,6 +116,16 @@ def test_transfer_matrices_combine_associatively(model):
     assert left == right == [1]
 
 
+def test_giants_are_cut_anywhere_and_have_matrices(spark, model):
+    cfg = pc.PieceConfig(PIECES, chunk_chars=500)
+    texts = [prose(k, 900) for k in range(3)] + ["x" * 1700, "antidisestablishment" * 90, "a  b   c " * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    matrices = pc.chunk_matrices(pc.cut_giants(docs, cfg), cfg).collect()
+    assert len(matrices) == sum(-(-(len(t) + 1) // 500) for t in texts) and sum(r.n_entries > 1 for r in matrices) > len(matrices) / 2
+    got = {r.row: r.ids for r in pc.encode_documents(docs, cfg).collect()}
+    assert got == {k: model.library.encode(t) for k, t in enumerate(texts)}
+
+
 def test_documents_small_and_giant(spark, odd_docs, no_docs, model):
     cfg = pc.PieceConfig(PIECES, chunk_chars=3000)
     rows = pc.encode_documents(odd_docs, cfg).collect()
