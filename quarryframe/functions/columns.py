@@ -13,6 +13,35 @@ GROUPS = {
 }
 GROUP_RANGE = {"vehicle": 45.0, "vru": 30.0, "static": 15.0}
 CLASS_RANGE = {"bicycle": 45.0, "motorcycle": 45.0}
+# Annotation class to detection class; classes that are not named here have none.
+DETECTION_CLASS = {
+    "human.pedestrian.adult": "pedestrian",
+    "human.pedestrian.child": "pedestrian",
+    "human.pedestrian.construction_worker": "pedestrian",
+    "human.pedestrian.police_officer": "pedestrian",
+    "movable_object.barrier": "barrier",
+    "movable_object.trafficcone": "traffic_cone",
+    "vehicle.bicycle": "bicycle",
+    "vehicle.bus.bendy": "bus",
+    "vehicle.bus.rigid": "bus",
+    "vehicle.car": "car",
+    "vehicle.construction": "construction_vehicle",
+    "vehicle.motorcycle": "motorcycle",
+    "vehicle.trailer": "trailer",
+    "vehicle.truck": "truck",
+}
+NO_DETECTION_CLASS = (
+    "human.pedestrian.wheelchair",
+    "human.pedestrian.stroller",
+    "human.pedestrian.personal_mobility",
+    "movable_object.pushable_pullable",
+    "movable_object.debris",
+    "static_object.bicycle_rack",
+    "vehicle.emergency.ambulance",
+    "vehicle.emergency.police",
+)
+# Stop words of keyword statistics.
+STOP_WORDS = "a an and are as at be by for from has have in into is it its of on or that the their there this to with with-area without".split()
 ACTIONS = ("ACCELERATE", "DECELERATE", "KEEP_SPEED", "STOP")
 MOTIONS = ("crossing", "oncoming", "same_direction", "stationary")
 
@@ -86,7 +115,7 @@ def grid_position(cx: Column, cy: Column, width: Column, height: Column) -> Colu
     """Coarse place of a point in a 3 x 3 grid."""
     col = F.least(F.lit(2), F.floor(cx / (width / 3)).cast("int"))
     row = F.least(F.lit(2), F.floor(cy / (height / 3)).cast("int"))
-    return F.concat_ws("-", F.element_at(F.array(*map(F.lit, ("top", "middle", "bottom"))), row + 1), F.element_at(F.array(*map(F.lit, ("left", "center", "right"))), col + 1))
+    return F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ("top", "middle", "bottom"))), row + 1), F.element_at(F.array(*map(F.lit, ("left", "center", "right"))), col + 1))
 
 
 # -- labels ----------------------------------------------------------------------------------------------------
@@ -108,7 +137,7 @@ def speed_action(v0: Column, speeds: Column, delta: float = 0.15, stop: float =
     low, high = F.array_min(speeds), F.array_max(speeds)
     return (
         F.when(F.size(speeds) == 0, "KEEP_SPEED")
-        .when((low <= stop) & (v0 > stop), "STOP")
+        .when(low < stop, "STOP")
         .when(low < v0 * (1 - delta), "DECELERATE")
         .when(high > v0 * (1 + delta), "ACCELERATE")
         .otherwise("KEEP_SPEED")
@@ -143,7 +172,9 @@ def keywords(x: Column) -> Column:
 
 
 def fenced_body(x: Column) -> Column:
-    return F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    """What a text that is one fence holds; null for any other text."""
+    fence = r"(?s)^\s*```(?:json)?\s*\n(.*)\n\s*```\s*$"
+    return F.when(x.rlike(fence), F.regexp_extract(x, fence, 1))
 
 
 # -- metrics ---------------------------------------------------------------------------------------------------

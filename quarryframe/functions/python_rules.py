@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -41,7 +42,9 @@ def canonical_json(texts: pd.Series) -> pd.Series:
 CATEGORIES = ("car", "truck", "construction_vehicle", "bus", "trailer", "barrier", "motorcycle", "bicycle", "pedestrian", "traffic_cone")
 MOTION_STATES = ("stationary", "crossing", "oncoming", "same_direction")
 SPEED_ACTIONS = ("STOP", "DECELERATE", "ACCELERATE", "KEEP_SPEED")
-RISK_FACTORS = ("vru_crossing", "vehicle_crossing", "lead_braking", "stationary_obstacle", "object_near", "oncoming_vehicle")
+RISK_FACTORS = ("vru_crossing", "vehicle_crossing", "lead_vehicle_braking", "stationary_obstacle", "object_near", "oncoming_traffic")
+IMAGE_SIZE = (1600, 900)
+PARSE_FAILURE, SCHEMA_FAILURE, RANGE_FAILURE = "json_parse_failure", "schema_failure", "semantic_range_failure"
 MAX_OBJECTS, MAX_RISKS = 8, 6
 _TOP = ("critical_objects", "risk_factors", "speed_action", "yield_required")
 _OBJECT = ("bbox_2d", "bev_x", "bev_y", "category", "id", "motion_state")
@@ -106,42 +109,76 @@ def _schema_errors(doc) -> list[tuple[str, str]]:
     return out
 
 
-def _semantic_errors(doc: dict) -> list[tuple[str, str]]:
+def _semantic_errors(doc: dict, size: tuple[int, int]) -> list[tuple[str, str]]:
+    """Corners in order (equal ones are allowed) and inside the image; ids, factors and references without repeats, references known."""
     out = []
     for i, o in enumerate(doc["critical_objects"]):
         x1, y1, x2, y2 = o["bbox_2d"]
-        if x1 >= x2 or y1 >= y2:
+        if x1 > x2 or y1 > y2:
             out.append((f"$.critical_objects[{i}].bbox_2d", "corner_order"))
-    ids = [o["id"] for o in doc["critical_objects"]]
-    if len(set(ids)) < len(ids):
-        out.append(("$.critical_objects", "unique_ids"))
-    factors = [r["factor"] for r in doc["risk_factors"]]
-    if len(set(factors)) < len(factors):
-        out.append(("$.risk_factors", "unique_factors"))
-    for i, r in enumerate(doc["risk_factors"]):
-        if ids and not set(map(str, r["objects"])) <= set(map(str, ids)):
-            out.append((f"$.risk_factors[{i}].objects", "unknown_ref"))
+        if x2 > size[0] or y2 > size[1]:
+            out.append((f"$.critical_objects[{i}].bbox_2d", "image_bounds"))
+    known: set[int] = set()
+    for i, o in enumerate(doc["critical_objects"]):
+        if o["id"] in known:
+            out.append((f"$.critical_objects[{i}].id", "repeated_id"))
+        known.add(o["id"])
+    told: set[str] = set()
+    for i, r in enumerate(doc["risk_factors"] if known else ()):
+        if r["factor"] in told:
+            out.append((f"$.risk_factors[{i}].factor", "repeated_factor"))
+        told.add(r["factor"])
+        if len(set(map(str, r["objects"]))) < len(r["objects"]):
+            out.append((f"$.risk_factors[{i}].objects", "repeated_ref"))
+        out += [(f"$.risk_factors[{i}].objects", "unknown_ref") for x in r["objects"] if x not in known]
     return out
 
 
-def parse_output(text) -> tuple:
-    """(status, fenced, n_objects, errors, canonical output): nothing is repaired, and the first error is the status."""
-    import re
+def _term(text: str, known: tuple[str, ...]) -> str:
+    """The word of a vocabulary that a text writes in other case, spacing or number; any other text stays."""
+    plain = re.sub(r"[\s-]+", "_", text.strip().lower())
+    single = "_".join(w[:-1] if len(w) > 2 and w.endswith("s") and not w.endswith("ss") else w for w in plain.split("_"))
+    return next((w for w in (plain, single) if w in known), text)
+
+
+def _in_vocabulary(doc) -> None:
+    """Bring categories, motion states and factors to their vocabularies' words; what is not in them is left to the schema."""
+    places = [(o, k, v) for o in _dicts(doc, "critical_objects") for k, v in (("category", CATEGORIES), ("motion_state", MOTION_STATES))]
+    for holder, key, known in [*places, *((r, "factor", RISK_FACTORS) for r in _dicts(doc, "risk_factors"))]:
+        if isinstance(holder.get(key), str):
+            holder[key] = _term(holder[key], known)
+
+
+def _dicts(doc, key: str) -> list[dict]:
+    rows = doc.get(key) if isinstance(doc, dict) else None
+    return [x for x in rows if isinstance(x, dict)] if isinstance(rows, list) else []
+
+
+_FENCE = re.compile(r"\s*```(?:json)?\s*\n(.*)\n\s*```\s*", re.S)
+
+
+def parse_output(text, size: tuple[int, int] = IMAGE_SIZE) -> tuple:
+    """(status, fenced, n_objects, errors, canonical output): terms are brought to their vocabulary and places to the 0.1 m grid, nothing is repaired.
 
+    The first error is the status. A fence counts only if it is the whole text. A null text is a parse failure.
+    """
     fenced, doc, bad = False, None, None
     try:
         doc = json.loads(text)
     except (TypeError, ValueError):
-        body = re.search(r"```(?:json)?\s*(.*?)\s*```", text, re.S) if isinstance(text, str) else None
+        body = _FENCE.fullmatch(text) if isinstance(text, str) else None
         try:
             doc, fenced = json.loads(body[1]), True
         except (TypeError, ValueError):
             bad = "truncated" if isinstance(text, str) and not text.rstrip().endswith("}") else "invalid"
     if bad:
-        return "json_parse_failure", fenced, None, [("json_parse_failure", "$", bad)], None
-    errors = [("schema_violation", *e) for e in _schema_errors(doc)] or [("semantic_violation", *e) for e in _semantic_errors(doc)]
+        return PARSE_FAILURE, fenced, None, [(PARSE_FAILURE, "$", bad)], None
+    _in_vocabulary(doc)
+    errors = [(SCHEMA_FAILURE, *e) for e in _schema_errors(doc)] or [(RANGE_FAILURE, *e) for e in _semantic_errors(doc, size)]
     if errors:
         return errors[0][0], fenced, None, errors, None
+    for o in doc["critical_objects"]:
+        o |= {k: round(float(o[k]), 1) + 0.0 for k in ("bev_x", "bev_y")}
     return "ok", fenced, len(doc["critical_objects"]), [], canonical_text(doc)
 
 

@@ -11,7 +11,9 @@ from quarryframe.functions import columns as c
 EGO_LENGTH, EGO_WIDTH, MARGIN = 4.1, 1.87, 0.5
 HORIZON_STEPS, STEP_S, BASE_M = 12, 0.25, 2.0
 NEAR_M, ONCOMING_M, Y_BRAKE, Y_STATIONARY, SLOW = 5.5, 20.0, 1.185, 3.0, 0.5
-FACTORS = ("vru_crossing", "vehicle_crossing", "stationary_obstacle", "object_near", "oncoming_vehicle")
+SPEED_DROP, TRACK_FRAMES = 0.5, 6
+FACTORS = ("vru_crossing", "vehicle_crossing", "lead_vehicle_braking", "stationary_obstacle", "object_near", "oncoming_traffic")
+TWO_WHEELERS = ("bicycle", "motorcycle")
 
 
 def with_geometry(objects: DataFrame) -> DataFrame:
@@ -33,37 +35,65 @@ def pool_rank() -> Column:
 
 
 def clearance_samples() -> Column:
-    """Gap between the ego rectangle and the object's extent toward it at each constant-velocity sample, smallest first of the pair."""
+    """Least gap between the ego's swept band and the object's extent toward it over the constant-velocity samples.
 
-    def sample(k: Column) -> Column:
-        px, py = F.col("x_c") + F.col("vx") * k * STEP_S, F.col("y_c") + F.col("vy") * k * STEP_S
-        gap = c.rectangle_gap(px, py, EGO_LENGTH / 2, EGO_WIDTH / 2)
-        toward = F.atan2(py, px) - F.radians("box_yaw_deg")
-        return F.when(gap == 0, F.lit(-1e9)).otherwise(gap - c.support_half_extent(F.col("box_length_m"), F.col("box_width_m"), toward))
+    Positions and velocities are relative to the ego, in its frame. The extent counts in the direction from the band's nearest point to the
+    centre; a centre inside the band is a gap of -1e9. The samples are unrolled, so that the expression is compiled.
+    """
+    half_length, half_width = EGO_LENGTH / 2, (EGO_WIDTH + MARGIN) / 2
+    yaw = F.radians("box_yaw_deg")
+
+    def sample(k: int) -> Column:
+        px, py = F.col("x_c") + F.col("vx") * (k * STEP_S), F.col("y_c") + F.col("vy") * (k * STEP_S)
+        dx = px - F.greatest(F.lit(-half_length), F.least(F.lit(half_length), px))
+        dy = py - F.greatest(F.lit(-half_width), F.least(F.lit(half_width), py))
+        extent = c.support_half_extent(F.col("box_length_m"), F.col("box_width_m"), yaw - F.atan2(dy, dx))
+        return F.when((dx == 0) & (dy == 0), F.lit(-1e9)).otherwise(F.hypot(dx, dy) - extent)
+
+    return F.least(*(sample(k) for k in range(HORIZON_STEPS + 1)))
 
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(HORIZON_STEPS)), sample))
+
+def with_tracks(objects: DataFrame, anchors: DataFrame) -> DataFrame:
+    """n_future, slowest and fastest: the sightings of an object's instance in the next frames of its scene, and their speeds.
+
+    A range window over the frame number, so the work is linear in the sightings.
+    """
+    frames = anchors.select("anchor_id", "scene_token", F.col("walk_idx").cast("int").alias("walk_idx"))
+    w = Window.partitionBy("scene_token", "instance_id").orderBy("walk_idx").rangeBetween(1, TRACK_FRAMES)
+    speed = F.hypot("vx", "vy")
+    return objects.join(frames, "anchor_id").withColumns({"n_future": F.count(F.lit(1)).over(w), "slowest": F.min(speed).over(w), "fastest": F.max(speed).over(w)})
 
 
 def risk_columns(objects: DataFrame) -> DataFrame:
-    """One boolean column per risk factor, and ``fires`` of the corridor engine."""
+    """One boolean column per risk factor, and ``fires`` of the corridor engine; needs the columns of ``with_geometry`` and ``with_tracks``.
+
+    A braking lead needs evidence from its track; an object that stands still now is an obstacle unless its track shows that it moves off.
+    """
     grp, x, y = F.col("grp"), F.col("x_c"), F.col("y_c")
     crossing = c.crossing_hit(y, F.col("vy"))
     speed = F.hypot("vx", "vy")
-    return objects.withColumns(
+    moving = (grp == "vehicle") | F.col("category").isin(*TWO_WHEELERS)
+    return objects.withColumn("clearance", clearance_samples()).withColumns(
         {
-            "fires": clearance_samples() < BASE_M,
+            "fires": F.col("clearance") < BASE_M,
             "vru_crossing": (grp == "vru") & crossing,
             "vehicle_crossing": (grp == "vehicle") & crossing,
-            "stationary_obstacle": (speed <= SLOW) & c.in_path(x, y, Y_STATIONARY),
+            "lead_vehicle_braking": moving & c.in_path(x, y, Y_BRAKE) & (speed > SLOW) & F.coalesce(F.col("slowest") <= speed - SPEED_DROP, F.lit(False)),
+            "stationary_obstacle": (speed <= SLOW) & F.coalesce(F.col("fastest") <= SLOW, F.lit(True)) & c.in_path(x, y, Y_STATIONARY),
             "object_near": F.col("distance") <= NEAR_M,
-            "oncoming_vehicle": (grp == "vehicle") & (F.col("state") == "oncoming") & (F.col("distance") < ONCOMING_M),
+            "oncoming_traffic": moving & (F.col("state") == "oncoming") & (F.col("distance") < ONCOMING_M),
         }
     )
 
 
-def anchor_labels(objects: DataFrame, cap: int = 8) -> DataFrame:
+def pool_of(objects: DataFrame, cap: int = 8) -> DataFrame:
+    """The nearest relevant objects of each anchor with their rank; labels are taken from these only."""
+    return objects.where(relevant()).withColumn("rank", pool_rank()).where(F.col("rank") <= cap)
+
+
+def anchor_labels(objects: DataFrame, anchors: DataFrame, cap: int = 8) -> DataFrame:
     """Per anchor: pool size, yield, and how many pool objects carry each factor."""
-    pool = risk_columns(with_geometry(objects)).where(relevant()).withColumn("rank", pool_rank()).where(F.col("rank") <= cap)
+    pool = risk_columns(pool_of(with_geometry(with_tracks(objects, anchors)), cap))
     return pool.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n_pool"), F.bool_or("fires").alias("yield_required"), *(c.total(F.col(f)).alias(f) for f in FACTORS))
 
 

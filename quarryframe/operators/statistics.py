@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryframe.functions.columns import hash_draw
+from quarryframe.operators.windows import numbered_names
 
 
 def resample_weights(scenes: DataFrame, scene: str, replicates: int, seed: str) -> DataFrame:
@@ -13,7 +14,7 @@ def resample_weights(scenes: DataFrame, scene: str, replicates: int, seed: str)
 
     Draw i of replicate b is a hash of (seed, b, i). Scenes are numbered by name; the draws are made in parallel.
     """
-    numbered = scenes.select(scene).distinct().withColumn("no", F.row_number().over(Window.orderBy(scene)) - 1)
+    numbered = numbered_names(scenes.select(scene).distinct(), scene, "no")
     n = numbered.agg(F.count(F.lit(1)).alias("n"))
     draws = numbered.select(F.col("no").alias("i")).crossJoin(F.broadcast(n)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = draws.select("replicate", hash_draw(seed, F.col("replicate"), F.col("i"), F.col("n")).alias("no")).groupBy("replicate", "no").agg(F.count(F.lit(1)).alias("weight"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Reasons in the order of the checks; the first that fails counts.
-REASONS = ("INSUFFICIENT_HISTORY", "NO_CAM_FRONT", "MISSING_IMAGE", "BAD_GAP", "MISSING_CALIBRATION")
+REASONS = ("INSUFFICIENT_HISTORY", "CROSS_SCENE", "NO_CAM_FRONT", "NON_INCREASING_TIME", "BAD_GAP", "MISSING_IMAGE", "MISSING_CALIBRATION", "NUMERIC_ANOMALY")
 
 
 def scene_order() -> Window:
@@ -21,19 +21,30 @@ def keyframe_walk(frames: DataFrame) -> DataFrame:
 def history_window(frames: DataFrame, size: int = 4) -> DataFrame:
     """``window``: the last ``size`` keyframes up to this one, oldest first."""
     w = scene_order().rowsBetween(1 - size, 0)
-    return frames.withColumn("window", F.collect_list(F.struct("sample_id", "timestamp_us", "has_camera", "has_image")).over(w))
+    return frames.withColumn("window", F.collect_list(F.struct("sample_id", "timestamp_us", "has_camera", "has_image", "scene_token")).over(w))
 
 
 def quarantine_reason(size: int = 4, max_gap_us: int = 90_000_000_000) -> Column:
     """Null for a valid window, else the first failing check; needs the columns of ``history_window``."""
     gaps = F.zip_with(F.slice("window", 1, F.size("window") - 1), F.slice("window", 2, F.size("window")), lambda a, b: b["timestamp_us"] - a["timestamp_us"])
-    return (
-        F.when(F.size("window") < size, REASONS[0])
-        .when(F.exists("window", lambda f: ~f["has_camera"]), REASONS[1])
-        .when(F.exists("window", lambda f: ~f["has_image"]), REASONS[2])
-        .when(F.exists(gaps, lambda g: (g <= 0) | (g > max_gap_us)), REASONS[3])
-        .when(~F.col("has_calibration"), REASONS[4])
+    poses = [F.col(c) for c in ("ego_x", "ego_y", "ego_yaw")]
+    broken = F.lit(False)
+    for pose in poses:
+        broken = broken | pose.isNull() | F.isnan(pose) | (F.abs(pose) == float("inf"))
+    checks = (
+        F.size("window") < size,
+        F.exists("window", lambda f: f["scene_token"] != F.col("scene_token")),
+        F.exists("window", lambda f: ~f["has_camera"]),
+        F.exists(gaps, lambda g: g <= 0),
+        F.exists(gaps, lambda g: g > max_gap_us),
+        F.exists("window", lambda f: ~f["has_image"]),
+        ~F.col("has_calibration"),
+        broken,
     )
+    out = F.when(checks[0], REASONS[0])
+    for check, reason in zip(checks[1:], REASONS[1:], strict=True):
+        out = out.when(check, reason)
+    return out
 
 
 def backward_speed(x: str = "ego_x", y: str = "ego_y") -> Column:
@@ -81,3 +92,23 @@ def dense_index(rows: DataFrame, group: str, order: list[str], name: str = "glob
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("__in", inside).join(sizes.select(group, before.alias("__before")), group).withColumn(name, (F.col("__before") + F.col("__in")).cast("long")).drop("__in", "__before")
+
+
+def numbered_names(rows: DataFrame, name: str, number: str, prefix: int = 4) -> DataFrame:
+    """The rows with a dense number by ``name``, from 0; names are dealt out by their first characters."""
+    dealt = rows.withColumn("__head", F.substring(F.col(name), 1, prefix))
+    return dense_index(dealt, "__head", [name], number).drop("__head")
+
+
+def lag_in_ranges(rows: DataFrame, place: str, value: str, name: str, span: int = 10_000) -> DataFrame:
+    """``name``: the value of the row before by ``place``.
+
+    Rows are dealt out by ranges of ``span`` places; the first of a range takes the last value of the range before, and only one
+    row for each range passes through a single task.
+    """
+    dealt = rows.withColumn("__range", F.floor(F.col(place) / span))
+    inside = F.lag(value).over(Window.partitionBy("__range").orderBy(place))
+    first = F.row_number().over(Window.partitionBy("__range").orderBy(place)) == 1
+    last = dealt.groupBy("__range").agg(F.max_by(value, place).alias("__last"))
+    last = last.select("__range", F.lag("__last").over(Window.orderBy("__range")).alias("__before"))
+    return dealt.withColumns({"__in": inside, "__first": first}).join(last, "__range").withColumn(name, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__in"))).drop("__range", "__in", "__first", "__before")

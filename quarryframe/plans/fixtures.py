@@ -12,7 +12,7 @@ VIEWS = {
     "fx_keyframe": """SELECT concat('s', user_id) AS scene_token, event_id AS sample_id, {us} AS timestamp_us,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS walk_idx,
   CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 100 AS ego_x,
-  CAST(event_id % 97 AS DOUBLE) / 10 AS ego_y,
+  CAST(event_id % 97 AS DOUBLE) / 10 AS ego_y, CASE WHEN event_id % 307 <> 0 THEN CAST(event_id % 63 AS DOUBLE) / 10 END AS ego_yaw,
   event_type <> 'error' AS has_camera, event_id % 17 <> 0 AS has_image, event_id % 251 <> 0 AS has_calibration FROM events""",
     "fx_scene": """SELECT concat('s', user_id) AS scene_token, concat('loc', user_id % 5) AS location,
   CASE WHEN hour(min(ts)) >= 6 AND hour(min(ts)) < 18 THEN 'day' ELSE 'night' END AS time_of_day, count(*) AS n_keyframes FROM events GROUP BY user_id""",

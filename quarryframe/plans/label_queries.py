@@ -16,13 +16,16 @@ _STATE = f"CASE WHEN sqrt(vx * vx + vy * vy) < 0.5 THEN 'stationary' WHEN {_ANGL
 _RANGE = "CASE category WHEN 'pedestrian' THEN 30 WHEN 'barrier' THEN 15 WHEN 'traffic_cone' THEN 15 ELSE 45 END"
 _GEO = f"""o AS (SELECT *, sqrt(x_c * x_c + y_c * y_c) AS distance, degrees(atan2(y_c, x_c)) AS azimuth, {_GRP} AS grp, {_STATE} AS state FROM fx_object)"""
 _REL = f"(abs(azimuth) <= 30 AND distance < {_RANGE}) OR distance < 15"
-_RISK = f"""{_GEO}, s AS (SELECT o.*, k, x_c + vx * k * 0.25 AS px, y_c + vy * k * 0.25 AS py FROM o, range(0, 13) r(k)),
-q AS (SELECT *, sqrt(greatest(abs(px) - 2.05, 0) * greatest(abs(px) - 2.05, 0) + greatest(abs(py) - 0.935, 0) * greatest(abs(py) - 0.935, 0)) AS gap, atan2(py, px) - radians(box_yaw_deg) AS rel FROM s),
-m AS (SELECT anchor_id, ann_no, min(CASE WHEN gap = 0 THEN -1e9 ELSE gap - (abs(cos(rel)) * box_length_m / 2 + abs(sin(rel)) * box_width_m / 2) END) AS clearance FROM q GROUP BY 1, 2),
-t AS (SELECT o.*, clearance, clearance < 2 AS fires, CASE WHEN abs(y_c) <= 1.185 THEN abs(vy) ELSE -sign(y_c) * vy END AS toward FROM o JOIN m USING (anchor_id, ann_no)),
-u AS (SELECT *, toward > 0.8 AND CASE WHEN abs(y_c) <= 1.185 THEN 0 WHEN toward = 0 THEN 1e18 ELSE (abs(y_c) - 1.185) / toward END <= 5 AS hit FROM t),
-x AS (SELECT *, grp = 'vru' AND hit AS vru_crossing, grp = 'vehicle' AND hit AS vehicle_crossing, sqrt(vx * vx + vy * vy) <= 0.5 AND x_c > 0 AND abs(y_c) <= 3 AS stationary_obstacle,
-  distance <= 5.5 AS object_near, grp = 'vehicle' AND state = 'oncoming' AND distance < 20 AS oncoming_vehicle FROM u)"""
+_RISK = f"""{_GEO}, tr AS (SELECT p.anchor_id, p.ann_no, count(l.vx) AS n_future, min(sqrt(l.vx * l.vx + l.vy * l.vy)) AS slowest, max(sqrt(l.vx * l.vx + l.vy * l.vy)) AS fastest
+  FROM (SELECT o.*, scene_token, walk_idx FROM o JOIN fx_anchor USING (anchor_id)) p LEFT JOIN (SELECT o.*, scene_token, walk_idx FROM o JOIN fx_anchor USING (anchor_id)) l
+  ON l.scene_token = p.scene_token AND l.instance_id = p.instance_id AND l.walk_idx BETWEEN p.walk_idx + 1 AND p.walk_idx + 6 GROUP BY 1, 2),
+s AS (SELECT o.*, k, x_c + vx * k * 0.25 AS px, y_c + vy * k * 0.25 AS py FROM o, range(0, 13) r(k)),
+q AS (SELECT *, px - greatest(-2.05, least(2.05, px)) AS ex, py - greatest(-1.185, least(1.185, py)) AS ey FROM s),
+m AS (SELECT anchor_id, ann_no, min(CASE WHEN ex = 0 AND ey = 0 THEN -1e9 ELSE sqrt(ex * ex + ey * ey) - (abs(cos(radians(box_yaw_deg) - atan2(ey, ex))) * box_length_m / 2 + abs(sin(radians(box_yaw_deg) - atan2(ey, ex))) * box_width_m / 2) END) AS clearance FROM q GROUP BY 1, 2),
+t AS (SELECT o.*, clearance, clearance < 2 AS fires, CASE WHEN abs(y_c) <= 1.185 THEN abs(vy) ELSE -sign(y_c) * vy END AS toward, sqrt(vx * vx + vy * vy) AS speed, grp = 'vehicle' OR category IN ('bicycle', 'motorcycle') AS moving FROM o JOIN m USING (anchor_id, ann_no)),
+u AS (SELECT t.*, slowest, fastest, toward > 0.8 AND CASE WHEN abs(y_c) <= 1.185 THEN 0 WHEN toward = 0 THEN 1e18 ELSE (abs(y_c) - 1.185) / toward END <= 5 AS hit FROM t JOIN tr USING (anchor_id, ann_no)),
+x AS (SELECT *, grp = 'vru' AND hit AS vru_crossing, grp = 'vehicle' AND hit AS vehicle_crossing, moving AND x_c > 0 AND abs(y_c) <= 1.185 AND speed > 0.5 AND coalesce(slowest <= speed - 0.5, false) AS lead_vehicle_braking,
+  speed <= 0.5 AND coalesce(fastest, speed) <= 0.5 AND x_c > 0 AND abs(y_c) <= 3 AS stationary_obstacle, distance <= 5.5 AS object_near, moving AND state = 'oncoming' AND distance < 20 AS oncoming_traffic FROM u)"""
 _POOL = f"{_RISK}, r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY round(distance, 3), ann_no) AS rank FROM x WHERE {_REL})"
 
 
@@ -31,7 +34,11 @@ def geo(fx: Fixtures) -> DataFrame:
 
 
 def risks(fx: Fixtures) -> DataFrame:
-    return lb.risk_columns(geo(fx))
+    return lb.risk_columns(lb.with_geometry(lb.with_tracks(fx.view("fx_object"), fx.view("fx_anchor"))))
+
+
+def pool(fx: Fixtures) -> DataFrame:
+    return lb.risk_columns(lb.pool_of(lb.with_geometry(lb.with_tracks(fx.view("fx_object"), fx.view("fx_anchor")))))
 
 
 def ranked(fx: Fixtures) -> DataFrame:
@@ -124,7 +131,7 @@ def rescale_box(fx: Fixtures) -> DataFrame:
 @query(
     "p15_grid_position",
     duck(
-        """SELECT pos, count(*) AS n FROM (SELECT concat_ws('-', ['top', 'middle', 'bottom'][CAST(least(2, floor((y1 + y2) / 2.0::DOUBLE / 25)) AS INT) + 1], ['left', 'center', 'right'][CAST(least(2, floor((x1 + x2) / 2.0::DOUBLE / 30)) AS INT) + 1]) AS pos FROM fx_box) GROUP BY 1""",
+        """SELECT pos, count(*) AS n FROM (SELECT concat_ws(' ', ['top', 'middle', 'bottom'][CAST(least(2, floor((y1 + y2) / 2.0::DOUBLE / 25)) AS INT) + 1], ['left', 'center', 'right'][CAST(least(2, floor((x1 + x2) / 2.0::DOUBLE / 30)) AS INT) + 1]) AS pos FROM fx_box) GROUP BY 1""",
         "fx_box",
     ),
 )
@@ -133,11 +140,16 @@ def grid_position(fx: Fixtures) -> DataFrame:
     return fx.view("fx_box").groupBy(pos.alias("pos")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f1_category_map", duck(f"SELECT anchor_id, ann_no, {_GRP} AS grp FROM fx_object WHERE category <> 'trailer'", "fx_object"))
+_RAW = sorted([*c.DETECTION_CLASS, *c.NO_DETECTION_CLASS])
+_RAW_SQL = ", ".join(f"'{k}'" for k in _RAW)
+_MAP_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in c.DETECTION_CLASS.items())
+
+
+@query("f1_category_map", f"SELECT * FROM (SELECT p_partkey, CASE [{_RAW_SQL}][CAST(p_partkey % {len(_RAW)} AS INT) + 1] {_MAP_SQL} END AS category FROM part) WHERE category IS NOT NULL")
 def category_map(fx: Fixtures) -> DataFrame:
-    """Map to groups by a literal map; unmapped classes drop."""
-    known = {k: g for g, ks in c.GROUPS.items() for k in ks if k != "trailer"}
-    return fx.view("fx_object").withColumn("grp", c.literal_map(known)[F.col("category")]).where("grp is not null").select("anchor_id", "ann_no", "grp")
+    """Annotation classes to detection classes by a literal map; classes without one drop out."""
+    raw = F.element_at(F.array(*map(F.lit, _RAW)), (F.col("p_partkey") % len(_RAW)).cast("int") + 1)
+    return fx.table("part").select("p_partkey", c.literal_map(c.DETECTION_CLASS)[raw].alias("category")).where("category is not null")
 
 
 @query("f3_relevance", duck(f"WITH {_GEO} SELECT anchor_id, ann_no FROM o WHERE {_REL}", "fx_object"))
@@ -150,7 +162,7 @@ def in_path(fx: Fixtures) -> DataFrame:
     return fx.view("fx_object").where(c.in_path(F.col("x_c"), F.col("y_c"), 1.185)).select("anchor_id", "ann_no")
 
 
-@query("f5_crossing", duck(f"WITH {_RISK} SELECT anchor_id, ann_no FROM x WHERE hit", "fx_object"))
+@query("f5_crossing", duck(f"WITH {_RISK} SELECT anchor_id, ann_no FROM x WHERE hit", "fx_object", "fx_anchor"))
 def crossing(fx: Fixtures) -> DataFrame:
     return fx.view("fx_object").where(c.crossing_hit(F.col("y_c"), F.col("vy"))).select("anchor_id", "ann_no")
 
@@ -160,47 +172,54 @@ def motion_state(fx: Fixtures) -> DataFrame:
     return geo(fx).groupBy("state", "grp").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d7_firing_engine", duck(f"WITH {_RISK} SELECT anchor_id, ann_no, fires, round(clearance, 6) AS clearance FROM x", "fx_object"))
+@query("d7_firing_engine", duck(f"WITH {_RISK} SELECT anchor_id, ann_no, fires, round(clearance, 6) AS clearance FROM x", "fx_object", "fx_anchor"))
 def firing_engine(fx: Fixtures) -> DataFrame:
-    return risks(fx).select("anchor_id", "ann_no", "fires", F.round(lb.clearance_samples(), 6).alias("clearance"))
+    return risks(fx).select("anchor_id", "ann_no", "fires", F.round("clearance", 6).alias("clearance"))
 
 
-@query("d6_yield", duck(f"WITH {_RISK} SELECT anchor_id, bool_or(fires) AS yield_required FROM x GROUP BY 1", "fx_object"))
+@query("d6_yield", duck(f"WITH {_POOL} SELECT anchor_id, bool_or(fires) AS yield_required FROM r WHERE rank <= 8 GROUP BY 1", "fx_object", "fx_anchor"))
 def yield_required(fx: Fixtures) -> DataFrame:
-    return risks(fx).groupBy("anchor_id").agg(F.bool_or("fires").alias("yield_required"))
+    """Over the pool: what lies beyond it does not make the ego yield."""
+    return pool(fx).groupBy("anchor_id").agg(F.bool_or("fires").alias("yield_required"))
+
+
+_CASES = ", ".join(f"CASE WHEN {f} THEN '{f}' END" for f in lb.FACTORS)
 
 
 @query(
     "d8_risk_factors",
-    duck(f"WITH {_RISK} SELECT anchor_id, ann_no, array_to_string(list_filter([CASE WHEN vru_crossing THEN 'vru_crossing' END, CASE WHEN vehicle_crossing THEN 'vehicle_crossing' END, CASE WHEN stationary_obstacle THEN 'stationary_obstacle' END, CASE WHEN object_near THEN 'object_near' END, CASE WHEN oncoming_vehicle THEN 'oncoming_vehicle' END], lambda v: v IS NOT NULL), ',') AS factors FROM x", "fx_object"),
+    duck(f"WITH {_POOL} SELECT anchor_id, factor, string_agg(ann_no, ',' ORDER BY rank) AS objects FROM (SELECT anchor_id, ann_no, rank, unnest([{_CASES}]) AS factor FROM r WHERE rank <= 8) WHERE factor IS NOT NULL GROUP BY 1, 2", "fx_object", "fx_anchor"),
 )
 def risk_factors(fx: Fixtures) -> DataFrame:
-    names = F.concat_ws(",", *(F.when(F.col(f), f) for f in lb.FACTORS))
-    return risks(fx).select("anchor_id", "ann_no", names.alias("factors"))
+    """The factors of each anchor with all pool objects that give them, nearest first."""
+    rows = pool(fx).select("anchor_id", "ann_no", "rank", F.explode(F.array_compact(F.array(*(F.when(F.col(f), f) for f in lb.FACTORS)))).alias("factor"))
+    # a pool has eight objects at most
+    objects = F.array_sort(F.collect_list(F.struct("rank", "ann_no")))["ann_no"]
+    return rows.groupBy("anchor_id", "factor").agg(F.array_join(objects, ",").alias("objects"))
 
 
 @query(
     "d3_expected_output",
-    duck(f"WITH {_POOL} SELECT anchor_id, count(*) AS n_pool, bool_or(fires) AS yield_required, {', '.join(f'CAST(sum(CAST({f} AS INT)) AS BIGINT) AS {f}' for f in lb.FACTORS)} FROM r WHERE rank <= 8 GROUP BY 1", "fx_object"),
+    duck(f"WITH {_POOL} SELECT anchor_id, count(*) AS n_pool, bool_or(fires) AS yield_required, {', '.join(f'CAST(sum(CAST({f} AS INT)) AS BIGINT) AS {f}' for f in lb.FACTORS)} FROM r WHERE rank <= 8 GROUP BY 1", "fx_object", "fx_anchor"),
 )
 def expected_output(fx: Fixtures) -> DataFrame:
-    return lb.anchor_labels(fx.view("fx_object"))
+    return lb.anchor_labels(fx.view("fx_object"), fx.view("fx_anchor"))
 
 
-@query("o1_top8_pool", duck(f"WITH {_POOL} SELECT anchor_id, ann_no, rank FROM r WHERE rank <= 8", "fx_object"))
+@query("o1_top8_pool", duck(f"WITH {_POOL} SELECT anchor_id, ann_no, rank FROM r WHERE rank <= 8", "fx_object", "fx_anchor"))
 def top8_pool(fx: Fixtures) -> DataFrame:
     return geo(fx).where(lb.relevant()).withColumn("rank", lb.pool_rank()).where("rank <= 8").select("anchor_id", "ann_no", "rank")
 
 
-@query("o2_beyond_cap", duck(f"WITH {_POOL} SELECT anchor_id, count(*) AS n_cut FROM r WHERE rank > 8 GROUP BY 1", "fx_object"))
+@query("o2_beyond_cap", duck(f"WITH {_POOL} SELECT anchor_id, count(*) AS n_cut FROM r WHERE rank > 8 GROUP BY 1", "fx_object", "fx_anchor"))
 def beyond_cap(fx: Fixtures) -> DataFrame:
     return geo(fx).where(lb.relevant()).withColumn("rank", lb.pool_rank()).where("rank > 8").groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n_cut"))
 
 
-@query("d13_truncation_risk", duck(f"WITH {_POOL} SELECT count(*) FILTER (late AND NOT early) AS missed, count(*) AS n FROM (SELECT anchor_id, bool_or(fires AND rank > 4) AS late, bool_or(fires AND rank <= 4) AS early FROM r GROUP BY 1)", "fx_object"))
+@query("d13_truncation_risk", duck(f"WITH {_POOL} SELECT count(*) FILTER (late AND NOT early) AS missed, count(*) AS n FROM (SELECT anchor_id, bool_or(fires AND rank > 8) AS late, bool_or(fires AND rank <= 8) AS early FROM r GROUP BY 1)", "fx_object", "fx_anchor"))
 def truncation_risk(fx: Fixtures) -> DataFrame:
-    """Anchors with a conflict beyond the cap (4 here) while the pool itself is silent."""
-    flags = ranked(fx).groupBy("anchor_id").agg(F.bool_or(F.col("fires") & (F.col("rank") > 4)).alias("late"), F.bool_or(F.col("fires") & (F.col("rank") <= 4)).alias("early"))
+    """Anchors with a conflict beyond the cap while the pool itself is silent."""
+    flags = ranked(fx).groupBy("anchor_id").agg(F.bool_or(F.col("fires") & (F.col("rank") > 8)).alias("late"), F.bool_or(F.col("fires") & (F.col("rank") <= 8)).alias("early"))
     return flags.agg(c.total(F.col("late") & ~F.col("early")).alias("missed"), F.count(F.lit(1)).alias("n"))
 
 
@@ -219,7 +238,7 @@ def nearest_lead(fx: Fixtures) -> DataFrame:
 
 @query(
     "d10_feature_table",
-    duck(f"WITH {_RISK} SELECT anchor_id, ann_no, category, grp, state, round(distance, 6) AS distance, round(clearance, 6) AS clearance, abs(y_c) AS abs_y, round(sqrt(vx * vx + vy * vy), 6) AS speed FROM x", "fx_object"),
+    duck(f"WITH {_RISK} SELECT anchor_id, ann_no, category, grp, state, round(distance, 6) AS distance, round(clearance, 6) AS clearance, abs(y_c) AS abs_y, round(sqrt(vx * vx + vy * vy), 6) AS speed FROM x", "fx_object", "fx_anchor"),
 )
 def feature_table(fx: Fixtures) -> DataFrame:
     return geo(fx).select(
@@ -229,7 +248,7 @@ def feature_table(fx: Fixtures) -> DataFrame:
 
 @query(
     "d11_threshold_sweep",
-    duck(f"WITH {_RISK}, m2 AS (SELECT anchor_id, min(clearance) AS v FROM x GROUP BY 1) SELECT g / 10.0::DOUBLE AS threshold, count(*) FILTER (v <= g / 10.0::DOUBLE) AS hits, count(*) FILTER (v <= g / 10.0::DOUBLE) / count(*) AS rate FROM m2, range(17, 26) r(g) GROUP BY g", "fx_object"),
+    duck(f"WITH {_RISK}, m2 AS (SELECT anchor_id, min(clearance) AS v FROM x GROUP BY 1) SELECT g / 10.0::DOUBLE AS threshold, count(*) FILTER (v <= g / 10.0::DOUBLE) AS hits, count(*) FILTER (v <= g / 10.0::DOUBLE) / count(*) AS rate FROM m2, range(17, 26) r(g) GROUP BY g", "fx_object", "fx_anchor"),
 )
 def threshold_sweep(fx: Fixtures) -> DataFrame:
     minima = geo(fx).groupBy("anchor_id").agg(F.min(lb.clearance_samples()).alias("v"))
@@ -259,7 +278,7 @@ def parameter_grid(fx: Fixtures) -> DataFrame:
 
 @query(
     "w7_newly_absorbed",
-    duck(f"WITH {_RISK}, g AS (SELECT anchor_id, ann_no, CAST(ceil(clearance * 5) AS BIGINT) AS step FROM x WHERE clearance BETWEEN 1 AND 3) SELECT step, count(*) AS n FROM g GROUP BY 1", "fx_object"),
+    duck(f"WITH {_RISK}, g AS (SELECT anchor_id, ann_no, CAST(ceil(clearance * 5) AS BIGINT) AS step FROM x WHERE clearance BETWEEN 1 AND 3) SELECT step, count(*) AS n FROM g GROUP BY 1", "fx_object", "fx_anchor"),
 )
 def newly_absorbed(fx: Fixtures) -> DataFrame:
     """Objects by the first grid step (0.2 m) that takes them in."""
@@ -273,9 +292,9 @@ def extrapolation(fx: Fixtures) -> DataFrame:
     return fx.view("fx_object").select("anchor_id", "ann_no", F.round(F.array_max(F.transform(F.sequence(F.lit(0), F.lit(12)), at)), 6).alias("farthest"))
 
 
-@query("a22_any_per_anchor", duck(f"WITH {_RISK} SELECT count(*) FILTER (a) AS near_anchors, count(*) FILTER (b) AS oncoming_anchors FROM (SELECT anchor_id, bool_or(object_near) AS a, bool_or(oncoming_vehicle) AS b FROM x GROUP BY 1)", "fx_object"))
+@query("a22_any_per_anchor", duck(f"WITH {_RISK} SELECT count(*) FILTER (a) AS near_anchors, count(*) FILTER (b) AS oncoming_anchors FROM (SELECT anchor_id, bool_or(object_near) AS a, bool_or(oncoming_traffic) AS b FROM x GROUP BY 1)", "fx_object", "fx_anchor"))
 def any_per_anchor(fx: Fixtures) -> DataFrame:
-    flags = risks(fx).groupBy("anchor_id").agg(F.bool_or("object_near").alias("a"), F.bool_or("oncoming_vehicle").alias("b"))
+    flags = risks(fx).groupBy("anchor_id").agg(F.bool_or("object_near").alias("a"), F.bool_or("oncoming_traffic").alias("b"))
     return flags.agg(c.total(F.col("a")).alias("near_anchors"), c.total(F.col("b")).alias("oncoming_anchors"))
 
 
@@ -292,7 +311,7 @@ def histogram(fx: Fixtures) -> DataFrame:
     return fx.table("lineitem").where(q.between(0, 50)).groupBy(F.least(F.lit(9), F.floor(q / 5)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a25_cooccurrence", duck(f"WITH {_RISK}, f AS (SELECT anchor_id, bool_or(object_near) AS a, bool_or(fires) AS b FROM x GROUP BY 1) SELECT a, b, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY a), 6) AS rate FROM f GROUP BY 1, 2", "fx_object"))
+@query("a25_cooccurrence", duck(f"WITH {_RISK}, f AS (SELECT anchor_id, bool_or(object_near) AS a, bool_or(fires) AS b FROM x GROUP BY 1) SELECT a, b, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY a), 6) AS rate FROM f GROUP BY 1, 2", "fx_object", "fx_anchor"))
 def cooccurrence(fx: Fixtures) -> DataFrame:
     flags = risks(fx).groupBy("anchor_id").agg(F.bool_or("object_near").alias("a"), F.bool_or("fires").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return flags.withColumn("rate", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("a")), 6))
@@ -308,12 +327,8 @@ JOIN fx_object p ON p.anchor_id = b.anchor_id AND p.instance_id = o.instance_id
     ),
 )
 def future_track(fx: Fixtures) -> DataFrame:
-    """Sightings of an instance in the next six frames: an equi join on (scene, instance) with a range as residual."""
-    anchors = fx.view("fx_anchor").select("anchor_id", "scene_token", "walk_idx")
-    seen = fx.view("fx_object").select("anchor_id", "ann_no", "instance_id").join(anchors, "anchor_id")
-    later = seen.select("scene_token", "instance_id", F.col("walk_idx").alias("later"))
-    pairs = seen.join(later, ["scene_token", "instance_id"]).where(F.col("later").between(F.col("walk_idx") + 1, F.col("walk_idx") + 6))
-    return pairs.groupBy("anchor_id", "ann_no").agg(F.count(F.lit(1)).alias("n_future"))
+    """Sightings of an instance in the next six frames, by a range window over the scene's frames."""
+    return lb.with_tracks(fx.view("fx_object"), fx.view("fx_anchor")).where("n_future > 0").select("anchor_id", "ann_no", "n_future")
 
 
 @query("j4_box_annotation", duck("SELECT b.anchor_id, b.obj_idx, o.instance_id FROM fx_box b JOIN fx_object o ON o.anchor_id = b.anchor_id AND o.ann_no = b.obj_idx + 1", "fx_box", "fx_object"))

@@ -246,10 +246,10 @@ def conditional_attribution(fx: Fixtures) -> DataFrame:
 
 
 @query("d5_speed_action", duck(
-    """WITH s AS (SELECT l_orderkey AS anchor_id, list(l_quantity / 5 ORDER BY l_quantity) AS v FROM lineitem GROUP BY 1), a AS (SELECT o_orderkey AS anchor_id, (o_orderkey % 20) / 2.0::DOUBLE AS v0, coalesce(v, []) AS v FROM orders LEFT JOIN s ON s.anchor_id = o_orderkey)
-SELECT CASE WHEN len(v) = 0 THEN 'KEEP_SPEED' WHEN list_min(v) <= 0.5 AND v0 > 0.5 THEN 'STOP' WHEN list_min(v) < v0 * 0.85 THEN 'DECELERATE' WHEN list_max(v) > v0 * 1.15 THEN 'ACCELERATE' ELSE 'KEEP_SPEED' END AS action, count(*) AS n FROM a GROUP BY 1"""))
+    """WITH s AS (SELECT l_orderkey AS anchor_id, list((l_quantity - 1) / 5 ORDER BY l_quantity) AS v FROM lineitem GROUP BY 1), a AS (SELECT o_orderkey AS anchor_id, (o_orderkey % 20) / 2.0::DOUBLE AS v0, coalesce(v, []) AS v FROM orders LEFT JOIN s ON s.anchor_id = o_orderkey)
+SELECT CASE WHEN len(v) = 0 THEN 'KEEP_SPEED' WHEN list_min(v) < 0.5 THEN 'STOP' WHEN list_min(v) < v0 * 0.85 THEN 'DECELERATE' WHEN list_max(v) > v0 * 1.15 THEN 'ACCELERATE' ELSE 'KEEP_SPEED' END AS action, count(*) AS n FROM a GROUP BY 1"""))
 def speed_action(fx: Fixtures) -> DataFrame:
-    speeds = fx.table("lineitem").groupBy(F.col("l_orderkey").alias("anchor_id")).agg(F.collect_list(F.col("l_quantity") / 5).alias("v"))
+    speeds = fx.table("lineitem").groupBy(F.col("l_orderkey").alias("anchor_id")).agg(F.collect_list((F.col("l_quantity") - 1) / 5).alias("v"))
     rows = fx.table("orders").select(F.col("o_orderkey").alias("anchor_id"), ((F.col("o_orderkey") % 20) / 2).alias("v0")).join(speeds, "anchor_id", "left")
     v = F.coalesce("v", F.expr("cast(array() as array<double>)"))
     return rows.groupBy(c.speed_action(F.col("v0"), v).alias("action")).agg(F.count(F.lit(1)).alias("n"))
@@ -263,13 +263,6 @@ def counterfactual_flips(fx: Fixtures) -> DataFrame:
     return a.join(b, "anchor_id").agg(F.count(F.lit(1)).alias("n_compared"), F.round(c.ratio(c.total(F.col("pred_action") != F.col("other")), F.count(F.lit(1))), 9).alias("action_flip"))
 
 
-@query("d20_gates", duck("SELECT bound, CASE WHEN 0.15 > bound THEN 'true' WHEN 0.25 < bound THEN 'false' ELSE 'not_evaluated' END AS pass FROM (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)) v(bound)"))
-def gates(fx: Fixtures) -> DataFrame:
-    """Three-valued gates on an interval: not evaluated is null."""
-    bounds = fx.spark.sql("SELECT * FROM VALUES (0.1D), (0.2D), (0.3D) AS v(bound)")
-    return bounds.select("bound", F.coalesce(me.ci_gate(F.lit(0.15), F.lit(0.25), F.col("bound")).cast("string"), F.lit("not_evaluated")).alias("pass"))
-
-
 @query("d21_self_diagnosis", duck("SELECT count(*) FILTER (parse_ok) / count(*) >= 0.99 AS parse_gate, count(*) FILTER (anchor_id % 97 = 0) / count(*) <= 0.01 AS truncation_gate FROM fx_anchor", "fx_anchor"))
 def self_diagnosis(fx: Fixtures) -> DataFrame:
     n = F.count(F.lit(1))

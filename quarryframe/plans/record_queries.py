@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,61 +11,83 @@ from pyspark.sql import functions as F
 from quarryframe.functions import columns as c
 from quarryframe.functions import python_rules as py
 from quarryframe.operators import validation as va
-from quarryframe.plans.fixtures import Fixtures, duck
+from quarryframe.operators.windows import lag_in_ranges
+from quarryframe.plans.fixtures import TABLES, Fixtures, duck
 from quarryframe.plans.registry import query
 from quarryframe.sources import io
 
 # -- structured model output -------------------------------------------------------------------------------------
 
 _GOOD = '{"critical_objects":[{"id":0,"category":"car","bbox_2d":[1,2,3,4],"motion_state":"stationary","bev_x":1.0,"bev_y":2.0}],"risk_factors":[{"factor":"object_near","objects":[0]}],"yield_required":true,"speed_action":"STOP"}'
-_KINDS = ("good", "fenced", "truncated", "bad_enum", "missing_key", "box_order", "unknown_ref", "no_text")
+#: Kinds of output texts: the change to a good text, its status, and the field and keyword of its first error.
+_KINDS = {
+    "good": (lambda t: t, "ok", None),
+    "fenced": (lambda t: F.concat(F.lit("```json\n"), t, F.lit("\n```")), "ok", None),
+    "fence_in_prose": (lambda t: F.concat(F.lit("Here it is:\n```json\n"), t, F.lit("\n```")), "json_parse_failure", ("$", "truncated")),
+    "truncated": (lambda t: F.substring(t, 1, 60), "json_parse_failure", ("$", "truncated")),
+    "bad_enum": (lambda t: F.replace(t, F.lit("STOP"), F.lit("HALT")), "schema_failure", ("$.speed_action", "enum")),
+    "missing_key": (lambda t: F.replace(t, F.lit('"yield_required":true,'), F.lit("")), "schema_failure", ("$", "required")),
+    "box_order": (lambda t: F.replace(t, F.lit("[1,2,3,4]"), F.lit("[3,2,1,4]")), "semantic_range_failure", ("$.critical_objects[0].bbox_2d", "corner_order")),
+    "box_point": (lambda t: F.replace(t, F.lit("[1,2,3,4]"), F.lit("[1,2,1,2]")), "ok", None),
+    "box_outside": (lambda t: F.replace(t, F.lit("[1,2,3,4]"), F.lit("[1,2,1601,4]")), "semantic_range_failure", ("$.critical_objects[0].bbox_2d", "image_bounds")),
+    "unknown_ref": (lambda t: F.replace(t, F.lit('"objects":[0]'), F.lit('"objects":[5]')), "semantic_range_failure", ("$.risk_factors[0].objects", "unknown_ref")),
+    "repeated_ref": (lambda t: F.replace(t, F.lit('"objects":[0]'), F.lit('"objects":[0,0]')), "semantic_range_failure", ("$.risk_factors[0].objects", "repeated_ref")),
+    "braking": (lambda t: F.replace(t, F.lit("object_near"), F.lit("lead_vehicle_braking")), "ok", None),
+    "other_words": (lambda t: F.replace(F.replace(t, F.lit('"car"'), F.lit('" Cars"')), F.lit("object_near"), F.lit("Oncoming traffic")), "ok", None),
+    "bad_category": (lambda t: F.replace(t, F.lit('"car"'), F.lit('"cart"')), "schema_failure", ("$.critical_objects[0].category", "enum")),
+    "no_text": (lambda t: F.lit(None).cast("string"), "json_parse_failure", ("$", "invalid")),
+}
 
 
 def outputs(fx: Fixtures) -> DataFrame:
-    """Output texts by anchor: good ones and one kind of defect for each of the other residues."""
-    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("anchor_id") % 8 + 1).cast("int"))
+    """Output texts by anchor: one kind for each residue of the anchor's number."""
     good = F.lit(_GOOD)
-    text = (
-        F.when(kind == "good", good)
-        .when(kind == "fenced", F.concat(F.lit("Here it is:\n```json\n"), good, F.lit("\n```")))
-        .when(kind == "truncated", F.substring(good, 1, 60))
-        .when(kind == "bad_enum", F.replace(good, F.lit("STOP"), F.lit("HALT")))
-        .when(kind == "missing_key", F.replace(good, F.lit('"yield_required":true,'), F.lit("")))
-        .when(kind == "box_order", F.replace(good, F.lit("[1,2,3,4]"), F.lit("[3,2,1,4]")))
-        .when(kind == "unknown_ref", F.replace(good, F.lit('"objects":[0]'), F.lit('"objects":[5]')))
-    )
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("anchor_id") % len(_KINDS) + 1).cast("int"))
+    text = F.coalesce(*(F.when(kind == name, change(good)) for name, (change, _, _) in _KINDS.items()))
     return fx.view("fx_anchor").select("anchor_id", kind.alias("kind"), text.alias("text"))
 
 
-_STATUS = "CASE anchor_id % 8 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'json_parse_failure' WHEN 3 THEN 'schema_violation' WHEN 4 THEN 'schema_violation' WHEN 5 THEN 'semantic_violation' WHEN 6 THEN 'semantic_violation' ELSE 'json_parse_failure' END"
+def _by_kind(value) -> str:
+    """SQL: the value of each kind by the anchor's number."""
+    return f"CASE anchor_id % {len(_KINDS)} {' '.join(f'WHEN {i} THEN {v}' for i, row in enumerate(_KINDS.items()) if (v := value(*row)))} END"
 
 
-@query("d14_strict_parse", duck(f"SELECT anchor_id, {_STATUS} AS status, anchor_id % 8 = 1 AS fenced FROM fx_anchor", "fx_anchor"))
+_STATUS = _by_kind(lambda _, row: f"'{row[1]}'")
+_OK = f"({_STATUS} = 'ok')"
+
+
+@query("d14_strict_parse", duck(f"SELECT anchor_id, {_STATUS} AS status, anchor_id % {len(_KINDS)} = 1 AS fenced FROM fx_anchor", "fx_anchor"))
 def strict_parse(fx: Fixtures) -> DataFrame:
     return outputs(fx).select("anchor_id", py.strict_parse("text").alias("p")).select("anchor_id", "p.status", "p.fenced")
 
 
-@query("a13_parse_errors", duck(f"SELECT {_STATUS} AS category, count(*) AS n FROM fx_anchor WHERE anchor_id % 8 > 1 GROUP BY 1", "fx_anchor"))
+@query("a13_parse_errors", duck(f"SELECT {_STATUS} AS category, count(*) AS n FROM fx_anchor WHERE NOT {_OK} GROUP BY 1", "fx_anchor"))
 def parse_errors(fx: Fixtures) -> DataFrame:
     errors = outputs(fx).select(py.strict_parse("text").alias("p"))
     return errors.select(F.explode(F.array_distinct("p.errors.category")).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a29_schema_drilldown", duck("SELECT CASE anchor_id % 8 WHEN 3 THEN '$.speed_action' ELSE '$' END AS field, CASE anchor_id % 8 WHEN 3 THEN 'enum' ELSE 'required' END AS keyword, count(*) AS n FROM fx_anchor WHERE anchor_id % 8 IN (3, 4) GROUP BY 1, 2", "fx_anchor"))
+_FIELD, _KEYWORD = (_by_kind(lambda _, row, k=k: row[1] == "schema_failure" and f"'{row[2][k].replace('[0]', '[*]')}'") for k in (0, 1))
+
+
+@query("a29_schema_drilldown", duck(f"SELECT {_FIELD} AS field, {_KEYWORD} AS keyword, count(*) AS n FROM fx_anchor WHERE {_STATUS} = 'schema_failure' GROUP BY 1, 2", "fx_anchor"))
 def schema_drilldown(fx: Fixtures) -> DataFrame:
     """Schema violations by field (list places made equal) and keyword."""
-    errors = outputs(fx).select(F.inline(py.strict_parse("text")["errors"])).where("category = 'schema_violation'")
+    errors = outputs(fx).select(F.inline(py.strict_parse("text")["errors"])).where("category = 'schema_failure'")
     return errors.groupBy(F.regexp_replace("field", r"\[\d+\]", "[*]").alias("field"), "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("v6_reclassify", duck("SELECT CASE WHEN anchor_id % 8 < 2 THEN 'valid' WHEN anchor_id % 8 = 7 THEN 'no_text' WHEN anchor_id % 8 = 2 THEN 'no_json' ELSE 'contract' END AS bucket, count(*) AS n FROM fx_anchor GROUP BY 1", "fx_anchor"))
+_BUCKET = _by_kind(lambda name, row: "'no_text'" if name == "no_text" else {"ok": "'valid'", "json_parse_failure": "'no_json'"}.get(row[1], "'contract'"))
+
+
+@query("v6_reclassify", duck(f"SELECT {_BUCKET} AS bucket, count(*) AS n FROM fx_anchor GROUP BY 1", "fx_anchor"))
 def reclassify(fx: Fixtures) -> DataFrame:
     p = outputs(fx).select("text", py.strict_parse("text").alias("p"))
     bucket = F.when(F.col("p.status") == "ok", "valid").when(F.col("text").isNull(), "no_text").when(F.col("p.status") == "json_parse_failure", "no_json").otherwise("contract")
     return p.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d18_evaluation_run", duck("SELECT count(*) AS n, count(*) FILTER (anchor_id % 8 < 2) AS parsed, round(count(*) FILTER (anchor_id % 8 < 2) / count(*), 9) AS parse_rate FROM fx_anchor", "fx_anchor"))
+@query("d18_evaluation_run", duck(f"SELECT count(*) AS n, count(*) FILTER ({_OK}) AS parsed, round(count(*) FILTER ({_OK}) / count(*), 9) AS parse_rate FROM fx_anchor", "fx_anchor"))
 def evaluation_run(fx: Fixtures) -> DataFrame:
     """Completeness first, then the content metrics of the parsed rows."""
     rows = outputs(fx)
@@ -149,10 +172,10 @@ def expected_steps(fx: Fixtures) -> DataFrame:
 # -- sources and sinks ----------------------------------------------------------------------------------------------
 
 
-@query("s1_table_scans", "SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events")
+@query("s1_table_scans", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
 def table_scans(fx: Fixtures) -> DataFrame:
     one = lambda t: fx.table(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n")
-    return one("orders").unionAll(one("lineitem")).unionAll(one("events"))
+    return reduce(DataFrame.unionAll, map(one, TABLES))
 
 
 @query("s2_unique_scan", "SELECT o_orderkey, o_custkey FROM orders")
@@ -189,8 +212,8 @@ def training_log(fx: Fixtures) -> DataFrame:
     """Losses from log lines, and where they rise; other lines are skipped."""
     value = F.concat(F.lit("{'loss': "), F.round("value", 4).cast("string"), F.lit(", 'epoch': 1}"))
     lines = fx.table("events").select(F.col("event_id").alias("no"), F.when(F.col("event_id") % 3 == 0, F.lit("saving")).otherwise(value).alias("value"))
-    w = Window.orderBy("no")
-    return io.training_log(lines).select("no", "loss", F.coalesce(F.col("loss") > F.lag("loss").over(w), F.lit(False)).alias("rises"))
+    rows = lag_in_ranges(io.training_log(lines), "no", "loss", "before")
+    return rows.select("no", "loss", F.coalesce(F.col("loss") > F.col("before"), F.lit(False)).alias("rises"))
 
 
 @query("s5_manifest_seal")
@@ -362,14 +385,13 @@ def prefix_limit(fx: Fixtures) -> DataFrame:
 
 # -- text functions ---------------------------------------------------------------------------------------------------
 
-_STOP = ("the", "a", "of", "and", "to")
-_STOP_SQL = ", ".join(f"'{w}'" for w in _STOP)
+_STOP_SQL = ", ".join(f"'{w}'" for w in c.STOP_WORDS)
 
 
 @query("t1_keyword_counts", f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*')) AS word FROM conversations) WHERE word NOT IN ({_STOP_SQL}) GROUP BY 1")
 def keyword_counts(fx: Fixtures) -> DataFrame:
     words = fx.table("conversations").select(F.explode(c.keywords(F.col("text"))).alias("word"))
-    return words.where(~F.col("word").isin(*_STOP)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.where(~F.col("word").isin(*c.STOP_WORDS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a27_top_keywords", f"SELECT word, n, round(100.0 * n / (SELECT count(*) FROM conversations), 6) AS per_hundred FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]*')) AS word FROM conversations) WHERE word NOT IN ({_STOP_SQL}) GROUP BY 1) ORDER BY n DESC, word LIMIT 20")
@@ -405,10 +427,11 @@ def synonyms(fx: Fixtures) -> DataFrame:
     return fx.table("part").select("p_partkey", F.coalesce(table[norm], table[c.singular_term(norm)], F.lit("unmapped")).alias("term"))
 
 
-@query("t5_fence_extract", "SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM conversations")
+@query("t5_fence_extract", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text END AS body FROM conversations")
 def fence_extract(fx: Fixtures) -> DataFrame:
+    """Only a text that is one fence has a body."""
     rows = fx.table("conversations")
-    fenced = F.concat(F.lit("so:\n```json\n"), "text", F.lit("\n```\nend"))
+    fenced = F.concat(F.when(F.col("turn") % 2 == 0, F.lit("")).otherwise(F.lit("so: ")), F.lit("```json\n"), "text", F.lit("\n```\n"))
     return rows.select("conv_id", "turn", c.fenced_body(fenced).alias("body"))
 
 
@@ -515,10 +538,17 @@ def contract_lineage(fx: Fixtures) -> DataFrame:
     return versions.select("version", c.literal_map(lineage)[F.col("version")].alias("face"))
 
 
-@query("k3_split_manifest", duck("SELECT location, count(*) AS n_scenes, sha256(string_agg(scene_token, ',' ORDER BY scene_token)) AS scenes_sha256 FROM fx_scene GROUP BY 1", "fx_scene"))
+_PARTS = "SELECT location, substr(scene_token, 1, 3) AS part, count(*) AS n, sha256(string_agg(scene_token, ',' ORDER BY scene_token)) AS h FROM fx_scene GROUP BY 1, 2"
+
+
+@query("k3_split_manifest", duck(f"SELECT location, CAST(sum(n) AS BIGINT) AS n_scenes, sha256(string_agg(h, ',' ORDER BY part)) AS scenes_sha256 FROM ({_PARTS}) GROUP BY 1", "fx_scene"))
 def split_manifest(fx: Fixtures) -> DataFrame:
-    scenes = fx.view("fx_scene").groupBy("location").agg(F.count(F.lit(1)).alias("n_scenes"), F.array_sort(F.collect_list("scene_token")).alias("s"))
-    return scenes.select("location", "n_scenes", F.sha2(F.array_join("s", ","), 256).alias("scenes_sha256"))
+    """A two-level hash of a location's scenes: names are hashed by their first characters, and those hashes once more."""
+    in_order = lambda *cols: F.array_sort(F.collect_list(F.struct(*cols)))
+    parts = fx.view("fx_scene").groupBy("location", F.substring("scene_token", 1, 3).alias("part")).agg(F.count(F.lit(1)).alias("n"), in_order("scene_token").alias("s"))
+    parts = parts.select("location", "part", "n", F.sha2(F.array_join(F.col("s.scene_token"), ","), 256).alias("h"))
+    whole = parts.groupBy("location").agg(F.sum("n").alias("n_scenes"), in_order("part", "h").alias("p"))
+    return whole.select("location", "n_scenes", F.sha2(F.array_join(F.col("p.h"), ","), 256).alias("scenes_sha256"))
 
 
 @query("k5_grid_files", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarryframe.functions.columns import f1, total
 from quarryframe.operators import statistics as st
 from quarryframe.operators import windows as w
+from quarryframe.operators.metrics import ci_gate
 from quarryframe.plans.fixtures import Fixtures, duck
 from quarryframe.plans.registry import query
 
@@ -15,8 +16,8 @@ _W = "PARTITION BY scene_token ORDER BY timestamp_us, sample_id"
 _WINDOWED = f"""SELECT *, count(*) OVER h AS k, min(CAST(has_camera AS INT)) OVER h AS cam, min(CAST(has_image AS INT)) OVER h AS img,
   timestamp_us - lag(timestamp_us) OVER ({_W}) AS g1, lag(timestamp_us, 1) OVER ({_W}) - lag(timestamp_us, 2) OVER ({_W}) AS g2,
   lag(timestamp_us, 2) OVER ({_W}) - lag(timestamp_us, 3) OVER ({_W}) AS g3 FROM fx_keyframe WINDOW h AS ({_W} ROWS 3 PRECEDING)"""
-_REASON = """CASE WHEN k < 4 THEN 'INSUFFICIENT_HISTORY' WHEN cam = 0 THEN 'NO_CAM_FRONT' WHEN img = 0 THEN 'MISSING_IMAGE'
-  WHEN least(g1, g2, g3) <= 0 OR greatest(g1, g2, g3) > 90000000000 THEN 'BAD_GAP' WHEN NOT has_calibration THEN 'MISSING_CALIBRATION' END"""
+_REASON = """CASE WHEN k < 4 THEN 'INSUFFICIENT_HISTORY' WHEN cam = 0 THEN 'NO_CAM_FRONT' WHEN least(g1, g2, g3) <= 0 THEN 'NON_INCREASING_TIME'
+  WHEN greatest(g1, g2, g3) > 90000000000 THEN 'BAD_GAP' WHEN img = 0 THEN 'MISSING_IMAGE' WHEN NOT has_calibration THEN 'MISSING_CALIBRATION' WHEN ego_yaw IS NULL THEN 'NUMERIC_ANOMALY' END"""
 
 
 def reasoned(fx: Fixtures) -> DataFrame:
@@ -225,7 +226,7 @@ def round_robin_sample(fx: Fixtures) -> DataFrame:
 @query("r7_modulo_shards", duck("SELECT scene_token, (dense_rank() OVER (ORDER BY scene_token) - 1) % 8 AS shard FROM (SELECT DISTINCT scene_token FROM fx_keyframe)", "fx_keyframe"))
 def modulo_shards(fx: Fixtures) -> DataFrame:
     scenes = fx.view("fx_keyframe").select("scene_token").distinct()
-    return scenes.select("scene_token", ((F.row_number().over(Window.orderBy("scene_token")) - 1) % 8).cast("long").alias("shard"))
+    return w.numbered_names(scenes, "scene_token", "no").select("scene_token", (F.col("no") % 8).alias("shard"))
 
 
 @query("r8_prefix_subset", duck("SELECT scene_token, sample_id FROM (SELECT scene_token, sample_id, row_number() OVER (PARTITION BY scene_token ORDER BY sample_id) AS r FROM fx_keyframe) WHERE r <= 5", "fx_keyframe"))
@@ -253,11 +254,13 @@ def resume(fx: Fixtures) -> DataFrame:
 
 # -- bootstrap: yields of anchors by customer ---------------------------------------------------------------------
 
-_B = 50
+_B = 2000
+#: r4 returns the weights themselves.
+_B_SHOWN = 50
 _CELLS = """SELECT scene_token, sum(CAST(gt_yield AND pred_yield AS BIGINT)) AS tp, sum(CAST(NOT gt_yield AND pred_yield AS BIGINT)) AS fp, sum(CAST(gt_yield AND NOT pred_yield AS BIGINT)) AS fn,
   sum(CAST(gt_yield AND NOT (anchor_id % 10 < 4) AS BIGINT)) AS fn2, sum(CAST(gt_yield AND anchor_id % 10 < 4 AS BIGINT)) AS tp2, sum(CAST(NOT gt_yield AND anchor_id % 10 < 4 AS BIGINT)) AS fp2 FROM fx_anchor WHERE parse_ok GROUP BY 1"""
-_WEIGHTS = f"""n AS (SELECT scene_token, row_number() OVER (ORDER BY scene_token) - 1 AS no, count(*) OVER () AS k FROM (SELECT DISTINCT scene_token FROM fx_anchor WHERE parse_ok)),
-d AS (SELECT b, CAST(('0x' || substr(md5(concat('seed:', b, ':', no)), 1, 8)) AS BIGINT) % k AS no FROM n, range(0, {_B}) r(b)),
+_WEIGHTS = """n AS (SELECT scene_token, row_number() OVER (ORDER BY scene_token) - 1 AS no, count(*) OVER () AS k FROM (SELECT DISTINCT scene_token FROM fx_anchor WHERE parse_ok)),
+d AS (SELECT b, CAST(('0x' || substr(md5(concat('seed:', b, ':', no)), 1, 8)) AS BIGINT) %% k AS no FROM n, range(0, %d) r(b)),
 wt AS (SELECT b AS replicate, scene_token, count(*) AS weight FROM d JOIN n USING (no) GROUP BY 1, 2)"""
 
 
@@ -274,7 +277,7 @@ def replicate_scores(fx: Fixtures) -> DataFrame:
     return totals.select("replicate", score("").alias("f1"), score("2").alias("f1_other"))
 
 
-_SCORES = f"""c AS ({_CELLS}), {_WEIGHTS}, s AS (SELECT replicate, CASE WHEN sum(weight * tp) = 0 THEN 0 ELSE 2 * sum(weight * tp) / (2 * sum(weight * tp) + sum(weight * fp) + sum(weight * fn)) END AS f1,
+_SCORES = f"""c AS ({_CELLS}), {_WEIGHTS % _B}, s AS (SELECT replicate, CASE WHEN sum(weight * tp) = 0 THEN 0 ELSE 2 * sum(weight * tp) / (2 * sum(weight * tp) + sum(weight * fp) + sum(weight * fn)) END AS f1,
   CASE WHEN sum(weight * tp2) = 0 THEN 0 ELSE 2 * sum(weight * tp2) / (2 * sum(weight * tp2) + sum(weight * fp2) + sum(weight * fn2)) END AS f1_other FROM wt JOIN c USING (scene_token) GROUP BY 1)"""
 
 
@@ -291,9 +294,9 @@ def paired_delta(fx: Fixtures) -> DataFrame:
     return ci.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n")
 
 
-@query("r4_hash_draws", duck(f"WITH {_WEIGHTS} SELECT replicate, scene_token, weight FROM wt", "fx_anchor"))
+@query("r4_hash_draws", duck(f"WITH {_WEIGHTS % _B_SHOWN} SELECT replicate, scene_token, weight FROM wt", "fx_anchor"))
 def hash_draws(fx: Fixtures) -> DataFrame:
-    return st.resample_weights(fx.view("fx_anchor").where("parse_ok"), "scene_token", _B, "seed")
+    return st.resample_weights(fx.view("fx_anchor").where("parse_ok"), "scene_token", _B_SHOWN, "seed")
 
 
 _CLASS_CELLS = """SELECT scene_token, a AS action, sum(CAST(gt_action = a AND pred_action = a AS BIGINT)) AS tp, sum(CAST(gt_action <> a AND pred_action = a AS BIGINT)) AS fp,
@@ -303,7 +306,7 @@ _CLASS_CELLS = """SELECT scene_token, a AS action, sum(CAST(gt_action = a AND pr
 @query(
     "r2_class_bootstrap",
     duck(
-        f"""WITH c AS ({_CLASS_CELLS}), {_WEIGHTS}, s AS (SELECT replicate, action, CASE WHEN sum(weight * tp) = 0 THEN 0 ELSE 2 * sum(weight * tp) / (2 * sum(weight * tp) + sum(weight * fp) + sum(weight * fn)) END AS f1
+        f"""WITH c AS ({_CLASS_CELLS}), {_WEIGHTS % _B}, s AS (SELECT replicate, action, CASE WHEN sum(weight * tp) = 0 THEN 0 ELSE 2 * sum(weight * tp) / (2 * sum(weight * tp) + sum(weight * fp) + sum(weight * fn)) END AS f1
 FROM wt JOIN c USING (scene_token) GROUP BY 1, 2) SELECT action, round(quantile_cont(f1, 0.025), 6) AS lo, round(quantile_cont(f1, 0.975), 6) AS hi FROM s GROUP BY 1""",
         "fx_anchor",
     ),
@@ -318,3 +321,22 @@ def class_bootstrap(fx: Fixtures) -> DataFrame:
     sums = weights.join(cells, "scene_token").groupBy("replicate", "action").agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")))
     scores = sums.withColumn("f1", f1(F.col("tp"), F.col("fp"), F.col("fn")))
     return scores.groupBy("action").agg(F.round(F.percentile("f1", 0.025), 6).alias("lo"), F.round(F.percentile("f1", 0.975), 6).alias("hi"))
+
+
+_BOUNDS = (-0.05, 0.0, 0.05)
+
+
+@query(
+    "d20_gates",
+    duck(
+        f"""WITH {_SCORES}, i AS (SELECT quantile_cont(f1_other - f1, 0.025) AS lo, quantile_cont(f1_other - f1, 0.975) AS hi, count(*) AS n FROM s)
+SELECT bound, CASE WHEN n = 0 THEN 'not_evaluated' WHEN lo > bound THEN 'true' WHEN hi < bound THEN 'false' ELSE 'undecided' END AS pass FROM i, (VALUES {', '.join(f'({b}::DOUBLE)' for b in _BOUNDS)}) v(bound)""",
+        "fx_anchor",
+    ),
+)
+def gates(fx: Fixtures) -> DataFrame:
+    """Whether the paired difference of two systems lies above each bound, by its bootstrap interval; an interval that holds the bound does not decide."""
+    ci = st.percentile_interval(replicate_scores(fx).withColumn("delta", F.col("f1_other") - F.col("f1")), "delta")
+    rows = ci.select("lo", "hi", "n", F.explode(F.array(*map(F.lit, _BOUNDS))).alias("bound"))
+    verdict = F.when(F.col("n") == 0, "not_evaluated").otherwise(F.coalesce(ci_gate(F.col("lo"), F.col("hi"), F.col("bound")).cast("string"), F.lit("undecided")))
+    return rows.select("bound", verdict.alias("pass"))

@@ -88,9 +88,9 @@ def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key), key, "left_anti")
 
 
-def markdown_table(rows: DataFrame, limit: int = 1000) -> str:
-    """A report table of an aggregate; ``limit`` bounds what reaches the driver."""
-    data = rows.limit(limit).collect()
+def markdown_table(rows: DataFrame) -> str:
+    """A report table of an aggregate, whole; the caller passes what a report can hold."""
+    data = rows.collect()
     head = rows.columns
     return "\n".join([f"| {' | '.join(head)} |", f"|{'|'.join('-' for _ in head)}|", *(f"| {' | '.join(str(v) for v in r)} |" for r in data)])
 

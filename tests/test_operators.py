@@ -30,18 +30,58 @@ def test_geometry(spark):
 
 
 def test_clearance_on_the_bound_does_not_fire(spark):
-    row = spark.sql("SELECT 1L anchor_id, 1 ann_no, 'car' category, 6.3D x_c, 0.0D y_c, 0.0D vx, 0.0D vy, 4.5D box_length_m, 2.0D box_width_m, 0.0D box_yaw_deg")
+    row = spark.sql("SELECT 1L anchor_id, 1 ann_no, 'car' category, 6.3D x_c, 0.0D y_c, 0.0D vx, 0.0D vy, 4.5D box_length_m, 2.0D box_width_m, 0.0D box_yaw_deg, cast(null as double) slowest, cast(null as double) fastest")
     got = labels.risk_columns(labels.with_geometry(row)).select(F.round(labels.clearance_samples(), 9), "fires").first()
     assert got[0] == 2.0
     assert labels.risk_columns(labels.with_geometry(row.withColumn("x_c", F.lit(6.2)))).first()["fires"]
 
 
+@pytest.mark.parametrize(
+    "changes,want",
+    [
+        ({"x_c": 15.0, "vx": 5.0, "slowest": 4.5}, {"lead_vehicle_braking"}),
+        ({"x_c": 15.0, "vx": 5.0, "slowest": 4.6}, set()),
+        ({"x_c": 15.0, "vx": 5.0}, set()),
+        ({"x_c": 15.0, "vx": 5.0, "slowest": 0.1, "category": "bicycle"}, {"lead_vehicle_braking"}),
+        ({"x_c": 15.0, "vx": 5.0, "slowest": 0.1, "category": "pedestrian"}, set()),
+        ({"x_c": 20.0}, {"stationary_obstacle"}),
+        ({"x_c": 20.0, "fastest": 0.5}, {"stationary_obstacle"}),
+        ({"x_c": 20.0, "fastest": 0.6}, set()),
+        ({"x_c": 19.5, "vx": -3.0, "y_c": 4.0, "category": "motorcycle"}, {"oncoming_traffic"}),
+        ({"x_c": 20.0, "vx": -3.0, "y_c": 4.0, "category": "motorcycle"}, set()),
+        ({"x_c": 0.0, "y_c": 5.5, "vx": 3.0}, {"object_near"}),
+    ],
+)
+def test_risk_factors(spark, changes, want):
+    plain = {"anchor_id": 1, "ann_no": 1, "category": "car", "x_c": 0.0, "y_c": 0.0, "vx": 0.0, "vy": 0.0, "box_length_m": 4.0, "box_width_m": 1.8, "box_yaw_deg": 0.0, "slowest": None, "fastest": None}
+    schema = "anchor_id long, ann_no int, category string, " + ", ".join(f"{k} double" for k in list(plain)[3:])
+    got = labels.risk_columns(labels.with_geometry(spark.createDataFrame([tuple((plain | changes).values())], schema))).first()
+    assert {f for f in labels.FACTORS if got[f]} == want
+
+
+def test_the_band_is_half_the_ego_and_the_margin(spark):
+    """1.1 m to the side is inside the band; the extent counts from the band's nearest point."""
+    row = "SELECT 1L anchor_id, 1 ann_no, 'car' category, 0.0D x_c, %sD y_c, 0.0D vx, 0.0D vy, 4.5D box_length_m, 2.0D box_width_m, 0.0D box_yaw_deg"
+    gap = lambda y: spark.sql(row % y).select(F.round(labels.clearance_samples(), 9)).first()[0]
+    assert gap("1.1") == -1e9 and gap("4.185") == 2.0
+
+
+def test_reasons_in_order(spark):
+    """A step back in time comes before a missing image, and a missing image after a gap."""
+    day = 86_400_000_000
+    times = {"a": [0, 1, 2, 3], "b": [0, 2, 2, 3], "c": [0, 1, 2, 3 + 2 * day], "d": [0, 1, 2, 3], "e": [0, 1, 2, 3]}
+    frames = [(s, i, t, s != "d" or i != 1, False if s in "abc" else True, True, 0.0, 0.0, 0.0 if s != "e" else float("nan")) for s, ts in times.items() for i, t in enumerate(ts)]
+    rows = spark.createDataFrame(frames, "scene_token string, sample_id long, timestamp_us long, has_camera boolean, has_image boolean, has_calibration boolean, ego_x double, ego_y double, ego_yaw double")
+    got = windows.history_window(rows).withColumn("r", windows.quarantine_reason(max_gap_us=day)).where("size(window) = 4").collect()
+    assert {r.scene_token: r.r for r in got} == {"a": "MISSING_IMAGE", "b": "NON_INCREASING_TIME", "c": "BAD_GAP", "d": "NO_CAM_FRONT", "e": "NUMERIC_ANOMALY"}
+
+
 @pytest.mark.parametrize("v,want", [((0.1, 0.1), "stationary"), ((0.0, 2.0), "crossing"), ((-3.0, 0.1), "oncoming"), ((3.0, 0.1), "same_direction"), ((0.0, 0.0), "stationary")])
 def test_motion_state(spark, v, want):
     assert one(spark, c.motion_state(F.lit(v[0]), F.lit(v[1])))[0] == want
 
 
-@pytest.mark.parametrize("v0,ahead,want", [(5.0, [0.2, 3.0], "STOP"), (5.0, [4.0], "DECELERATE"), (5.0, [6.0], "ACCELERATE"), (5.0, [5.1], "KEEP_SPEED"), (5.0, [], "KEEP_SPEED"), (0.2, [0.1], "DECELERATE")])
+@pytest.mark.parametrize("v0,ahead,want", [(5.0, [0.2, 3.0], "STOP"), (5.0, [4.0], "DECELERATE"), (5.0, [6.0], "ACCELERATE"), (5.0, [5.1], "KEEP_SPEED"), (5.0, [], "KEEP_SPEED"), (0.2, [0.1], "STOP"), (5.0, [0.5], "DECELERATE")])
 def test_speed_action(spark, v0, ahead, want):
     speeds = F.array(*map(F.lit, ahead)) if ahead else F.expr("cast(array() as array<double>)")
     assert one(spark, c.speed_action(F.lit(v0), speeds))[0] == want
@@ -65,16 +105,22 @@ def edit(**changes):
     "text,status,keyword",
     [
         (json.dumps(GOOD), "ok", None),
-        (f"x ```json\n{json.dumps(GOOD)}\n``` y", "ok", None),
+        (f"x ```json\n{json.dumps(GOOD)}\n``` y", "json_parse_failure", "truncated"),
+        (f" ```\n{json.dumps(GOOD)}\n``` ", "ok", None),
         ("", "json_parse_failure", "truncated"),
         (None, "json_parse_failure", "invalid"),
         ("{truncated", "json_parse_failure", "truncated"),
-        (edit(speed_action="HALT"), "schema_violation", "enum"),
-        (edit(extra=1), "schema_violation", "additionalProperties"),
-        (edit(yield_required=1), "schema_violation", "type"),
-        (edit(risk_factors=[{"factor": "object_near", "objects": [9]}]), "semantic_violation", "unknown_ref"),
-        (edit(critical_objects=[GOOD["critical_objects"][0]] * 2), "semantic_violation", "unique_ids"),
-        (edit(critical_objects=[GOOD["critical_objects"][0] | {"id": i} for i in range(9)]), "schema_violation", "maxItems"),
+        (edit(speed_action="HALT"), "schema_failure", "enum"),
+        (edit(extra=1), "schema_failure", "additionalProperties"),
+        (edit(yield_required=1), "schema_failure", "type"),
+        (edit(risk_factors=[{"factor": "object_near", "objects": [9]}]), "semantic_range_failure", "unknown_ref"),
+        (edit(critical_objects=[GOOD["critical_objects"][0]] * 2), "semantic_range_failure", "repeated_id"),
+        (edit(critical_objects=[GOOD["critical_objects"][0] | {"id": i} for i in range(9)]), "schema_failure", "maxItems"),
+        (edit(risk_factors=[{"factor": "lead_vehicle_braking", "objects": [0, 0]}]), "semantic_range_failure", "repeated_ref"),
+        (edit(risk_factors=[{"factor": "Oncoming traffic", "objects": [0]}]), "ok", None),
+        (edit(risk_factors=[{"factor": "oncoming_vehicle", "objects": [0]}]), "schema_failure", "enum"),
+        (edit(critical_objects=[GOOD["critical_objects"][0] | {"bbox_2d": [1, 2, 1, 2]}]), "ok", None),
+        (edit(critical_objects=[GOOD["critical_objects"][0] | {"bbox_2d": [1, 2, 1601, 3]}]), "semantic_range_failure", "image_bounds"),
         (edit(critical_objects=[], risk_factors=[{"factor": "object_near", "objects": [0]}]), "ok", None),
     ],
 )
