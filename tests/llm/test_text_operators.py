@@ -223,6 +223,10 @@ def page(body, head="", tail=""):
         ("<article><p>cut <a href='x", "cut"),
         ("text <3 and > here", "text <3 and > here"),
         (page("<div id='cookie-notice'>n</div><p>body</p>"), "body"),
+        (page("<article><p>one</p></article><div>between</div><article><p>two</p></article>"), "one\n\ntwo"),
+        (page("<article><h2 id='share'>S</h2><div class='ad-hoc'>a</div><section class='menu'><p>soup</p></section><div class='ad'>x</div></article>"), "S\n\na\n\nsoup"),
+        ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"),
+        (page("a<div>b<p>c</p>d</div>e"), "a\n\nb\n\nc\n\nd\n\ne"),
     ],
 )
 def test_page_text(html, want):
@@ -250,6 +254,25 @@ def test_wrapper_drops_template_and_keeps_slots(spark):
     assert ht.induce([shop_page(1), shop_page(1)], ht.WrapperConfig()) is None
 
 
+def test_the_wrapper_decides_where_a_page_marks_an_article():
+    """A notice inside the marked article is template, and a second body block outside it is a slot."""
+    made = lambda i: f"<html><body><div class='all'><article><div class='note'>Great shop since 1990</div><p>{hp.prose(i, 60)}</p></article><div class='more'><p>{hp.prose(i + 500, 60)}</p></div></div></body></html>"
+    wrapper = json.loads(ht.induce([made(i) for i in range(4)], ht.WrapperConfig()))
+    assert ht.extract(made(9), wrapper) == f"{hp.prose(9, 60)}\n\n{hp.prose(509, 60)}"
+    assert ht.extract(made(9)) == f"Great shop since 1990\n\n{hp.prose(9, 60)}"
+    assert ht.extract("<article><p>another layout</p></article>", wrapper) == "another layout"
+
+
+def test_deep_and_long_pages_are_matched_in_bounds():
+    deep = lambda i: "<div>" * 3000 + f"<p>{hp.prose(i, 60)}</p>"
+    wrapper = ht.induce([deep(i) for i in range(3)], ht.WrapperConfig())
+    assert ht.extract(deep(7), wrapper and json.loads(wrapper)) == hp.prose(7, 60)
+    long = lambda i: f"<div class='a'>Great shop since 1990</div><table>{''.join(f'<tr><td>{i} {k}</td><td>{k * i}</td></tr>' for k in range(5000))}</table>"
+    wrapper = json.loads(ht.induce([long(i) for i in range(1, 4)], ht.WrapperConfig()))
+    got = ht.extract(long(8), wrapper).split("\n\n")
+    assert "Great shop since 1990" not in got and len(got) == 10_000
+
+
 @pytest.mark.parametrize("limit", [16_000_000, 0])
 def test_pages_by_host(spark, limit):
     rows = [(i, f"http://Shop.example/{i}", shop_page(i), "t") for i in range(12)] + [(20, None, shop_page(20), "t"), (21, "http://one.example/", None, "t"), (None, "http://shop.example/x", "", "t"), (3, "http://shop.example/3", shop_page(3), "t")]
