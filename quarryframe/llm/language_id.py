@@ -8,7 +8,7 @@ It is trained in numpy by backpropagation through time on a bounded sample of la
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -114,7 +114,7 @@ def train(words: list[bytes], labels: np.ndarray, languages: list[str], cfg: Lan
     shape = {"i": (256, 3 * h), "r": (h, 3 * h), "b": (3 * h,)}
     params = [rng.normal(0, 0.3 if k == "i" else h**-0.5, s).astype(np.float32) * (k != "b") for _ in range(2) for k, s in shape.items()]
     params += [rng.normal(0, (2 * h) ** -0.5, (2 * h, c)).astype(np.float32), np.zeros(c, np.float32)]
-    net = Network(languages, params[0:6:3], params[1:6:3], params[2:6:3], params[6], params[7], cfg.word_bytes, zlib.crc32(repr((cfg, languages, len(words))).encode()))
+    net = Network(languages, params[0:6:3], params[1:6:3], params[2:6:3], params[6], params[7], cfg.word_bytes)
     parts = [w[: cfg.word_bytes] for w in words]
     sizes = np.array([len(p) for p in parts])
     weight = 1 / np.maximum(1, np.bincount(labels, minlength=c))[labels]
@@ -132,6 +132,8 @@ def train(words: list[bytes], labels: np.ndarray, languages: list[str], cfg: Lan
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+    # a worker's memory of words belongs to these weights
+    net.key = int.from_bytes(hashlib.blake2b(b"".join(p.tobytes() for p in params), digest_size=8).digest(), "little")
     return net
 
 
@@ -166,11 +168,17 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     return [*grads, d_out, d_bias]
 
 
+def unlearned(cfg: LanguageConfig) -> Network:
+    """A network without languages: every document is ``und``."""
+    return Network([], [], [], [], np.zeros((0, 0)), np.zeros(0), cfg.word_bytes)
+
+
 def fit(docs: DataFrame, cfg: LanguageConfig | None = None) -> Network:
     """Train on a sample of ``docs`` (doc_id, text, lang) outside the held-out part.
 
     Of each language about ``sample_docs`` documents are taken by a hash of the doc_id, and of each up to
-    ``sample_words`` words spread over the whole text.
+    ``sample_words`` words spread over the whole text. Null texts, labels and ids teach nothing, rows that share a doc_id count each,
+    and without a document to learn from the network has no language.
     """
     need_columns(docs, "doc_id", "text", "lang")
     cfg = cfg or LanguageConfig()
@@ -178,7 +186,7 @@ def fit(docs: DataFrame, cfg: LanguageConfig | None = None) -> Network:
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     rows = counts.where(F.col("n") >= cfg.min_docs).orderBy("lang").collect()
     if not rows:
-        raise ValueError("no labelled documents to learn from")
+        return unlearned(cfg)
     languages = [r.lang for r in rows]
     share = F.create_map(*(F.lit(v) for r in rows for v in (r.lang, min(1.0, cfg.sample_docs / r.n))))
     chosen = known.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
@@ -200,7 +208,7 @@ def fit(docs: DataFrame, cfg: LanguageConfig | None = None) -> Network:
         words += some
         labels += [languages.index(lang)] * len(some)
     if not words:
-        raise ValueError("no labelled documents with letters to learn from")
+        return unlearned(cfg)
     return train(words, np.array(labels), languages, cfg)
 
 
@@ -252,13 +260,13 @@ def identify(docs: DataFrame, net: Network, cfg: LanguageConfig | None = None) -
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = Labeller(net, cfg.cache_words)
+        label = Labeller(net, cfg.cache_words) if net.languages else None
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 texts = part.column(at).to_pylist()
                 pred, score, shares = [], [], []
-                for text, row in zip(texts, label(texts), strict=True):
+                for text, row in zip(texts, label(texts) if net.languages else np.zeros((len(texts), 1)), strict=True):
                     if not row[-1] or not has_letter(text):
                         pred.append(UNKNOWN)
                         score.append(0.0)

@@ -7,7 +7,7 @@ prefixes; what is small enough is compared whole. So a dense region costs as muc
 
 A split loses pairs that part above it, so each row's coverage is counted: a tree that compares a region at depth d finds a
 pair of the least similarity s with probability s**d. A row shares its partner's region in a part of the trees only, so what counts for all trees is
-the value of the worst sixth of them. Rows with less than ``coverage`` in all go on in rounds with fresh min-hashes and twice the trees. Pairs inside one component count as found, so a group of near copies is closed after its first links, and a row with too many
+the value of the worst fifth of them. Rows with less than ``coverage`` in all go on in rounds with fresh min-hashes and twice the trees. Pairs inside one component count as found, so a group of near copies is closed after its first links, and a row with too many
 shingles that no other open row has is closed for good.
 Rows that are still open after the last round are joined exactly, on the rarest shingles (prefix filter), with all open rows.
 
@@ -21,7 +21,7 @@ import hashlib
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +48,13 @@ class NearConfig:
     #: The common prefix that a region starts with.
     depth: int = 4
     #: A region is compared whole if its labels and sizes leave at most so many pairs for each of its rows; else it is split.
-    region_pairs: int = 3
-    #: The same in later rounds, whose rows tell more pairs apart.
-    late_pairs: int = 8
+    region_pairs: int = 8
+    #: Of a region with more rows the first round takes neighbours only, for its rows go on to later rounds, which tell more pairs apart.
+    first_rows: int = 64
     #: Trees that have to find a pair of the least similarity, in the mean: such a pair is missed with probability exp(-coverage).
-    coverage: float = 6.0
+    coverage: float = 5.0
     #: Trees of the first later round, and those of each round by which coverage is accounted for.
-    account: int = 12
+    account: int = 10
     #: Rounds for rows without that coverage, each with twice the trees; what is open then is joined exactly.
     rounds: int = 5
     #: So few open rows are joined exactly at once.
@@ -69,7 +69,7 @@ class NearConfig:
 
 
 #: Regions of so many rows are looked at pair by pair inside a task, to count those that labels and sizes leave over.
-_SMALL = 512
+_SMALL = 2048
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -200,13 +200,18 @@ def scan(label: np.ndarray, comp: np.ndarray, size: np.ndarray, own: np.ndarray,
     for k in np.nonzero(odd)[0].tolist():
         first, last = int(bounds[k]), int(bounds[k + 1])
         todo, deepest = [(first, last, cfg.depth)], cfg.depth
+        if bits is None and last - first > cfg.first_rows:
+            beside = np.arange(first, last - 1)
+            beside = beside[(comp[beside] != comp[beside + 1]) & ((label[beside] == label[beside + 1]).sum(1) - 1 >= need)]
+            pairs += [(i, i + 1, int(common[i + 1])) for i in beside.tolist()]
+            todo, deepest = [], width + 1
         while todo:
             lo, hi, depth = todo.pop()
             m, inside = hi - lo, comp[lo:hi]
             names, counts = np.unique(inside, return_counts=True)
             cross = (m * m - int((counts**2).sum())) // 2
             found: list[tuple[int, int, int]] = []
-            if cross and (m <= (_SMALL if bits is None else 4 * _SMALL) or cross <= cfg.region_pairs * m):
+            if cross and (m <= _SMALL or cross <= cfg.region_pairs * m):
                 # of the largest component in the region only the other rows look for partners
                 few = lo + np.nonzero(inside != names[counts.argmax()])[0] if len(names) < m else np.arange(lo, hi)
                 met, cross = left_over(lo, hi, few, cfg.region_pairs * m)
@@ -330,7 +335,7 @@ def open_rows(walked: DataFrame, before: DataFrame | None, trees: int, cfg: Near
     # the list holds a value for each tree of the account at most
     lacks = lacks.where("lack > 0").groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_list("lack"), False).alias("lacks"))
     rows = lacks.withColumn("need", F.lit(cfg.coverage)) if before is None else before.join(lacks, "node", "left")
-    worst = F.coalesce(F.get("lacks", F.lit(cfg.account // 6 - 1)), F.lit(0.0))
+    worst = F.coalesce(F.get("lacks", F.lit(cfg.account // 5 - 1)), F.lit(0.0))
     need = F.col("need") - trees * (cfg.least**cfg.depth - worst)
     return materialize(rows.select("node", need.alias("need")).where("need > 0"), "open")
 
@@ -489,7 +494,7 @@ def near_dedup(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
             break
         (need, texts), trees = left, cfg.account << (turn - 1)
         signed = texts.mapInArrow(_fresh_signatures(cfg, turn), "node long, signature binary, bits binary")
-        walked = forest(signed.join(need.drop("need"), "node"), replace(cfg, region_pairs=cfg.late_pairs), trees, cfg.pool // 2, turn)
+        walked = forest(signed.join(need.drop("need"), "node"), cfg, trees, cfg.pool // 2, turn)
         met = walked.where("prefix is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         met = materialize(met, "candidates")
         tested = tested.unionAll(met)

@@ -49,7 +49,7 @@ class OrdinalModel:
 
     def probabilities(self, score: np.ndarray) -> np.ndarray:
         """Probability of each grade or more, (n, grades)."""
-        return 1 / (1 + np.exp(np.clip(np.array(self.thresholds)[None, :] - np.asarray(score)[:, None], -60, 60)))
+        return 1 / (1 + np.exp(np.clip(np.array(self.thresholds)[None, :] - np.asarray(score)[:, None], -60, 600)))
 
 
 def value(count: int | np.ndarray, n_words: int | np.ndarray) -> float | np.ndarray:
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig | None = None) -
 
     About ``sample_docs`` documents of each class are taken by a hash of the doc_id and weighted back to their
     class's share. Their features are counted on the executors. Null labels and labels without
-    a document are left out.
+    a document are left out, and rows that share a doc_id count each. Without a toxic label every document has severity 0.
     """
     need_columns(docs, "doc_id", "text")
     need_columns(labels, "doc_id", "toxic")
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig | None = None) -
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("__id"), (F.col("toxic") > 0).alias("__toxic"))
     sizes = {r[0]: r[1] for r in known.groupBy("__toxic").count().collect()}
     if not sizes.get(True):
-        raise ValueError("no document is labelled as toxic")
+        return OrdinalModel({}, [100.0 + k for k in range(cfg.grades)], cfg.prefixes)  # nothing to learn from: severity 0
     share = F.when(F.col("__toxic"), min(1.0, cfg.sample_docs / sizes[True])).otherwise(min(1.0, cfg.sample_docs / max(1, sizes.get(False, 0))))
     chosen = known.where(F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1_000_003)) < share * 1_000_003)
     # about 2 * sample_docs rows of 9 bytes
