@@ -21,7 +21,7 @@ import hashlib
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ class NearConfig:
     depth: int = 4
     #: A region is compared whole if its labels and sizes leave at most so many pairs for each of its rows; else it is split.
     region_pairs: int = 8
+    #: The same in later rounds, where what sketches leave over is close to the bound and has to be compared in any case.
+    late_pairs: int = 64
     #: Of a region with more rows the first round takes neighbours only, for its rows go on to later rounds, which tell more pairs apart.
     first_rows: int = 64
     #: Trees that have to find a pair of the least similarity, in the mean: such a pair is missed with probability exp(-coverage).
@@ -494,7 +496,7 @@ def near_dedup(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame:
             break
         (need, texts), trees = left, cfg.account << (turn - 1)
         signed = texts.mapInArrow(_fresh_signatures(cfg, turn), "node long, signature binary, bits binary")
-        walked = forest(signed.join(need.drop("need"), "node"), cfg, trees, cfg.pool // 2, turn)
+        walked = forest(signed.join(need.drop("need"), "node"), replace(cfg, region_pairs=cfg.late_pairs), trees, cfg.pool // 2, turn)
         met = walked.where("prefix is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         met = materialize(met, "candidates")
         tested = tested.unionAll(met)
