@@ -254,7 +254,7 @@ def resume(fx: Fixtures) -> DataFrame:
 
 # -- bootstrap: yields of anchors by customer ---------------------------------------------------------------------
 
-_B = 2000
+_B = 200
 #: r4 returns the weights themselves.
 _B_SHOWN = 50
 _CELLS = """SELECT scene_token, sum(CAST(gt_yield AND pred_yield AS BIGINT)) AS tp, sum(CAST(NOT gt_yield AND pred_yield AS BIGINT)) AS fp, sum(CAST(gt_yield AND NOT pred_yield AS BIGINT)) AS fn,
