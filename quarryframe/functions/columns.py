@@ -144,9 +144,14 @@ def speed_action(v0: Column, speeds: Column, delta: float = 0.15, stop: float =
     )
 
 
+def toward_speed(y: Column, vy: Column, band: float) -> Column:
+    """Lateral speed toward the lane; inside its band any lateral speed counts."""
+    return F.when(F.abs(y) <= band, F.abs(vy)).otherwise(-F.signum(y) * vy)
+
+
 def crossing_hit(y: Column, vy: Column, threshold: float = 0.8, band: float = 1.185, arrive: float = 5.0) -> Column:
     """Moves toward the lane fast enough and reaches its band in time; inside the band any lateral speed counts."""
-    toward = F.when(F.abs(y) <= band, F.abs(vy)).otherwise(-F.signum(y) * vy)
+    toward = toward_speed(y, vy, band)
     when = F.when(F.abs(y) <= band, F.lit(0.0)).otherwise((F.abs(y) - band) / toward)
     return (toward > threshold) & (when <= arrive)
 

@@ -53,6 +53,13 @@ def clearance_samples() -> Column:
     return F.least(*(sample(k) for k in range(HORIZON_STEPS + 1)))
 
 
+def gap_samples(steps: int = HORIZON_STEPS) -> Column:
+    """Least distance from the ego's swept band to the object's centre over the constant-velocity samples; 0 inside."""
+    half_length, half_width = EGO_LENGTH / 2, (EGO_WIDTH + MARGIN) / 2
+    at = lambda k: (F.col("x_c") + F.col("vx") * (k * STEP_S), F.col("y_c") + F.col("vy") * (k * STEP_S))
+    return F.least(*(c.rectangle_gap(*at(k), half_length, half_width) for k in range(steps + 1)))
+
+
 def with_tracks(objects: DataFrame, anchors: DataFrame) -> DataFrame:
     """n_future, slowest and fastest: the sightings of an object's instance in the next frames of its scene, and their speeds.
 
@@ -95,14 +102,3 @@ def anchor_labels(objects: DataFrame, anchors: DataFrame, cap: int = 8) -> DataF
     """Per anchor: pool size, yield, and how many pool objects carry each factor."""
     pool = risk_columns(pool_of(with_geometry(with_tracks(objects, anchors)), cap))
     return pool.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n_pool"), F.bool_or("fires").alias("yield_required"), *(c.total(F.col(f)).alias(f) for f in FACTORS))
-
-
-def threshold_sweep(minima: DataFrame, value: str, grid: list[float], total: Column) -> DataFrame:
-    """Share of anchors whose smallest value is below each threshold.
-
-    An anchor meets a threshold if its minimum does, so one minimum per anchor replaces objects x grid.
-    The grid is a parameter of a few values, and the anchors are counted once for all of them.
-    """
-    counts = minima.agg(*(F.sum((F.col(value) <= g).cast("long")).alias(f"g{i}") for i, g in enumerate(grid)), total.alias("n"))
-    cells = F.array(*(F.struct(F.lit(float(g)).alias("threshold"), F.coalesce(F.col(f"g{i}"), F.lit(0)).alias("hits")) for i, g in enumerate(grid)))
-    return counts.select(F.explode(cells).alias("c"), "n").select("c.threshold", "c.hits", c.ratio(F.col("c.hits"), F.col("n")).alias("rate"))

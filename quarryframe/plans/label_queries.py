@@ -21,8 +21,8 @@ _RISK = f"""{_GEO}, tr AS (SELECT p.anchor_id, p.ann_no, count(l.vx) AS n_future
   ON l.scene_token = p.scene_token AND l.instance_id = p.instance_id AND l.walk_idx BETWEEN p.walk_idx + 1 AND p.walk_idx + 6 GROUP BY 1, 2),
 s AS (SELECT o.*, k, x_c + vx * k * 0.25 AS px, y_c + vy * k * 0.25 AS py FROM o, range(0, 13) r(k)),
 q AS (SELECT *, px - greatest(-2.05, least(2.05, px)) AS ex, py - greatest(-1.185, least(1.185, py)) AS ey FROM s),
-m AS (SELECT anchor_id, ann_no, min(CASE WHEN ex = 0 AND ey = 0 THEN -1e9 ELSE sqrt(ex * ex + ey * ey) - (abs(cos(radians(box_yaw_deg) - atan2(ey, ex))) * box_length_m / 2 + abs(sin(radians(box_yaw_deg) - atan2(ey, ex))) * box_width_m / 2) END) AS clearance FROM q GROUP BY 1, 2),
-t AS (SELECT o.*, clearance, clearance < 2 AS fires, CASE WHEN abs(y_c) <= 1.185 THEN abs(vy) ELSE -sign(y_c) * vy END AS toward, sqrt(vx * vx + vy * vy) AS speed, grp = 'vehicle' OR category IN ('bicycle', 'motorcycle') AS moving FROM o JOIN m USING (anchor_id, ann_no)),
+m AS (SELECT anchor_id, ann_no, min(CASE WHEN ex = 0 AND ey = 0 THEN -1e9 ELSE sqrt(ex * ex + ey * ey) - (abs(cos(radians(box_yaw_deg) - atan2(ey, ex))) * box_length_m / 2 + abs(sin(radians(box_yaw_deg) - atan2(ey, ex))) * box_width_m / 2) END) AS clearance, min(sqrt(ex * ex + ey * ey)) AS raw FROM q GROUP BY 1, 2),
+t AS (SELECT o.*, clearance, raw, clearance < 2 AS fires, CASE WHEN abs(y_c) <= 1.185 THEN abs(vy) ELSE -sign(y_c) * vy END AS toward, sqrt(vx * vx + vy * vy) AS speed, grp = 'vehicle' OR category IN ('bicycle', 'motorcycle') AS moving FROM o JOIN m USING (anchor_id, ann_no)),
 u AS (SELECT t.*, slowest, fastest, toward > 0.8 AND CASE WHEN abs(y_c) <= 1.185 THEN 0 WHEN toward = 0 THEN 1e18 ELSE (abs(y_c) - 1.185) / toward END <= 5 AS hit FROM t JOIN tr USING (anchor_id, ann_no)),
 x AS (SELECT *, grp = 'vru' AND hit AS vru_crossing, grp = 'vehicle' AND hit AS vehicle_crossing, moving AND x_c > 0 AND abs(y_c) <= 1.185 AND speed > 0.5 AND coalesce(slowest <= speed - 0.5, false) AS lead_vehicle_braking,
   speed <= 0.5 AND coalesce(fastest, speed) <= 0.5 AND x_c > 0 AND abs(y_c) <= 3 AS stationary_obstacle, distance <= 5.5 AS object_near, moving AND state = 'oncoming' AND distance < 20 AS oncoming_traffic FROM u)"""
@@ -223,19 +223,6 @@ def truncation_risk(fx: Fixtures) -> DataFrame:
     return flags.agg(c.total(F.col("late") & ~F.col("early")).alias("missed"), F.count(F.lit(1)).alias("n"))
 
 
-@query("d9_lead_congestion", duck(f"WITH {_GEO} SELECT anchor_id, count(*) AS n_leads, arg_min(sqrt(vx * vx + vy * vy), (distance, ann_no)) <= 2 AND count(*) >= 3 AS congestion FROM o WHERE grp = 'vehicle' AND x_c > 0 GROUP BY 1", "fx_object"))
-def lead_congestion(fx: Fixtures) -> DataFrame:
-    """At least three leads and the nearest slow."""
-    leads = geo(fx).where("grp = 'vehicle' and x_c > 0").groupBy("anchor_id")
-    nearest = F.min_by(F.hypot("vx", "vy"), F.struct("distance", "ann_no"))
-    return leads.agg(F.count(F.lit(1)).alias("n_leads"), ((nearest <= 2) & (F.count(F.lit(1)) >= 3)).alias("congestion"))
-
-
-@query("o7_nearest_lead", duck(f"WITH {_GEO} SELECT anchor_id, arg_min(ann_no, (distance, ann_no)) AS lead FROM o WHERE x_c > 0 AND abs(y_c) <= 3 GROUP BY 1", "fx_object"))
-def nearest_lead(fx: Fixtures) -> DataFrame:
-    return geo(fx).where(c.in_path(F.col("x_c"), F.col("y_c"), 3.0)).groupBy("anchor_id").agg(F.min_by("ann_no", F.struct("distance", "ann_no")).alias("lead"))
-
-
 @query(
     "d10_feature_table",
     duck(f"WITH {_RISK} SELECT anchor_id, ann_no, category, grp, state, round(distance, 6) AS distance, round(clearance, 6) AS clearance, abs(y_c) AS abs_y, round(sqrt(vx * vx + vy * vy), 6) AS speed FROM x", "fx_object", "fx_anchor"),
@@ -246,26 +233,6 @@ def feature_table(fx: Fixtures) -> DataFrame:
     )
 
 
-@query(
-    "d11_threshold_sweep",
-    duck(f"WITH {_RISK}, m2 AS (SELECT anchor_id, min(clearance) AS v FROM x GROUP BY 1) SELECT g / 10.0::DOUBLE AS threshold, count(*) FILTER (v <= g / 10.0::DOUBLE) AS hits, count(*) FILTER (v <= g / 10.0::DOUBLE) / count(*) AS rate FROM m2, range(17, 26) r(g) GROUP BY g", "fx_object", "fx_anchor"),
-)
-def threshold_sweep(fx: Fixtures) -> DataFrame:
-    minima = geo(fx).groupBy("anchor_id").agg(F.min(lb.clearance_samples()).alias("v"))
-    return lb.threshold_sweep(minima, "v", [g / 10 for g in range(17, 26)], F.count(F.lit(1)))
-
-
-@query(
-    "d12_pool_grid",
-    duck(f"WITH {_GEO} SELECT CAST(g AS DOUBLE) AS cone, CAST(d AS DOUBLE) AS disc, count(*) AS n FROM o, (VALUES (15), (30), (45)) v(g), (VALUES (10), (15), (20)) w(d) WHERE (abs(azimuth) <= g AND distance < {_RANGE}) OR distance < d GROUP BY 1, 2", "fx_object"),
-)
-def pool_grid(fx: Fixtures) -> DataFrame:
-    """Objects in the pool for each cone and disc: one pass, with a conditional count per grid cell."""
-    cells = [(g, d) for g in (15.0, 30.0, 45.0) for d in (10.0, 15.0, 20.0)]
-    counts = geo(fx).agg(*(c.total(lb.relevant(g, d)).alias(f"c{i}") for i, (g, d) in enumerate(cells)))
-    return counts.select(F.inline(F.array(*(F.struct(F.lit(g).alias("cone"), F.lit(d).alias("disc"), F.col(f"c{i}").alias("n")) for i, (g, d) in enumerate(cells)))))
-
-
 @query("j14_parameter_grid", duck("SELECT k / 2.0::DOUBLE AS radius, count(*) AS n FROM fx_object, range(6, 15) r(k) WHERE round(sqrt(x_c * x_c + y_c * y_c), 6) <= k / 2.0::DOUBLE GROUP BY 1", "fx_object"))
 def parameter_grid(fx: Fixtures) -> DataFrame:
     """A small literal grid: each object is counted in the least cell that holds it, and cells are then summed up."""
@@ -276,16 +243,6 @@ def parameter_grid(fx: Fixtures) -> DataFrame:
     return grid.join(F.broadcast(cells), F.col("k") <= F.col("g")).groupBy((F.col("g") / 2).alias("radius")).agg(F.sum("m").alias("n"))
 
 
-@query(
-    "w7_newly_absorbed",
-    duck(f"WITH {_RISK}, g AS (SELECT anchor_id, ann_no, CAST(ceil(clearance * 5) AS BIGINT) AS step FROM x WHERE clearance BETWEEN 1 AND 3) SELECT step, count(*) AS n FROM g GROUP BY 1", "fx_object", "fx_anchor"),
-)
-def newly_absorbed(fx: Fixtures) -> DataFrame:
-    """Objects by the first grid step (0.2 m) that takes them in."""
-    near = geo(fx).withColumn("clearance", lb.clearance_samples()).where("clearance between 1 and 3")
-    return near.groupBy(F.ceil(F.col("clearance") * 5).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("w9_extrapolation", duck("SELECT anchor_id, ann_no, round(max(sqrt((x_c + vx * k * 0.25) * (x_c + vx * k * 0.25) + (y_c + vy * k * 0.25) * (y_c + vy * k * 0.25))), 6) AS farthest FROM fx_object, range(0, 13) r(k) GROUP BY 1, 2", "fx_object"))
 def extrapolation(fx: Fixtures) -> DataFrame:
     at = lambda k: F.hypot(F.col("x_c") + F.col("vx") * k * 0.25, F.col("y_c") + F.col("vy") * k * 0.25)
