@@ -2,29 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryframe.functions.columns import hash_draw
 from quarryframe.operators.windows import numbered_names
 
 
-def resample_weights(scenes: DataFrame, scene: str, replicates: int, seed: str) -> DataFrame:
-    """(replicate, scene, weight): how often each scene is drawn in a bootstrap replicate of as many draws as scenes.
+#: Draws that one row of the plan makes at a time, and the scenes up to which their counts are broadcast (about 100 bytes a scene).
+DRAW_BLOCK, MAX_BROADCAST_SCENES = 65_536, 200_000
+
 
-    Draw i of replicate b is a hash of (seed, b, i). Scenes are numbered by name; the draws are made in parallel.
+def scene_draws(spark: SparkSession, n: int, replicates: int, seed: str) -> DataFrame:
+    """(replicate, no): ``n`` draws of scene numbers for each replicate; draw i of replicate b is a hash of (seed, b, i).
+
+    Draws are made in blocks where they are used, so neither many scenes nor many replicates make a large row or a shuffle.
     """
+    blocks = -(-n // DRAW_BLOCK)
+    rows = spark.range(0, replicates * blocks, 1, max(1, min(replicates * blocks, 4 * spark.sparkContext.defaultParallelism)))
+    low = (F.col("id") % max(1, blocks)) * DRAW_BLOCK
+    places = F.sequence(low, F.least(low + DRAW_BLOCK, F.lit(n)) - 1)
+    drawn = rows.select(F.floor(F.col("id") / max(1, blocks)).cast("int").alias("replicate"), F.explode(places).alias("i"))
+    return drawn.select("replicate", hash_draw(seed, F.col("replicate"), F.col("i"), F.lit(n)).alias("no"))
+
+
+def resample_weights(scenes: DataFrame, scene: str, replicates: int, seed: str) -> DataFrame:
+    """(replicate, scene, weight): how often each scene is drawn in a bootstrap replicate of as many draws as scenes."""
     numbered = numbered_names(scenes.select(scene).distinct(), scene, "no")
-    n = numbered.agg(F.count(F.lit(1)).alias("n"))
-    draws = numbered.select(F.col("no").alias("i")).crossJoin(F.broadcast(n)).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = draws.select("replicate", hash_draw(seed, F.col("replicate"), F.col("i"), F.col("n")).alias("no")).groupBy("replicate", "no").agg(F.count(F.lit(1)).alias("weight"))
+    draws = scene_draws(scenes.sparkSession, numbered.count(), replicates, seed)
+    drawn = draws.groupBy("replicate", "no").agg(F.count(F.lit(1)).alias("weight"))
     return drawn.join(numbered, "no").select("replicate", scene, "weight")
 
 
-def weighted_totals(counts: DataFrame, weights: DataFrame, scene: str, columns: list[str]) -> DataFrame:
-    """Additive counts of each replicate: the counts are summed once per scene, and then weighted."""
-    per_scene = counts.groupBy(scene).agg(*(F.sum(c).alias(c) for c in columns))
-    return weights.join(per_scene, scene).groupBy("replicate").agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in columns))
+def resampled_totals(counts: DataFrame, scene: str, columns: list[str], replicates: int, seed: str) -> DataFrame:
+    """(replicate, columns): additive counts of each bootstrap replicate over scenes.
+
+    Counts are summed once per scene and then once per draw; only partial sums of replicates are shuffled. The counts of the scenes are
+    broadcast up to ``MAX_BROADCAST_SCENES`` of them and joined beyond it.
+    """
+    per_scene = numbered_names(counts.groupBy(scene).agg(*(F.sum(c).alias(c) for c in columns)), scene, "no").select("no", *columns)
+    n = counts.select(scene).distinct().count()
+    side = F.broadcast(per_scene) if n <= MAX_BROADCAST_SCENES else per_scene
+    return scene_draws(counts.sparkSession, n, replicates, seed).join(side, "no").groupBy("replicate").agg(*(F.sum(c).alias(c) for c in columns))
 
 
 def percentile_interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:

@@ -254,7 +254,7 @@ def resume(fx: Fixtures) -> DataFrame:
 
 # -- bootstrap: yields of anchors by customer ---------------------------------------------------------------------
 
-_B = 200
+_B = 2000
 #: r4 returns the weights themselves.
 _B_SHOWN = 50
 _CELLS = """SELECT scene_token, sum(CAST(gt_yield AND pred_yield AS BIGINT)) AS tp, sum(CAST(NOT gt_yield AND pred_yield AS BIGINT)) AS fp, sum(CAST(gt_yield AND NOT pred_yield AS BIGINT)) AS fn,
@@ -272,7 +272,7 @@ def anchor_cells(fx: Fixtures) -> DataFrame:
 
 def replicate_scores(fx: Fixtures) -> DataFrame:
     cells = anchor_cells(fx)
-    totals = st.weighted_totals(cells, st.resample_weights(cells, "scene_token", _B, "seed"), "scene_token", ["tp", "fp", "fn", "tp2", "fp2", "fn2"])
+    totals = st.resampled_totals(cells, "scene_token", ["tp", "fp", "fn", "tp2", "fp2", "fn2"], _B, "seed")
     score = lambda s: f1(F.col(f"tp{s}"), F.col(f"fp{s}"), F.col(f"fn{s}"))
     return totals.select("replicate", score("").alias("f1"), score("2").alias("f1_other"))
 
@@ -314,11 +314,13 @@ FROM wt JOIN c USING (scene_token) GROUP BY 1, 2) SELECT action, round(quantile_
 def class_bootstrap(fx: Fixtures) -> DataFrame:
     from quarryframe.functions.columns import ACTIONS
 
-    anchors = fx.view("fx_anchor").where("parse_ok").withColumn("action", F.explode(F.array(*map(F.lit, ACTIONS))))
-    g, p = F.col("gt_action") == F.col("action"), F.col("pred_action") == F.col("action")
-    cells = anchors.groupBy("scene_token", "action").agg(total(g & p).alias("tp"), total(~g & p).alias("fp"), total(g & ~p).alias("fn"))
-    weights = st.resample_weights(cells, "scene_token", _B, "seed")
-    sums = weights.join(cells, "scene_token").groupBy("replicate", "action").agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")))
+    g, p = F.col("gt_action"), F.col("pred_action")
+    cells = {}
+    for k, a in enumerate(ACTIONS):
+        cells |= {f"tp{k}": (g == a) & (p == a), f"fp{k}": (g != a) & (p == a), f"fn{k}": (g == a) & (p != a)}
+    counts = fx.view("fx_anchor").where("parse_ok").groupBy("scene_token").agg(*(total(v).alias(n) for n, v in cells.items()))
+    wide = st.resampled_totals(counts, "scene_token", list(cells), _B, "seed")
+    sums = wide.select(F.inline(F.array(*(F.struct(F.lit(a).alias("action"), *(F.col(f"{n}{k}").alias(n) for n in ("tp", "fp", "fn"))) for k, a in enumerate(ACTIONS)))))
     scores = sums.withColumn("f1", f1(F.col("tp"), F.col("fp"), F.col("fn")))
     return scores.groupBy("action").agg(F.round(F.percentile("f1", 0.025), 6).alias("lo"), F.round(F.percentile("f1", 0.975), 6).alias("hi"))
 

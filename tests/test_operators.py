@@ -154,11 +154,20 @@ def test_bootstrap_weights_equal_drawn_rows(spark):
     scenes = spark.range(7).selectExpr("concat('s', id) AS scene", "id AS n")
     weights = statistics.resample_weights(scenes, "scene", 20, "x")
     assert {r[0] for r in weights.groupBy("replicate").agg(F.sum("weight")).select("sum(weight)").collect()} == {7}
-    totals = statistics.weighted_totals(scenes, weights, "scene", ["n"])
+    totals = statistics.resampled_totals(scenes, "scene", ["n"], 20, "x")
     naive = weights.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).join(scenes, "scene").groupBy("replicate").agg(F.sum("n").alias("n"))
     assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, naive.collect()))
 
 
+def test_bootstrap_in_blocks_and_joined(spark, monkeypatch):
+    scenes = spark.range(11).selectExpr("concat('s', id) AS scene", "id AS n")
+    want = sorted(map(tuple, statistics.resampled_totals(scenes, "scene", ["n"], 9, "x").collect()))
+    monkeypatch.setattr(statistics, "DRAW_BLOCK", 4)
+    monkeypatch.setattr(statistics, "MAX_BROADCAST_SCENES", 0)
+    assert sorted(map(tuple, statistics.resampled_totals(scenes, "scene", ["n"], 9, "x").collect())) == want
+    assert statistics.resampled_totals(scenes.limit(0), "scene", ["n"], 9, "x").collect() == []
+
+
 def test_majority_and_nearest_rank(spark):
     rows = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "a")], "g string, k string")
     assert sorted(map(tuple, metrics.majority(rows, "g", "k").collect())) == [("g", "b", 0.5), ("h", "a", 1.0)]
