@@ -60,13 +60,6 @@ def micro_counts(fx: Fixtures) -> DataFrame:
     return micro(fx, 0.5)
 
 
-@query("d16_anchor_scores", matched_sql("SELECT b.anchor_id, b.n - coalesce(t.n, 0) AS missed, coalesce(t.n, 0) AS tp, round(coalesce(t.mean_iou, 0), 9) AS mean_iou FROM (SELECT anchor_id, count(*) AS n FROM fx_box GROUP BY 1) b LEFT JOIN (SELECT anchor_id, count(*) AS n, avg(iou) AS mean_iou FROM m GROUP BY 1) t USING (anchor_id)"))
-def anchor_scores(fx: Fixtures) -> DataFrame:
-    tp = matches(fx).groupBy("anchor_id").agg(F.count(F.lit(1)).alias("t"), F.avg("iou").alias("i"))
-    n = fx.view("fx_box").groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n")).join(tp, "anchor_id", "left")
-    return n.select("anchor_id", (F.col("n") - F.coalesce("t", F.lit(0))).alias("missed"), F.coalesce("t", F.lit(0)).alias("tp"), F.round(F.coalesce("i", F.lit(0.0)), 9).alias("mean_iou"))
-
-
 @query("a2_category_counts", matched_sql("SELECT category, coalesce(t, 0) AS tp, n - coalesce(t, 0) AS fp, n - coalesce(t, 0) AS fn FROM (SELECT category, count(*) AS n FROM fx_box GROUP BY 1) LEFT JOIN (SELECT category, count(*) AS t FROM m GROUP BY 1) USING (category)"))
 def category_counts(fx: Fixtures) -> DataFrame:
     tp = matches(fx).groupBy("category").agg(F.count(F.lit(1)).alias("t"))
@@ -81,23 +74,6 @@ def iou_percentiles(fx: Fixtures) -> DataFrame:
     return matches(fx).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("iou"), 6).alias("mean"), p(0.5).alias("median"), p(0.9).alias("p90"))
 
 
-_BUCKET = "CASE WHEN e < 5 THEN 'near' WHEN e < 15 THEN 'mid' ELSE 'far' END"
-
-
-@query(
-    "a16_error_families",
-    duck(f"SELECT coalesce(bucket, '*') AS bucket, count(*) AS n, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.5), 6) AS median, round(avg(CASE WHEN d > 6 THEN d END), 6) AS high_mean FROM (SELECT {_BUCKET} AS bucket, CAST(pred_dx AS DOUBLE) AS d FROM (SELECT *, (x1 + y1) / 2.0::DOUBLE AS e FROM fx_box)) GROUP BY GROUPING SETS ((), (bucket))", "fx_box"),
-)
-def error_families(fx: Fixtures) -> DataFrame:
-    """Errors over all pairs and by distance bucket in one aggregation."""
-    e = (F.col("x1") + F.col("y1")) / 2
-    rows = fx.view("fx_box").select(F.when(e < 5, "near").when(e < 15, "mid").otherwise("far").alias("bucket"), F.col("pred_dx").cast("double").alias("d"))
-    out = rows.groupingSets([[], [F.col("bucket")]], F.col("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.percentile("d", 0.5), 6).alias("median"), F.round(F.avg(F.when(F.col("d") > 6, F.col("d"))), 6).alias("high_mean")
-    )
-    return out.withColumn("bucket", F.coalesce("bucket", F.lit("*")))
-
-
 # -- actions and yields ------------------------------------------------------------------------------------------
 
 
@@ -160,17 +136,6 @@ def overconservative(fx: Fixtures) -> DataFrame:
     return parsed(fx).agg(c.total(~F.col("gt_yield") & F.col("pred_yield")).alias("over_yield"), c.total(~g & p).alias("over_stop"), c.total(g & ~p).alias("missed_stop"))
 
 
-@query(
-    "a18_report",
-    duck(f"SELECT metric, round(value, 9) AS value FROM (SELECT fn / (tp + fn) AS yield_miss_rate, fp / (fp + tn) AS yield_over_rate, 2 * tp / (2 * tp + fp + fn) AS yield_f1, CAST(tp + fp + fn + tn AS DOUBLE) AS n_parsed FROM ({_BIN})) UNPIVOT (value FOR metric IN (yield_miss_rate, yield_over_rate, yield_f1, n_parsed))", "fx_anchor"),
-)
-def report(fx: Fixtures) -> DataFrame:
-    """A long report of (metric, value)."""
-    t = me.direction_rates(yields(fx))
-    values = {"yield_miss_rate": F.col("miss_rate"), "yield_over_rate": F.col("over_rate"), "yield_f1": c.f1(F.col("tp"), F.col("fp"), F.col("fn")), "n_parsed": (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).cast("double")}
-    return t.select(F.inline(F.array(*(F.struct(F.lit(k).alias("metric"), F.round(v, 9).alias("value")) for k, v in values.items()))))
-
-
 _SETS = "SELECT anchor_id, list(DISTINCT category) AS gt, list(DISTINCT category) FILTER (obj_idx % 2 = 0) AS pred FROM fx_box GROUP BY 1"
 
 
@@ -225,26 +190,6 @@ def status_counts(fx: Fixtures) -> DataFrame:
     return fx.table("orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_ATTR = "SELECT category AS factor, count(*) FILTER (obj_idx % 3 = 0 AND pred_dx < 6) AS tp, count(*) FILTER (obj_idx % 3 <> 0 AND pred_dx < 6) AS fp, count(*) FILTER (obj_idx % 3 = 0 AND pred_dx >= 6) AS fn FROM fx_box GROUP BY 1"
-
-
-@query("a17_attribution", duck(f"SELECT coalesce(factor, '*') AS factor, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 9) AS f1 FROM ({_ATTR}) WHERE tp + fp + fn > 0 GROUP BY GROUPING SETS ((), (factor))", "fx_box"))
-def attribution(fx: Fixtures) -> DataFrame:
-    """Per-factor and pooled attribution; factors without any reference or prediction are left out."""
-    g, p = F.col("obj_idx") % 3 == 0, F.col("pred_dx") < 6
-    counts = fx.view("fx_box").groupBy(F.col("category").alias("factor")).agg(c.total(g & p).alias("tp"), c.total(~g & p).alias("fp"), c.total(g & ~p).alias("fn")).where("tp + fp + fn > 0")
-    out = counts.rollup("factor").agg(*(F.sum(k).alias(k) for k in ("tp", "fp", "fn")))
-    return out.select(F.coalesce("factor", F.lit("*")).alias("factor"), "tp", "fp", "fn", F.round(c.f1(F.col("tp"), F.col("fp"), F.col("fn")), 9).alias("f1"))
-
-
-@query("d17_conditional_attribution", matched_sql(", refs AS (SELECT m.anchor_id, m.category, m.gi, m.pi FROM m WHERE m.pi % 2 = 0) SELECT category, count(*) FILTER (gi % 2 = 0) AS tp, count(*) FILTER (gi % 2 <> 0) AS fp FROM refs GROUP BY 1"))
-def conditional_attribution(fx: Fixtures) -> DataFrame:
-    """Predicted references are bridged to reference objects through the matched pairs, never compared by id."""
-    refs = fx.view("fx_box").where("obj_idx % 2 = 0").select("anchor_id", F.col("obj_idx").alias("pi"))
-    bridged = refs.join(matches(fx).select("anchor_id", "category", "gi", "pi"), ["anchor_id", "pi"])
-    return bridged.groupBy("category").agg(c.total(F.col("gi") % 2 == 0).alias("tp"), c.total(F.col("gi") % 2 != 0).alias("fp"))
-
-
 @query("d5_speed_action", duck(
     """WITH s AS (SELECT l_orderkey AS anchor_id, list((l_quantity - 1) / 5 ORDER BY l_quantity) AS v FROM lineitem GROUP BY 1), a AS (SELECT o_orderkey AS anchor_id, (o_orderkey % 20) / 2.0::DOUBLE AS v0, coalesce(v, []) AS v FROM orders LEFT JOIN s ON s.anchor_id = o_orderkey)
 SELECT CASE WHEN len(v) = 0 THEN 'KEEP_SPEED' WHEN list_min(v) < 0.5 THEN 'STOP' WHEN list_min(v) < v0 * 0.85 THEN 'DECELERATE' WHEN list_max(v) > v0 * 1.15 THEN 'ACCELERATE' ELSE 'KEEP_SPEED' END AS action, count(*) AS n FROM a GROUP BY 1"""))
