@@ -208,3 +208,28 @@ def test_manifest_and_config():
         io.open_manifest(json.dumps(sealed | {"b": 2}))
     with pytest.raises(ValueError, match="frozen"):
         io.open_config('{"status": "draft"}')
+
+
+def test_steps_of_a_grid(spark):
+    from quarryframe.operators import sweeps
+
+    rows = spark.createDataFrame([(0.5,), (1.0,), (2.5,), (None,)], "v double")
+    at = lambda strict: [r[0] for r in rows.select(sweeps.step_of(F.col("v"), (1.0, 2.0), strict)).collect()]
+    assert at(True) == [0, 1, 2, 2]
+    assert at(False) == [0, 0, 2, 2]
+
+
+def test_attribution_goes_through_matched_pairs(spark):
+    from quarryframe.operators import evaluation
+
+    refs = "anchor_id long, factor string, ref long"
+    truth = spark.createDataFrame([(1, "a", 0), (1, "a", 0), (1, "a", 1), (1, "b", None), (1, "c", 2)], refs)
+    guess = spark.createDataFrame([(1, "a", 7), (1, "a", 8), (1, "b", None), (1, "d", 7)], refs)
+    pairs = spark.createDataFrame([(1, 7, 1), (1, 8, 5)], "anchor_id long, pi long, gi long")
+    counts = evaluation.attribution_counts(truth, guess, pairs)
+    # b has no objects on either side, c and d stand on one side only
+    assert sorted(map(tuple, counts.collect())) == [(1, "a", 1, 1, 1)]
+    report = {r.factor: r.f1 for r in evaluation.attribution_report(counts).collect()}
+    assert report == {"*": 0.5, "a": 0.5, "macro": 0.5}
+    empty = {r.factor: r.f1 for r in evaluation.attribution_report(counts.limit(0)).collect()}
+    assert empty == {"macro": 0.0}
