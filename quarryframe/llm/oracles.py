@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarryframe.llm import line_dedup, quality
+from quarryframe.llm import centroid_clusters, line_dedup, quality, source_audit, warc_archive
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,3 +69,52 @@ links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c F
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS component_id, w.doc_id = r.c AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY 1) r USING (doc_id)"""
+
+
+def cluster_sql() -> str:
+    """Every round spelled out: all distances, then exact floored means."""
+    cfg = centroid_clusters.ClusterConfig()
+    rounds = []
+    for r in range(cfg.rounds + 1):
+        rounds.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, x, arg_min(c, [d, c]) AS c, min(d) AS d FROM
+  (SELECT v.vec_id, v.x, k.c, list_sum(list_transform(list_zip(v.x, k.y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{r} k) GROUP BY 1, 2)""")
+        if r < cfg.rounds:
+            rounds.append(f"""s{r} AS (SELECT c, j, sum(x[j]) AS s, count(*) AS n FROM a{r}, range(1, {cfg.dims + 1}) t(j) GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (SELECT k.c, coalesce(m.y, k.y) AS y FROM c{r} k LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS y FROM s{r} GROUP BY 1) m USING (c))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor({cfg.scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {cfg.dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {cfg.dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x AS y FROM (SELECT sha256('{cfg.seed}:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {cfg.k})),
+{", ".join(rounds)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.y, ',')) AS centroid_sha256 FROM a{cfg.rounds} a JOIN c{cfg.rounds} k USING (c)"""
+
+
+def warc_sql() -> str:
+    return f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= {warc_archive.MIN_REVISIT_BYTES} THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
+
+
+def source_audit_sql() -> str:
+    """Every kept term of every pair, without grouping of terms."""
+    cfg = source_audit.AuditConfig()
+    p = lambda n, size: f"1 + (CAST({cfg.unit} AS HUGEINT) * ({n} + {cfg.smoothing})) // ({size} + {cfg.smoothing} * v)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS df FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(df) >= {cfg.min_docs}),
+l AS (SELECT lang, count(*) AS v, sum(total) AS lang_size FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, k.term, total, coalesce(c.n, 0) AS n, v, lang_size, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS size
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, {p("n", "size")} AS p, {p("total", "lang_size")} AS q FROM x),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+allp AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+u AS (SELECT * FROM allp UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+o AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT * FROM o WHERE part = 'pair' OR rank <= {cfg.top_terms}"""

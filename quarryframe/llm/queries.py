@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryframe.llm import oracles
-from quarryframe.llm._base import materialize
+from quarryframe.llm._base import materialize, new_path
+from quarryframe.llm.centroid_clusters import cluster_vectors
 from quarryframe.llm.decontaminate import tag_leaks
 from quarryframe.llm.html_text import extract_text
 from quarryframe.llm.language_id import fit as fit_languages
@@ -18,10 +19,12 @@ from quarryframe.llm.line_dedup import line_dedup
 from quarryframe.llm.near_dedup import NearConfig, near_dedup
 from quarryframe.llm.pieces import PieceConfig, encode_documents
 from quarryframe.llm.quality import QualityConfig, fit_references, judge, quality_features
+from quarryframe.llm.source_audit import audit_sources
 from quarryframe.llm.substring_dedup import repeated_passages
 from quarryframe.llm.token_store import StoreConfig, token_digests
 from quarryframe.llm.toxicity import fit as fit_toxicity
 from quarryframe.llm.toxicity import predict_severity
+from quarryframe.llm.warc_archive import archive_round_trip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -89,6 +92,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked.select("doc_id", F.col("leaks.item_id").alias("item_ids"), F.array_min("leaks.distance").alias("least_distance"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_read(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_read(spark, sf_dir, "pages"), new_path(spark, "archives"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(_read(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_line_dedup": op2_line_dedup,
@@ -101,10 +116,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_warc_archive": op12_warc_archive,
+    "op13_source_audit": op13_source_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": oracles.line_dedup_sql(),
     "op7_quality_rules": oracles.quality_sql(),
     "op9_minhash_near_dedup": oracles.near_dedup_sql(3, 85),
+    "op11_centroid_clusters": oracles.cluster_sql(),
+    "op12_warc_archive": oracles.warc_sql(),
+    "op13_source_audit": oracles.source_audit_sql(),
 }
