@@ -164,7 +164,8 @@ def in_path(x: Column, y: Column, half_width: float) -> Column:
 
 
 def normal_term(x: Column) -> Column:
-    return F.replace(F.lower(F.regexp_replace(F.trim(x), r"\s+", " ")), F.lit(" "), F.lit("_"))
+    """Lower case, with runs of white space as one underscore."""
+    return F.replace(F.lower(F.trim(F.regexp_replace(x, r"[\s\x1c-\x1f\x85\p{Z}]+", " "))), F.lit(" "), F.lit("_"))
 
 
 def singular_term(x: Column) -> Column:
@@ -177,9 +178,14 @@ def keywords(x: Column) -> Column:
 
 
 def fenced_body(x: Column) -> Column:
-    """What a text that is one fence holds; null for any other text."""
-    fence = r"(?s)^\s*```(?:json)?\s*\n(.*)\n\s*```\s*$"
-    return F.when(x.rlike(fence), F.regexp_extract(x, fence, 1))
+    """What a text that is one fence holds; null for any other text.
+
+    Its first line opens a fence, plain or of json, and its last line closes it.
+    """
+    bare = lambda v: F.regexp_replace(v, r"^\s+|\s+$", "")
+    lines = F.split(bare(x), "\n")
+    fence = (F.size(lines) > 2) & bare(F.get(lines, F.lit(0))).isin("```", "```json") & (bare(F.element_at(lines, -1)) == "```")
+    return F.when(fence, F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n"))
 
 
 # -- metrics ---------------------------------------------------------------------------------------------------

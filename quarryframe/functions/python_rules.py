@@ -1,15 +1,16 @@
-"""The three functions that need Python: exact decimal rounding, canonical JSON and the strict output parser."""
+"""Functions that need Python: exact decimal rounding and canonical JSON; the strict parser is in ``contracts``."""
 
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryframe.contracts.parser import canonical_text
+
 
 def py_round(x: Column, digits: int) -> Column:
     """Round the exact binary value to the nearest decimal, ties to even; -0.0 becomes 0.0 and null stays null."""
@@ -21,176 +22,14 @@ def py_round(x: Column, digits: int) -> Column:
     return rounded(x.cast("double"))
 
 
-def canonical_text(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
 @F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
-    """JSON text with sorted keys and no spaces; null for what is no JSON."""
+    """JSON text with sorted keys and no spaces; null for what is no JSON or nests too deep."""
 
     def one(text):
         try:
             return None if text is None else canonical_text(json.loads(text))
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
 
     return texts.map(one)
-
-
-# The output contract.
-CATEGORIES = ("car", "truck", "construction_vehicle", "bus", "trailer", "barrier", "motorcycle", "bicycle", "pedestrian", "traffic_cone")
-MOTION_STATES = ("stationary", "crossing", "oncoming", "same_direction")
-SPEED_ACTIONS = ("STOP", "DECELERATE", "ACCELERATE", "KEEP_SPEED")
-RISK_FACTORS = ("vru_crossing", "vehicle_crossing", "lead_vehicle_braking", "stationary_obstacle", "object_near", "oncoming_traffic")
-IMAGE_SIZE = (1600, 900)
-PARSE_FAILURE, SCHEMA_FAILURE, RANGE_FAILURE = "json_parse_failure", "schema_failure", "semantic_range_failure"
-MAX_OBJECTS, MAX_RISKS = 8, 6
-_TOP = ("critical_objects", "risk_factors", "speed_action", "yield_required")
-_OBJECT = ("bbox_2d", "bev_x", "bev_y", "category", "id", "motion_state")
-
-PARSE_TYPE = T.StructType(
-    [
-        T.StructField("status", T.StringType()),
-        T.StructField("fenced", T.BooleanType()),
-        T.StructField("n_objects", T.IntegerType()),
-        T.StructField("errors", T.ArrayType(T.StructType([T.StructField("category", T.StringType()), T.StructField("field", T.StringType()), T.StructField("keyword", T.StringType())]))),
-        T.StructField("output", T.StringType()),
-    ]
-)
-
-
-def _is_number(v) -> bool:
-    return isinstance(v, (int, float)) and not isinstance(v, bool)
-
-
-def _schema_errors(doc) -> list[tuple[str, str]]:
-    """All violations as (path, keyword)."""
-    if not isinstance(doc, dict):
-        return [("$", "type")]
-    out = [("$", "required") for k in _TOP if k not in doc] + [("$", "additionalProperties") for k in doc if k not in _TOP]
-    objects = doc.get("critical_objects", [])
-    if not isinstance(objects, list):
-        out.append(("$.critical_objects", "type"))
-        objects = []
-    if len(objects) > MAX_OBJECTS:
-        out.append(("$.critical_objects", "maxItems"))
-    for i, o in enumerate(objects):
-        at = f"$.critical_objects[{i}]"
-        if not isinstance(o, dict):
-            out.append((at, "type"))
-            continue
-        out += [(at, "required") for k in _OBJECT if k not in o] + [(at, "additionalProperties") for k in o if k not in _OBJECT]
-        if "id" in o and (not isinstance(o["id"], int) or isinstance(o["id"], bool)):
-            out.append((f"{at}.id", "type"))
-        for key, allowed in (("category", CATEGORIES), ("motion_state", MOTION_STATES)):
-            if key in o and o[key] not in allowed:
-                out.append((f"{at}.{key}", "enum"))
-        box = o.get("bbox_2d", [0, 0, 1, 1])
-        if not isinstance(box, list) or len(box) != 4 or not all(map(_is_number, box)):
-            out.append((f"{at}.bbox_2d", "type"))
-        out += [(f"{at}.{k}", "type") for k in ("bev_x", "bev_y") if k in o and not _is_number(o[k])]
-    risks = doc.get("risk_factors", [])
-    if not isinstance(risks, list):
-        out.append(("$.risk_factors", "type"))
-        risks = []
-    if len(risks) > MAX_RISKS:
-        out.append(("$.risk_factors", "maxItems"))
-    for i, r in enumerate(risks):
-        at = f"$.risk_factors[{i}]"
-        if not isinstance(r, dict) or not isinstance(r.get("objects"), list):
-            out.append((at, "type"))
-        elif r.get("factor") not in RISK_FACTORS:
-            out.append((f"{at}.factor", "enum"))
-    if "yield_required" in doc and not isinstance(doc["yield_required"], bool):
-        out.append(("$.yield_required", "type"))
-    if "speed_action" in doc and doc["speed_action"] not in SPEED_ACTIONS:
-        out.append(("$.speed_action", "enum"))
-    return out
-
-
-def _semantic_errors(doc: dict, size: tuple[int, int]) -> list[tuple[str, str]]:
-    """Corners in order (equal ones are allowed) and inside the image; ids, factors and references without repeats, references known."""
-    out = []
-    for i, o in enumerate(doc["critical_objects"]):
-        x1, y1, x2, y2 = o["bbox_2d"]
-        if x1 > x2 or y1 > y2:
-            out.append((f"$.critical_objects[{i}].bbox_2d", "corner_order"))
-        if x2 > size[0] or y2 > size[1]:
-            out.append((f"$.critical_objects[{i}].bbox_2d", "image_bounds"))
-    known: set[int] = set()
-    for i, o in enumerate(doc["critical_objects"]):
-        if o["id"] in known:
-            out.append((f"$.critical_objects[{i}].id", "repeated_id"))
-        known.add(o["id"])
-    told: set[str] = set()
-    for i, r in enumerate(doc["risk_factors"] if known else ()):
-        if r["factor"] in told:
-            out.append((f"$.risk_factors[{i}].factor", "repeated_factor"))
-        told.add(r["factor"])
-        if len(set(map(str, r["objects"]))) < len(r["objects"]):
-            out.append((f"$.risk_factors[{i}].objects", "repeated_ref"))
-        out += [(f"$.risk_factors[{i}].objects", "unknown_ref") for x in r["objects"] if x not in known]
-    return out
-
-
-def _term(text: str, known: tuple[str, ...]) -> str:
-    """The word of a vocabulary that a text writes in other case, spacing or number; any other text stays."""
-    plain = re.sub(r"[\s-]+", "_", text.strip().lower())
-    single = "_".join(w[:-1] if len(w) > 2 and w.endswith("s") and not w.endswith("ss") else w for w in plain.split("_"))
-    return next((w for w in (plain, single) if w in known), text)
-
-
-def _in_vocabulary(doc) -> None:
-    """Bring categories, motion states and factors to their vocabularies' words; what is not in them is left to the schema."""
-    places = [(o, k, v) for o in _dicts(doc, "critical_objects") for k, v in (("category", CATEGORIES), ("motion_state", MOTION_STATES))]
-    for holder, key, known in [*places, *((r, "factor", RISK_FACTORS) for r in _dicts(doc, "risk_factors"))]:
-        if isinstance(holder.get(key), str):
-            holder[key] = _term(holder[key], known)
-
-
-def _dicts(doc, key: str) -> list[dict]:
-    rows = doc.get(key) if isinstance(doc, dict) else None
-    return [x for x in rows if isinstance(x, dict)] if isinstance(rows, list) else []
-
-
-_FENCE = re.compile(r"\s*```(?:json)?\s*\n(.*)\n\s*```\s*", re.S)
-
-
-def parse_output(text, size: tuple[int, int] = IMAGE_SIZE) -> tuple:
-    """(status, fenced, n_objects, errors, canonical output): terms are brought to their vocabulary and places to the 0.1 m grid, nothing is repaired.
-
-    The first error is the status. A fence counts only if it is the whole text. A null text is a parse failure.
-    """
-    fenced, doc, bad = False, None, None
-    try:
-        doc = json.loads(text)
-    except (TypeError, ValueError):
-        body = _FENCE.fullmatch(text) if isinstance(text, str) else None
-        try:
-            doc, fenced = json.loads(body[1]), True
-        except (TypeError, ValueError):
-            bad = "truncated" if isinstance(text, str) and not text.rstrip().endswith("}") else "invalid"
-    if bad:
-        return PARSE_FAILURE, fenced, None, [(PARSE_FAILURE, "$", bad)], None
-    _in_vocabulary(doc)
-    errors = [(SCHEMA_FAILURE, *e) for e in _schema_errors(doc)] or [(RANGE_FAILURE, *e) for e in _semantic_errors(doc, size)]
-    if errors:
-        return errors[0][0], fenced, None, errors, None
-    for o in doc["critical_objects"]:
-        o |= {k: round(float(o[k]), 1) + 0.0 for k in ("bev_x", "bev_y")}
-    return "ok", fenced, len(doc["critical_objects"]), [], canonical_text(doc)
-
-
-@F.pandas_udf(PARSE_TYPE)
-def strict_parse(texts: pd.Series) -> pd.DataFrame:
-    rows = [parse_output(t) for t in texts]
-    return pd.DataFrame(
-        {
-            "status": [r[0] for r in rows],
-            "fenced": [r[1] for r in rows],
-            "n_objects": pd.array([r[2] for r in rows], dtype="Int32"),
-            "errors": [[{"category": c, "field": f, "keyword": k} for c, f, k in r[3]] for r in rows],
-            "output": [r[4] for r in rows],
-        }
-    )

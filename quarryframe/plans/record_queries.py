@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryframe.contracts import assets, vocabulary
+from quarryframe.contracts.parser import strict_parser
 from quarryframe.functions import columns as c
 from quarryframe.functions import python_rules as py
 from quarryframe.operators import validation as va
@@ -31,11 +34,24 @@ _KINDS = {
     "box_point": (lambda t: F.replace(t, F.lit("[1,2,3,4]"), F.lit("[1,2,1,2]")), "ok", None),
     "box_outside": (lambda t: F.replace(t, F.lit("[1,2,3,4]"), F.lit("[1,2,1601,4]")), "semantic_range_failure", ("$.critical_objects[0].bbox_2d", "image_bounds")),
     "unknown_ref": (lambda t: F.replace(t, F.lit('"objects":[0]'), F.lit('"objects":[5]')), "semantic_range_failure", ("$.risk_factors[0].objects", "unknown_ref")),
-    "repeated_ref": (lambda t: F.replace(t, F.lit('"objects":[0]'), F.lit('"objects":[0,0]')), "semantic_range_failure", ("$.risk_factors[0].objects", "repeated_ref")),
+    "repeated_ref": (lambda t: F.replace(t, F.lit('"objects":[0]'), F.lit('"objects":[0,0]')), "schema_failure", ("$.risk_factors[0].objects", "uniqueItems")),
     "braking": (lambda t: F.replace(t, F.lit("object_near"), F.lit("lead_vehicle_braking")), "ok", None),
     "other_words": (lambda t: F.replace(F.replace(t, F.lit('"car"'), F.lit('" Cars"')), F.lit("object_near"), F.lit("Oncoming traffic")), "ok", None),
     "bad_category": (lambda t: F.replace(t, F.lit('"car"'), F.lit('"cart"')), "schema_failure", ("$.critical_objects[0].category", "enum")),
     "no_text": (lambda t: F.lit(None).cast("string"), "json_parse_failure", ("$", "invalid")),
+    "no_refs": (lambda t: F.replace(t, F.lit('"objects":[0]'), F.lit('"objects":[]')), "schema_failure", ("$.risk_factors[0].objects", "minItems")),
+    "risk_key": (lambda t: F.replace(t, F.lit('"objects":[0]'), F.lit('"objects":[0],"why":1')), "schema_failure", ("$.risk_factors[0]", "additionalProperties")),
+    "big_id": (lambda t: F.replace(t, F.lit('"id":0'), F.lit('"id":99')), "schema_failure", ("$.critical_objects[0].id", "maximum")),
+    "true_id": (lambda t: F.replace(t, F.lit('"id":0'), F.lit('"id":true')), "schema_failure", ("$.critical_objects[0].id", "type")),
+    "whole_id": (lambda t: F.replace(t, F.lit('"id":0'), F.lit('"id":0.0')), "ok", None),
+    "box_negative": (lambda t: F.replace(t, F.lit("[1,2,3,4]"), F.lit("[1,-2,3,4]")), "schema_failure", ("$.critical_objects[0].bbox_2d[1]", "minimum")),
+    "box_short": (lambda t: F.replace(t, F.lit("[1,2,3,4]"), F.lit("[1,2,3]")), "schema_failure", ("$.critical_objects[0].bbox_2d", "minItems")),
+    "synonym": (lambda t: F.replace(F.replace(t, F.lit('"car"'), F.lit('"Sedans"')), F.lit('"stationary"'), F.lit('"not  moving"')), "ok", None),
+    "unmapped": (lambda t: F.replace(t, F.lit('"stationary"'), F.lit('"moving"')), "schema_failure", ("$.critical_objects[0].motion_state", "enum")),
+    "list_as_ref": (lambda t: F.replace(t, F.lit('"objects":[0]'), F.lit('"objects":[[0]]')), "schema_failure", ("$.risk_factors[0].objects[0]", "type")),
+    "too_deep": (lambda t: F.repeat(F.lit("["), F.lit(3000)), "json_parse_failure", ("$", "truncated")),
+    "endless": (lambda t: F.replace(t, F.lit('"bev_x":1.0'), F.concat(F.lit('"bev_x":1'), F.repeat(F.lit("0"), F.lit(400)))), "semantic_range_failure", ("$.critical_objects[0].bev_x", "number_range")),
+    "json_null": (lambda t: F.lit("null"), "json_parse_failure", ("$", "truncated")),
 }
 
 
@@ -58,22 +74,22 @@ _OK = f"({_STATUS} = 'ok')"
 
 @query("d14_strict_parse", duck(f"SELECT anchor_id, {_STATUS} AS status, anchor_id % {len(_KINDS)} = 1 AS fenced FROM fx_anchor", "fx_anchor"))
 def strict_parse(fx: Fixtures) -> DataFrame:
-    return outputs(fx).select("anchor_id", py.strict_parse("text").alias("p")).select("anchor_id", "p.status", "p.fenced")
+    return outputs(fx).select("anchor_id", strict_parser()("text").alias("p")).select("anchor_id", "p.status", "p.fenced")
 
 
 @query("a13_parse_errors", duck(f"SELECT {_STATUS} AS category, count(*) AS n FROM fx_anchor WHERE NOT {_OK} GROUP BY 1", "fx_anchor"))
 def parse_errors(fx: Fixtures) -> DataFrame:
-    errors = outputs(fx).select(py.strict_parse("text").alias("p"))
+    errors = outputs(fx).select(strict_parser()("text").alias("p"))
     return errors.select(F.explode(F.array_distinct("p.errors.category")).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-_FIELD, _KEYWORD = (_by_kind(lambda _, row, k=k: row[1] == "schema_failure" and f"'{row[2][k].replace('[0]', '[*]')}'") for k in (0, 1))
+_FIELD, _KEYWORD = (_by_kind(lambda _, row, k=k: row[1] == "schema_failure" and f"'{re.sub(r'[0-9]+]', '*]', row[2][k])}'") for k in (0, 1))
 
 
 @query("a29_schema_drilldown", duck(f"SELECT {_FIELD} AS field, {_KEYWORD} AS keyword, count(*) AS n FROM fx_anchor WHERE {_STATUS} = 'schema_failure' GROUP BY 1, 2", "fx_anchor"))
 def schema_drilldown(fx: Fixtures) -> DataFrame:
     """Schema violations by field (list places made equal) and keyword."""
-    errors = outputs(fx).select(F.inline(py.strict_parse("text")["errors"])).where("category = 'schema_failure'")
+    errors = outputs(fx).select(F.inline(strict_parser()("text")["errors"])).where("category = 'schema_failure'")
     return errors.groupBy(F.regexp_replace("field", r"\[\d+\]", "[*]").alias("field"), "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -82,7 +98,7 @@ _BUCKET = _by_kind(lambda name, row: "'no_text'" if name == "no_text" else {"ok"
 
 @query("v6_reclassify", duck(f"SELECT {_BUCKET} AS bucket, count(*) AS n FROM fx_anchor GROUP BY 1", "fx_anchor"))
 def reclassify(fx: Fixtures) -> DataFrame:
-    p = outputs(fx).select("text", py.strict_parse("text").alias("p"))
+    p = outputs(fx).select("text", strict_parser()("text").alias("p"))
     bucket = F.when(F.col("p.status") == "ok", "valid").when(F.col("text").isNull(), "no_text").when(F.col("p.status") == "json_parse_failure", "no_json").otherwise("contract")
     return p.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -93,7 +109,7 @@ def evaluation_run(fx: Fixtures) -> DataFrame:
     rows = outputs(fx)
     checked = va.require_complete(fx.view("fx_anchor"), rows, "anchor_id").where("missing = 0 and extra = 0")
     n, ok = F.count(F.lit(1)), c.total(F.col("p.status") == "ok")
-    return rows.select(py.strict_parse("text").alias("p")).agg(n.alias("n"), ok.alias("parsed"), F.round(c.ratio(ok, n), 9).alias("parse_rate")).crossJoin(checked).drop("missing", "extra")
+    return rows.select(strict_parser()("text").alias("p")).agg(n.alias("n"), ok.alias("parsed"), F.round(c.ratio(ok, n), 9).alias("parse_rate")).crossJoin(checked).drop("missing", "extra")
 
 
 # -- canonical text, records, requests ------------------------------------------------------------------------------
@@ -419,12 +435,60 @@ def singular_term(fx: Fixtures) -> DataFrame:
     return words.select("w", c.singular_term(F.col("w")).alias("singular"))
 
 
-@query("t4_synonyms", "SELECT p_partkey, coalesce(CASE p_brand WHEN 'Brand#11' THEN 'first' WHEN 'Brand#22' THEN 'second' END, 'unmapped') AS term FROM part")
+#: Open terms, with the field of their vocabulary and the word that it has for them in v3 and in v7.
+_OPEN_TERMS = [
+    ("category", "Sedan", "car", "car"),
+    ("category", "SUVs", "car", "car"),
+    ("category", "car", "car", "car"),
+    ("category", " road   Cone ", "traffic_cone", "traffic_cone"),
+    ("category", "Delivery trucks", "truck", "truck"),
+    ("category", "vehicle", None, None),
+    ("motion_state", "parked", "stationary", "stationary"),
+    ("motion_state", "head-on", "oncoming", "oncoming"),
+    ("motion_state", "moving", None, None),
+    ("risk_factor", "Pedestrian crossing", "pedestrian_crossing", "vru_crossing"),
+    ("risk_factor", "cut-in", "vehicle_merging", "vehicle_crossing"),
+    ("risk_factor", "tailgating", "small_following_gap", None),
+    ("risk_factor", "object_near", None, "object_near"),
+    ("category", None, None, None),
+]
+
+
+def open_terms(fx: Fixtures) -> DataFrame:
+    """(p_partkey, version, field, text): for each part one open term, read under v3 for every second brand and under v7 for the others."""
+    cells = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(t).cast("string").alias("text")) for f, t, _, _ in _OPEN_TERMS))
+    version = F.when(F.substring("p_brand", -1, 1).cast("int") % 2 == 0, "v3").otherwise("v7")
+    at = F.get(cells, (F.col("p_partkey") % len(_OPEN_TERMS)).cast("int"))
+    return fx.table("part").select("p_partkey", version.alias("version"), at["field"].alias("field"), at["text"].alias("text"))
+
+
+_V3 = "CAST(right(p_brand, 1) AS INT) % 2 = 0"
+_OPEN = lambda k: f"CASE p_partkey % {len(_OPEN_TERMS)} {' '.join(f'WHEN {i} THEN ' + (repr(row[k]) if row[k] else 'NULL') for i, row in enumerate(_OPEN_TERMS))} END"
+_WORDS = f"(SELECT p_partkey, CASE WHEN {_V3} THEN 'v3' ELSE 'v7' END AS version, {_OPEN(0)} AS field, {_OPEN(1)} AS text, CASE WHEN {_V3} THEN {_OPEN(2)} ELSE {_OPEN(3)} END AS word FROM part)"
+
+
+@query("t4_synonyms", f"SELECT *, CASE WHEN word IS NULL THEN 'unmapped' WHEN word = text THEN 'canonical' ELSE 'normalized' END AS mapping FROM {_WORDS}")
 def synonyms(fx: Fixtures) -> DataFrame:
-    """Lookup by the term, then by its singular; what is unmapped is told and never repaired."""
-    table = c.literal_map({"brand#11": "first", "brand#22": "second"})
-    norm = c.normal_term(F.col("p_brand"))
-    return fx.table("part").select("p_partkey", F.coalesce(table[norm], table[c.singular_term(norm)], F.lit("unmapped")).alias("term"))
+    """The word of each open term in its contract's vocabulary: by the term, then by its singular; what is unmapped is told and never repaired."""
+    terms = vocabulary.term_table(vocabulary.vocabulary_table(fx.spark))
+    return vocabulary.with_words(open_terms(fx), terms, F.col("version"), F.col("field"), "text")
+
+
+@query("t4_unmapped_terms", f"SELECT version, field, text, count(*) AS n FROM {_WORDS} WHERE word IS NULL AND text IS NOT NULL GROUP BY ALL")
+def unmapped_terms(fx: Fixtures) -> DataFrame:
+    """Open terms that no vocabulary knows, with how often they stand."""
+    return synonyms(fx).where("mapping = 'unmapped' and text is not null").groupBy("version", "field", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NAMED = lambda k: _by_kind(lambda name, row: {"other_words": ["[' Cars', 'Oncoming traffic']", "['car', 'oncoming_traffic']"], "synonym": ["['Sedans', 'not  moving']", "['car', 'stationary']"]}.get(name, [None] * 2)[k])
+
+
+@query("d14_terms", duck(f"SELECT anchor_id, unnest({_NAMED(0)}) AS term, unnest({_NAMED(1)}) AS word FROM fx_anchor UNION ALL SELECT anchor_id, {_by_kind(lambda name, row: {'unmapped': repr('moving'), 'bad_category': repr('cart')}.get(name))}, NULL FROM fx_anchor WHERE {_by_kind(lambda name, row: str(name in ('unmapped', 'bad_category')))}", "fx_anchor"))
+def parser_terms(fx: Fixtures) -> DataFrame:
+    """Terms that the parser rewrote, with their words, and terms that it left for the schema to refuse."""
+    p = outputs(fx).select("anchor_id", strict_parser()("text").alias("p"))
+    rewritten = p.select("anchor_id", F.inline("p.terms"))
+    return rewritten.unionByName(p.select("anchor_id", F.explode("p.unmapped").alias("term"), F.lit(None).cast("string").alias("word")))
 
 
 @query("t5_fence_extract", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text END AS body FROM conversations")
