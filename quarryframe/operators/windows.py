@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryframe.operators.numbering import dense_number
+
 #: Reasons in the order of the checks; the first that fails counts.
 REASONS = ("INSUFFICIENT_HISTORY", "CROSS_SCENE", "NO_CAM_FRONT", "NON_INCREASING_TIME", "BAD_GAP", "MISSING_IMAGE", "MISSING_CALIBRATION", "NUMERIC_ANOMALY")
 
@@ -83,21 +85,13 @@ def future_speeds(window_us: int) -> Column:
 
 
 def dense_index(rows: DataFrame, group: str, order: list[str], name: str = "global_idx") -> DataFrame:
-    """A dense number over all rows by (group, order), from 0.
-
-    Each group is numbered by itself and moved by the rows of the groups before it, so that only one row per
-    group passes through a single task.
-    """
-    inside = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("__in", inside).join(sizes.select(group, before.alias("__before")), group).withColumn(name, (F.col("__before") + F.col("__in")).cast("long")).drop("__in", "__before")
+    """A dense number over all rows by (group, order), from 0."""
+    return dense_number(rows, [group, *order], name)
 
 
-def numbered_names(rows: DataFrame, name: str, number: str, prefix: int = 4) -> DataFrame:
-    """The rows with a dense number by ``name``, from 0; names are dealt out by their first characters."""
-    dealt = rows.withColumn("__head", F.substring(F.col(name), 1, prefix))
-    return dense_index(dealt, "__head", [name], number).drop("__head")
+def numbered_names(rows: DataFrame, name: str, number: str) -> DataFrame:
+    """The rows with a dense number by ``name``, from 0."""
+    return dense_number(rows, [name], number)
 
 
 def lag_in_ranges(rows: DataFrame, place: str, value: str, name: str, span: int = 10_000) -> DataFrame:
