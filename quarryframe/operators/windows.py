@@ -56,6 +56,13 @@ def backward_speed(x: str = "ego_x", y: str = "ego_y") -> Column:
     return F.when(dt > 0, F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)) / dt)
 
 
+def backward_speed_by(key: str) -> Column:
+    """``backward_speed`` for rows that are told apart by another column than ``sample_id``."""
+    w = Window.partitionBy("scene_token").orderBy("timestamp_us", key)
+    dt = (F.col("timestamp_us") - F.lag("timestamp_us").over(w)) / 1e6
+    return F.when(dt > 0, F.hypot(F.col("ego_x") - F.lag("ego_x").over(w), F.col("ego_y") - F.lag("ego_y").over(w)) / dt)
+
+
 def future_window(frames: DataFrame, size: int = 6) -> DataFrame:
     """``future``: up to ``size`` following keyframes, cut at the scene's end."""
     w = scene_order().rowsBetween(1, size)

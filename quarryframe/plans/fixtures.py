@@ -22,9 +22,10 @@ VIEWS = {
   CAST(l_partkey % 600 AS DOUBLE) / 10 - 10 AS x_c, CAST((l_suppkey * 7) % 200 AS DOUBLE) / 10 - 10 AS y_c,
   (l_quantity - 25) / 5 AS vx, CAST((l_partkey * 3 + l_linenumber) % 41 - 20 AS DOUBLE) / 5 AS vy,
   0.5e0 + CAST(l_partkey % 40 AS DOUBLE) / 10 AS box_length_m, 0.4e0 + CAST(l_suppkey % 20 AS DOUBLE) / 10 AS box_width_m,
-  CAST((l_suppkey * 13) % 360 AS DOUBLE) AS box_yaw_deg FROM lineitem""",
+  CAST((l_suppkey * 13) % 360 AS DOUBLE) AS box_yaw_deg, CAST(l_orderkey % 9 AS DOUBLE) AS ego_speed FROM lineitem""",
     "fx_anchor": """SELECT o_orderkey AS anchor_id, concat('c', o_custkey) AS scene_token,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS walk_idx,
+  {days} * 5000 AS timestamp_us, CAST({days} % 90 AS DOUBLE) / 4 AS ego_x, CAST(o_orderkey % 13 AS DOUBLE) / 10 AS ego_y, CAST(o_orderkey % 9 AS DOUBLE) AS ego_speed,
   o_orderkey % 23 <> 0 AS parse_ok, o_orderpriority = '1-URGENT' AS gt_yield, (o_orderkey * 7) % 10 < 3 AS pred_yield,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'STOP' WHEN '2-HIGH' THEN 'DECELERATE' WHEN '3-MEDIUM' THEN 'KEEP_SPEED' WHEN '4-NOT SPECIFIED' THEN 'KEEP_SPEED' ELSE 'ACCELERATE' END AS gt_action,
   CASE (o_orderkey * 11) % 4 WHEN 0 THEN 'STOP' WHEN 1 THEN 'DECELERATE' WHEN 2 THEN 'KEEP_SPEED' ELSE 'ACCELERATE' END AS pred_action FROM orders""",
@@ -45,7 +46,7 @@ class Fixtures:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
-        text = VIEWS[name].replace("{us}", "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+        text = VIEWS[name].replace("{us}", "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").replace("{days}", "CAST(datediff(CAST(o_orderdate AS DATE), DATE '1992-01-01') AS BIGINT)")
         base = text.rsplit("FROM ", 1)[1].split()[0].rstrip(")")
         self.table(base).createOrReplaceTempView(base)
         return self.spark.sql(text)
@@ -56,7 +57,8 @@ class Fixtures:
 
 def duck(query: str, *views: str) -> str:
     """A DuckDB query with the named role views in front of its own common tables."""
-    parts = [f"{v} AS ({VIEWS[v].replace('{us}', 'epoch_us(ts)')})" for v in views]
+    days = "CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT)"
+    parts = [f"{v} AS ({VIEWS[v].replace('{us}', 'epoch_us(ts)').replace('{days}', days)})" for v in views]
     query = query.strip()
     recursive = query.startswith("WITH RECURSIVE ")
     for head in ("WITH RECURSIVE ", "WITH "):

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryframe.functions import columns as c
+from quarryframe.functions.python_rules import py_round
 from quarryframe.operators import labels as lb
+from quarryframe.operators import windows as w
 from quarryframe.plans.fixtures import Fixtures, duck
 from quarryframe.plans.registry import query
 
@@ -16,14 +18,15 @@ _STATE = f"CASE WHEN sqrt(vx * vx + vy * vy) < 0.5 THEN 'stationary' WHEN {_ANGL
 _RANGE = "CASE category WHEN 'pedestrian' THEN 30 WHEN 'barrier' THEN 15 WHEN 'traffic_cone' THEN 15 ELSE 45 END"
 _GEO = f"""o AS (SELECT *, sqrt(x_c * x_c + y_c * y_c) AS distance, degrees(atan2(y_c, x_c)) AS azimuth, {_GRP} AS grp, {_STATE} AS state FROM fx_object)"""
 _REL = f"(abs(azimuth) <= 30 AND distance < {_RANGE}) OR distance < 15"
-_RISK = f"""{_GEO}, tr AS (SELECT p.anchor_id, p.ann_no, count(l.vx) AS n_future, min(sqrt(l.vx * l.vx + l.vy * l.vy)) AS slowest, max(sqrt(l.vx * l.vx + l.vy * l.vy)) AS fastest
-  FROM (SELECT o.*, scene_token, walk_idx FROM o JOIN fx_anchor USING (anchor_id)) p LEFT JOIN (SELECT o.*, scene_token, walk_idx FROM o JOIN fx_anchor USING (anchor_id)) l
-  ON l.scene_token = p.scene_token AND l.instance_id = p.instance_id AND l.walk_idx BETWEEN p.walk_idx + 1 AND p.walk_idx + 6 GROUP BY 1, 2),
-s AS (SELECT o.*, k, x_c + vx * k * 0.25 AS px, y_c + vy * k * 0.25 AS py FROM o, range(0, 13) r(k)),
+_CLEAR = f"""{_GEO}, s AS (SELECT o.*, k, x_c + (vx - ego_speed) * k * 0.25 AS px, y_c + vy * k * 0.25 AS py FROM o, range(0, 13) r(k)),
 q AS (SELECT *, px - greatest(-2.05, least(2.05, px)) AS ex, py - greatest(-1.185, least(1.185, py)) AS ey FROM s),
 m AS (SELECT anchor_id, ann_no, min(CASE WHEN ex = 0 AND ey = 0 THEN -1e9 ELSE sqrt(ex * ex + ey * ey) - (abs(cos(radians(box_yaw_deg) - atan2(ey, ex))) * box_length_m / 2 + abs(sin(radians(box_yaw_deg) - atan2(ey, ex))) * box_width_m / 2) END) AS clearance, min(sqrt(ex * ex + ey * ey)) AS raw FROM q GROUP BY 1, 2),
 t AS (SELECT o.*, clearance, raw, clearance < 2 AS fires, CASE WHEN abs(y_c) <= 1.185 THEN abs(vy) ELSE -sign(y_c) * vy END AS toward, sqrt(vx * vx + vy * vy) AS speed, grp = 'vehicle' OR category IN ('bicycle', 'motorcycle') AS moving FROM o JOIN m USING (anchor_id, ann_no)),
-u AS (SELECT t.*, slowest, fastest, toward > 0.8 AND CASE WHEN abs(y_c) <= 1.185 THEN 0 WHEN toward = 0 THEN 1e18 ELSE (abs(y_c) - 1.185) / toward END <= 5 AS hit FROM t JOIN tr USING (anchor_id, ann_no)),
+h AS (SELECT *, toward > 0.8 AND CASE WHEN abs(y_c) <= 1.185 THEN 0 WHEN toward = 0 THEN 1e18 ELSE (abs(y_c) - 1.185) / toward END <= 5 AS hit FROM t)"""
+_RISK = f"""{_CLEAR}, sg AS (SELECT o.*, scene_token, walk_idx, timestamp_us FROM o JOIN fx_anchor USING (anchor_id)),
+tr AS (SELECT p.anchor_id, p.ann_no, count(l.vx) AS n_future, min(round(sqrt(l.vx * l.vx + l.vy * l.vy), 3)) AS slowest, max(round(sqrt(l.vx * l.vx + l.vy * l.vy), 3)) AS fastest
+  FROM sg p LEFT JOIN sg l ON l.scene_token = p.scene_token AND l.instance_id = p.instance_id AND l.walk_idx BETWEEN p.walk_idx + 1 AND p.walk_idx + 6 AND l.timestamp_us - p.timestamp_us <= 3000000 GROUP BY 1, 2),
+u AS (SELECT h.*, slowest, fastest FROM h JOIN tr USING (anchor_id, ann_no)),
 x AS (SELECT *, grp = 'vru' AND hit AS vru_crossing, grp = 'vehicle' AND hit AS vehicle_crossing, moving AND x_c > 0 AND abs(y_c) <= 1.185 AND speed > 0.5 AND coalesce(slowest <= speed - 0.5, false) AS lead_vehicle_braking,
   speed <= 0.5 AND coalesce(fastest, speed) <= 0.5 AND x_c > 0 AND abs(y_c) <= 3 AS stationary_obstacle, distance <= 5.5 AS object_near, moving AND state = 'oncoming' AND distance < 20 AS oncoming_traffic FROM u)"""
 _POOL = f"{_RISK}, r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY round(distance, 3), ann_no) AS rank FROM x WHERE {_REL})"
@@ -33,12 +36,16 @@ def geo(fx: Fixtures) -> DataFrame:
     return lb.with_geometry(fx.view("fx_object"))
 
 
+def tracks(fx: Fixtures) -> DataFrame:
+    return lb.track_windows(fx.view("fx_object"), fx.view("fx_anchor"))
+
+
 def risks(fx: Fixtures) -> DataFrame:
-    return lb.risk_columns(lb.with_geometry(lb.with_tracks(fx.view("fx_object"), fx.view("fx_anchor"))))
+    return lb.risk_columns(lb.with_tracks(geo(fx), tracks(fx)))
 
 
 def pool(fx: Fixtures) -> DataFrame:
-    return lb.risk_columns(lb.pool_of(lb.with_geometry(lb.with_tracks(fx.view("fx_object"), fx.view("fx_anchor")))))
+    return lb.risk_columns(lb.with_tracks(lb.pool_of(geo(fx)), tracks(fx)))
 
 
 def ranked(fx: Fixtures) -> DataFrame:
@@ -113,13 +120,14 @@ def visibility_class(fx: Fixtures) -> DataFrame:
     "p13_nearest_point",
     duck(
         """WITH k AS (SELECT *, cos(radians(box_yaw_deg)) AS a, sin(radians(box_yaw_deg)) AS b FROM fx_object), q AS (SELECT *, greatest(-box_length_m / 2, least(box_length_m / 2, -(x_c * a + y_c * b))) AS u,
-greatest(-box_width_m / 2, least(box_width_m / 2, x_c * b - y_c * a)) AS v FROM k) SELECT anchor_id, ann_no, round(x_c + u * a - v * b, 5) + 0.0 AS px, round(y_c + u * b + v * a, 5) + 0.0 AS py FROM q""",
+greatest(-box_width_m / 2, least(box_width_m / 2, x_c * b - y_c * a)) AS v FROM k) SELECT anchor_id, ann_no, CAST(printf('%.1f', x_c + u * a - v * b) AS DOUBLE) + 0.0 AS px, CAST(printf('%.1f', y_c + u * b + v * a) AS DOUBLE) + 0.0 AS py FROM q""",
         "fx_object",
     ),
 )
 def nearest_point(fx: Fixtures) -> DataFrame:
+    """The point of an object's footprint nearest to the ego, on the 0.1 m grid of the outputs."""
     px, py = c.nearest_point(F.col("x_c"), F.col("y_c"), F.col("box_length_m"), F.col("box_width_m"), F.col("box_yaw_deg"))
-    return fx.view("fx_object").select("anchor_id", "ann_no", (F.round(px, 5) + 0.0).alias("px"), (F.round(py, 5) + 0.0).alias("py"))
+    return fx.view("fx_object").select("anchor_id", "ann_no", py_round(px, 1).alias("px"), py_round(py, 1).alias("py"))
 
 
 @query("p14_rescale_box", duck("SELECT anchor_id, obj_idx, round((x1 / 448.0::DOUBLE) * 1600, 6) AS x1, round((y2 / 252.0::DOUBLE) * 900, 6) AS y2 FROM fx_box", "fx_box"))
@@ -162,25 +170,50 @@ def in_path(fx: Fixtures) -> DataFrame:
     return fx.view("fx_object").where(c.in_path(F.col("x_c"), F.col("y_c"), 1.185)).select("anchor_id", "ann_no")
 
 
-@query("f5_crossing", duck(f"WITH {_RISK} SELECT anchor_id, ann_no FROM x WHERE hit", "fx_object", "fx_anchor"))
+@query("f5_crossing", duck(f"WITH {_CLEAR} SELECT anchor_id, ann_no FROM h WHERE hit", "fx_object"))
 def crossing(fx: Fixtures) -> DataFrame:
     return fx.view("fx_object").where(c.crossing_hit(F.col("y_c"), F.col("vy"))).select("anchor_id", "ann_no")
 
 
+@query(
+    "d4_centred_velocity",
+    duck(
+        """WITH s AS (SELECT anchor_id, instance_id, scene_token, timestamp_us, ego_x + arg_min(x_c, ann_no) AS x, ego_y + arg_min(y_c, ann_no) AS y FROM fx_object JOIN fx_anchor USING (anchor_id) GROUP BY 1, 2, 3, 4, ego_x, ego_y),
+f AS (SELECT *, row_number() OVER (PARTITION BY scene_token, instance_id, timestamp_us ORDER BY anchor_id) AS k FROM s),
+n AS (SELECT *, lag(timestamp_us) OVER q AS t0, lag(x) OVER q AS x0, lag(y) OVER q AS y0, lead(timestamp_us) OVER q AS t1, lead(x) OVER q AS x1, lead(y) OVER q AS y1 FROM f WHERE k = 1 WINDOW q AS (PARTITION BY scene_token, instance_id ORDER BY timestamp_us)),
+d AS (SELECT *, (coalesce(t1, timestamp_us) - coalesce(t0, timestamp_us)) / 1e6 AS dt, CASE WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN 3.0 ELSE 1.5 END AS bound FROM n)
+SELECT anchor_id, instance_id, CASE WHEN dt > 0 AND dt <= bound THEN round((coalesce(x1, x) - coalesce(x0, x)) / dt, 6) + 0.0 ELSE 0 END AS vx, CASE WHEN dt > 0 AND dt <= bound THEN round((coalesce(y1, y) - coalesce(y0, y)) / dt, 6) + 0.0 ELSE 0 END AS vy FROM d""",
+        "fx_object",
+        "fx_anchor",
+    ),
+)
+def centred_velocity(fx: Fixtures) -> DataFrame:
+    """Global velocities of instances from their sightings, one for each instance and time."""
+    frames = fx.view("fx_anchor").select("anchor_id", "scene_token", "timestamp_us", "ego_x", "ego_y")
+    place = fx.view("fx_object").groupBy("anchor_id", "instance_id").agg(F.min_by("x_c", "ann_no").alias("x_c"), F.min_by("y_c", "ann_no").alias("y_c")).join(frames, "anchor_id")
+    one = place.withColumn("k", F.row_number().over(Window.partitionBy("scene_token", "instance_id", "timestamp_us").orderBy("anchor_id"))).where("k = 1")
+    seen = lb.centred_velocity(one.withColumns({"x": F.col("ego_x") + F.col("x_c"), "y": F.col("ego_y") + F.col("y_c")}))
+    return seen.select("anchor_id", "instance_id", *((F.round(v, 6) + 0.0).alias(v) for v in ("vx", "vy")))
+
+
 @query("d4_motion_state", duck(f"WITH {_GEO} SELECT state, grp, count(*) AS n FROM o GROUP BY 1, 2", "fx_object"))
 def motion_state(fx: Fixtures) -> DataFrame:
     return geo(fx).groupBy("state", "grp").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d7_firing_engine", duck(f"WITH {_RISK} SELECT anchor_id, ann_no, fires, round(clearance, 6) AS clearance FROM x", "fx_object", "fx_anchor"))
+@query("d7_firing_engine", duck(f"WITH {_CLEAR} SELECT anchor_id, ann_no, fires, round(clearance, 6) AS clearance FROM t", "fx_object"))
 def firing_engine(fx: Fixtures) -> DataFrame:
-    return risks(fx).select("anchor_id", "ann_no", "fires", F.round("clearance", 6).alias("clearance"))
+    """Object by object: neither tracks nor anchors are joined."""
+    clear = fx.view("fx_object").withColumn("clearance", lb.clearance_samples())
+    return clear.select("anchor_id", "ann_no", (F.col("clearance") < lb.BASE_M).alias("fires"), F.round("clearance", 6).alias("clearance"))
 
 
-@query("d6_yield", duck(f"WITH {_POOL} SELECT anchor_id, bool_or(fires) AS yield_required FROM r WHERE rank <= 8 GROUP BY 1", "fx_object", "fx_anchor"))
+@query("d6_yield", duck(f"WITH {_POOL} SELECT a.anchor_id, coalesce(bool_or(fires), false) AS yield_required FROM fx_anchor a LEFT JOIN r ON r.anchor_id = a.anchor_id AND rank <= 8 GROUP BY 1", "fx_object", "fx_anchor"))
 def yield_required(fx: Fixtures) -> DataFrame:
-    """Over the pool: what lies beyond it does not make the ego yield."""
-    return pool(fx).groupBy("anchor_id").agg(F.bool_or("fires").alias("yield_required"))
+    """Over the pool: what lies beyond it does not make the ego yield, and neither does an empty pool."""
+    near = lb.pool_of(geo(fx)).withColumn("fires", lb.clearance_samples() < lb.BASE_M)
+    told = near.groupBy("anchor_id").agg(F.bool_or("fires").alias("yield_required"))
+    return fx.view("fx_anchor").select("anchor_id").join(told, "anchor_id", "left").na.fill(False, ["yield_required"])
 
 
 _CASES = ", ".join(f"CASE WHEN {f} THEN '{f}' END" for f in lb.FACTORS)
@@ -198,12 +231,64 @@ def risk_factors(fx: Fixtures) -> DataFrame:
     return rows.groupBy("anchor_id", "factor").agg(F.array_join(objects, ",").alias("objects"))
 
 
+_SUMS = ", ".join(f"CAST(coalesce(sum(CAST({f} AS INT)), 0) AS BIGINT) AS {f}" for f in lb.FACTORS)
+
+
+@query("d3_anchor_labels", duck(f"WITH {_POOL} SELECT a.anchor_id, count(r.rank) AS n_pool, coalesce(bool_or(fires), false) AS yield_required, {_SUMS} FROM fx_anchor a LEFT JOIN r ON r.anchor_id = a.anchor_id AND rank <= 8 GROUP BY 1", "fx_object", "fx_anchor"))
+def anchor_labels(fx: Fixtures) -> DataFrame:
+    """Pool size, yield and factors of every anchor, without the camera's view."""
+    return lb.anchor_labels(pool(fx), fx.view("fx_anchor"))
+
+
+def camera_pool(fx: Fixtures) -> DataFrame:
+    """The pool of objects that the camera can see, with their boxes clipped to the image."""
+    seen = observed(fx).where("obs in ('observable', 'inferable')").withColumnsRenamed({f"c{k}": f"b{k}" for k in ("x1", "y1", "x2", "y2")}).drop("corners", "d", "x1", "y1", "x2", "y2")
+    return lb.risk_columns(lb.with_tracks(lb.pool_of(lb.with_geometry(seen)), tracks(fx)))
+
+
+def with_actions(anchors: DataFrame) -> DataFrame:
+    """Anchors with the action that the ego's own future shows: its speeds between the next poses within the evidence window."""
+    frames = w.future_window(anchors.withColumn("sample_id", F.col("anchor_id")), lb.TRACK_FRAMES).withColumn("speeds", F.transform(w.future_speeds(int(lb.EVIDENCE_S * 1e6)), lambda v: F.round(v, 3)))
+    return frames.withColumn("speed_action", c.speed_action(F.col("ego_speed"), F.col("speeds")))
+
+
+def outputs(fx: Fixtures) -> DataFrame:
+    return lb.expected_outputs(camera_pool(fx), with_actions(fx.view("fx_anchor")))
+
+
+_TENTH = lambda v: f"printf('%.1f', CAST(printf('%.1f', {v}) AS DOUBLE) + 0.0)"
+_SEEN = f"""{_RISK}, {_BOX}, v AS (SELECT *, greatest(x1, 0) AS bx1, greatest(y1, 0) AS by1, least(x2, 800) AS bx2, least(y2, 600) AS by2, {_OBS} AS obs FROM b),
+n AS (SELECT anchor_id, ann_no, x_c + u * a - v * b AS px, y_c + u * b + v * a AS py FROM (SELECT *, greatest(-box_length_m / 2, least(box_length_m / 2, -(x_c * a + y_c * b))) AS u,
+  greatest(-box_width_m / 2, least(box_width_m / 2, x_c * b - y_c * a)) AS v FROM (SELECT *, cos(radians(box_yaw_deg)) AS a, sin(radians(box_yaw_deg)) AS b FROM fx_object))),
+r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY round(distance, 3), ann_no) AS rank FROM x JOIN v USING (anchor_id, ann_no) JOIN n USING (anchor_id, ann_no) WHERE obs IN ('observable', 'inferable') AND ({_REL})),
+fr AS (SELECT *, row_number() OVER (PARTITION BY scene_token ORDER BY timestamp_us, anchor_id) AS i FROM fx_anchor),
+ahead AS (SELECT f.anchor_id, f.ego_speed AS v0, list(struct_pack(t := g.timestamp_us, x := g.ego_x, y := g.ego_y) ORDER BY g.i) FILTER (g.i IS NOT NULL AND g.timestamp_us - f.timestamp_us <= 3000000) AS ps, any_value(struct_pack(t := f.timestamp_us, x := f.ego_x, y := f.ego_y)) AS p0
+  FROM fr f LEFT JOIN fr g ON g.scene_token = f.scene_token AND g.i BETWEEN f.i + 1 AND f.i + 6 GROUP BY 1, 2),
+-- a pose at the time of the pose before it is skipped: only the first of each time counts
+poses AS (SELECT anchor_id, v0, list_prepend(p0, list_filter(coalesce(ps, []), lambda p, k: p.t > p0.t AND (k = 1 OR p.t > ps[k - 1].t))) AS q FROM ahead),
+sp AS (SELECT anchor_id, v0, list_transform(range(2, len(q) + 1), lambda k: round(sqrt((q[k].x - q[k - 1].x) * (q[k].x - q[k - 1].x) + (q[k].y - q[k - 1].y) * (q[k].y - q[k - 1].y)) / ((q[k].t - q[k - 1].t) / 1e6), 3)) AS speeds FROM poses),
+act AS (SELECT anchor_id, CASE WHEN len(speeds) = 0 THEN 'KEEP_SPEED' WHEN list_min(speeds) < 0.5 THEN 'STOP' WHEN list_min(speeds) < v0 * 0.85 THEN 'DECELERATE' WHEN list_max(speeds) > v0 * 1.15 THEN 'ACCELERATE' ELSE 'KEEP_SPEED' END AS speed_action FROM sp)"""
+_THING = f"category || ':' || state || ':' || {_TENTH('bx1')} || ',' || {_TENTH('by1')} || ',' || {_TENTH('bx2')} || ',' || {_TENTH('by2')} || ':' || {_TENTH('px')} || ',' || {_TENTH('py')}"
+_REFS = ", ".join(f"coalesce(string_agg(CASE WHEN {f} THEN rank - 1 END, ',' ORDER BY rank), '') AS {f}" for f in lb.FACTORS)
+
+
 @query(
     "d3_expected_output",
-    duck(f"WITH {_POOL} SELECT anchor_id, count(*) AS n_pool, bool_or(fires) AS yield_required, {', '.join(f'CAST(sum(CAST({f} AS INT)) AS BIGINT) AS {f}' for f in lb.FACTORS)} FROM r WHERE rank <= 8 GROUP BY 1", "fx_object", "fx_anchor"),
+    duck(
+        f"""WITH {_SEEN} SELECT a.anchor_id, speed_action, coalesce(bool_or(fires), false) AS yield_required, coalesce(string_agg({_THING}, ';' ORDER BY rank), '') AS objects, {_REFS}
+FROM fx_anchor a JOIN act USING (anchor_id) LEFT JOIN r ON r.anchor_id = a.anchor_id AND rank <= 8 GROUP BY 1, 2""",
+        "fx_object",
+        "fx_anchor",
+    ),
 )
 def expected_output(fx: Fixtures) -> DataFrame:
-    return lb.anchor_labels(fx.view("fx_object"), fx.view("fx_anchor"))
+    """The expected output text of every anchor, read back by its fields: objects in the order of their ids, and the ids of each factor."""
+    kind = "struct<critical_objects: array<struct<id: int, category: string, bbox_2d: array<double>, motion_state: string, bev_x: double, bev_y: double>>, risk_factors: array<struct<factor: string, objects: array<int>>>, yield_required: boolean, speed_action: string>"
+    read = outputs(fx).select("anchor_id", F.from_json("expected_output", kind).alias("o"))
+    tenths = lambda *vs: F.concat_ws(",", *(F.format_string("%.1f", v) for v in vs))
+    thing = lambda t: F.concat_ws(":", t["category"], t["motion_state"], tenths(*(t["bbox_2d"][i] for i in range(4))), tenths(t["bev_x"], t["bev_y"]))
+    refs = lambda f: F.coalesce(F.array_join(F.get(F.filter("o.risk_factors", lambda r: r["factor"] == f), F.lit(0))["objects"], ","), F.lit(""))
+    return read.select("anchor_id", "o.speed_action", "o.yield_required", F.array_join(F.transform("o.critical_objects", thing), ";").alias("objects"), *(refs(f).alias(f) for f in lb.FACTORS))
 
 
 @query("o1_top8_pool", duck(f"WITH {_POOL} SELECT anchor_id, ann_no, rank FROM r WHERE rank <= 8", "fx_object", "fx_anchor"))
@@ -243,9 +328,9 @@ def parameter_grid(fx: Fixtures) -> DataFrame:
     return grid.join(F.broadcast(cells), F.col("k") <= F.col("g")).groupBy((F.col("g") / 2).alias("radius")).agg(F.sum("m").alias("n"))
 
 
-@query("w9_extrapolation", duck("SELECT anchor_id, ann_no, round(max(sqrt((x_c + vx * k * 0.25) * (x_c + vx * k * 0.25) + (y_c + vy * k * 0.25) * (y_c + vy * k * 0.25))), 6) AS farthest FROM fx_object, range(0, 13) r(k) GROUP BY 1, 2", "fx_object"))
+@query("w9_extrapolation", duck("SELECT anchor_id, ann_no, round(max(sqrt((x_c + (vx - ego_speed) * k * 0.25) * (x_c + (vx - ego_speed) * k * 0.25) + (y_c + vy * k * 0.25) * (y_c + vy * k * 0.25))), 6) AS farthest FROM fx_object, range(0, 13) r(k) GROUP BY 1, 2", "fx_object"))
 def extrapolation(fx: Fixtures) -> DataFrame:
-    at = lambda k: F.hypot(F.col("x_c") + F.col("vx") * k * 0.25, F.col("y_c") + F.col("vy") * k * 0.25)
+    at = lambda k: F.hypot(F.col("x_c") + lb.relative_vx() * k * 0.25, F.col("y_c") + F.col("vy") * k * 0.25)
     return fx.view("fx_object").select("anchor_id", "ann_no", F.round(F.array_max(F.transform(F.sequence(F.lit(0), F.lit(12)), at)), 6).alias("farthest"))
 
 
@@ -285,7 +370,7 @@ JOIN fx_object p ON p.anchor_id = b.anchor_id AND p.instance_id = o.instance_id
 )
 def future_track(fx: Fixtures) -> DataFrame:
     """Sightings of an instance in the next six frames, by a range window over the scene's frames."""
-    return lb.with_tracks(fx.view("fx_object"), fx.view("fx_anchor")).where("n_future > 0").select("anchor_id", "ann_no", "n_future")
+    return lb.with_tracks(fx.view("fx_object"), tracks(fx)).where("n_future > 0").select("anchor_id", "ann_no", "n_future")
 
 
 @query("j4_box_annotation", duck("SELECT b.anchor_id, b.obj_idx, o.instance_id FROM fx_box b JOIN fx_object o ON o.anchor_id = b.anchor_id AND o.ann_no = b.obj_idx + 1", "fx_box", "fx_object"))
@@ -306,9 +391,7 @@ def quaternion_yaw(fx: Fixtures) -> DataFrame:
     return fx.view("fx_object").select("anchor_id", "ann_no", (F.round((F.degrees(yaw) + 360) % 360, 6) + 0.0).alias("yaw"))
 
 
-@query("p2_python_round", None)
+@query("p2_python_round", duck("SELECT anchor_id, ann_no, CAST(printf('%.3f', sqrt(x_c * x_c + y_c * y_c)) AS DOUBLE) + 0.0 AS distance FROM fx_object", "fx_object"))
 def python_round(fx: Fixtures) -> DataFrame:
     """Record rounding by exact binary value: three decimals, ties to even."""
-    from quarryframe.functions.python_rules import py_round
-
     return fx.view("fx_object").select("anchor_id", "ann_no", py_round(F.hypot("x_c", "y_c"), 3).alias("distance"))

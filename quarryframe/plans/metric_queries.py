@@ -212,8 +212,3 @@ def counterfactual_flips(fx: Fixtures) -> DataFrame:
 def self_diagnosis(fx: Fixtures) -> DataFrame:
     n = F.count(F.lit(1))
     return fx.view("fx_anchor").agg((c.ratio(c.total(F.col("parse_ok")), n) >= 0.99).alias("parse_gate"), (c.ratio(c.total(F.col("anchor_id") % 97 == 0), n) <= 0.01).alias("truncation_gate"))
-
-
-@query("d2_build_counts", duck("SELECT count(*) AS candidates, count(*) FILTER (parse_ok) AS valid, count(*) FILTER (NOT parse_ok) AS quarantined FROM fx_anchor", "fx_anchor"))
-def build_counts(fx: Fixtures) -> DataFrame:
-    return fx.view("fx_anchor").agg(F.count(F.lit(1)).alias("candidates"), c.total(F.col("parse_ok")).alias("valid"), c.total(~F.col("parse_ok")).alias("quarantined"))

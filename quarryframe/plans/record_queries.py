@@ -199,15 +199,6 @@ def unique_scan(fx: Fixtures) -> DataFrame:
     return io.unique_by(fx.table("orders").select("o_orderkey", "o_custkey"), "o_orderkey")
 
 
-@query("s4_hash_verified_read", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 4 = 1")
-def hash_verified_read(fx: Fixtures) -> DataFrame:
-    """Indexed records whose text still has the hash of the index."""
-    lines = order_json(fx).withColumn("record_hash", F.sha2("text", 256))
-    index = lines.where("o_orderkey % 4 = 1").select("o_orderkey", "record_hash")
-    joined = index.join(lines.select("record_hash", "text"), "record_hash")
-    return joined.select("o_orderkey", F.from_json("text", "a bigint")["a"].alias("o_custkey"))
-
-
 @query("s6_feature_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'")
 def feature_scan(fx: Fixtures) -> DataFrame:
     return fx.table("lineitem").where("l_shipdate >= timestamp_ntz '1998-01-01 00:00:00'").select("l_orderkey", "l_linenumber", "l_quantity")
@@ -297,11 +288,6 @@ def generation_drift(fx: Fixtures) -> DataFrame:
     return generations(fx).groupBy("status", "changed").agg(F.count(F.lit(1)).alias("n")).withColumn("allowed", F.col("changed").isin("", "o_custkey"))
 
 
-@query("j10_index_lines", f"SELECT status, count(*) AS n FROM ({_GEN}) GROUP BY 1")
-def index_lines(fx: Fixtures) -> DataFrame:
-    return generations(fx).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("v1_parity_gate", f"SELECT bool_and(status = 'same') AS passed, count(*) FILTER (status <> 'same') AS failed FROM ({_GEN})")
 def parity_gate(fx: Fixtures) -> DataFrame:
     return generations(fx).agg(F.every(F.col("status") == "same").alias("passed"), c.total(F.col("status") != "same").alias("failed"))
@@ -363,23 +349,6 @@ def rebuild_compare(fx: Fixtures) -> DataFrame:
     return a.join(b, "o_orderkey", "full_outer").agg(F.count(F.lit(1)).alias("n"), F.every(F.col("x").eqNullSafe(F.col("y"))).alias("identical"))
 
 
-@query("f9_record_violations", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_totalprice > 300000 THEN 'price' END, CASE WHEN o_orderkey % 7 = 0 THEN 'key' END) AS violations FROM orders")
-def record_violations(fx: Fixtures) -> DataFrame:
-    return fx.table("orders").select("o_orderkey", va.violations({"price": F.col("o_totalprice") > 300000, "key": F.col("o_orderkey") % 7 == 0}).alias("violations"))
-
-
-@query("f10_leak_scan", "SELECT conv_id, turn FROM conversations WHERE contains(text, CAST(conv_id + 1 AS VARCHAR)) OR contains(text, 'user-' || conv_id)")
-def leak_scan(fx: Fixtures) -> DataFrame:
-    """Texts that hold a token they must not know."""
-    secrets = F.array((F.col("conv_id") + 1).cast("string"), F.concat(F.lit("user-"), F.col("conv_id").cast("string")))
-    return fx.table("conversations").where(F.exists(secrets, lambda s: F.contains(F.col("text"), s))).select("conv_id", "turn")
-
-
-@query("f11_build_gates", "SELECT gate, failed, failed = 0 AS passed FROM (SELECT 'price_positive' AS gate, count(*) FILTER (NOT o_totalprice > 0) AS failed FROM orders UNION ALL SELECT 'status_known', count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) FROM orders)")
-def build_gates(fx: Fixtures) -> DataFrame:
-    return va.gate_table(fx.table("orders"), {"price_positive": F.col("o_totalprice") > 0, "status_known": F.col("o_orderstatus").isin("O", "F")})
-
-
 @query("v5_array_compare", "SELECT a.vec_id, round(CAST(list_max(list_transform(range(1, 65), lambda i: abs(a.embedding[i] - b.embedding[i]))) AS DOUBLE), 4) AS delta FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def array_compare(fx: Fixtures) -> DataFrame:
     e = fx.table("embeddings").select("vec_id", "embedding")
@@ -562,14 +531,6 @@ def attribution_bridge(fx: Fixtures) -> DataFrame:
     return b.withColumnRenamed("obj_idx", "pred_id").join(matched, ["anchor_id", "category", "pred_id"], "left").select("anchor_id", "pred_id", F.coalesce("gt_id", F.lit(-1)).alias("gt_id"))
 
 
-@query("j15_request_guard", "SELECT o_orderkey, sha256('p' || o_orderkey) AS request_hash FROM orders WHERE o_orderkey % 5 = 0")
-def request_guard(fx: Fixtures) -> DataFrame:
-    rows = fx.table("orders").select("o_orderkey", F.sha2(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")), 256).alias("request_hash"))
-    frozen = rows.where("o_orderkey % 5 = 0").withColumnRenamed("request_hash", "frozen")
-    guarded = rows.join(frozen, "o_orderkey").withColumn("ok", F.when(F.col("request_hash") == F.col("frozen"), True).otherwise(F.raise_error("a request has changed")))
-    return guarded.where("ok").select("o_orderkey", "request_hash")
-
-
 @query("v3_policy_parity", duck(f"SELECT count(*) AS n, count(*) FILTER (k > 4 OR newest <> sample_id) AS broken FROM (SELECT sample_id, count(*) OVER h AS k, last_value(sample_id) OVER h AS newest FROM fx_keyframe WINDOW h AS ({_W} ROWS 3 PRECEDING))", "fx_keyframe"))
 def policy_parity(fx: Fixtures) -> DataFrame:
     """The one-frame request is the newest frame of the four-frame one."""
@@ -605,16 +566,6 @@ def contract_lineage(fx: Fixtures) -> DataFrame:
 _PARTS = "SELECT location, substr(scene_token, 1, 3) AS part, count(*) AS n, sha256(string_agg(scene_token, ',' ORDER BY scene_token)) AS h FROM fx_scene GROUP BY 1, 2"
 
 
-@query("k3_split_manifest", duck(f"SELECT location, CAST(sum(n) AS BIGINT) AS n_scenes, sha256(string_agg(h, ',' ORDER BY part)) AS scenes_sha256 FROM ({_PARTS}) GROUP BY 1", "fx_scene"))
-def split_manifest(fx: Fixtures) -> DataFrame:
-    """A two-level hash of a location's scenes: names are hashed by their first characters, and those hashes once more."""
-    in_order = lambda *cols: F.array_sort(F.collect_list(F.struct(*cols)))
-    parts = fx.view("fx_scene").groupBy("location", F.substring("scene_token", 1, 3).alias("part")).agg(F.count(F.lit(1)).alias("n"), in_order("scene_token").alias("s"))
-    parts = parts.select("location", "part", "n", F.sha2(F.array_join(F.col("s.scene_token"), ","), 256).alias("h"))
-    whole = parts.groupBy("location").agg(F.sum("n").alias("n_scenes"), in_order("part", "h").alias("p"))
-    return whole.select("location", "n_scenes", F.sha2(F.array_join(F.col("p.h"), ","), 256).alias("scenes_sha256"))
-
-
 @query("k5_grid_files", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")
 def grid_files(fx: Fixtures) -> DataFrame:
     """A grid written as Parquet, CSV and JSON; all three read back the same."""

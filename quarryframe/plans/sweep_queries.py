@@ -20,10 +20,13 @@ old AS (SELECT anchor_id, bool_or(old_fires) AS corridor_conflict, bool_or(old_f
   bool_or(old_fires) AND bool_and(is_static OR NOT old_fires) AND NOT bool_or(in_lane AND speed <= 0.5 AND top <= 0.5) AS static_only FROM p GROUP BY 1)"""
 
 
-@query("d9_old_rules", duck(f"WITH {_OLD} SELECT * FROM old", "fx_object", "fx_anchor"))
+_OLD_ROW = ", ".join(f"coalesce({f}, false) AS {f}" for f in (*sw.OLD_FACTORS, "old_yield", "static_only"))
+
+
+@query("d9_old_rules", duck(f"WITH {_OLD} SELECT a.anchor_id, {_OLD_ROW} FROM fx_anchor a LEFT JOIN old USING (anchor_id)", "fx_object", "fx_anchor"))
 def old_rules(fx: Fixtures) -> DataFrame:
-    """The seven factors and the yield of the older rules, from the pool of each anchor."""
-    return sw.old_factors(pool(fx))
+    """The seven factors and the yield of the older rules for every anchor; one without pool objects has none of them."""
+    return fx.view("fx_anchor").select("anchor_id").join(sw.old_factors(pool(fx)), "anchor_id", "left").na.fill(False)
 
 
 @query("o7_nearest_lead", duck(f"WITH {_GEO} SELECT anchor_id, arg_min(ann_no, (round(distance, 3), ann_no)) AS lead FROM o WHERE category NOT IN ('pedestrian', 'barrier', 'traffic_cone') AND x_c > 0 AND abs(y_c) <= 1.185 GROUP BY 1", "fx_object"))
@@ -97,7 +100,7 @@ _FOLDED = "CASE WHEN vx = 0 AND vy = 0 THEN 0 ELSE abs(degrees(atan2(vy, vx))) E
 _GRIDS = f"""WITH {_POOL}, p AS (SELECT * FROM r WHERE rank <= 8),
 c1 AS (SELECT a, b, s, anchor_id, count(*) FILTER ((abs(azimuth) <= a AND distance / ({_RANGE_OF}) < s) OR distance < b) AS n FROM o, {_values(sw.CONES, 'a')}, {_values(sw.DISCS, 'b')}, {_values(sw.SCALES, 's')} GROUP BY 1, 2, 3, 4),
 c2 AS (SELECT a, b, s AS c, coalesce(n, 0) AS n FROM fx_anchor CROSS JOIN {_values(sw.CONES, 'a')} CROSS JOIN {_values(sw.DISCS, 'b')} CROSS JOIN {_values(sw.SCALES, 's')} LEFT JOIN c1 USING (a, b, s, anchor_id)),
-w1 AS (SELECT anchor_id, ann_no, category, k, greatest(abs(x_c + vx * k * 0.25) - 2.05, 0) AS ex, greatest(abs(y_c + vy * k * 0.25) - 1.185, 0) AS ey FROM o, range(0, 25) r(k)),
+w1 AS (SELECT anchor_id, ann_no, category, k, greatest(abs(x_c + (vx - ego_speed) * k * 0.25) - 2.05, 0) AS ex, greatest(abs(y_c + vy * k * 0.25) - 1.185, 0) AS ey FROM o, range(0, 25) r(k)),
 w2 AS (SELECT anchor_id, ann_no, category = 'pedestrian' AS ped, a, min(sqrt(ex * ex + ey * ey)) AS d FROM w1, {_values(sw.REACHES_S, 'a')} WHERE k * 0.25 <= a GROUP BY 1, 2, 3, 4),
 w3 AS (SELECT a, b, c, anchor_id, bool_or(ped AND d < c) AS p, bool_or(NOT ped AND d < b) AS v FROM w2, {_values(sw.VEHICLE_GAPS, 'b')}, {_values(sw.PEDESTRIAN_GAPS, 'c')} GROUP BY 1, 2, 3, 4),
 m1 AS (SELECT a, b, CASE WHEN sqrt(vx * vx + vy * vy) < b THEN 'stationary' WHEN {_FOLDED} BETWEEN a AND 180 - a THEN 'crossing' WHEN {_FOLDED} > 180 - a THEN 'oncoming' ELSE 'same_direction' END AS name FROM p, {_values(sw.ANGLES, 'a')}, {_values(sw.STILL_SPEEDS, 'b')}),

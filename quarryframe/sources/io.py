@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import hashlib
 import json
 import tempfile
@@ -38,22 +40,23 @@ def shard_index(records: DataFrame, group: str, order: list[str], size: int = SH
     return dense_index(records, group, order).withColumns({"shard": F.floor(F.col("global_idx") / size).cast("long"), "line": F.col("global_idx") % size})
 
 
-def write_shards(records: DataFrame, path: str, payload: str, group: str, order: list[str]) -> DataFrame:
-    """Write ``payload`` lines into one folder per shard, in order, and return the index with each line's sha256.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; only a local session without that setting takes one of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='quarryframe-')}"
+    path = f"{base.rstrip('/')}/quarryframe-{name}-{uuid.uuid4().hex}"
+    atexit.register(drop_folder, spark, path)
+    return path
 
-    A shard is one task's work, so its lines stay in order and its size is bounded.
-    """
-    indexed = shard_index(records, group, order).withColumn("record_hash", F.sha2(F.col(payload), 256))
-    lines = indexed.repartition("shard").sortWithinPartitions("shard", "line").select("shard", F.col(payload).alias("value"))
-    lines.write.partitionBy("shard").text(path)
-    return indexed.drop(payload)
 
-
-def read_shards(spark: SparkSession, path: str, index: DataFrame, key: str) -> DataFrame:
-    """The indexed records with their lines; a line whose hash is not in the index, or an index row without its line, stops the job."""
-    lines = spark.read.text(path).select(F.col("shard").cast("long").alias("shard"), F.col("value"), F.sha2("value", 256).alias("record_hash"))
-    joined = index.join(lines, ["shard", "record_hash"], "left")
-    return joined.withColumn("value", F.when(F.col("value").isNull(), F.raise_error(F.concat(F.lit("no line for "), F.col(key).cast("string")))).otherwise(F.col("value")))
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder with the file system that Spark itself uses for it; at the end of the driver its gateway may be gone, and the folder stays."""
+    with contextlib.suppress(Exception):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def seal_manifest(payload: dict[str, Any], field: str = "manifest_sha256") -> dict[str, Any]:
@@ -98,8 +101,7 @@ def markdown_table(rows: DataFrame) -> str:
 def write_grid(grid: DataFrame) -> list[DataFrame]:
     """A small aggregate as Parquet, CSV and JSON under the shared folder ``spark.checkpoint.dir``, each read back."""
     spark = grid.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quarryframe-grid-')}"
-    path = f"{base.rstrip('/')}/grid-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "grid")
     out = []
     for kind in ("parquet", "csv", "json"):
         grid.write.format(kind).save(f"{path}/{kind}")
