@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryframe.functions import columns as c
+from quarryframe.operators.percentiles import exact_percentiles
 
 # Overlap thresholds, the primary one, and the distance buckets in metres.
 TAUS, PRIMARY = (0.3, 0.5, 0.7), 0.5
@@ -28,21 +29,29 @@ def position_errors(pairs: DataFrame) -> DataFrame:
     """(metric, cls, value): mean, median and 90th percentile of the absolute errors over all pairs and by distance of the reference, and
     the means of the positive and of the negative errors of each axis. ``pairs`` has px, py, gx, gy; one without all four is left out.
 
-    Errors are multiples of the position's rounding step, so the percentiles keep a bounded number of values.
+    Means come from sums of one pass, percentiles from counts of value ranges; no task has all errors.
     """
     dx, dy = F.col("px") - F.col("gx"), F.col("py") - F.col("gy")
     rows = pairs.where("px is not null and py is not null and gx is not null and gy is not null")
     rows = rows.select(dx.alias("sx"), dy.alias("sy"), F.abs(dx).alias("dx"), F.abs(dy).alias("dy"), F.round(F.hypot(dx, dy), 9).alias("dxy"), F.round(F.hypot("gx", "gy"), 9).alias("d"))
+    spans = ((0.0, float("inf"), "all"), *BUCKETS)
     values: dict[tuple[str, str], Column] = {}
-    for low, high, tag in ((0.0, float("inf"), "all"), *BUCKETS):
+    for low, high, tag in spans:
         for family in ("dx", "dy", "dxy"):
-            v = F.when((F.col("d") >= low) & (F.col("d") < high), F.col(family))
-            values |= {(f"bev_{family}_mean", tag): F.avg(v), (f"bev_{family}_p50", tag): F.percentile(v, 0.5), (f"bev_{family}_p90", tag): F.percentile(v, 0.9)}
+            values[f"bev_{family}_mean", tag] = F.avg(F.when((F.col("d") >= low) & (F.col("d") < high), F.col(family)))
     for axis in ("x", "y"):
         s = F.col(f"s{axis}")
         values |= {(f"bev_signed_d{axis}_pos_mean", "all"): F.avg(F.when(s > 0, s)), (f"bev_signed_d{axis}_neg_mean", "all"): F.avg(F.when(s < 0, s))}
     wide = rows.agg(*(v.alias(f"v{k}") for k, v in enumerate(values.values())))
-    return wide.select(long_rows({key: F.col(f"v{k}") for k, key in enumerate(values)}))
+    means = wide.select(long_rows({key: F.col(f"v{k}") for k, key in enumerate(values)}))
+    tags = F.array_compact(F.array(*(F.when((F.col("d") >= low) & (F.col("d") < high), F.lit(tag)) for low, high, tag in spans)))
+    errors = F.array(*(F.struct(F.lit(f).alias("family"), F.col(f).alias("error")) for f in ("dx", "dy", "dxy")))
+    flat = rows.select(F.explode(tags).alias("cls"), errors.alias("errors")).select("cls", F.inline("errors"))
+    told = exact_percentiles(flat, "error", [0.5, 0.9], ["family", "cls"])
+    named = told.select(F.concat(F.lit("bev_"), "family", F.when(F.col("probability") == 0.5, "_p50").otherwise("_p90")).alias("metric"), "cls", "value")
+    # a span without pairs counts as 0
+    every = means.sparkSession.createDataFrame([(f"bev_{f}_{p}", tag) for f in ("dx", "dy", "dxy") for p in ("p50", "p90") for _, _, tag in spans], "metric string, cls string")
+    return means.unionByName(every.join(F.broadcast(named), ["metric", "cls"], "left").na.fill(0.0, ["value"]))
 
 
 def attribution_counts(truth: DataFrame, guess: DataFrame, matches: DataFrame) -> DataFrame:

@@ -13,16 +13,17 @@ _BLOCK = 16
 
 
 def range_bounds(rows: DataFrame, keys: list[str], ranges: int = RANGES) -> list:
-    """Sorted bounds that deal the keys into about equal ranges.
+    """Sorted bounds that deal the keys into about equal ranges; keys should be distinct.
 
     Rows are taken by a hash of their key at a rate that gives ``ranges * SAMPLED`` of them, so what the driver gets does not grow
-    with the data, and the same rows give the same bounds.
+    with the data, and the same rows give the same bounds. Up to that number, all keys are seen.
     """
     key = rows.select(F.struct(*keys).alias("key"))
     n = key.count()
     rate = min(2**31, -(-(2**31) * ranges * SAMPLED // max(n, 1)))
     taken = key.where(F.pmod(F.xxhash64("key"), F.lit(2**31)) < rate).distinct().orderBy("key").collect()
-    return [taken[i * len(taken) // ranges]["key"] for i in range(1, ranges) if i * len(taken) // ranges > (i - 1) * len(taken) // ranges]
+    places = {i * len(taken) // ranges for i in range(1, ranges)} if len(taken) >= ranges else range(len(taken))
+    return [taken[i]["key"] for i in sorted(places)]
 
 
 def range_number(key: Column, bounds: Column) -> Column:

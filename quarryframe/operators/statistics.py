@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +51,79 @@ def resampled_totals(counts: DataFrame, scene: str, columns: list[str], replicat
     return scene_draws(counts.sparkSession, n, replicates, seed).join(side, "no").groupBy("replicate").agg(*(F.sum(c).alias(c) for c in columns))
 
 
+# -- draws of the Mersenne twister ---------------------------------------------------------------------------------
+
+#: Draws between two saved states of the generator.
+STATE_EVERY = 4_000_000
+
+
+def _states(n: int, replicates: int, seed: int) -> list[tuple[int, int, bytes, int]]:
+    """(first replicate, replicates, key, position) of the generator at the start of each block of replicates.
+
+    One stream gives all draws in turn, so it is run through once here without keeping them; what is kept is 2.5 KB for each block.
+    """
+    rng, out, per = np.random.RandomState(seed), [], max(1, STATE_EVERY // max(n, 1))
+    for first in range(0, replicates, per):
+        _, key, at, _, _ = rng.get_state(legacy=True)
+        out.append((first, min(per, replicates - first), key.astype("<u4").tobytes(), int(at)))
+        for _ in range(out[-1][1]):
+            rng.randint(0, n, size=n)
+    return out
+
+
+def mersenne_draws(spark: SparkSession, n: int, replicates: int, seed: int) -> DataFrame:
+    """(replicate, no, weight): how often each of ``n`` numbers is drawn, bit for bit as ``RandomState(seed).randint(0, n, size=(replicates, n))`` draws them.
+
+    Tasks take up the stream at saved states. The stream itself is sequential and costs some nanoseconds a draw, so this is for comparing with stored runs;
+    ``scene_draws`` needs no stream.
+    """
+    if n < 1:
+        return spark.createDataFrame([], "replicate int, no long, weight long")
+    blocks = spark.createDataFrame(_states(n, replicates, seed), "first int, count int, key binary, at int").repartition(max(1, spark.sparkContext.defaultParallelism))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                rng = np.random.RandomState()
+                rng.set_state(("MT19937", np.frombuffer(row["key"], "<u4").copy(), row["at"]))
+                for k in range(row["count"]):
+                    weight = np.bincount(rng.randint(0, n, size=n), minlength=n)
+                    no = np.nonzero(weight)[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(no), row["first"] + k, np.int32)), pa.array(no.astype(np.int64)), pa.array(weight[no].astype(np.int64))], names=["replicate", "no", "weight"])
+
+    return blocks.mapInArrow(draw, "replicate int, no long, weight long")
+
+
+# -- statistics of one's own ----------------------------------------------------------------------------------------
+
+#: Rows that one replicate may have: a statistic that is not additive sees all of them in one task.
+MAX_PLUG_IN_ROWS = 2_000_000
+
+
+def plug_in_bootstrap(rows: DataFrame, scene: str, statistic: Callable[[pd.DataFrame], dict[str, float]], draws: DataFrame) -> DataFrame:
+    """(replicate, metric, value) of a statistic of one's own, for each replicate of ``draws`` (replicate, no, weight).
+
+    ``statistic`` is given the rows of the drawn scenes with their ``weight``; ``drawn_rows`` repeats them by it. Scenes are numbered by name. What an additive statistic needs
+    is far less (``resampled_totals``): here every replicate joins all rows, and one task sees them, so more than ``MAX_PLUG_IN_ROWS`` are refused. A replicate
+    that draws no row has none. A statistic that fails stops the job.
+    """
+    if rows.count() > MAX_PLUG_IN_ROWS:
+        raise ValueError(f"a plug-in statistic sees at most {MAX_PLUG_IN_ROWS} rows; give an additive one to resampled_totals")
+    numbered = numbered_names(rows.select(scene).distinct(), scene, "no")
+    joined = draws.join(numbered, "no").drop("no").join(rows, scene)
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        told = statistic(part.drop(columns="replicate"))
+        return pd.DataFrame({"replicate": int(part["replicate"].iloc[0]), "metric": list(told), "value": [float(v) for v in told.values()]})
+
+    return joined.groupBy("replicate").applyInPandas(one, "replicate int, metric string, value double")
+
+
+def drawn_rows(part: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a replicate, each as often as its scene was drawn."""
+    return part.loc[part.index.repeat(part["weight"])].drop(columns="weight")
+
+
 def percentile_interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:
     low = (1 - level) / 2
     return values.agg(F.percentile(column, low).alias("lo"), F.percentile(column, 1 - low).alias("hi"), F.count(column).alias("n"))

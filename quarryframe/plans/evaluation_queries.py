@@ -9,10 +9,12 @@ from quarryframe.functions import columns as c
 from quarryframe.operators import evaluation as ev
 from quarryframe.operators import matching as mt
 from quarryframe.operators import statistics as st
+from quarryframe.operators.percentiles import exact_percentiles
 from quarryframe.plans.fixtures import Fixtures, duck
 from quarryframe.plans.metric_queries import _MATCH, _PAIRS
 from quarryframe.plans.registry import query
 from quarryframe.plans.sequence_queries import _B, _WEIGHTS
+from quarryframe.sources import io
 
 FACTORS = ("f0", "f1", "f2", "f3")
 CAP = 8
@@ -118,7 +120,7 @@ SCORES = ("n_objects", "tp_3", "tp_5", "tp_7", "mean_iou", "motion_correct", "n_
 
 def scores(fx: Fixtures) -> DataFrame:
     """The anchors with their scores, and with the sums of overlaps and position errors that intervals need."""
-    pairs = matched(fx)
+    pairs = io.written(matched(fx), "matches")
     full = primary_pairs(fx, pairs)
     has = F.col("px").isNotNull() & F.col("py").isNotNull() & F.col("gx").isNotNull() & F.col("gy").isNotNull()
     dx, dy = F.col("px") - F.col("gx"), F.col("py") - F.col("gy")
@@ -227,21 +229,25 @@ LEFT JOIN (SELECT anchor_id, list(DISTINCT factor) AS gs FROM gr GROUP BY 1) USI
 @query("a18_report", eval_sql(_report_sql()))
 def report(fx: Fixtures) -> DataFrame:
     """The whole report as (metric, cls, value): coverage, objects, motions, actions, yields, factors, sizes, position errors, attribution."""
-    anchors, rows, pairs = fx.view("fx_anchor"), boxes(fx), matched(fx)
-    full = primary_pairs(fx, pairs)
-    att = ev.attribution_report(attributions(fx, pairs))
+    # matched and scored once: all parts of the report are read from these tables
+    anchors, rows, pairs = io.written(fx.view("fx_anchor"), "anchors"), io.written(boxes(fx), "boxes"), io.written(matched(fx), "matches")
+    full = io.written(primary_pairs(fx, pairs), "pairs")
+    att = io.written(ev.attribution_report(attributions(fx, pairs)), "attribution")
     factor_set = lambda text, name: refs(fx, text).groupBy("anchor_id").agg(F.collect_set("factor").alias(name))
     none = F.expr("cast(array() as array<string>)")
     sets = anchors.where("parse_ok").join(rows.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n")), "anchor_id", "left")
     sets = sets.join(factor_set(_TRUTH_REFS, "gs"), "anchor_id", "left").join(factor_set(_GUESS_REFS, "ps"), "anchor_id", "left")
     sets = sets.withColumns({"n": F.coalesce("n", F.lit(0)), "gs": F.coalesce("gs", none), "ps": F.coalesce("ps", none)}).withColumns({"ng": F.size("gs"), "np": F.size("ps")})
+    sets = io.written(sets, "sets")
 
     total, ok = F.count(F.lit(1)), F.col("parse_ok")
     coverage = anchors.agg(total.alias("n"), c.total(ok).alias("ok")).select(
         ev.long_rows({("anchors_expected", ""): F.col("n"), ("parse_ok", ""): F.col("ok"), ("parse_failed", ""): F.col("n") - F.col("ok"), ("parse_rate", ""): c.ratio(F.col("ok"), F.col("n"))})
     )
     iou = F.when(F.col("iou") >= ev.PRIMARY, F.col("iou"))
-    micro = pairs.agg(*(c.total(F.col("iou") >= t).alias(f"t{k}") for k, t in enumerate(ev.TAUS)), F.avg(iou).alias("mean"), F.percentile(iou, 0.5).alias("p50"), F.percentile(iou, 0.9).alias("p90")).crossJoin(F.broadcast(rows.agg(total.alias("n"))))
+    micro = pairs.agg(*(c.total(F.col("iou") >= t).alias(f"t{k}") for k, t in enumerate(ev.TAUS)), F.avg(iou).alias("mean")).crossJoin(F.broadcast(rows.agg(total.alias("n"))))
+    told = exact_percentiles(pairs.where(F.col("iou") >= ev.PRIMARY), "iou", [0.5, 0.9])
+    micro = micro.crossJoin(F.broadcast(told.agg(*(F.max(F.when(F.col("probability") == q, F.col("value"))).alias(k) for q, k in ((0.5, "p50"), (0.9, "p90"))))))
     values = {(f"object_{k}_micro", str(t)): c.ratio(F.col(f"t{i}"), F.col("n")) for i, t in enumerate(ev.TAUS) for k in ("precision", "recall", "f1")}
     values |= {("matched_pair_count", ""): F.col("t1"), ("matched_iou_mean", ""): F.col("mean"), ("matched_iou_p50", ""): F.col("p50"), ("matched_iou_p90", ""): F.col("p90")}
     objects = micro.select(ev.long_rows(values))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarryframe.functions import columns as c
 from quarryframe.operators import matching as mt
 from quarryframe.operators import metrics as me
+from quarryframe.operators.percentiles import exact_percentiles
 from quarryframe.plans.fixtures import Fixtures, duck
 from quarryframe.plans.registry import query
 
@@ -70,8 +71,10 @@ def category_counts(fx: Fixtures) -> DataFrame:
 
 @query("a14_iou_percentiles", matched_sql("SELECT count(*) AS n, round(avg(iou), 6) AS mean, round(quantile_cont(iou, 0.5), 6) AS median, round(quantile_cont(iou, 0.9), 6) AS p90 FROM m"))
 def iou_percentiles(fx: Fixtures) -> DataFrame:
-    p = lambda q: F.round(F.coalesce(F.percentile("iou", q), F.lit(0.0)), 6)
-    return matches(fx).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("iou"), 6).alias("mean"), p(0.5).alias("median"), p(0.9).alias("p90"))
+    rows = matches(fx).select("iou")
+    told = exact_percentiles(rows, "iou", [0.5, 0.9])
+    p = lambda q: F.round(F.coalesce(F.max(F.when(F.col("probability") == q, F.col("value"))), F.lit(0.0)), 6)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("iou"), 6).alias("mean")).crossJoin(told.agg(p(0.5).alias("median"), p(0.9).alias("p90")))
 
 
 # -- actions and yields ------------------------------------------------------------------------------------------
@@ -167,10 +170,18 @@ def nearest_rank(fx: Fixtures) -> DataFrame:
     return me.nearest_rank(fx.table("lineitem").select(F.col("l_quantity").cast("long").alias("v")), "v", 0.9)
 
 
-@query("a19_cost_summary", duck("SELECT count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(max(value), 6) AS largest, round(count(*) / sum(value), 9) AS per_unit FROM events"))
+_COSTS = "count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(max(value), 6) AS largest, round(sum(value), 4) AS total, round(count(*) / sum(value), 9) AS per_unit"
+
+
+@query("a19_cost_summary", f"SELECT event_type, {_COSTS} FROM events GROUP BY 1 UNION ALL SELECT '*', {_COSTS} FROM events")
 def cost_summary(fx: Fixtures) -> DataFrame:
-    p = lambda q: F.round(F.percentile("value", q), 6)
-    return fx.table("events").agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.round(F.max("value"), 6).alias("largest"), F.round(F.count(F.lit(1)) / F.sum("value"), 9).alias("per_unit"))
+    """Median, 90th percentile, largest, sum and rows per unit of the costs of each kind and of all."""
+    rows = fx.table("events").select(F.explode(F.array("event_type", F.lit("*"))).alias("event_type"), "value")
+    n = F.count(F.lit(1))
+    sums = rows.groupBy("event_type").agg(n.alias("n"), F.round(F.max("value"), 6).alias("largest"), F.round(F.sum("value"), 4).alias("total"), F.round(n / F.sum("value"), 9).alias("per_unit"))
+    told = exact_percentiles(rows, "value", [0.5, 0.9], ["event_type"])
+    p = lambda q: F.round(F.max(F.when(F.col("probability") == q, F.col("value"))), 6)
+    return sums.join(F.broadcast(told.groupBy("event_type").agg(p(0.5).alias("p50"), p(0.9).alias("p90"))), "event_type")
 
 
 @query("a20_label_distribution", duck("SELECT coalesce(split, '*') AS split, coalesce(gt_action, '*') AS gt_action, count(*) AS n, count(*) FILTER (gt_yield) AS n_yield FROM (SELECT *, CASE WHEN anchor_id % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM fx_anchor) GROUP BY CUBE (split, gt_action)", "fx_anchor"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -325,6 +326,40 @@ def class_bootstrap(fx: Fixtures) -> DataFrame:
     return scores.groupBy("action").agg(F.round(F.percentile("f1", 0.025), 6).alias("lo"), F.round(F.percentile("f1", 0.975), 6).alias("hi"))
 
 
+@query("r4_mersenne_draws")
+def mersenne_draws(fx: Fixtures) -> DataFrame:
+    """The draws of scenes as numpy's generator gives them; tests compare them with a stored vector and with numpy."""
+    scenes = w.numbered_names(fx.view("fx_anchor").where("parse_ok").select("scene_token").distinct(), "scene_token", "no")
+    return st.mersenne_draws(fx.spark, scenes.count(), _B_SHOWN, 20260101).join(scenes, "no").select("replicate", "scene_token", "weight")
+
+
+#: Replicates of the median: each joins all anchors.
+_B_PLUG_IN = 100
+
+
+def _median(part: pd.DataFrame) -> dict[str, float]:
+    speeds = st.drawn_rows(part)["ego_speed"]
+    return {"median": speeds.median(), "spread": speeds.quantile(0.75) - speeds.quantile(0.25)}
+
+
+@query(
+    "r1_plug_in_bootstrap",
+    duck(
+        f"""WITH {_WEIGHTS % _B_PLUG_IN}, x AS (SELECT replicate, ego_speed FROM (SELECT replicate, ego_speed, unnest(range(weight)) AS k FROM wt JOIN fx_anchor USING (scene_token) WHERE parse_ok)),
+s AS (SELECT replicate, quantile_cont(ego_speed, 0.5) AS median, quantile_cont(ego_speed, 0.75) - quantile_cont(ego_speed, 0.25) AS spread FROM x GROUP BY 1)
+SELECT metric, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi, count(*) AS n FROM (UNPIVOT s ON median, spread INTO NAME metric VALUE value) GROUP BY 1""",
+        "fx_anchor",
+    ),
+)
+def plug_in_bootstrap(fx: Fixtures) -> DataFrame:
+    """Intervals of a median and of a quartile range, which are no sums over scenes."""
+    rows = fx.view("fx_anchor").where("parse_ok").select("scene_token", "ego_speed")
+    n = rows.select("scene_token").distinct().count()
+    draws = st.scene_draws(fx.spark, n, _B_PLUG_IN, "seed").groupBy("replicate", "no").agg(F.count(F.lit(1)).alias("weight"))
+    values = st.plug_in_bootstrap(rows, "scene_token", _median, draws)
+    return values.groupBy("metric").agg(F.round(F.percentile("value", 0.025), 6).alias("lo"), F.round(F.percentile("value", 0.975), 6).alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
 _BOUNDS = (-0.05, 0.0, 0.05)
 
 

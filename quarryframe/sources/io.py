@@ -52,6 +52,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: what is used several times is computed once, and a lost executor repeats only tasks."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder with the file system that Spark itself uses for it; at the end of the driver its gateway may be gone, and the folder stays."""
     with contextlib.suppress(Exception):
