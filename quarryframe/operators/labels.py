@@ -23,6 +23,20 @@ FACTORS = ("vru_crossing", "vehicle_crossing", "lead_vehicle_braking", "stationa
 TWO_WHEELERS = ("bicycle", "motorcycle")
 
 
+def config_invariants() -> dict[str, Column]:
+    """What a rule config (y_brake, y_still, ego_width, margin, drop) must not be: each condition with its name."""
+    keys = ("y_brake", "y_still", "ego_width", "margin", "drop")
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    return {
+        "stationary_narrower": F.col("y_still") < F.col("y_brake"),
+        "band_width": F.abs(F.lit(Y_BRAKE) - (F.col("ego_width") + F.col("margin")) / 2) > 1e-9,
+        "not_positive": (F.col("y_brake") <= 0) | (F.col("y_still") <= 0),
+        "missing_key": missing,
+    }
+
+
 def with_geometry(objects: DataFrame) -> DataFrame:
     """distance, azimuth, group and motion state of each object."""
     x, y = F.col("x_c"), F.col("y_c")
@@ -46,11 +60,11 @@ def relative_vx() -> Column:
     return F.col("vx") - F.col("ego_speed")
 
 
-def clearance_samples() -> Column:
+def clearance_samples(inside: float = -1e9) -> Column:
     """Least gap between the ego's swept band and the object's extent toward it over the constant-velocity samples.
 
     Ego and object go on with their velocities. The extent counts in the direction from the band's nearest point to the
-    centre; a centre inside the band is a gap of -1e9. The samples are unrolled, so that the expression is compiled.
+    centre; a centre inside the band is a gap of ``inside``. The samples are unrolled, so that the expression is compiled.
     """
     half_length, half_width = EGO_LENGTH / 2, (EGO_WIDTH + MARGIN) / 2
     yaw = F.radians("box_yaw_deg")
@@ -60,7 +74,7 @@ def clearance_samples() -> Column:
         dx = px - F.greatest(F.lit(-half_length), F.least(F.lit(half_length), px))
         dy = py - F.greatest(F.lit(-half_width), F.least(F.lit(half_width), py))
         extent = c.support_half_extent(F.col("box_length_m"), F.col("box_width_m"), yaw - F.atan2(dy, dx))
-        return F.when((dx == 0) & (dy == 0), F.lit(-1e9)).otherwise(F.hypot(dx, dy) - extent)
+        return F.when((dx == 0) & (dy == 0), F.lit(inside)).otherwise(F.hypot(dx, dy) - extent)
 
     return F.least(*(sample(k) for k in range(HORIZON_STEPS + 1)))
 
@@ -135,6 +149,17 @@ def risk_columns(objects: DataFrame) -> DataFrame:
     )
 
 
+def pool_features(pool: DataFrame) -> DataFrame:
+    """What threshold sweeps and rule rebuilds read of each pool object: place, lateral speed, least gaps with and without its extent, and its track's speeds.
+
+    A least clearance counts a centre inside the band as 0; the speeds of a track without evidence are null.
+    """
+    return pool.select(
+        "anchor_id", (F.col("rank") - 1).alias("pool_idx"), "ann_no", "category", "grp", "x_c", "y_c", F.col("vy").alias("v_lat"), F.hypot("vx", "vy").alias("speed"), "distance", "state",
+        gap_samples().alias("min_d_raw"), clearance_samples(0.0).alias("min_clearance"), (F.col("n_future") > 0).alias("has_track"), (F.col("n_evidence") > 0).alias("win_nonempty"), F.col("slowest").alias("min_win_speed"), F.col("fastest").alias("max_win_speed"),
+    )
+
+
 def pool_of(objects: DataFrame, cap: int = 8) -> DataFrame:
     """The nearest relevant objects of each anchor with their rank; labels are taken from these only."""
     return objects.where(relevant()).withColumn("rank", pool_rank()).where(F.col("rank") <= cap)

@@ -100,12 +100,12 @@ def mersenne_draws(spark: SparkSession, n: int, replicates: int, seed: int) -> D
 MAX_PLUG_IN_ROWS = 2_000_000
 
 
-def plug_in_bootstrap(rows: DataFrame, scene: str, statistic: Callable[[pd.DataFrame], dict[str, float]], draws: DataFrame) -> DataFrame:
+def plug_in_bootstrap(rows: DataFrame, scene: str, statistic: Callable[[pd.DataFrame], dict[str, float]], draws: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     """(replicate, metric, value) of a statistic of one's own, for each replicate of ``draws`` (replicate, no, weight).
 
     ``statistic`` is given the rows of the drawn scenes with their ``weight``; ``drawn_rows`` repeats them by it. Scenes are numbered by name. What an additive statistic needs
     is far less (``resampled_totals``): here every replicate joins all rows, and one task sees them, so more than ``MAX_PLUG_IN_ROWS`` are refused. A replicate
-    that draws no row has none. A statistic that fails stops the job.
+    that draws no row has none. A statistic that fails stops the job, and so does one whose metrics are not ``metrics``, where those are given: classes that a replicate lacks must be told as 0.
     """
     if rows.count() > MAX_PLUG_IN_ROWS:
         raise ValueError(f"a plug-in statistic sees at most {MAX_PLUG_IN_ROWS} rows; give an additive one to resampled_totals")
@@ -114,6 +114,8 @@ def plug_in_bootstrap(rows: DataFrame, scene: str, statistic: Callable[[pd.DataF
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         told = statistic(part.drop(columns="replicate"))
+        if metrics is not None and set(told) != set(metrics):
+            raise ValueError(f"a replicate has the metrics {sorted(told)} and not {sorted(metrics)}")
         return pd.DataFrame({"replicate": int(part["replicate"].iloc[0]), "metric": list(told), "value": [float(v) for v in told.values()]})
 
     return joined.groupBy("replicate").applyInPandas(one, "replicate int, metric string, value double")

@@ -77,8 +77,11 @@ def old_vehicle() -> Column:
 
 def old_rule_columns(pool: DataFrame) -> DataFrame:
     """``raw_gap`` (to the centre, without extent), ``old_fires``, ``is_lead``, ``is_static`` and ``top_speed`` of each pool object."""
+    return _old_columns(pool.withColumn("raw_gap", lb.gap_samples()).withColumn("speed", F.hypot("vx", "vy")))
+
+
+def _old_columns(out: DataFrame) -> DataFrame:
     gap = F.when(F.col("category") == "pedestrian", F.lit(GAP_PEDESTRIAN_M)).otherwise(F.lit(GAP_M))
-    out = pool.withColumn("raw_gap", lb.gap_samples()).withColumn("speed", F.hypot("vx", "vy"))
     return out.withColumns(
         {
             "old_fires": F.col("raw_gap") < gap,
@@ -119,6 +122,22 @@ def old_factors(pool: DataFrame) -> DataFrame:
     return old_rule_columns(pool).groupBy("anchor_id").agg(*(v.alias(k) for k, v in old_rule_aggregates().items()))
 
 
+def rebuilt_factors(features: DataFrame) -> DataFrame:
+    """The older factors and yield from a table of ``pool_features`` alone."""
+    names = {"raw_gap": "min_d_raw", "slowest": "min_win_speed", "fastest": "max_win_speed"}
+    rows = features.withColumns({k: F.col(v) for k, v in names.items()}).withColumn("n_future", F.col("has_track").cast("long"))
+    return _old_columns(rows).groupBy("anchor_id").agg(*(v.alias(k) for k, v in old_rule_aggregates().items()))
+
+
+def rebuild_mismatches(features: DataFrame, stored: DataFrame) -> DataFrame:
+    """(anchor_id, column, stored, rebuilt) where a stored label is not what the features give; an anchor without features has no factor."""
+    names = [*OLD_FACTORS, "old_yield"]
+    rebuilt = rebuilt_factors(features).select("anchor_id", *(F.col(k).alias(f"r_{k}") for k in names))
+    both = stored.select("anchor_id", *names).join(rebuilt, "anchor_id", "left").na.fill(False)
+    cells = F.array(*(F.struct(F.lit(k).alias("column"), F.col(k).alias("stored"), F.col(f"r_{k}").alias("rebuilt")) for k in names))
+    return both.select("anchor_id", F.inline(cells)).where("stored <> rebuilt")
+
+
 # -- sweeps -----------------------------------------------------------------------------------------------------
 
 

@@ -26,6 +26,20 @@ def history_window(frames: DataFrame, size: int = 4) -> DataFrame:
     return frames.withColumn("window", F.collect_list(F.struct("sample_id", "timestamp_us", "has_camera", "has_image", "scene_token")).over(w))
 
 
+def linked_history(frames: DataFrame, size: int = 4) -> DataFrame:
+    """``window`` as in ``history_window``, by the links ``prev_id`` of the keyframes: a link may lead into another scene, and one that is null or leads nowhere ends the history.
+
+    One join by sample for each step back; ids have to be unique.
+    """
+    told = lambda: F.struct("sample_id", "timestamp_us", "has_camera", "has_image", "scene_token")
+    back = frames.select(F.col("sample_id").alias("__id"), told().alias("__frame"), F.col("prev_id").alias("__next"))
+    out = frames.withColumns({"window": F.array(told()), "__prev": F.col("prev_id")})
+    for _ in range(size - 1):
+        out = out.join(back, F.col("__prev") == F.col("__id"), "left")
+        out = out.withColumns({"window": F.when(F.col("__frame").isNull(), F.col("window")).otherwise(F.concat(F.array("__frame"), "window")), "__prev": F.col("__next")}).drop("__id", "__frame", "__next")
+    return out.drop("__prev")
+
+
 def quarantine_reason(size: int = 4, max_gap_us: int = 90_000_000_000) -> Column:
     """Null for a valid window, else the first failing check; needs the columns of ``history_window``."""
     gaps = F.zip_with(F.slice("window", 1, F.size("window") - 1), F.slice("window", 2, F.size("window")), lambda a, b: b["timestamp_us"] - a["timestamp_us"])

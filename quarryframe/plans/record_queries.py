@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from functools import reduce
 
@@ -13,6 +12,7 @@ from quarryframe.contracts import assets, vocabulary
 from quarryframe.contracts.parser import strict_parser
 from quarryframe.functions import columns as c
 from quarryframe.functions import python_rules as py
+from quarryframe.operators import labels as lb
 from quarryframe.operators import validation as va
 from quarryframe.operators.windows import lag_in_ranges
 from quarryframe.plans.fixtures import TABLES, Fixtures, duck
@@ -223,22 +223,27 @@ def training_log(fx: Fixtures) -> DataFrame:
     return rows.select("no", "loss", F.coalesce(F.col("loss") > F.col("before"), F.lit(False)).alias("rises"))
 
 
-@query("s5_manifest_seal")
+@query("s5_manifest_seal", duck("SELECT location, count(*) AS n_scenes, location <> 'loc2' AS verified FROM fx_scene GROUP BY 1", "fx_scene"))
 def manifest_seal(fx: Fixtures) -> DataFrame:
-    """A sealed manifest opens again, and a changed one does not."""
-    sealed = io.seal_manifest({"split": "train", "scenes": ["s1", "s2"]})
-    try:
-        io.open_manifest(json.dumps(sealed | {"split": "val"}))
-        refused = False
-    except ValueError:
-        refused = True
-    return fx.spark.createDataFrame([(io.open_manifest(json.dumps(sealed))["manifest_sha256"], refused)], "manifest_sha256 string, refused boolean")
+    """A sealed manifest for each location, written and read again; one whose count was changed on the way is no longer verified."""
+    facts = fx.view("fx_scene").groupBy("location").agg(F.count(F.lit(1)).alias("n_scenes"), F.min("scene_token").alias("first"), F.max("scene_token").alias("last"))
+    sealed = facts.select(io.sealed_text(F.struct("location", "n_scenes", "first", "last")).alias("value"))
+    path = io.shared_folder(fx.spark, "manifests")
+    changed = F.regexp_replace("value", '"n_scenes":', '"n_scenes":1')
+    sealed.select(F.when(F.col("value").contains('"loc2"'), changed).otherwise(F.col("value")).alias("value")).write.text(path)
+    read = fx.spark.read.text(path).where("value <> ''").select("value", io.seal_holds(F.col("value")).alias("verified"))
+    return read.select(F.get_json_object("value", "$.location").alias("location"), "verified").join(facts.select("location", "n_scenes"), "location")
 
 
-@query("s9_frozen_config")
+#: A rule config for each part, as text; every fifth is not frozen and every seventh is broken.
+_CONFIG = "'{\"base_m\": ' || p_size || ', \"status\": \"' || CASE WHEN p_partkey % 5 = 0 THEN 'draft' ELSE 'frozen' END || CASE WHEN p_partkey % 7 = 0 THEN '\"' ELSE '\"}' END"
+
+
+@query("s9_frozen_config", f"SELECT p_partkey, CASE WHEN ok THEN p_size END AS base_m, ok AS accepted, sha256(t) AS config_sha256 FROM (SELECT p_partkey, p_size, {_CONFIG} AS t, p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AS ok FROM part)")
 def frozen_config(fx: Fixtures) -> DataFrame:
-    config, digest = io.open_config(json.dumps({"status": "frozen", "base_m": 2.0}))
-    return fx.spark.createDataFrame([(config["base_m"], digest)], "base_m double, sha256 string")
+    """Configs that are frozen are accepted with the hash of their bytes; a draft and a broken text are not."""
+    texts = fx.table("part").select("p_partkey", F.expr(_CONFIG).alias("text"))
+    return io.frozen_configs(texts, "text", "base_m int, status string").select("p_partkey", F.col("config.base_m").alias("base_m"), "accepted", "config_sha256")
 
 
 @query("k4_markdown_report")
@@ -540,12 +545,20 @@ def policy_parity(fx: Fixtures) -> DataFrame:
     return w.agg(F.count(F.lit(1)).alias("n"), c.total((F.size("window") > 4) | (F.element_at("window", -1)["sample_id"] != F.col("sample_id"))).alias("broken"))
 
 
-@query("v4_config_invariants")
-def config_invariants(fx: Fixtures) -> DataFrame:
-    from quarryframe.operators import labels as lb
+# a rule config for each part, with half widths in hundredths of a metre; the frozen one is that of every sixth part
+_RULE_VALUES = {"y_brake": "CASE WHEN p_partkey % 6 = 0 THEN 1.185e0 ELSE p_size / 20e0 END", "y_still": "CASE WHEN p_partkey % 6 = 0 THEN 3e0 ELSE p_partkey % 40 / 10e0 END", "ego_width": "CASE WHEN p_partkey % 6 < 3 THEN 1.87e0 ELSE 1.9e0 END", "margin": "0.5e0", "drop": "CASE WHEN p_partkey % 11 = 5 THEN NULL ELSE 0.5e0 END"}
+_RULES_OF = f"SELECT p_partkey, {', '.join(f'{v} AS {k}' for k, v in _RULE_VALUES.items())} FROM part"
 
-    rules = {"stationary_not_narrower": lb.Y_STATIONARY >= lb.Y_BRAKE, "band_is_half_ego_and_margin": abs(lb.Y_BRAKE - (lb.EGO_WIDTH + lb.MARGIN) / 2) < 1e-9}
-    return fx.spark.createDataFrame(list(rules.items()), "rule string, holds boolean")
+
+@query(
+    "v4_config_invariants",
+    f"""SELECT p_partkey, concat_ws(',', CASE WHEN y_still < y_brake THEN 'stationary_narrower' END, CASE WHEN abs(1.185 - (ego_width + margin) / 2) > 1e-9 THEN 'band_width' END, CASE WHEN y_brake <= 0 OR y_still <= 0 THEN 'not_positive' END,
+CASE WHEN "drop" IS NULL THEN 'missing_key' END) AS broken FROM ({_RULES_OF.replace('AS drop', 'AS "drop"')})""",
+)
+def config_invariants(fx: Fixtures) -> DataFrame:
+    """The invariants that each rule config breaks."""
+    fx.table("part").createOrReplaceTempView("part")
+    return fx.spark.sql(_RULES_OF).select("p_partkey", va.violations(lb.config_invariants()).alias("broken"))
 
 
 @query("s3_score_scan", duck("SELECT anchor_id, gt_yield = pred_yield AS agree FROM fx_anchor WHERE parse_ok", "fx_anchor"))
@@ -555,15 +568,14 @@ def score_scan(fx: Fixtures) -> DataFrame:
     return io.unique_by(rows, "anchor_id")
 
 
-@query("s10_contract_lineage", "SELECT * FROM (VALUES ('v3', 'v3'), ('v4', 'v3'), ('v5', 'v3'), ('v6', 'v6'), ('v7', 'v7')) t(version, face)")
-def contract_lineage(fx: Fixtures) -> DataFrame:
-    """Which model-facing contract each version keeps, from a literal map."""
-    lineage = {"v3": "v3", "v4": "v3", "v5": "v3", "v6": "v6", "v7": "v7"}
-    versions = fx.spark.range(1).select(F.explode(F.array(*map(F.lit, lineage))).alias("version"))
-    return versions.select("version", c.literal_map(lineage)[F.col("version")].alias("face"))
+_FACES = " ".join(f"WHEN {int(v[1:])} THEN '{assets.model_face(v)}'" for v in assets.VERSIONS)
 
 
-_PARTS = "SELECT location, substr(scene_token, 1, 3) AS part, count(*) AS n, sha256(string_agg(scene_token, ',' ORDER BY scene_token)) AS h FROM fx_scene GROUP BY 1, 2"
+@query("s10_contract_lineage", f"SELECT p_partkey, 'v' || (p_partkey % 9) AS version, CASE p_partkey % 9 {_FACES} END AS face FROM part")
+def contract_lineage(fx: Fixtures) -> DataFrame:
+    """The version whose prompt the requests of each row's contract show; null for a version that there is not."""
+    version = F.concat(F.lit("v"), (F.col("p_partkey") % 9).cast("string"))
+    return fx.table("part").select("p_partkey", version.alias("version"), c.literal_map({v: assets.model_face(v) for v in assets.VERSIONS})[version].alias("face"))
 
 
 @query("k5_grid_files", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")

@@ -101,6 +101,21 @@ def quarantine_reasons(fx: Fixtures) -> DataFrame:
     return reasoned(fx).groupBy(F.coalesce("reason", F.lit("VALID")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_LINKED = f"""WITH k AS (SELECT *, CASE WHEN sample_id % 53 = 0 THEN sample_id - 1 ELSE lag(sample_id) OVER ({_W}) END AS prev_id FROM fx_keyframe),
+j AS (SELECT a.*, b.sample_id AS i1, c.sample_id AS i2, d.sample_id AS i3, b.scene_token <> a.scene_token OR c.scene_token <> a.scene_token OR d.scene_token <> a.scene_token AS crossed, a.has_camera AND b.has_camera AND c.has_camera AND d.has_camera AS cam, a.has_image AND b.has_image AND c.has_image AND d.has_image AS img,
+  a.timestamp_us - b.timestamp_us AS g1, b.timestamp_us - c.timestamp_us AS g2, c.timestamp_us - d.timestamp_us AS g3 FROM k a LEFT JOIN k b ON b.sample_id = a.prev_id LEFT JOIN k c ON c.sample_id = b.prev_id LEFT JOIN k d ON d.sample_id = c.prev_id)
+SELECT sample_id, CASE WHEN i3 IS NULL THEN 'INSUFFICIENT_HISTORY' WHEN crossed THEN 'CROSS_SCENE' WHEN NOT cam THEN 'NO_CAM_FRONT' WHEN least(g1, g2, g3) <= 0 THEN 'NON_INCREASING_TIME' WHEN greatest(g1, g2, g3) > 90000000000 THEN 'BAD_GAP' WHEN NOT img THEN 'MISSING_IMAGE'
+  WHEN NOT has_calibration THEN 'MISSING_CALIBRATION' WHEN ego_yaw IS NULL THEN 'NUMERIC_ANOMALY' ELSE 'VALID' END AS reason FROM j"""
+
+
+@query("f8_linked_reasons", duck(_LINKED, "fx_keyframe"))
+def linked_reasons(fx: Fixtures) -> DataFrame:
+    """Reasons of histories that follow the keyframes' own links, of which every 53rd leads to the sample before it, in whatever scene."""
+    frames = fx.view("fx_keyframe").withColumn("prev_id", F.when(F.col("sample_id") % 53 == 0, F.col("sample_id") - 1).otherwise(F.lag("sample_id").over(w.scene_order())))
+    seen = w.linked_history(frames)
+    return seen.select("sample_id", F.coalesce(w.quarantine_reason(), F.lit("VALID")).alias("reason"))
+
+
 @query(
     "d1_build_record",
     duck(

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quarryframe.operators import labels as lb
 from quarryframe.operators import sweeps as sw
 from quarryframe.plans.fixtures import Fixtures, duck
-from quarryframe.plans.label_queries import _GEO, _POOL, geo, pool
+from quarryframe.plans.label_queries import _GEO, _POOL, _SEEN, camera_pool, geo, pool
 from quarryframe.plans.registry import query
+from quarryframe.sources import io
 
 _OLD = f"""{_POOL}, p AS (SELECT r.*, coalesce(fastest, speed) AS top, raw < CASE WHEN category = 'pedestrian' THEN 2 ELSE 3 END AS old_fires, category NOT IN ('pedestrian', 'barrier', 'traffic_cone') AS old_vehicle,
   x_c > 0 AND abs(y_c) <= 1.185 AS in_lane, category IN ('barrier', 'traffic_cone') AS is_static FROM r WHERE rank <= 8),
@@ -29,6 +30,26 @@ def old_rules(fx: Fixtures) -> DataFrame:
     return fx.view("fx_anchor").select("anchor_id").join(sw.old_factors(pool(fx)), "anchor_id", "left").na.fill(False)
 
 
+_FEATURES = f"""{_SEEN}, z AS (SELECT anchor_id, ann_no, min(CASE WHEN ex = 0 AND ey = 0 THEN 0 ELSE sqrt(ex * ex + ey * ey) - (abs(cos(radians(box_yaw_deg) - atan2(ey, ex))) * box_length_m / 2 + abs(sin(radians(box_yaw_deg) - atan2(ey, ex))) * box_width_m / 2) END) AS least FROM q GROUP BY 1, 2),
+far AS (SELECT p.anchor_id, p.ann_no, count(l.vx) AS n FROM sg p LEFT JOIN sg l ON l.scene_token = p.scene_token AND l.instance_id = p.instance_id AND l.walk_idx BETWEEN p.walk_idx + 1 AND p.walk_idx + 6 GROUP BY 1, 2)
+SELECT anchor_id, rank - 1 AS pool_idx, ann_no, category, grp, x_c, y_c, vy AS v_lat, round(speed, 6) AS speed, round(distance, 6) AS distance, state, round(raw, 6) AS min_d_raw, round(least, 6) AS min_clearance, far.n > 0 AS has_track, slowest IS NOT NULL AS win_nonempty, slowest AS min_win_speed, fastest AS max_win_speed
+FROM r JOIN z USING (anchor_id, ann_no) JOIN far USING (anchor_id, ann_no) WHERE rank <= 8"""
+
+
+@query("d10_pool_features", duck(f"WITH {_FEATURES}", "fx_object", "fx_anchor"))
+def pool_features(fx: Fixtures) -> DataFrame:
+    """The seventeen columns of each pool object that the camera sees."""
+    return lb.pool_features(camera_pool(fx)).withColumns({k: F.round(k, 6) for k in ("speed", "distance", "min_d_raw", "min_clearance")})
+
+
+@query("d10_self_check", duck(f"WITH {_OLD} SELECT a.anchor_id, 'old_yield' AS \"column\", NOT coalesce(old_yield, false) AS stored, coalesce(old_yield, false) AS rebuilt FROM fx_anchor a LEFT JOIN old USING (anchor_id) WHERE a.anchor_id % 41 = 0", "fx_object", "fx_anchor"))
+def self_check(fx: Fixtures) -> DataFrame:
+    """Labels rebuilt from the written feature table against stored ones, of which every 41st anchor's yield was turned over."""
+    features = io.written(lb.pool_features(pool(fx)), "features")
+    turned = F.when(F.col("anchor_id") % 41 == 0, ~F.col("old_yield")).otherwise(F.col("old_yield"))
+    return sw.rebuild_mismatches(features, old_rules(fx).withColumn("old_yield", turned))
+
+
 @query("o7_nearest_lead", duck(f"WITH {_GEO} SELECT anchor_id, arg_min(ann_no, (round(distance, 3), ann_no)) AS lead FROM o WHERE category NOT IN ('pedestrian', 'barrier', 'traffic_cone') AND x_c > 0 AND abs(y_c) <= 1.185 GROUP BY 1", "fx_object"))
 def nearest_lead(fx: Fixtures) -> DataFrame:
     leads = geo(fx).where(sw.old_vehicle() & (F.col("x_c") > 0) & (F.abs("y_c") <= sw.BAND_M))

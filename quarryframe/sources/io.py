@@ -10,10 +10,10 @@ import tempfile
 import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryframe.functions.python_rules import canonical_text
+from quarryframe.functions.python_rules import canonical_json, canonical_text
 from quarryframe.operators.windows import dense_index
 
 SHARD_SIZE = 1000
@@ -79,6 +79,28 @@ def open_manifest(text: str, field: str = "manifest_sha256") -> dict[str, Any]:
     return payload
 
 
+def sealed_text(payload: Column, field: str = "manifest_sha256") -> Column:
+    """Manifests as rows: the canonical text of a struct with the sha256 of that text as its last field."""
+    body = canonical_json(F.to_json(payload))
+    return F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(f',"{field}":"'), F.sha2(body, 256), F.lit('"}'))
+
+
+def seal_holds(text: Column, field: str = "manifest_sha256") -> Column:
+    """Whether a sealed text is the one that was sealed; false for a text without a seal."""
+    tail = f',"{field}":"'
+    at = F.length(text) - 64 - len(tail) - 2
+    body = F.concat(F.substring(text, F.lit(1), at), F.lit("}"))
+    stated = F.substring(text, at + len(tail) + 1, F.lit(64))
+    return F.coalesce((at > 0) & (F.substring(text, at + 1, F.lit(len(tail))) == tail) & (F.sha2(body, 256) == stated), F.lit(False))
+
+
+def frozen_configs(texts: DataFrame, column: str, schema: str) -> DataFrame:
+    """``texts`` with ``config`` (null unless accepted), ``accepted`` and ``config_sha256`` of the text's bytes; accepted is a JSON text of the schema whose ``status`` is ``frozen``."""
+    read = F.when(F.try_parse_json(column).isNotNull(), F.from_json(column, schema))
+    ok = F.coalesce(read["status"] == "frozen", F.lit(False))
+    return texts.withColumns({"config": F.when(ok, read), "accepted": ok, "config_sha256": F.sha2(F.col(column), 256)})
+
+
 def open_config(text: str) -> tuple[dict[str, Any], str]:
     """A JSON config that has to be frozen, and the sha256 of its bytes."""
     payload = json.loads(text)

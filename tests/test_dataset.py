@@ -240,3 +240,12 @@ def test_expected_outputs_of_full_and_empty_anchors(spark):
     assert parse(json.dumps(got[1]), size=None).status == "ok"
     with pytest.raises(Exception, match="not an output of the contract"):
         lb.expected_outputs(pool, anchors.withColumn("speed_action", F.lit("FLY"))).collect()
+
+
+def test_links_into_another_scene(spark):
+    from quarryframe.operators import windows as w
+
+    rows = [("a", i, i * 500_000, i - 1 if i else None) for i in range(6)] + [("b", 10, 2_000_000, 3), ("b", 11, 2_500_000, 10), ("b", 12, 3_000_000, 99)]
+    frames = spark.createDataFrame(rows, "scene_token string, sample_id long, timestamp_us long, prev_id long").selectExpr("*", "true AS has_camera", "true AS has_image", "true AS has_calibration", "0D AS ego_x", "0D AS ego_y", "0D AS ego_yaw")
+    got = {r["sample_id"]: (r["r"], r["n"]) for r in w.linked_history(frames).select("sample_id", w.quarantine_reason(max_gap_us=900_000).alias("r"), F.size("window").alias("n")).collect()}
+    assert got == {0: ("INSUFFICIENT_HISTORY", 1), 1: ("INSUFFICIENT_HISTORY", 2), 2: ("INSUFFICIENT_HISTORY", 3), 3: (None, 4), 4: (None, 4), 5: (None, 4), 10: ("CROSS_SCENE", 4), 11: ("CROSS_SCENE", 4), 12: ("INSUFFICIENT_HISTORY", 1)}

@@ -107,6 +107,8 @@ def test_a_median_is_bootstrapped(spark):
         data.setdefault(f"s{i % 9}", []).append(float((i * 37) % 101))
     matrix = np.random.RandomState(3).randint(0, 9, size=(12, 9))
     assert got == {b: float(np.median([v for k in row for v in data[f"s{k}"]])) for b, row in enumerate(matrix)}
+    with pytest.raises(Exception, match="a replicate has the metrics"):
+        st.plug_in_bootstrap(rows, "scene", lambda p: {f"v{int(p['weight'].max())}": 1.0}, draws, ["v1"]).collect()
     with pytest.raises(ValueError, match="at most"):
         st.MAX_PLUG_IN_ROWS, kept = 10, st.MAX_PLUG_IN_ROWS
         try:
