@@ -26,12 +26,15 @@ _HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 def scratch_root(spark: SparkSession) -> str:
     """A folder of this session inside the shared folder ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (tests on one machine) a temporary folder is used instead.
+    Only a local session without that setting (tests on one machine) takes a temporary folder instead; on a cluster the setting has to be there.
     The folder goes when the driver process ends.
     """
     key = id(spark.sparkContext)
     if key not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quarryframe-')}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = base or f"file://{tempfile.mkdtemp(prefix='quarryframe-')}"
         _ROOTS[key] = f"{base.rstrip('/')}/quarryframe-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, _ROOTS[key])
     return _ROOTS[key]

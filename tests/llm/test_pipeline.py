@@ -45,6 +45,29 @@ def test_stages(spark):
         held = now
 
 
+@pytest.mark.parametrize("stage", [f for _, f in cp.STAGES], ids=[n for n, _ in cp.STAGES])
+def test_stages_on_odd_and_no_rows(spark, odd_docs, no_docs, stage):
+    last = stage is cp.STAGES[-1][1]
+    none = stage(spark, no_docs, SF)
+    assert none.collect() == [] and (last or none.columns == list(cp.COLUMNS))
+    rows = stage(spark, odd_docs, SF).collect()
+    ids = [r["doc_id"] for r in rows]
+    if stage is cp.quality_stage:
+        assert {0, 1, 2, 7, 8}.isdisjoint(ids)  # fewer words than the rules ask for
+    elif stage is cp.near_stage:
+        assert sorted(ids, key=str) == sorted([0, 1, 2, None, 3, 3, 4, 6, 7, 8], key=str)  # 5 is a copy of 4
+        assert [r["text"] for r in rows if r["doc_id"] == 0] == [None]
+    else:
+        assert sorted(ids, key=str) == sorted((r["doc_id"] for r in odd_docs.collect()), key=str)
+
+
+def test_no_text_goes_with_another_rows_copy(spark):
+    docs = [(3, hp.prose(1, 90)), (5, hp.prose(1, 90)), (5, hp.prose(2, 90)), (6, hp.prose(1, 90)), (7, hp.prose(3, 90))]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in cp.near_stage(spark, frame, SF).collect()]
+    assert {t for _, t in kept} == {t for _, t in docs} and sorted(i for i, _ in kept) == [3, 5, 5, 7]
+
+
 @pytest.mark.parametrize("name", sorted(qs.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
