@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import hashlib
 import json
+import re
 import tempfile
 import uuid
 from typing import Any
@@ -44,7 +45,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share; only a local session without that setting takes one of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quarryframe-')}"
     path = f"{base.rstrip('/')}/quarryframe-{name}-{uuid.uuid4().hex}"
