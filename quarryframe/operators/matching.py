@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from quarryframe.functions.columns import iou
 
 
-def candidate_pairs(boxes: DataFrame, tau: float = 0.5) -> DataFrame:
+def candidate_pairs(boxes: DataFrame, tau: float = 0.5, guesses: DataFrame | None = None) -> DataFrame:
     """(frame, category, gi, pi, iou, both boxes): pairs of one category (trimmed, in lower case) in one frame with at least ``tau`` overlap.
 
-    ``boxes`` has reference boxes x1..y2; the prediction of a box is moved by ``pred_dx``. The join is an equi join on
+    ``boxes`` has reference boxes x1..y2; the prediction of a box is moved by ``pred_dx``. Predictions are those of ``guesses``, if other boxes were predicted. The join is an equi join on
     (frame, category) with the overlap as residual.
     """
-    boxes = boxes.withColumn("category", F.lower(F.trim("category")))
+    boxes, guesses = (b.withColumn("category", F.lower(F.trim("category"))) for b in (boxes, boxes if guesses is None else guesses))
     g = boxes.select("anchor_id", "category", F.col("obj_idx").alias("gi"), *(F.col(c).cast("double").alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")))
-    p = boxes.select(
+    p = guesses.select(
         "anchor_id", "category", F.col("obj_idx").alias("pi"), *((F.col(c) + (F.col("pred_dx") if c[0] == "x" else 0)).cast("double").alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2"))
     )
     pairs = g.join(p, ["anchor_id", "category"])

@@ -12,7 +12,7 @@ from quarryframe.plans.fixtures import Fixtures
 
 _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("sequence_queries", "label_queries", "sweep_queries", "metric_queries", "evaluation_queries", "record_queries", "dataset_queries", "gate_queries", "chain_queries")
+_MODULES = ("sequence_queries", "label_queries", "sweep_queries", "metric_queries", "evaluation_queries", "record_queries", "dataset_queries", "gate_queries", "chain_queries", "interval_queries")
 _HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
