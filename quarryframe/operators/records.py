@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryframe.contracts.assets import DEFAULT_VERSION, VERSIONS, model_face
-from quarryframe.contracts.parser import canonical_text
+from quarryframe.contracts.parser import canonical_text, strict_parser
 from quarryframe.contracts.schema import compile_schema
 from quarryframe.functions.python_rules import py_round
 from quarryframe.operators.windows import REASONS, history_window, quarantine_reason, scene_order
@@ -187,6 +187,22 @@ def with_requests(records: DataFrame, prompt: str, one_frame: bool) -> DataFrame
     return records.withColumn("request", request)
 
 
+def training_target(output: Column) -> Column:
+    """The text that a model is trained to give: the contract's fields in its own order, compact. An output text that the contract refuses stops the job."""
+    read = strict_parser(size=None)(output)
+    thing = "struct<id: int, category: string, bbox_2d: array<double>, motion_state: string, bev_x: double, bev_y: double>"
+    fields = F.from_json(read["output"], f"critical_objects array<{thing}>, risk_factors array<struct<factor: string, objects: array<int>>>, yield_required boolean, speed_action string")
+    return F.when(read["status"] == "ok", F.to_json(fields)).otherwise(F.raise_error(F.concat(F.lit("not an output of the contract: "), F.coalesce(output, F.lit("no text")))))
+
+
+def policy_differences(one: str = "one", four: str = "four") -> Column:
+    """In what a one-frame request is not the newest frame of the four-frame request: ``prompt``, ``speed``, ``image``, ``token``, ``offset``, and ``frames`` for wrong numbers of them."""
+    a, b = F.col(one), F.col(four)
+    last = lambda k: ~F.element_at(a[k], -1).eqNullSafe(F.element_at(b[k], -1))
+    checks = {"prompt": a["prompt"] != b["prompt"], "speed": a["ego_speed_mps"] != b["ego_speed_mps"], "image": last("image_relpaths"), "token": last("frame_tokens"), "offset": last("time_offsets_s"), "frames": (F.size(a["frame_tokens"]) != 1) | (F.size(b["frame_tokens"]) != HISTORY)}
+    return F.array_compact(F.array(*(F.when(bad, F.lit(k)) for k, bad in checks.items())))
+
+
 def future_fingerprints(record: str = "record") -> Column:
     """What no request may hold: tokens and times, as text, of the future poses."""
     poses = F.col(record)["oracle_only"]["future_ego_poses"]

@@ -11,7 +11,8 @@ from quarryframe.operators import labels as lb
 from quarryframe.operators import records as rc
 from quarryframe.operators import windows as w
 from quarryframe.plans.fixtures import Fixtures, duck
-from quarryframe.plans.label_queries import with_actions
+from quarryframe.plans.label_queries import _SEEN, with_actions
+from quarryframe.plans.label_queries import outputs as expected_texts
 from quarryframe.plans.registry import query
 from quarryframe.plans.sequence_queries import _SPLIT, _W, split_scenes
 from quarryframe.sources import io
@@ -270,6 +271,30 @@ def request_prompt(fx: Fixtures) -> DataFrame:
     return requests(fx).select("sample_id", F.size("request.image_relpaths").alias("n_frames"), "request.prompt")
 
 
+@query("v3_request_parity", duck(f"{_CANDIDATES} SELECT sample_id, concat_ws(',', CASE WHEN sample_id % 7 = 5 THEN 'prompt' END, CASE WHEN sample_id % 5 = 2 THEN 'image' END, CASE WHEN sample_id % 11 = 6 THEN 'frames' END) AS differences FROM c WHERE reason IS NULL", "fx_keyframe", "fx_scene"))
+def request_parity(fx: Fixtures) -> DataFrame:
+    """One-frame against four-frame requests, some of which were given another prompt, another image or a frame too few."""
+    good = records(fx).where("reason is null")
+    four = rc.with_requests(good, _PROMPT, one_frame=False).select("sample_id", F.col("request").alias("four"))
+    one = rc.with_requests(good, _PROMPT, one_frame=True).select("sample_id", F.col("request").alias("one"))
+    r, n = F.col("one"), F.col("sample_id")
+    changed = r.withField("prompt", F.when(n % 7 == 5, F.concat(r["prompt"], F.lit("!"))).otherwise(r["prompt"])).withField("image_relpaths", F.when(n % 5 == 2, F.array(F.lit("other.jpg"))).otherwise(r["image_relpaths"]))
+    short = F.when(n % 11 == 6, F.col("four").withField("frame_tokens", F.slice("four.frame_tokens", 2, 3))).otherwise(F.col("four"))
+    both = one.withColumn("one", changed).join(four.withColumn("four", short), "sample_id")
+    return both.select("sample_id", F.array_join(rc.policy_differences(), ",").alias("differences"))
+
+
+@query(
+    "p7_training_texts",
+    duck(f"WITH {_SEEN} SELECT a.anchor_id, 'critical_objects,risk_factors,yield_required,speed_action' AS fields, count(r.rank) AS n_objects, CASE WHEN coalesce(bool_or(fires), false) THEN 'true' ELSE 'false' END AS yields, speed_action FROM fx_anchor a JOIN act USING (anchor_id) LEFT JOIN r ON r.anchor_id = a.anchor_id AND rank <= 8 GROUP BY 1, 5", "fx_object", "fx_anchor"),
+)
+def training_texts(fx: Fixtures) -> DataFrame:
+    """Training targets of every anchor: their fields in the contract's order, with what they say."""
+    texts = expected_texts(fx).select("anchor_id", rc.training_target(F.col("expected_output")).alias("t"))
+    field = lambda at: F.get_json_object("t", at)
+    return texts.select("anchor_id", F.array_join(F.json_object_keys("t"), ",").alias("fields"), F.coalesce(F.json_array_length(field("$.critical_objects")), F.lit(0)).cast("long").alias("n_objects"), field("$.yield_required").alias("yields"), field("$.speed_action").alias("speed_action"))
+
+
 @query("j15_request_guard", duck(f"{_CANDIDATES} SELECT sample_id, CASE WHEN sample_id % 11 = 3 THEN 'missing' WHEN sample_id % 11 = 5 THEN 'changed' ELSE 'same' END AS status FROM c WHERE reason IS NULL", "fx_keyframe", "fx_scene"))
 def request_guard(fx: Fixtures) -> DataFrame:
     """Requests against the hashes of a manifest that was written before: it lacks every eleventh, and another eleventh was hashed from one frame."""

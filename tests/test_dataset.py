@@ -249,3 +249,13 @@ def test_links_into_another_scene(spark):
     frames = spark.createDataFrame(rows, "scene_token string, sample_id long, timestamp_us long, prev_id long").selectExpr("*", "true AS has_camera", "true AS has_image", "true AS has_calibration", "0D AS ego_x", "0D AS ego_y", "0D AS ego_yaw")
     got = {r["sample_id"]: (r["r"], r["n"]) for r in w.linked_history(frames).select("sample_id", w.quarantine_reason(max_gap_us=900_000).alias("r"), F.size("window").alias("n")).collect()}
     assert got == {0: ("INSUFFICIENT_HISTORY", 1), 1: ("INSUFFICIENT_HISTORY", 2), 2: ("INSUFFICIENT_HISTORY", 3), 3: (None, 4), 4: (None, 4), 5: (None, 4), 10: ("CROSS_SCENE", 4), 11: ("CROSS_SCENE", 4), 12: ("INSUFFICIENT_HISTORY", 1)}
+
+
+def test_training_targets_keep_the_contract(spark):
+    registry.on_workers(spark)
+    good = '{"speed_action":"STOP","yield_required":false,"risk_factors":[{"objects":[0],"factor":"object_near"}],"critical_objects":[{"id":0,"category":"car","bbox_2d":[1,2,3,4],"motion_state":"stationary","bev_x":1.0,"bev_y":2.0}]}'
+    frame = lambda text: spark.createDataFrame([(text,)], "t string").select(rc.training_target(F.col("t")).alias("x"))
+    assert frame(good).first()["x"] == '{"critical_objects":[{"id":0,"category":"car","bbox_2d":[1.0,2.0,3.0,4.0],"motion_state":"stationary","bev_x":1.0,"bev_y":2.0}],"risk_factors":[{"factor":"object_near","objects":[0]}],"yield_required":false,"speed_action":"STOP"}'
+    for bad in (good.replace("STOP", "FLY"), good.replace('"yield_required":false,', ""), good.replace('"speed_action"', '"more":1,"speed_action"'), None):
+        with pytest.raises(Exception, match="not an output of the contract"):
+            frame(bad).collect()
