@@ -122,6 +122,29 @@ def old_factors(pool: DataFrame) -> DataFrame:
     return old_rule_columns(pool).groupBy("anchor_id").agg(*(v.alias(k) for k, v in old_rule_aggregates().items()))
 
 
+def histograms(rows: DataFrame, group: str, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """(group, bin, n): values of each group in equal bins over [low, high], with zeros; the last bin holds its right edge, and values outside count in none.
+
+    Places in the bins are rounded to nine digits, so that a value on an edge falls to its right whatever its last bits are.
+    """
+    place = F.floor(F.round((F.col(value) - low) / (high - low) * bins, 9))
+    inside = rows.where(F.col(value).between(low, high)).select(group, F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
+    counts = inside.groupBy(group, "bin").agg(F.count(F.lit(1)).alias("n"))
+    every = rows.select(group).distinct().crossJoin(F.broadcast(rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))))
+    return every.join(counts, [group, "bin"], "left").na.fill(0, ["n"])
+
+
+def sweep_histograms(features: DataFrame) -> DataFrame:
+    """(histogram, name, bin, n): least clearances from -5 to 15 m of three families, and speeds toward the lane from 0 to 8 m/s of the objects that fire at the widest base, in tenths."""
+    vru, static = F.col("category").isin(*c.GROUPS["vru"]), F.col("category").isin(*c.GROUPS["static"])
+    toward = c.toward_speed(F.col("y_c"), F.col("v_lat"), BAND_M)
+    families = F.array_compact(F.array(F.when(vru, "vru").otherwise("vehicle_static"), F.when(static, "static_only")))
+    clear = histograms(features.select(F.explode(families).alias("name"), "min_clearance"), "name", "min_clearance", -5.0, 15.0, 200)
+    fired = features.where(F.col("min_clearance") < max(BASE_GRID)).select(F.when(vru, "vru").when(static, "static").otherwise("vehicle").alias("name"), toward.alias("toward"))
+    speeds = histograms(fired, "name", "toward", 0.0, 8.0, 80)
+    return clear.withColumn("histogram", F.lit("clearance")).unionByName(speeds.withColumn("histogram", F.lit("toward_speed")))
+
+
 def rebuilt_factors(features: DataFrame) -> DataFrame:
     """The older factors and yield from a table of ``pool_features`` alone."""
     names = {"raw_gap": "min_d_raw", "slowest": "min_win_speed", "fastest": "max_win_speed"}

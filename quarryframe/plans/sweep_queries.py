@@ -42,6 +42,25 @@ def pool_features(fx: Fixtures) -> DataFrame:
     return lb.pool_features(camera_pool(fx)).withColumns({k: F.round(k, 6) for k in ("speed", "distance", "min_d_raw", "min_clearance")})
 
 
+_HISTOGRAM = lambda kind, rows, value, low, high, n: f"SELECT '{kind}' AS histogram, e.name, e.bin, count(v.b) AS n FROM (SELECT name, CAST(unnest(range({n})) AS INT) AS bin FROM (SELECT DISTINCT name FROM {rows})) e LEFT JOIN (SELECT name, CAST(least({n - 1}, floor(round(({value} - ({low}e0)) / {high - low}e0 * {n}, 9))) AS INT) AS b FROM {rows} WHERE {value} BETWEEN {low} AND {high}) v ON v.name = e.name AND v.b = e.bin GROUP BY 1, 2, 3"
+
+
+@query(
+    "d11_histograms",
+    duck(
+        f"""WITH {_POOL}, z AS (SELECT anchor_id, ann_no, min(CASE WHEN ex = 0 AND ey = 0 THEN 0 ELSE sqrt(ex * ex + ey * ey) - (abs(cos(radians(box_yaw_deg) - atan2(ey, ex))) * box_length_m / 2 + abs(sin(radians(box_yaw_deg) - atan2(ey, ex))) * box_width_m / 2) END) AS least FROM q GROUP BY 1, 2),
+f AS (SELECT r.*, z.least AS clear FROM r JOIN z USING (anchor_id, ann_no) WHERE rank <= 8),
+h1 AS (SELECT CASE WHEN grp = 'vru' THEN 'vru' ELSE 'vehicle_static' END AS name, clear FROM f UNION ALL SELECT 'static_only', clear FROM f WHERE grp = 'static'), h2 AS (SELECT grp AS name, toward FROM f WHERE clear < {max(sw.BASE_GRID)})
+{_HISTOGRAM('clearance', 'h1', 'clear', -5, 15, 200)} UNION ALL {_HISTOGRAM('toward_speed', 'h2', 'toward', 0, 8, 80)}""",
+        "fx_object",
+        "fx_anchor",
+    ),
+)
+def sweep_histograms(fx: Fixtures) -> DataFrame:
+    """The distributions beside the sweeps, from the written feature table."""
+    return sw.sweep_histograms(io.written(lb.pool_features(pool(fx)), "features"))
+
+
 @query("d10_self_check", duck(f"WITH {_OLD} SELECT a.anchor_id, 'old_yield' AS \"column\", NOT coalesce(old_yield, false) AS stored, coalesce(old_yield, false) AS rebuilt FROM fx_anchor a LEFT JOIN old USING (anchor_id) WHERE a.anchor_id % 41 = 0", "fx_object", "fx_anchor"))
 def self_check(fx: Fixtures) -> DataFrame:
     """Labels rebuilt from the written feature table against stored ones, of which every 41st anchor's yield was turned over."""

@@ -43,3 +43,18 @@ def test_no_task_sees_all_values(spark):
     got = exact_percentiles(frame, "v", [0.5], ["g"]).collect()
     want = {r["g"]: r["p"] for r in frame.groupBy("g").agg(F.percentile("v", 0.5).alias("p")).collect()}
     assert {r["g"]: r["value"] for r in got} == want
+
+
+def test_histograms_against_numpy(spark):
+    import numpy as np
+
+    from quarryframe.operators.sweeps import histograms
+
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), rng.uniform(-6, 16)) for _ in range(3000)] + [("a", v) for v in (-5.0, 15.0, 14.95, -5.01, 15.01)]
+    got = {}
+    for r in histograms(spark.createDataFrame(rows, "g string, v double"), "g", "v", -5.0, 15.0, 40).collect():
+        got.setdefault(r["g"], {})[r["bin"]] = r["n"]
+    for g in "ab":
+        want = np.histogram([v for k, v in rows if k == g], bins=np.linspace(-5, 15, 41))[0].tolist()
+        assert [got[g][i] for i in range(40)] == want
