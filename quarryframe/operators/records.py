@@ -157,7 +157,7 @@ def check_line(lines: pd.Series) -> pd.DataFrame:
         try:
             value = json.loads(line)
             token = value.get("sample_token") if isinstance(value, dict) else None
-            rows.append((token if isinstance(token, str) else None, canonical_text(value) == line, [{"field": f, "keyword": k} for f, k in check(value, "$")]))
+            rows.append((token if isinstance(token, str) else None, canonical_text(value) == line, [{"field": f, "keyword": k} for f, k, _ in check(value, "$")]))
         except (TypeError, ValueError, RecursionError):
             rows.append((None, False, [{"field": "$", "keyword": "json"}]))
     return pd.DataFrame(rows, columns=["token", "canonical", "errors"])

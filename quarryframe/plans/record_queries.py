@@ -93,6 +93,22 @@ def schema_drilldown(fx: Fixtures) -> DataFrame:
     return errors.groupBy(F.regexp_replace("field", r"\[\d+\]", "[*]").alias("field"), "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Characters by which a kind's text is longer than the good one.
+_LONGER = {"bad_category": 1, "missing_key": -22, "repeated_ref": 2, "no_refs": -1, "risk_key": 8, "big_id": 1, "true_id": 3, "box_negative": 1, "box_short": -2, "unmapped": -4, "list_as_ref": 2}
+_LENGTH = _by_kind(lambda name, row: str(len(_GOOD) + _LONGER.get(name, 0)))
+_DETAILS = {"bad_enum": "HALT", "missing_key": "yield_required", "bad_category": "cart", "no_refs": "0", "risk_key": "why", "box_short": "3", "unmapped": "moving"}
+_DETAIL = _by_kind(lambda name, row: f"'{_DETAILS[name]}'" if name in _DETAILS else "NULL")
+
+
+@query("a29_failure_details", duck(f"SELECT {_FIELD} AS field, {_KEYWORD} AS keyword, {_DETAIL} AS detail, count(*) AS n, min({_LENGTH}) AS shortest, max({_LENGTH}) AS longest FROM fx_anchor WHERE {_STATUS} = 'schema_failure' GROUP BY 1, 2, 3", "fx_anchor"))
+def failure_details(fx: Fixtures) -> DataFrame:
+    """The second level of the drill-down: words that no vocabulary has, missing and unknown keys, sizes of lists, and the lengths of the texts they stand in."""
+    found = outputs(fx).select(F.length("text").cast("long").alias("length"), F.explode(strict_parser()("text")["errors"]).alias("e")).where("e.category = 'schema_failure'")
+    each = F.when(F.col("e.keyword") == "additionalProperties", F.from_json("e.detail", "array<string>")).otherwise(F.array("e.detail"))
+    rows = found.select("length", F.regexp_replace("e.field", r"\[\d+\]", "[*]").alias("field"), "e.keyword", F.explode(each).alias("detail"))
+    return rows.groupBy("field", "keyword", "detail").agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("shortest"), F.max("length").alias("longest"))
+
+
 _BUCKET = _by_kind(lambda name, row: "'no_text'" if name == "no_text" else {"ok": "'valid'", "json_parse_failure": "'no_json'"}.get(row[1], "'contract'"))
 
 

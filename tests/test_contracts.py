@@ -104,13 +104,15 @@ def test_parse(text, status, keyword):
 def test_all_errors_come_with_their_places():
     bad = edit(critical_objects=[THING | {"id": 8, "color": 1}, {"id": 1}], risk_factors=[{"factor": "x", "objects": [0, 9]}], speed_action=None)
     assert [e[1:] for e in parse(bad).errors] == [
-        ("$.critical_objects[0]", "additionalProperties"),
-        ("$.critical_objects[0].id", "maximum"),
-        *[("$.critical_objects[1]", "required")] * 5,
-        ("$.risk_factors[0].factor", "enum"),
-        ("$.risk_factors[0].objects[1]", "maximum"),
-        ("$.speed_action", "enum"),
+        ("$.critical_objects[0]", "additionalProperties", '["color"]'),
+        ("$.critical_objects[0].id", "maximum", None),
+        *[("$.critical_objects[1]", "required", k) for k in ("category", "bbox_2d", "motion_state", "bev_x", "bev_y")],
+        ("$.risk_factors[0].factor", "enum", "x"),
+        ("$.risk_factors[0].objects[1]", "maximum", None),
+        ("$.speed_action", "enum", "null"),
     ]
+    long = edit(critical_objects=[THING | {"id": i} for i in range(8)] + [THING], risk_factors=[{"factor": "object_near", "objects": [], "b": 1, "a": 2}])
+    assert [e[1:] for e in parse(long).errors] == [("$.critical_objects", "maxItems", "9"), ("$.risk_factors[0]", "additionalProperties", '["a", "b"]'), ("$.risk_factors[0].objects", "minItems", "0")]
 
 
 def test_output_is_built_from_what_was_parsed():
@@ -153,7 +155,7 @@ def test_unknown_versions_and_keywords_are_refused():
             compile_schema(schema)
     assert assets.model_face("v4") == "v3" and assets.model_face("v7") == "v7"
     tree = compile_schema({"$ref": "#/$defs/node", "$defs": {"node": {"type": "array", "items": {"$ref": "#/$defs/node"}}}})
-    assert list(tree([[], [[1]]], "$")) == [("$[1][0][0]", "type")]
+    assert list(tree([[], [[1]]], "$")) == [("$[1][0][0]", "type", None)]
 
 
 VALUES = st.recursive(st.none() | st.booleans() | st.integers() | st.floats() | st.text(st.characters(), max_size=8) | st.sampled_from(["car", "STOP", "object_near"]), lambda inner: st.lists(inner, max_size=4) | st.dictionaries(st.sampled_from(["id", "category", "bbox_2d", "factor", "objects", "critical_objects", "risk_factors", "x"]), inner, max_size=4), max_leaves=12)
