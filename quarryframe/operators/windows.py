@@ -26,6 +26,22 @@ def history_window(frames: DataFrame, size: int = 4) -> DataFrame:
     return frames.withColumn("window", F.collect_list(F.struct("sample_id", "timestamp_us", "has_camera", "has_image", "scene_token")).over(w))
 
 
+def resolve_anchors(requests: DataFrame, frames: DataFrame, history: int = 3) -> DataFrame:
+    """``requests`` (request, token, scene) with ``anchor`` and ``why``: the token that is asked for, else the first keyframe of the named scene that has ``history`` before it, else that of the first scene by name.
+
+    ``why`` is ``token``, ``scene`` or ``first``, or, without an anchor, ``NO_TOKEN``, ``NO_SCENE`` or ``TOO_SHORT``. Scenes have one row each where they are joined; the first scene is one row.
+    """
+    walked = keyframe_walk(frames.select("scene_token", "sample_id", "timestamp_us"))
+    scenes = walked.groupBy("scene_token").agg(F.min(F.when(F.col("walk_idx") == history, F.col("sample_id"))).alias("start"))
+    first = scenes.agg(F.min(F.struct("scene_token", "start")).alias("f")).select(F.col("f.start").alias("default"))
+    known = frames.select(F.col("sample_id").alias("token"), F.lit(True).alias("__known"))
+    told = requests.join(known, "token", "left").join(scenes.select(F.col("scene_token").alias("scene"), "start", F.lit(True).alias("__scene")), "scene", "left").crossJoin(F.broadcast(first))
+    by_token, by_scene = F.col("token").isNotNull(), F.col("scene").isNotNull()
+    anchor = F.when(by_token, F.when(F.col("__known"), F.col("token"))).when(by_scene, F.col("start")).otherwise(F.col("default"))
+    why = F.when(by_token, F.when(F.col("__known"), "token").otherwise("NO_TOKEN")).when(by_scene & F.col("__scene").isNull(), "NO_SCENE").when(anchor.isNull(), "TOO_SHORT").otherwise(F.when(by_scene, "scene").otherwise("first"))
+    return told.select("request", anchor.alias("anchor"), why.alias("why"))
+
+
 def linked_history(frames: DataFrame, size: int = 4) -> DataFrame:
     """``window`` as in ``history_window``, by the links ``prev_id`` of the keyframes: a link may lead into another scene, and one that is null or leads nowhere ends the history.
 

@@ -21,6 +21,10 @@ _REASON = """CASE WHEN k < 4 THEN 'INSUFFICIENT_HISTORY' WHEN cam = 0 THEN 'NO_C
   WHEN greatest(g1, g2, g3) > 90000000000 THEN 'BAD_GAP' WHEN img = 0 THEN 'MISSING_IMAGE' WHEN NOT has_calibration THEN 'MISSING_CALIBRATION' WHEN ego_yaw IS NULL THEN 'NUMERIC_ANOMALY' END"""
 
 
+_SPLIT = """SELECT *, CASE WHEN row_number() OVER (PARTITION BY location, time_of_day ORDER BY scene_token) > n - floor(n * 0.1 + 0.5) THEN 'val' ELSE 'train' END AS split
+FROM (SELECT *, count(*) OVER (PARTITION BY location, time_of_day) AS n FROM fx_scene)"""
+
+
 def reasoned(fx: Fixtures) -> DataFrame:
     return w.history_window(fx.view("fx_keyframe")).withColumn("reason", w.quarantine_reason())
 
@@ -171,6 +175,32 @@ def anchor_pick(fx: Fixtures) -> DataFrame:
     return picked.where("n > 3")
 
 
+_REQUESTS = "SELECT sample_id AS request, CASE WHEN sample_id % 5 = 0 THEN sample_id + CASE WHEN sample_id % 35 = 0 THEN 1000000000 ELSE 0 END END AS token, CASE WHEN sample_id % 5 IN (1, 2) THEN scene_token WHEN sample_id % 5 = 3 THEN concat(scene_token, 'x') END AS scene FROM {}"
+
+
+@query(
+    "s13_anchor_requests",
+    duck(
+        f"""WITH k AS (SELECT *, row_number() OVER ({_W}) - 1 AS i FROM fx_keyframe), s AS (SELECT scene_token, min(sample_id) FILTER (i = 3) AS start FROM k GROUP BY 1), f AS (SELECT start FROM s ORDER BY scene_token LIMIT 1), q AS ({_REQUESTS.format('fx_keyframe')})
+SELECT request, CASE WHEN token IS NOT NULL THEN CASE WHEN token < 1000000000 THEN token END WHEN scene IS NOT NULL THEN s.start ELSE (SELECT start FROM f) END AS anchor,
+CASE WHEN token IS NOT NULL THEN CASE WHEN token < 1000000000 THEN 'token' ELSE 'NO_TOKEN' END WHEN scene IS NOT NULL AND s.scene_token IS NULL THEN 'NO_SCENE' WHEN scene IS NOT NULL THEN CASE WHEN s.start IS NULL THEN 'TOO_SHORT' ELSE 'scene' END WHEN (SELECT start FROM f) IS NULL THEN 'TOO_SHORT' ELSE 'first' END AS why
+FROM q LEFT JOIN s ON s.scene_token = q.scene""",
+        "fx_keyframe",
+    ),
+)
+def anchor_requests(fx: Fixtures) -> DataFrame:
+    """Anchors asked for by token, by scene, or not at all; some tokens and scenes do not exist."""
+    frames = fx.view("fx_keyframe")
+    return w.resolve_anchors(fx.sql(_REQUESTS.format("{k}"), k=frames), frames)
+
+
+@query("k8_sorted_subset", duck(f"SELECT sample_id FROM (SELECT sample_id FROM fx_keyframe JOIN ({_SPLIT}) USING (scene_token) WHERE split = 'train' ORDER BY CAST(sample_id AS VARCHAR) LIMIT 500)", "fx_keyframe", "fx_scene"))
+def sorted_subset(fx: Fixtures) -> DataFrame:
+    """The first 500 tokens of the training split in the order of their text."""
+    train = fx.view("fx_keyframe").join(split_scenes(fx).where("split = 'train'").select("scene_token"), "scene_token")
+    return train.select("sample_id").orderBy(F.col("sample_id").cast("string")).limit(500)
+
+
 @query(
     "j1_frame_links",
     duck(
@@ -203,10 +233,6 @@ def day_night(fx: Fixtures) -> DataFrame:
     return fx.view("fx_scene").groupBy("time_of_day").agg(F.count(F.lit(1)).alias("n_scenes"))
 
 
-_SPLIT = """SELECT *, CASE WHEN row_number() OVER (PARTITION BY location, time_of_day ORDER BY scene_token) > n - floor(n * 0.1 + 0.5) THEN 'val' ELSE 'train' END AS split
-FROM (SELECT *, count(*) OVER (PARTITION BY location, time_of_day) AS n FROM fx_scene)"""
-
-
 def split_scenes(fx: Fixtures) -> DataFrame:
     return st.tail_split(fx.view("fx_scene"), ["location", "time_of_day"], "scene_token", 0.1)
 
