@@ -262,7 +262,7 @@ def frozen_config(fx: Fixtures) -> DataFrame:
     return io.frozen_configs(texts, "text", "base_m int, status string").select("p_partkey", F.col("config.base_m").alias("base_m"), "accepted", "config_sha256")
 
 
-@query("k4_markdown_report")
+@query("k4_markdown_report", "SELECT '| o_orderstatus | n |' AS line UNION ALL SELECT '|-|-|' UNION ALL SELECT '| ' || o_orderstatus || ' | ' || count(*) || ' |' FROM orders GROUP BY o_orderstatus")
 def markdown_report(fx: Fixtures) -> DataFrame:
     table = fx.table("orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).orderBy("o_orderstatus")
     return fx.spark.createDataFrame([(line,) for line in io.markdown_table(table).split("\n")], "line string")

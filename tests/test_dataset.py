@@ -259,3 +259,14 @@ def test_training_targets_keep_the_contract(spark):
     for bad in (good.replace("STOP", "FLY"), good.replace('"yield_required":false,', ""), good.replace('"speed_action"', '"more":1,"speed_action"'), None):
         with pytest.raises(Exception, match="not an output of the contract"):
             frame(bad).collect()
+
+
+def test_anchors_that_are_asked_for(spark):
+    from quarryframe.operators import windows as w
+
+    frames = spark.createDataFrame([("b", i, i) for i in range(5)] + [("c", 10 + i, i) for i in range(3)], "scene_token string, sample_id long, timestamp_us long")
+    asked = spark.createDataFrame([(1, 2, None), (2, 2, "c"), (3, 99, "b"), (4, None, "b"), (5, None, "c"), (6, None, "z"), (7, None, None)], "request int, token long, scene string")
+    got = {r["request"]: (r["anchor"], r["why"]) for r in w.resolve_anchors(asked, frames).collect()}
+    assert got == {1: (2, "token"), 2: (2, "token"), 3: (None, "NO_TOKEN"), 4: (3, "scene"), 5: (None, "TOO_SHORT"), 6: (None, "NO_SCENE"), 7: (3, "first")}
+    short = w.resolve_anchors(asked, frames.where("scene_token = 'c'")).where("request = 7").first()
+    assert (short["anchor"], short["why"]) == (None, "TOO_SHORT")
