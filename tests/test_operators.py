@@ -1,5 +1,6 @@
 """Single operators on small rows with known answers."""
 
+import hashlib
 import json
 import math
 
@@ -183,3 +184,31 @@ def test_attribution_goes_through_matched_pairs(spark):
     assert report == {"*": 0.5, "a": 0.5, "macro": 0.5}
     empty = {r.factor: r.f1 for r in evaluation.attribution_report(counts.limit(0)).collect()}
     assert empty == {"macro": 0.0}
+
+
+def test_many_scenes_are_drawn_without_a_broadcast(spark, monkeypatch):
+    scenes = spark.range(300).selectExpr("concat('s', id) AS scene", "id AS n", "cast(id % 7 AS double) / 4 AS x", "9007199254740993 + id AS large")
+    columns = ["n", "x", "large"]
+    want = sorted(map(tuple, statistics.resampled_totals(scenes, "scene", columns, 9, "x").collect()))
+    weights = statistics.resample_weights(scenes, "scene", 9, "x")
+    for draws in (weights, statistics.mersenne_draws(spark, 300, 9, 1).hint("merge").join(scenes.selectExpr("n AS no", "scene"), "no")):
+        # the plan's size of the draws is that of the list of replicates, so only a hint keeps them from being broadcast
+        assert "SortMergeJoin [no" in draws._jdf.queryExecution().executedPlan().toString()
+    naive = weights.join(scenes, "scene").groupBy("replicate").agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in columns))
+    monkeypatch.setattr(statistics, "DRAW_BLOCK", 64)
+    monkeypatch.setattr(statistics, "MAX_BROADCAST_SCENES", 0)
+    totals = statistics.resampled_totals(scenes, "scene", columns, 9, "x")
+    assert "BroadcastHashJoin [no" not in totals._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, naive.collect())) == want
+
+
+def test_draws_equal_md5():
+    for head, low, high in ((b"seed:0:", 0, 10), (b"seed:1999:", 99_990, 100_000), (b"", 1000, 1100), (b"x" * 46, 10**8, 10**8 + 9), (b"x" * 60, 5, 9), (b"s:1:", 2**32, 2**32 + 3)):
+        want = [int(hashlib.md5(head + str(i).encode()).hexdigest()[:8], 16) for i in range(low, high)]
+        assert statistics.md5_starts(head, low, high).tolist() == want
+    got = dict(statistics._weights(1234, [0, 7], "seed"))
+    for b in (0, 7):
+        want = [0] * 1234
+        for i in range(1234):
+            want[int(hashlib.md5(f"seed:{b}:{i}".encode()).hexdigest()[:8], 16) % 1234] += 1
+        assert got[b].tolist() == want
