@@ -116,3 +116,18 @@ def test_a_median_is_bootstrapped(spark):
         finally:
             st.MAX_PLUG_IN_ROWS = kept
     assert st.plug_in_bootstrap(rows.where(F.lit(False)), "scene", len, draws).collect() == []
+
+
+def test_plug_in_statistic_sees_equal_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(st, "MAX_PLUG_IN_ROWS", 10)
+    # 300 rows, but seven distinct values
+    rows = spark.range(300).selectExpr("concat('s', id % 9) AS scene", "cast(id % 7 AS double) AS v")
+    draws = st.scene_weights(spark, 9, 12, "x")
+    tell = lambda p: {"rows": len(p), "drawn": float(p["weight"].sum()), **{f"q{q}": st.weighted_quantile(p, "v", q) - st.drawn_rows(p)["v"].quantile(q) for q in (0, 0.1, 0.5, 0.77, 1)}}
+    got = {(r["replicate"], r["metric"]): r["value"] for r in st.plug_in_bootstrap(rows, "scene", tell, draws).collect()}
+    size = {f"s{k}": len(range(k, 300, 9)) for k in range(9)}
+    want = {}
+    for r in draws.collect():
+        want[r["replicate"]] = want.get(r["replicate"], 0) + r["weight"] * size[f"s{r['no']}"]
+    assert {b: v for (b, m), v in got.items() if m == "drawn"} == want
+    assert {v for (_, m), v in got.items() if m == "rows"} == {7} and all(abs(v) < 1e-9 for (_, m), v in got.items() if m[0] == "q")
