@@ -27,11 +27,11 @@ from quarryframe.llm._base import ASCII_SPACE, byte_values, materialize, need_co
 class LineConfig:
     min_chars: int = 40
     min_docs: int = 5
-    #: Bits of a filter: 256 per document, within these bounds (2**28 bits are 32 MB).
+    #: Bits of a filter: 256 per document, within these bounds (2**24 bits are 2 MB). The driver holds the filter several times over, so it stays small.
     min_bits_log2: int = 20
-    max_bits_log2: int = 28
+    max_bits_log2: int = 24
     #: Confirmed keys that are sent to all tasks (24 bytes each); more are joined to the documents instead.
-    max_broadcast_keys: int = 1_000_000
+    max_broadcast_keys: int = 250_000
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -137,28 +137,29 @@ def line_dedup(docs: DataFrame, cfg: LineConfig | None = None) -> DataFrame:
     keys = materialize(keys, "repeated-lines")
     if keys.count() <= cfg.max_broadcast_keys:
         rows = keys.toPandas()
-        return _drop_lines(docs, cfg, words, bits_log2, dict(zip(map(bytes, rows["digest"]), rows["keep_doc"].tolist(), strict=True)))
+        return _drop_lines(docs, cfg, words, bits_log2, (b"".join(rows["digest"]), rows["keep_doc"].to_numpy(np.int64)))
     hits = suspects.join(keys, "digest").where(F.col("doc_id") != F.col("keep_doc"))
     hits = hits.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("digest").alias("__drop"))
     joined = docs.join(hits, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
     return _drop_lines(joined, cfg, words, bits_log2, None)
 
 
-def _drop_lines(docs: DataFrame, cfg: LineConfig, words: np.ndarray, bits_log2: int, keys: dict[bytes, int] | None) -> DataFrame:
-    """``keys``: what to drop by digest, or None where each row lists its digests in the column __drop."""
+def _drop_lines(docs: DataFrame, cfg: LineConfig, words: np.ndarray, bits_log2: int, keys: tuple[bytes, np.ndarray] | None) -> DataFrame:
+    """``keys``: the digests in a row and the document that keeps each, or None where each row lists its digests in the column __drop."""
     names = [c for c in docs.columns if c != "__drop"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__drop")
     doc_at, text_at = names.index("doc_id"), names.index("text")
     docs = docs.select(*names, *(["__drop"] if keys is None else []))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = {} if keys is None else {keys[0][16 * i : 16 * i + 16]: k for i, k in enumerate(keys[1].tolist())}
         for batch in batches:
             ids, texts = batch.column(doc_at).to_pylist(), byte_values(batch.column(text_at))
             listed = None if keys is not None else [set(x or ()) for x in batch.column(len(names)).to_pylist()]
             gone: dict[int, set[int]] = {}
             for i, j, key in _suspects_of(texts, words, bits_log2, cfg.min_chars):
                 d = _digest(key)
-                if (d in listed[i]) if listed is not None else (ids[i] is not None and keys.get(d, ids[i]) != ids[i]):
+                if (d in listed[i]) if listed is not None else (ids[i] is not None and keep.get(d, ids[i]) != ids[i]):
                     gone.setdefault(i, set()).add(j)
             for i, lines in gone.items():
                 texts[i] = b"\n".join(x for j, x in enumerate(texts[i].split(b"\n")) if j not in lines)

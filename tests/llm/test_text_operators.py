@@ -283,3 +283,16 @@ def test_pages_by_host(spark, limit):
     by = {r.page_id: r.text for r in got}
     assert by[5] == "\n\n".join(hp.prose(5000 + k, 60) for k in range(3)) and by[20].startswith("Great shop") and by[21] == "" and by[None] == ""
     assert ht.extract_text(pages.where("false")).count() == 0
+
+
+def test_line_dedup_holds_little_on_the_driver(spark, monkeypatch):
+    cfg = ld.LineConfig()
+    assert (1 << (cfg.max_bits_log2 - 3)) + 24 * cfg.max_broadcast_keys <= 10_000_000
+    # a filter far too small for the lines: all of them are suspects, and the result is the same
+    docs = [(i, "\n".join(f"line {(i * 7 + j) % 900} of the text that is long enough to be a key" for j in range(20))) for i in range(300)]
+    sent = []
+    monkeypatch.setattr(ld, "_drop_lines", lambda *a, f=ld._drop_lines: sent.append(a[-1]) or f(*a))
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in ld.line_dedup(spark.createDataFrame(docs, DOCS), ld.LineConfig(min_bits_log2=6, max_bits_log2=6)).collect()}
+    assert got == hp.line_dedup(docs)
+    digests, keep = sent[0]
+    assert len(digests) == 16 * len(keep) and keep.dtype == "int64"
