@@ -41,7 +41,7 @@ def with_geometry(objects: DataFrame) -> DataFrame:
     """distance, azimuth, group and motion state of each object."""
     x, y = F.col("x_c"), F.col("y_c")
     return objects.withColumns(
-        {"distance": F.hypot(x, y), "azimuth": c.azimuth_deg(x, y), "grp": c.group_of(F.col("category")), "state": c.motion_state(F.col("vx"), F.col("vy"))}
+        {"distance": c.norm(x, y), "azimuth": c.azimuth_deg(x, y), "grp": c.group_of(F.col("category")), "state": c.motion_state(F.col("vx"), F.col("vy"))}
     )
 
 
@@ -74,7 +74,7 @@ def clearance_samples(inside: float = -1e9) -> Column:
         dx = px - F.greatest(F.lit(-half_length), F.least(F.lit(half_length), px))
         dy = py - F.greatest(F.lit(-half_width), F.least(F.lit(half_width), py))
         extent = c.support_half_extent(F.col("box_length_m"), F.col("box_width_m"), yaw - F.atan2(dy, dx))
-        return F.when((dx == 0) & (dy == 0), F.lit(inside)).otherwise(F.hypot(dx, dy) - extent)
+        return F.when((dx == 0) & (dy == 0), F.lit(inside)).otherwise(c.norm(dx, dy) - extent)
 
     return F.least(*(sample(k) for k in range(HORIZON_STEPS + 1)))
 
@@ -93,7 +93,7 @@ def track_windows(objects: DataFrame, anchors: DataFrame, window_s: float = EVID
     where there is none. A window over each instance's sightings, with at most as many rows in it as there are frames, so the work is linear; only
     keys, times and speeds pass through it.
     """
-    speed = F.round(F.hypot("vx", "vy"), 3)
+    speed = F.round(c.norm("vx", "vy"), 3)
     seen = objects.groupBy("anchor_id", "instance_id").agg(F.count(F.lit(1)).alias("n"), F.min(speed).alias("low"), F.max(speed).alias("high"))
     frames = anchors.select("anchor_id", "scene_token", F.col("walk_idx").cast("int").alias("walk_idx"), "timestamp_us")
     w = Window.partitionBy("scene_token", "instance_id").orderBy("walk_idx").rangeBetween(1, TRACK_FRAMES)
@@ -134,7 +134,7 @@ def risk_columns(objects: DataFrame) -> DataFrame:
     """
     grp, x, y = F.col("grp"), F.col("x_c"), F.col("y_c")
     crossing = c.crossing_hit(y, F.col("vy"))
-    speed = F.hypot("vx", "vy")
+    speed = c.norm("vx", "vy")
     moving = (grp == "vehicle") | F.col("category").isin(*TWO_WHEELERS)
     return objects.withColumn("clearance", clearance_samples()).withColumns(
         {
@@ -155,7 +155,7 @@ def pool_features(pool: DataFrame) -> DataFrame:
     A least clearance counts a centre inside the band as 0; the speeds of a track without evidence are null.
     """
     return pool.select(
-        "anchor_id", (F.col("rank") - 1).alias("pool_idx"), "ann_no", "category", "grp", "x_c", "y_c", F.col("vy").alias("v_lat"), F.hypot("vx", "vy").alias("speed"), "distance", "state",
+        "anchor_id", (F.col("rank") - 1).alias("pool_idx"), "ann_no", "category", "grp", "x_c", "y_c", F.col("vy").alias("v_lat"), c.norm("vx", "vy").alias("speed"), "distance", "state",
         gap_samples().alias("min_d_raw"), clearance_samples(0.0).alias("min_clearance"), (F.col("n_future") > 0).alias("has_track"), (F.col("n_evidence") > 0).alias("win_nonempty"), F.col("slowest").alias("min_win_speed"), F.col("fastest").alias("max_win_speed"),
     )
 

@@ -77,7 +77,7 @@ def old_vehicle() -> Column:
 
 def old_rule_columns(pool: DataFrame) -> DataFrame:
     """``raw_gap`` (to the centre, without extent), ``old_fires``, ``is_lead``, ``is_static`` and ``top_speed`` of each pool object."""
-    return _old_columns(pool.withColumn("raw_gap", lb.gap_samples()).withColumn("speed", F.hypot("vx", "vy")))
+    return _old_columns(pool.withColumn("raw_gap", lb.gap_samples()).withColumn("speed", c.norm("vx", "vy")))
 
 
 def _old_columns(out: DataFrame) -> DataFrame:

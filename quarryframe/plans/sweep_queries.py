@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryframe.functions import columns as c
 from quarryframe.operators import labels as lb
 from quarryframe.operators import sweeps as sw
 from quarryframe.plans.fixtures import Fixtures, duck
@@ -127,7 +128,7 @@ SELECT half_width, category, count(*) AS n_new, count(*) FILTER (y_c > 0) AS n_l
 )
 def newly_absorbed(fx: Fixtures) -> DataFrame:
     """Braking leads by the first half-width that takes them in, with their class and side."""
-    speed, y = F.hypot("vx", "vy"), F.col("y_c")
+    speed, y = c.norm("vx", "vy"), F.col("y_c")
     moving = (F.col("grp") == "vehicle") | F.col("category").isin(*lb.TWO_WHEELERS)
     leads = pool(fx).where(moving & (F.col("x_c") > 0) & (speed > lb.SLOW) & (F.col("slowest") <= speed - lb.SPEED_DROP))
     first = F.element_at(F.array(*map(F.lit, sw.BRAKE_GRID)), sw.step_of(F.abs(y), sw.BRAKE_GRID, strict=False) + 1)
