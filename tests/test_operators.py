@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarryframe.functions import columns as c
 from quarryframe.functions.python_rules import py_round
 from quarryframe.operators import labels, matching, metrics, statistics, validation, windows
+from quarryframe.plans import label_queries
 from quarryframe.sources import io
 
 
@@ -212,3 +213,17 @@ def test_draws_equal_md5():
         for i in range(1234):
             want[int(hashlib.md5(f"seed:{b}:{i}".encode()).hexdigest()[:8], 16) % 1234] += 1
         assert got[b].tolist() == want
+
+
+def test_lengths_and_projections_follow_the_sql(spark):
+    near = spark.createDataFrame([(9.6, 7.2), (-3.3, 4.4), (7.0, 2.4)], "x double, y double")
+    got = [r[0] for r in near.select(c.norm("x", F.col("y"))).collect()]
+    assert got == [math.sqrt(x * x + y * y) for x, y in ((9.6, 7.2), (-3.3, 4.4), (7.0, 2.4))]
+    # the product comes before the division, which decides at the edges of the image
+    objects = spark.range(40_000).selectExpr("id AS anchor_id", "id AS ann_no", "cast(id % 600 AS double) / 10 - 10 AS x_c", "cast(id * 7 % 200 AS double) / 10 - 10 AS y_c", "0.5d + cast(id % 40 AS double) / 10 AS box_length_m", "0.4d + cast(id % 20 AS double) / 10 AS box_width_m")
+    corners = label_queries.projected(type("Rows", (), {"view": lambda self, name: objects})()).collect()
+    for r in corners:
+        for i, k in enumerate(r.corners):
+            d = r.x_c + r.box_length_m / 2 * (1 if i & 1 else -1)
+            if d:
+                assert k["u"] == 400 + 500 * (r.y_c + r.box_width_m / 2 * (1 if i & 2 else -1)) / d and k["v"] == 300 + 500 * (0.75 if i & 4 else -0.75) / d
