@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Vector = tuple[Column, Column, Column]
 Matrix = tuple[Vector, Vector, Vector]
@@ -12,9 +15,9 @@ Matrix = tuple[Vector, Vector, Vector]
 LINKS = ("NO_CAM_FRONT", "MISSING_POSE", "MISSING_CALIBRATION")
 
 
-def rotation(q: Column) -> Matrix:
+def rotation(q: Column, length: Column | None = None) -> Matrix:
     """The rows of the matrix of a quaternion (array w, x, y, z), which is normalised first."""
-    n = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
+    n = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3]) if length is None else length
     w, x, y, z = (q[i] / n for i in range(4))
     return (
         (1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)),
@@ -60,26 +63,41 @@ def linked_cameras(frames: DataFrame, sample_data: DataFrame, poses: DataFrame,
     return chain.withColumn("link", link).drop("__pose", "__cal")
 
 
+def _turns(q: np.ndarray) -> np.ndarray:
+    """The matrices [row, column, box] of quaternions [w to z, box], which are normalised first; one of length 0 has no rotation and stops the job."""
+    n = np.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
+    if (n == 0).any():
+        raise ZeroDivisionError("a quaternion of length 0")
+    return np.array(rotation(q, n))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(k, T.DoubleType()) for k in ("depth", "u", "v")])))
+def _corners(*cells: pa.Array) -> pa.Array:
+    """The corners of boxes from the 28 numbers of ``projected_corners``; null where a number is, and without a place at depth 0."""
+    told = [c.is_valid().to_numpy(zero_copy_only=False) for c in cells]
+    rows = np.array([c.to_numpy(zero_copy_only=False).astype(float) for c in cells])
+    box, pose, sensor, at, size, pose_at, sensor_at, lens = np.split(rows, [4, 8, 12, 15, 18, 21, 24])
+    b, p, s = _turns(box), _turns(pose), _turns(sensor)
+    back = lambda m, n: np.array([[m[0][i] * n[0][k] + m[1][i] * n[1][k] + m[2][i] * n[2][k] for k in range(3)] for i in range(3)])
+    m, centre = back(s, back(p, b)), rotated_back(s, np.array(rotated_back(p, at - pose_at)) - sensor_at)
+    halves = [[size[n] / 2 * (1 if i >> n & 1 else -1) for n in range(3)] for i in range(8)]
+    x, y, depth = (np.stack([centre[r] + (m[r][0] * h[0] + m[r][1] * h[1] + m[r][2] * h[2]) for h in halves], axis=1) for r in range(3))
+    known = np.repeat(np.logical_and.reduce(told[:24]), 8)
+    flat, out = depth.ravel(), [pa.array(depth.ravel(), mask=~known)]
+    for side, focal, middle in ((x, 0, 2), (y, 1, 3)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            place = (lens[middle][:, None] + lens[focal][:, None] * (side / depth)).ravel()
+        out.append(pa.array(place, mask=~(known & np.repeat(told[24 + focal] & told[24 + middle], 8) & (flat != 0))))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 8, dtype=np.int32)), pa.StructArray.from_arrays(out, ["depth", "u", "v"]))
+
+
 def projected_corners(boxes: DataFrame) -> DataFrame:
     """``boxes`` with ``corners``: array of (depth, u, v) of the eight corners in the image of the linked camera.
 
     Boxes are in the world (x, y, z, length, width, height, rotation); pose and calibration are those of ``linked_cameras``, with the intrinsics fx, fy, cx, cy. The camera looks along its z
-    axis; a corner at depth 0 has no place. The three rotations are made and multiplied once for each box, so a corner is one linear form of its half sizes.
+    axis; a corner at depth 0 has no place. The three rotations are made and multiplied once for each box, so a corner is one linear form of its half sizes; this is done for
+    whole batches of boxes, as one expression of columns repeats its parts.
     """
-    # an array behind a transform is computed once; one that is only built up would be written out again at each use of its cells
-    kept = lambda *cells: F.transform(F.array(*cells), lambda v: v)
-    matrices = {"__b": "rotation", "__p": "pose_rotation", "__s": "sensor_rotation"}
-    made = boxes.withColumns({k: kept(*(e for row in rotation(F.col(q)) for e in row)) for k, q in matrices.items()})
-    cell = lambda m, i, k: F.col(m)[3 * i + k]
-    back = lambda m, n: kept(*(cell(m, 0, i) * cell(n, 0, k) + cell(m, 1, i) * cell(n, 1, k) + cell(m, 2, i) * cell(n, 2, k) for i in range(3) for k in range(3)))
-    turn = lambda m, v: kept(*(cell(m, 0, i) * v[0] + cell(m, 1, i) * v[1] + cell(m, 2, i) * v[2] for i in range(3)))
-    moved = lambda v, t: [c - F.col(t)[i] for i, c in enumerate(v)]
-    made = made.withColumns({"__pb": back("__p", "__b"), "__e": turn("__p", moved([F.col(k) for k in "xyz"], "pose_translation"))})
-    made = made.withColumns({"__m": back("__s", "__pb"), "__c": turn("__s", moved([F.col("__e")[i] for i in range(3)], "sensor_translation"))})
-    corners = []
-    for i in range(8):
-        half = [F.col(k) / 2 * (1 if i >> n & 1 else -1) for n, k in enumerate(("length", "width", "height"))]
-        corners.append(F.array(*(F.col("__c")[r] + sum(cell("__m", r, n) * half[n] for n in range(3)) for r in range(3))))
-    made = made.withColumn("__k", kept(*corners))
-    place = lambda k: F.struct(k[2].alias("depth"), (F.col("cx") + F.col("fx") * F.try_divide(k[0], k[2])).alias("u"), (F.col("cy") + F.col("fy") * F.try_divide(k[1], k[2])).alias("v"))
-    return made.withColumn("corners", F.transform("__k", place)).drop("__b", "__p", "__s", "__pb", "__e", "__m", "__c", "__k")
+    parts = lambda k, n: [F.col(k)[i] for i in range(n)]
+    cells = [*parts("rotation", 4), *parts("pose_rotation", 4), *parts("sensor_rotation", 4), *map(F.col, ("x", "y", "z", "length", "width", "height")), *parts("pose_translation", 3), *parts("sensor_translation", 3), *map(F.col, ("fx", "fy", "cx", "cy"))]
+    return boxes.withColumn("corners", _corners(*(v.cast("double") for v in cells)))

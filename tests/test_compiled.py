@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryframe.operators import labels as lb
+from quarryframe.operators import sensors as sn
 
 LIMIT = 8000
 BOX = "x_c double, y_c double, vx double, vy double, ego_speed double, box_length_m double, box_width_m double, box_yaw_deg double"
@@ -52,3 +53,25 @@ def test_clearance_without_numbers(spark):
     frame = spark.createDataFrame(rows, BOX).coalesce(1)
     assert [r[0] for r in frame.select(lb.clearance_samples()).collect()] == [None, None, None, -1e9, -1e9]
     assert [r[0] for r in frame.select(lb.clearance_samples(0.0)).collect()] == [None, None, None, 0.0, 0.0]
+
+
+CHAIN = "x double, y double, z double, length double, width double, height double, rotation array<double>, pose_translation array<double>, pose_rotation array<double>, sensor_translation array<double>, sensor_rotation array<double>, fx double, fy double, cx double, cy double"
+
+
+def test_corners_are_no_expression_of_columns(spark):
+    one, none = [1.0, 0.0, 0.0, 0.0], [0.0] * 3
+    rows = [(0.0, 0.0, 5.0, 2.0, 2.0, 2.0, one, none, one, none, one, 800.0, 800.0, 0.0, 0.0), (0.0, 0.0, 1.0, 2.0, 2.0, 2.0, one, none, one, none, one, 800.0, 800.0, 0.0, 0.0), (None, 0.0, 1.0, 2.0, 2.0, 2.0, one, none, one, none, one, 800.0, 800.0, 0.0, 0.0)]
+    found = sn.projected_corners(spark.createDataFrame(rows, CHAIN).coalesce(1))
+    # one projection of a batch, and no transform that repeats the rotations for each of their cells
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 0
+    near, flat, lost = (r["corners"] for r in found.collect())
+    assert tuple(near[7]) == pytest.approx((6.0, 800.0 / 6, 800.0 / 6)) and tuple(near[0]) == pytest.approx((4.0, -200.0, -200.0))
+    assert [c["depth"] for c in flat] == [0.0] * 4 + [2.0] * 4 and [c["u"] for c in flat][:4] == [None] * 4
+    assert all(c["depth"] is None and c["u"] is None for c in lost)
+
+
+def test_a_rotation_of_length_0_stops_the_job(spark):
+    one, none = [1.0, 0.0, 0.0, 0.0], [0.0] * 3
+    frame = spark.createDataFrame([(0.0, 0.0, 5.0, 2.0, 2.0, 2.0, [0.0] * 4, none, one, none, one, 800.0, 800.0, 0.0, 0.0)], CHAIN)
+    with pytest.raises(Exception, match="length 0"):
+        sn.projected_corners(frame).collect()
