@@ -200,6 +200,28 @@ def test_near_copies_of_a_passage_are_found(spark):
     assert set(got) == {0, 1} and all(r.n_repeated > 100 for r in got.values())
 
 
+def test_a_piece_in_many_texts_hides_no_similar_passage(spark):
+    """Pairs have a passage of 56 words with a word put in in one of them; 30 other texts each have 30 words of one end, and stand first."""
+    docs, want = [], set()
+    for g in range(12):
+        passage = hp.prose(15000 + g, 56, 10**6).split()
+        for k in range(32):
+            w = hp.prose(16000 + 40 * g + k, 80, 10**6).split()
+            piece = passage[:30] if k % 2 else passage[26:]
+            w[20 + k : 20 + k] = piece if k < 30 else passage[:28] + ["edit"] * (k - 30) + passage[28:]
+            docs.append((100 * g + k, " ".join(w)))
+        want |= {100 * g + 30, 100 * g + 31}
+    got = {r.doc_id: r for r in sd.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()}
+    assert set(got) == want
+    assert all(r.n_repeated >= 56 and r.partner_ids == [i ^ 1] for i, r in got.items())
+
+
+def test_stretch_of_a_passage():
+    """The words in a row that are used to find passages are shared by all of them."""
+    cfg = sd.PassageConfig()
+    assert (cfg.width, cfg.least_shared, cfg.stretch_words, cfg.gram_words, cfg.beside) == (46, 37, 23, 10, 7)
+
+
 def test_repeated_passages_odd_rows(odd_docs, no_docs):
     got = sd.repeated_passages(odd_docs).collect()
     assert sorted(r.doc_id for r in got) == [3, 3, 4, 5]
