@@ -121,8 +121,15 @@ def track_windows(objects: DataFrame, anchors: DataFrame, window_s: float = EVID
 
 
 def with_tracks(objects: DataFrame, tracks: DataFrame) -> DataFrame:
-    """``objects`` with what ``track_windows`` found for their instances; join what is left of them, not all."""
-    return objects.join(tracks, ["anchor_id", "instance_id"], "left").na.fill(0, ["n_future", "n_evidence"])
+    """``objects`` with what ``track_windows`` found for their instances; join what is left of them, not all.
+
+    The tracks of an anchor, as many as it has instances, meet its objects by the anchor alone: objects that a window over the anchors has left in place are not shuffled again.
+    """
+    told = [k for k in tracks.columns if k not in ("anchor_id", "instance_id")]
+    listed = tracks.where("instance_id is not null").groupBy("anchor_id").agg(F.collect_list(F.struct("instance_id", *told)).alias("__tracks"))
+    both = objects.join(listed, "anchor_id", "left")
+    own = both.select("*", F.explode_outer(F.filter("__tracks", lambda t: t["instance_id"] == F.col("instance_id"))).alias("__track"))
+    return own.select(*objects.columns, *(F.col(f"__track.{k}").alias(k) for k in told)).na.fill(0, ["n_future", "n_evidence"])
 
 
 def centred_velocity(sightings: DataFrame, x: str = "x", y: str = "y", max_gap_s: float = 1.5) -> DataFrame:

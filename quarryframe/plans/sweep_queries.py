@@ -28,7 +28,11 @@ _OLD_ROW = ", ".join(f"coalesce({f}, false) AS {f}" for f in (*sw.OLD_FACTORS, "
 @query("d9_old_rules", duck(f"WITH {_OLD} SELECT a.anchor_id, {_OLD_ROW} FROM fx_anchor a LEFT JOIN old USING (anchor_id)", "fx_object", "fx_anchor"))
 def old_rules(fx: Fixtures) -> DataFrame:
     """The seven factors and the yield of the older rules for every anchor; one without pool objects has none of them."""
-    return fx.view("fx_anchor").select("anchor_id").join(sw.old_factors(pool(fx)), "anchor_id", "left").na.fill(False)
+    return stored_labels(fx, pool(fx))
+
+
+def stored_labels(fx: Fixtures, objects: DataFrame) -> DataFrame:
+    return fx.view("fx_anchor").select("anchor_id").join(sw.old_factors(objects), "anchor_id", "left").na.fill(False)
 
 
 _FEATURES = f"""{_SEEN}, z AS (SELECT anchor_id, ann_no, min(CASE WHEN ex = 0 AND ey = 0 THEN 0 ELSE sqrt(ex * ex + ey * ey) - (abs(cos(radians(box_yaw_deg) - atan2(ey, ex))) * box_length_m / 2 + abs(sin(radians(box_yaw_deg) - atan2(ey, ex))) * box_width_m / 2) END) AS least FROM q GROUP BY 1, 2),
@@ -65,9 +69,11 @@ def sweep_histograms(fx: Fixtures) -> DataFrame:
 @query("d10_self_check", duck(f"WITH {_OLD} SELECT a.anchor_id, 'old_yield' AS \"column\", NOT coalesce(old_yield, false) AS stored, coalesce(old_yield, false) AS rebuilt FROM fx_anchor a LEFT JOIN old USING (anchor_id) WHERE a.anchor_id % 41 = 0", "fx_object", "fx_anchor"))
 def self_check(fx: Fixtures) -> DataFrame:
     """Labels rebuilt from the written feature table against stored ones, of which every 41st anchor's yield was turned over."""
-    features = io.written(lb.pool_features(pool(fx)), "features")
+    # the pool is built once: features and stored labels are taken from it
+    objects = io.written(pool(fx).select("anchor_id", "rank", "ann_no", "category", "grp", "x_c", "y_c", "vx", "vy", "ego_speed", "box_length_m", "box_width_m", "box_yaw_deg", "distance", "state", "n_future", "n_evidence", "slowest", "fastest"), "pool")
+    features = io.written(lb.pool_features(objects), "features")
     turned = F.when(F.col("anchor_id") % 41 == 0, ~F.col("old_yield")).otherwise(F.col("old_yield"))
-    return sw.rebuild_mismatches(features, old_rules(fx).withColumn("old_yield", turned))
+    return sw.rebuild_mismatches(features, stored_labels(fx, objects).withColumn("old_yield", turned))
 
 
 @query("o7_nearest_lead", duck(f"WITH {_GEO} SELECT anchor_id, arg_min(ann_no, (round(distance, 3), ann_no)) AS lead FROM o WHERE category NOT IN ('pedestrian', 'barrier', 'traffic_cone') AND x_c > 0 AND abs(y_c) <= 1.185 GROUP BY 1", "fx_object"))
