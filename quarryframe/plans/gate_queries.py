@@ -38,10 +38,11 @@ def systems(fx: Fixtures) -> DataFrame:
 
 def scene_counts(fx: Fixtures) -> DataFrame:
     """Additive counts of both systems for each scene."""
-    parsed = fx.view("fx_box").join(fx.view("fx_anchor").where("parse_ok").select("anchor_id"), "anchor_id")
-    pairs = mt.greedy_match(mt.candidate_pairs(parsed, ev.TAUS[0])).groupBy("anchor_id").agg(c.total(F.col("iou") >= 0.5).alias("hit_a"), c.total(F.col("iou") >= 0.7).alias("hit_b"))
-    sizes = parsed.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("boxes"))
-    rows = systems(fx).join(sizes, "anchor_id", "left").join(pairs, "anchor_id", "left").na.fill(0, ["boxes", "hit_a", "hit_b"])
+    boxes = mt.matched_boxes(fx.view("fx_box").withColumn("category", F.lower(F.trim("category"))), ev.TAUS[0])
+    hits = boxes.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("boxes"), c.total(F.col("iou") >= 0.5).alias("hit_a"), c.total(F.col("iou") >= 0.7).alias("hit_b"))
+    # what the answers are made from is shuffled, and not the counts of each anchor
+    rows = fx.view("fx_anchor").select("anchor_id", "scene_token", "gt_action", "gt_yield", "pred_action", "pred_yield", "parse_ok").join(hits, "anchor_id", "left").repartition("scene_token")
+    rows = rows.selectExpr("anchor_id", "scene_token", "gt_action", "gt_yield", *(f"{v} AS {k}" for k, v in _SYSTEMS.items()), *(f"CASE WHEN parse_ok THEN coalesce({k}, 0) ELSE 0 END AS {k}" for k in ("boxes", "hit_a", "hit_b")))
     counts = {"n": F.count(F.lit(1))}
     for s in "ab":
         ok, act, yields = F.col(f"ok_{s}"), F.col(f"act_{s}"), F.col(f"yield_{s}")

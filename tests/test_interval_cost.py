@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarryframe.operators import matching as mt
 from quarryframe.operators import statistics as st
+from quarryframe.plans import gate_queries as gq
 from quarryframe.plans import interval_queries as iq
 from quarryframe.plans.fixtures import Fixtures
 
@@ -44,3 +45,7 @@ def test_packed_weights():
         assert st.unpack_weights(packed, len(weights)).tolist() == weights.tolist()
         # a draw took a byte
         assert len(weights) < 1000 or len(packed) < 0.3 * len(weights)
+
+
+def test_gate_counts_shuffle_lines_once(spark):
+    assert shuffles(gq.scene_counts(Fixtures(spark, "/root/testdata/sf0.001"))) == (1, 4)
