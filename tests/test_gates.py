@@ -131,3 +131,20 @@ def test_plug_in_statistic_sees_equal_rows_once(spark, monkeypatch):
         want[r["replicate"]] = want.get(r["replicate"], 0) + r["weight"] * size[f"s{r['no']}"]
     assert {b: v for (b, m), v in got.items() if m == "drawn"} == want
     assert {v for (_, m), v in got.items() if m == "rows"} == {7} and all(abs(v) < 1e-9 for (_, m), v in got.items() if m[0] == "q")
+
+
+@pytest.mark.parametrize("bound", [1000, 3])
+def test_packed_weights_give_the_plug_in_of_their_rows(spark, monkeypatch, bound):
+    registry.on_workers(spark)
+    monkeypatch.setattr(st, "DRAW_BLOCK", 4)  # three blocks
+    monkeypatch.setattr(st, "MAX_BLOCK_ROWS", bound)
+    rows = spark.range(300).selectExpr("concat('s', id % 9) AS scene", "CASE WHEN id % 7 > 0 THEN cast(id % 7 AS double) END AS v", "id % 2 = 0 AS even")
+    tell = lambda p: {"rows": len(p), "drawn": float(p["weight"].sum()), "none": float(p["weight"][p["v"].isna()].sum()), "even": float(p["weight"][p["even"]].sum()), "median": st.weighted_quantile(p, "v", 0.5)}
+    told = lambda draws: sorted(map(tuple, st.plug_in_bootstrap(rows, "scene", tell, draws).collect()))
+    assert told(st.block_weights(spark, 9, 12, "x", 4)) == told(st.scene_weights(spark, 9, 12, "x"))
+    assert st.plug_in_bootstrap(rows.where(F.lit(False)), "scene", tell, st.block_weights(spark, 0, 12, "x", 4)).collect() == []
+
+
+def test_the_median_has_all_replicates(spark):
+    got = registry.queries()["r1_plug_in_bootstrap"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["metric"]: r["n"] for r in got} == {"median": 2000, "spread": 2000}
