@@ -2,6 +2,7 @@
 
 import json
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from quarryframe.contracts.parser import strict_parser, strict_text
 from quarryframe.contracts.schema import compile_schema, compile_test
 from quarryframe.operators import dataset as ds
 from quarryframe.operators import records as rc
+from quarryframe.plans import chain_queries as cq
 from quarryframe.plans import dataset_queries as dq
 from quarryframe.plans import label_queries as lq
 from quarryframe.plans.fixtures import Fixtures
@@ -93,3 +95,18 @@ def test_image_boxes_without_numbers(spark):
     assert tuple(box[1]) == (0.0, 150.0, 112.5, 650.0, 487.5)
     assert (box[2]["d"], box[2]["x1"], box[2]["x2"]) == (4.0, None, None) and box[2]["y1"] == 300 - 375 / 4
     assert tuple(box[3]) == (4.0, 400.0, 300 - 375 / 4, 650.0, 300 + 375 / 4)
+
+
+def test_both_builds_run_side_by_side(spark, monkeypatch):
+    met, build = threading.Barrier(2, timeout=120), cq.built
+    paths = []
+
+    def built(fx):
+        met.wait()
+        paths.append(build(fx))
+        return paths[-1]
+
+    monkeypatch.setattr(cq, "built", built)
+    row = cq.rebuild_files(Fixtures(spark, "/root/testdata/sf0.001")).first()
+    assert len({p for p, _ in paths}) == 2
+    assert row["lines"] == paths[0][1]["counts"]["valid"] > 0 and row["same_lines"] and row["same_index"] and row["same_root"]
